@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark._jvm.System.gc()  # Spark deletes shuffle files of finished jobs once their objects are gone
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_path = path
     return out
@@ -50,6 +52,24 @@ def restore_key(df: DataFrame, docs: DataFrame, id_col: str) -> DataFrame:
     return df.select(F.col("k").cast(docs.schema[id_col].dataType).alias(id_col), *df.columns[1:])
 
 
+def held_out(id_col: str, part: int = 1, of: int = 3):
+    """Rows that nothing is learned from: those whose crc32 of the id as text leaves this remainder."""
+    return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(of)) == part, F.lit(False))
+
+
+def text_batches(texts: list[str], most: int = 512, chars: int = 1 << 21) -> Iterator[list[str]]:
+    """Runs of at most ``most`` texts that hold ``chars`` characters together, or a single longer text."""
+    part, n = [], 0
+    for t in texts:
+        if part and (len(part) == most or n + len(t) > chars):
+            yield part
+            part, n = [], 0
+        part.append(t)
+        n += len(t)
+    if part:
+        yield part
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(id, component) for every node of ``edges``; component is the smallest id reachable.
 

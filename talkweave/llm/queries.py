@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkweave.llm import bpe, chat, media, packing, simhash
-from talkweave.llm.common import table
+from talkweave.llm import bpe, chat, embedding_dedup, langid, line_dedup, media, packing, quality, simhash, suffix_dedup
+from talkweave.llm.common import held_out, table
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,11 +18,39 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.decode(short)).unionByName(bpe.digest(bpe.decode(long)))
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many lines each document keeps, and a digest of what is left of it."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    left = line_dedup.drop_repeated_lines(docs)
+    return left.select("doc_id", F.size(F.split("text", "\n")).alias("n_kept_lines"), F.length("text").cast("long").alias("n_kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
     return out.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    return langid.predict(docs, langid.train(docs)).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
+    return quality.score(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(media.to_matroska(table(spark, sf_dir, "documents", "doc_id", "text")))
 
@@ -37,6 +65,9 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_bpe_round_trip, op5_simhash_near_dedup, op9_media_columns, op10_chat_formatting)
-}
+    for f in (
+        op1_best_fit_packing, op2_bpe_round_trip, op3_embedding_near_dedup, op4_line_dedup, op5_simhash_near_dedup, op6_language_id,
+        op7_quality_classifier, op8_suffix_array_dedup, op9_media_columns, op10_chat_formatting,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
