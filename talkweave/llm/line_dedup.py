@@ -21,18 +21,15 @@ def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return split.select("id", "pos", normalized(F.col("line")).alias("line")).where("line <> ''")
 
 
-def _segments(line: Column, width: int, size: int = 1000) -> Column:
-    """The line in pieces of ``size`` characters, each with the ``width`` - 1 after it."""
-    parts = F.regexp_extract_all(line, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
-    after = lambda p, i: F.when(i + 1 < F.size(parts), F.left(F.get(parts, i + 1), F.lit(width - 1))).otherwise("")
-    return F.transform(parts, lambda p, i: F.concat(p, after(p, i))) if width > 1 else parts
+def _grams(line: Column, width: int, at: str = "") -> Column:
+    """The ``width`` characters from every place that the expression ``at`` admits; of a shorter line, the line. Time follows the length."""
+    pattern = f"(?s){at}(?=(.{{{width}}}))" if not at else f"(?s){at}(?=([^ ].{{0,{width - 1}}}))"
+    return F.when(F.length(line) <= width, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(pattern), F.lit(1)))
 
 
 def shingles(line: Column, width: int) -> Column:
-    """The set of hashed ``width``-character shingles of a line; of a shorter line, the line. Time follows the length."""
-    of = lambda s: F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - (width - 1), F.lit(1))), lambda i: F.xxhash64(F.substring(s, i, F.lit(width))))
-    short = F.length(line) <= 1000
-    return F.array_distinct(F.when(short, of(line)).otherwise(F.flatten(F.transform(_segments(line, width), of))))
+    """The set of hashed ``width``-character shingles of a line, as 32-bit numbers."""
+    return F.array_distinct(F.transform(_grams(line, width), lambda s: F.hash(s)))
 
 
 def signatures(rows: DataFrame, width: int, hashes: int, seed: int = 17) -> DataFrame:
@@ -41,24 +38,24 @@ def signatures(rows: DataFrame, width: int, hashes: int, seed: int = 17) -> Data
     Only the shingles that begin a word count here, which estimates the same
     similarity at a fraction of the work; where words are longer than 20 characters on
     average (scripts without spaces), all shingles do. A permutation is an exclusive or
-    with a random number.
+    with a random number; the largest value is the smallest under the number's complement.
     """
     r = random.Random(seed)
-    words = F.split("line", " ")
-    # up to `width` words may be needed to make a shingle
-    dense = F.length("line") > 20 * F.size("words")
-    of = lambda s: F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - (width - 1), F.lit(1))), lambda i: F.substring(s, i, F.lit(width)))
-    items = F.when(dense, F.flatten(F.transform(_segments(F.col("line"), width), of))).otherwise(F.col("words"))
-    each = rows.select("k", "line", words.alias("words")).select("k", "words", dense.alias("dense"), F.posexplode(items).alias("at", "item"))
-    shingle = F.when(F.col("dense"), F.col("item")).otherwise(F.left(F.array_join(F.slice("words", F.col("at") + 1, F.lit((width + 1) // 2)), " "), F.lit(width)))
-    hashed = each.select("k", F.hash(shingle).alias("g"))
-    return hashed.groupBy("k").agg(*(F.min(F.col("g").bitwiseXOR(F.lit(r.getrandbits(32) - (1 << 31)))).alias(f"m{i}") for i in range(hashes)))
+    dense = F.length("line") > 20 * (F.length("line") - F.length(F.translate("line", " ", "")) + 1)
+    line = F.col("line")
+    grams = F.when(dense, _grams(line, width)).otherwise(_grams(line, width, "(?:^|(?<= ))"))
+    hashed = rows.select("k", F.transform(grams, lambda s: F.hash(s)).alias("g")).where("size(g) > 0")
+    flip = lambda c: lambda x: x.bitwiseXOR(F.lit(c))
+    numbers = [r.getrandbits(32) - (1 << 31) for _ in range((hashes + 1) // 2)]
+    moved = hashed.select("k", *(F.transform("g", flip(c)).alias(f"x{i}") for i, c in enumerate(numbers)))
+    ends = [f(f"x{i}") for i in range(len(numbers)) for f in (F.array_min, F.array_max)]
+    return moved.select("k", *(e.alias(f"m{i}") for i, e in enumerate(ends[:hashes])))
 
 
 def buckets(signed: DataFrame, bands: int, rows: int) -> DataFrame:
     """(band, k): a row for each band of each line."""
     keys = F.array(*(F.xxhash64(F.lit(b), *(f"m{b * rows + i}" for i in range(rows))) for b in range(bands)))
-    return signed.select("k", F.explode(keys).alias("band"))
+    return signed.select("k", F.explode(keys).alias("band")).distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -75,15 +72,17 @@ def similar_lines(rows: DataFrame, width: int = 10, similarity: float = 0.8, ban
 
     Lines in a common bucket are candidates. A bucket's members are first compared with
     its smallest one. Components of the pairs that hold leave few buckets in which
-    members are still apart; there every pair across components is compared. So
-    candidates in one bucket never stay apart unless they are apart, yet a bucket of
-    thousands of variants of a line costs thousands of comparisons, not millions.
+    members are still apart; there every pair across components is compared whose
+    signatures agree in more than half of their places, which a pair at the similarity
+    sought fails to do about once in a thousand times.
     """
-    banded = buckets(signatures(rows, width, bands * band_rows), bands, band_rows)
+    hashes = bands * band_rows
+    banded = buckets(signatures(rows, width, hashes), bands, band_rows)
     least = banded.groupBy("band").agg(F.min("k").alias("center"), F.max("k").alias("other")).where("center <> other").select("band", "center")
     members = saved(banded.join(least, "band"), "members")
     ids = members.select("k").distinct()
-    sets = saved(rows.join(ids, "k").dropDuplicates(["k"]).select("k", shingles(F.col("line"), width).alias("shingles")), "shingles")
+    texts = saved(rows.join(ids, "k").groupBy("k").agg(F.min("line").alias("line")), "texts")
+    sets = saved(texts.select("k", shingles(F.col("line"), width).alias("shingles")), "shingles")
     stars = members.where("k <> center").select(F.col("k").alias("src"), F.col("center").alias("dst")).distinct()
     first = saved(verified(stars, sets, similarity), "links")
     found = saved(connected_components(first), "components")
@@ -91,12 +90,14 @@ def similar_lines(rows: DataFrame, width: int = 10, similarity: float = 0.8, ban
     mixed = apart.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("z")).where("a <> z").select("band")
     # pairs with a bucket's center were compared before
     rest = saved(members.select("band", "k", "center").join(apart, ["band", "k"]).join(mixed, "band").where("k <> center"), "mixed")
-    left = rest.select("band", F.col("k").alias("src"), F.col("component").alias("a"))
-    right = rest.select("band", F.col("k").alias("dst"), F.col("component").alias("b"))
-    across = left.join(right, "band").where("a <> b and src < dst").select("src", "dst").distinct()
+    signed = rest.join(signatures(texts.join(rest.select("k").distinct(), "k"), width, hashes), "k")
+    left = signed.select("band", F.col("k").alias("src"), F.col("component").alias("a"), *(F.col(f"m{i}").alias(f"l{i}") for i in range(hashes)))
+    right = signed.select("band", F.col("k").alias("dst"), F.col("component").alias("b"), *(F.col(f"m{i}").alias(f"r{i}") for i in range(hashes)))
+    agree = " + ".join(f"int(l{i} = r{i})" for i in range(hashes))
+    across = left.join(right, "band").where(f"a <> b and src < dst and {agree} > {hashes // 2}").select("src", "dst").distinct()
     links = first.unionByName(verified(across, sets, similarity))
     out = saved(connected_components(links), "components")
-    for t in (members, sets, first, found, rest):
+    for t in (members, texts, sets, first, found, rest):
         discard(t)
     return out
 

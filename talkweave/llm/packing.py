@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -12,11 +16,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkweave.llm.common import keyed_text, restore_key, saved
+from talkweave.llm.common import keyed_text, restore_key, saved, text_batches
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def _byte_chars() -> dict[int, int]:
+    """The characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the others from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in own)}
+
+
+_BYTE_CHARS = _byte_chars()
+
+
+def _normal(word: str) -> str:
+    return "".join(c.lower() for c in unicodedata.normalize("NFC", word))
+
+
 class WordEncoder:
     """Ids of whole texts for a tokenizer that drops white space between its pre-tokens.
 
@@ -26,23 +43,41 @@ class WordEncoder:
     pre-token of its own, which keeps the table small.
     """
 
-    def __init__(self, path: str, most_words: int = 400_000):
+    def __init__(self, path: str, most_words: int = 600_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.most_words, self.words = most_words, {"": b""}
-
-    def _learn(self, words: list[str]) -> None:
-        got = self.tokenizer.encode_batch(words, add_special_tokens=False)
-        self.words.update((w, np.array(x.ids, "<u4").tobytes()) for w, x in zip(words, got))
+        probe = ["the", "wordings", "\u00e9t\u00e9", "e\u0301t", "\u00c9", "stra\u00dfe", "\u03a3\u03b1\u03c2\u03a3", "\u4e2d\u6587"]
+        self.direct = self._letters([_normal(w) for w in probe]) == self._whole(probe)
+
+    def _whole(self, words: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+
+    def _letters(self, words: list[str]) -> list[list[int]]:
+        """Ids of normalised words of letters, each of which is one pre-token: merged by the model."""
+        merge = self.tokenizer.model.tokenize
+        return [[x.id for x in merge(w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_CHARS))] for w in words]
+
+    def _learn(self, words: list[str], at_once: int = 2000) -> None:
+        letters, rest = [], []
+        for w in words:
+            plain = w if w.isascii() else _normal(w)
+            (letters if self.direct and plain.isalpha() else rest).append((w, plain))
+        for some, ids, k in ((letters, self._letters, 1), (rest, self._whole, 0)):
+            for a in range(0, len(some), at_once):
+                part = some[a : a + at_once]
+                self.words.update((w[0], np.array(x, "<u4").tobytes()) for w, x in zip(part, ids([w[k] for w in part])))
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         split = [_ascii_lower(t).replace("\n", " ").split(" ") for t in texts]
         new = {w for words in split for w in words if w not in self.words}
         if len(self.words) + len(new) > self.most_words:
-            self.words = {"": b""}
-            new = {w for words in split for w in words if w}
+            # the words learned first are the frequent ones
+            self.words = dict(islice(self.words.items(), self.most_words // 2))
+            new = {w for words in split for w in words if w not in self.words}
         ends = {w: w[:-1] for w in new if w[-1] in ".," and w[:-1].isalpha()}
         whole = (new - ends.keys()) | {w for w in ends.values() if w not in self.words} | ({".", ","} - self.words.keys())
         self._learn(list(whole))
@@ -50,7 +85,10 @@ class WordEncoder:
         return [np.frombuffer(b"".join(map(self.words.__getitem__, words)), "<u4") for words in split]
 
 
-_LOWER = {c: c + 32 for c in range(65, 91)}
+@lru_cache(1)
+def _encoder(path: str) -> WordEncoder:
+    """One for all tasks of a Python worker."""
+    return WordEncoder(path)
 
 
 def _ascii_lower(text: str) -> str:
@@ -72,17 +110,18 @@ def token_pieces(
     is kept, and further columns are ignored.
     """
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = WordEncoder(tokenizer)
+        encode = _encoder(tokenizer)
         for b in batches:
-            rows = []
-            for a in range(0, len(b), 256):
-                part = b.iloc[a : a + 256]
-                for key, ids in zip(part["k"].tolist(), encode(part["t"].tolist())):
+            keys, at = b["k"].tolist(), 0
+            for texts in text_batches(b["t"].tolist(), 256):
+                rows = []
+                for key, ids in zip(keys[at : at + len(texts)], encode(texts)):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     for n, start in enumerate(range(0, len(ids), capacity)):
-                        x = ids[start : start + capacity]
-                        rows.append((key, n, start, len(x), zlib.crc32(x.tobytes()), x.tobytes()))
-            yield pd.DataFrame(rows, columns=["k", "piece", "start", "length", "ids_crc32", "ids"])
+                        x = ids[start : start + capacity].tobytes()
+                        rows.append((key, n, start, len(x) // 4, zlib.crc32(x), x))
+                at += len(texts)
+                yield pd.DataFrame(rows, columns=["k", "piece", "start", "length", "ids_crc32", "ids"])
 
     return restore_key(
         keyed_text(docs, id_col, text_col).mapInPandas(

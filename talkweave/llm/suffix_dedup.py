@@ -77,7 +77,7 @@ def _sort_shards(length: int, shard_bytes: int):
     return run
 
 
-def repeated_windows(docs: DataFrame, text_col: str = "text", length: int = 400, shard_bytes: int = 8 << 20) -> DataFrame:
+def repeated_windows(docs: DataFrame, text_col: str = "text", length: int = 400, shard_bytes: int = 3 << 20) -> DataFrame:
     """(t1, t2, s, e) by text key: ranges of first bytes of the strings that also begin elsewhere.
 
     Equal strings have equal content-chosen anchors, so only runs of windows whose anchor
