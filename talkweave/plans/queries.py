@@ -1,0 +1,508 @@
+"""Registered queries: each operator on the shared tables, with the SQL its result is compared with."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from talkweave.functions import text as T
+from talkweave.operators import annotate, export, lineage, messages, search, sequence, summary
+from talkweave.plans import tables as P
+from talkweave.streaming import live
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, ctes: str = "", recursive: bool = False):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = f"WITH {'RECURSIVE ' * recursive}{ctes} {sql}" if ctes else sql
+        return f
+
+    return add
+
+
+_SYS = "(regexp_replace(text, '^\\s+|\\s+$', '', 'g') = '' OR starts_with(ltrim(text, ' '), '<task-notification>') OR starts_with(text, 'This session is being continued') OR text IN ('Tool loaded.', 'Continue from where you left off.', 'No response requested.') OR regexp_matches(text, '^\\[Image: source: [^\\]]+\\](\\s*\\[Image: source: [^\\]]+\\])*\\s*$'))"
+_CLASSED = P.MESSAGES + f""", m AS (SELECT *, type = 'user' AND NOT {_SYS} AS is_real_user FROM msg)"""
+_SECTIONED = _CLASSED + """, cut AS (SELECT *, sum(CAST(is_boundary AS INT)) OVER (PARTITION BY "S" ORDER BY ord) AS part FROM m),
+ sec AS (SELECT *, dense_rank() OVER (PARTITION BY "S" ORDER BY part) - 1 AS section_no FROM cut WHERE type IN ('user', 'assistant') AND NOT (type = 'user' AND NOT is_real_user) AND NOT is_boundary),
+ lab AS (SELECT s."S", section_no, count(*) FILTER (type = 'user') AS n_users, CASE WHEN part = b.n THEN 'current' WHEN part = 0 THEN 'original' ELSE 'after-compaction ' || part END AS kind
+  FROM sec s JOIN (SELECT "S", sum(CAST(is_boundary AS INT)) AS n FROM m GROUP BY 1) b ON s."S" = b."S" GROUP BY s."S", section_no, part, b.n),
+ turned AS (SELECT *, sum(CAST(type = 'user' AS INT)) OVER (PARTITION BY "S", section_no ORDER BY ord) AS turn_no FROM sec WHERE text <> '')"""
+_SUMMARY = _CLASSED + """, summary AS (SELECT "S", coalesce(min(ts) FILTER (NOT is_sidechain), min(ts)) AS created_at, coalesce(max(ts) FILTER (NOT is_sidechain), max(ts)) AS updated_at,
+ count(*) FILTER (type IN ('user', 'assistant', 'system')) AS message_count, least(count(*) FILTER (is_real_user), count(*) FILTER (type = 'assistant')) AS turn_count,
+ count(*) FILTER (type = 'system' AND subtype = 'compact_boundary') AS compact_count, arg_min(cwd, ord) FILTER (NOT is_sidechain) AS initial_cwd, arg_max(permission_mode, ord) AS permission_mode,
+ arg_max(version, ord) AS version, arg_min(slug, ord) FILTER (slug IS NOT NULL) AS slug,
+ left(coalesce(arg_min(text, ord) FILTER (type = 'user' AND regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> ''), arg_min(text, ord) FILTER (type = 'user'), ''), 200) AS first_user_message FROM m GROUP BY "S")"""
+
+
+def _messages(spark, sf_dir):
+    return messages.classify(P.messages(spark, sf_dir).withColumn("stored", F.col("subtype"))).withColumn("subtype", F.col("stored")).drop("stored")
+
+
+def _sectioned(spark, sf_dir):
+    return sequence.sections(_messages(spark, sf_dir))
+
+
+def _summary(spark, sf_dir):
+    return summary.session_summary(_messages(spark, sf_dir))
+
+
+@query('SELECT * FROM summary', _SUMMARY)
+def e1_session_summary(spark, sf_dir):
+    return _summary(spark, sf_dir)
+
+
+@query('SELECT "S", updated_at, turn_count, message_count, first_user_message FROM summary', _SUMMARY)
+def h1_sessions_by_recency(spark, sf_dir):
+    return _summary(spark, sf_dir).orderBy(F.desc("updated_at"), "S").select("S", "updated_at", "turn_count", "message_count", "first_user_message")
+
+
+@query("SELECT type, count(*) AS n FROM msg WHERE type IN ('user', 'assistant', 'system') GROUP BY 1", P.MESSAGES)
+def c1_valid_messages(spark, sf_dir):
+    return messages.valid_messages(P.messages(spark, sf_dir)).groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query('SELECT "S", ord FROM msg WHERE NOT is_sidechain', P.MESSAGES)
+def c5_main_chain(spark, sf_dir):
+    return messages.main_chain(P.messages(spark, sf_dir)).select("S", "ord")
+
+
+@query("""SELECT "S", ord, CASE WHEN type <> 'user' THEN subtype WHEN ("S" + ord) % 9 = 0 THEN 'task-notification' WHEN ("S" + ord) % 9 = 1 THEN 'skill-output' WHEN ("S" + ord) % 9 IN (2, 6) THEN 'command-output'
+ WHEN ("S" + ord) % 9 = 3 THEN 'system-reminder' ELSE subtype END AS subtype FROM marked""", P.MARKED)
+def c4_message_subtype(spark, sf_dir):
+    return P.marked(spark, sf_dir).select("S", "ord", T.message_subtype("type", "text", "subtype").alias("subtype"))
+
+
+@query(f"""SELECT "S", ord, type = 'user' AND NOT {_SYS} AS is_real_user, type = 'user' AND {_SYS} AS system_generated FROM marked""", P.MARKED)
+def c3_real_users(spark, sf_dir):
+    return messages.classify(P.marked(spark, sf_dir)).select("S", "ord", "is_real_user", "system_generated")
+
+
+@query("""SELECT "S", turn_count > 1 AS is_multi_turn FROM summary""", _SUMMARY)
+def c6_turn_split(spark, sf_dir):
+    return annotate.turn_split(_summary(spark, sf_dir)).select("S", "is_multi_turn")
+
+
+@query("""SELECT "S", ord, regexp_replace(regexp_replace(text, '<system-reminder>(.|\\n)*?</system-reminder>\\s*', '', 'g'), '^\\s+|\\s+$', '', 'g') AS text FROM marked""", P.MARKED)
+def b10_clean_user_text(spark, sf_dir):
+    return P.marked(spark, sf_dir).select("S", "ord", T.clean_user_text("text").alias("text"))
+
+
+@query("""SELECT "S", ord, CASE ("S" + ord) % 9 WHEN 2 THEN '/login' ELSE 'System' END AS label, CASE ("S" + ord) % 9 WHEN 2 THEN 'ok' ELSE 'careful note' END AS output FROM marked WHERE ("S" + ord) % 9 IN (2, 6)""", P.MARKED)
+def b11_command_output(spark, sf_dir):
+    label, out = T.command_output("text")
+    m = P.marked(spark, sf_dir).where(T.message_subtype("type", "text", "subtype") == "command-output")
+    return m.select("S", "ord", label.alias("label"), out.alias("output"))
+
+
+@query("""SELECT "S", ord, generate_subscripts(p, 1) - 1 AS pos, trim(unnest(p)) AS path FROM (SELECT "S", ord, regexp_extract_all(text, '\\[Image: source: ([^\\]]+)\\]', 1) AS p FROM marked WHERE type = 'user')""", P.MARKED)
+def b9_image_path_refs(spark, sf_dir):
+    return messages.image_path_refs(P.marked(spark, sf_dir))
+
+
+@query("""SELECT "S", ord, CASE WHEN name = 'Bash' THEN left('run ' || k || chr(10) || repeat('x', CAST(k AS INT)), 120) ELSE path END AS preview, '[' || name || '] ' || CASE WHEN name = 'Bash' THEN 'run ' || k ELSE path END AS line FROM calls""", P.CALLS)
+def b12_tool_preview(spark, sf_dir):
+    c = P.calls(spark, sf_dir)
+    arg = {"command": F.concat(F.lit("run "), F.col("k").cast("string"), F.lit("\n"), F.expr("repeat('x', int(k))")), "file_path": F.col("path")}
+    of = lambda f: arg.get(f, F.lit(None).cast("string"))
+    return c.select("S", "ord", T.tool_preview("name", of).alias("preview"), T.tool_line("name", of).alias("line"))
+
+
+@query("""SELECT d.doc_id, coalesce(CASE WHEN l.quality = 1 THEN 'good ' || d.doc_id END, nullif(left(d.text, 20), ''), left(CAST(d.doc_id AS VARCHAR), 12)) AS title FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
+def b13_display_title(spark, sf_dir):
+    d = P.read(spark, sf_dir, "documents").join(P.read(spark, sf_dir, "labels"), "doc_id", "left")
+    custom = F.when(F.col("quality") == 1, F.concat(F.lit("good "), "doc_id"))
+    return d.select("doc_id", messages.display_title(custom, F.left("text", F.lit(20)), F.col("doc_id").cast("string")).alias("title"))
+
+
+@query("""SELECT "S", string_agg(event_type, ',' ORDER BY first_at) AS "values" FROM (SELECT "S", event_type, min(ord) AS first_at FROM calls GROUP BY 1, 2) GROUP BY 1""", P.CALLS)
+def e3_distinct_in_order(spark, sf_dir):
+    return summary.distinct_in_order(P.calls(spark, sf_dir), "event_type").select("S", F.array_join("values", ",").alias("values"))
+
+
+@query('SELECT "S", name AS tool, count(*) AS n, min(ord) AS first_ord FROM calls GROUP BY 1, 2', P.CALLS)
+def e4_tool_usage(spark, sf_dir):
+    return summary.tool_usage(P.calls(spark, sf_dir))
+
+
+@query('SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "S" ORDER BY n DESC, first_ord, tool) AS rank FROM (SELECT "S", name AS tool, count(*) AS n, min(ord) AS first_ord FROM calls GROUP BY 1, 2)) WHERE rank <= 2', P.CALLS)
+def h2_top_tools(spark, sf_dir):
+    return summary.top_tools(summary.tool_usage(P.calls(spark, sf_dir)), 2)
+
+
+@query('SELECT "S", CAST(sum(input) AS BIGINT) AS input, CAST(sum(output) AS BIGINT) AS output, CAST(sum(cache_creation) AS BIGINT) AS cache_creation, CAST(sum(cache_read) AS BIGINT) AS cache_read FROM usage GROUP BY 1', P.USAGE)
+def e5_token_totals(spark, sf_dir):
+    return summary.token_totals(P.usage(spark, sf_dir))
+
+
+@query('SELECT "S", turn_no, CAST(sum(input + cache_creation + cache_read) AS BIGINT) AS input, CAST(sum(output) AS BIGINT) AS output FROM usage GROUP BY 1, 2', P.USAGE)
+def e6_turn_tokens(spark, sf_dir):
+    return summary.turn_tokens(P.usage(spark, sf_dir))
+
+
+_REFS = P.CALLS + """, refs AS (SELECT "S", path, array_to_string(list_sort(list_distinct(list(lower(name)))), ',') AS actions, min(ord) AS first_ord FROM calls WHERE name <> 'Bash' GROUP BY 1, 2)"""
+
+
+def _refs(spark, sf_dir):
+    return summary.file_actions(P.calls(spark, sf_dir).where("name <> 'Bash'").select("S", "ord", "path", F.lower("name").alias("action")))
+
+
+@query("SELECT * FROM refs", _REFS)
+def e8_file_actions(spark, sf_dir):
+    return _refs(spark, sf_dir).withColumn("actions", F.array_join("actions", ","))
+
+
+@query("SELECT \"S\", path FROM refs WHERE actions <> 'read'", _REFS)
+def c7_notable_files(spark, sf_dir):
+    return summary.notable_files(_refs(spark, sf_dir)).select("S", "path")
+
+
+_INVENTORY = "inv AS (SELECT DISTINCT '/src/' || (page_id % 60) AS path FROM pages)"
+
+
+def _inventory(spark, sf_dir):
+    return P.read(spark, sf_dir, "pages").select(F.concat(F.lit("/src/"), F.expr("string(page_id % 60)")).alias("path"))
+
+
+@query('SELECT "S", refs.path, inv.path IS NOT NULL AS exists FROM refs LEFT JOIN inv ON refs.path = inv.path', f"{_REFS}, {_INVENTORY}")
+def d9_file_existence(spark, sf_dir):
+    return summary.file_existence(_refs(spark, sf_dir), _inventory(spark, sf_dir)).select("S", "path", "exists")
+
+
+@query("""SELECT "S", refs.path, row_number() OVER (PARTITION BY "S" ORDER BY inv.path IS NOT NULL DESC, CASE WHEN contains(actions, 'write') THEN 0 WHEN contains(actions, 'edit') THEN 1 ELSE 2 END, first_ord, refs.path) AS place FROM refs LEFT JOIN inv ON refs.path = inv.path""", f"{_REFS}, {_INVENTORY}")
+def h3_file_order(spark, sf_dir):
+    return summary.file_order(summary.file_existence(_refs(spark, sf_dir), _inventory(spark, sf_dir))).select("S", "path", "place")
+
+
+@query("SELECT count(*) AS sessions, sum(length(text)) AS total FROM documents")
+def e10_corpus_stats(spark, sf_dir):
+    return summary.corpus_stats(P.read(spark, sf_dir, "documents").withColumn("n", F.length("text")), "n")
+
+
+@query("""SELECT 'u' AS "S", array_to_string(p[1:d - 1], '/') AS prefix, d - 1 AS depth, count(*) AS n_files, count(DISTINCT p[d]) AS n_children, count(DISTINCT p[d]) = 1 AND NOT bool_or(d = len(p)) AS collapsed
+ FROM (SELECT p, unnest(range(1, len(p) + 1)) AS d FROM (SELECT list_filter(string_split(x, '/'), lambda y: y <> '') AS p FROM (SELECT DISTINCT split_part(replace(url, 'http:/', ''), '?', 1) AS x FROM pages))) GROUP BY 1, 2, 3""")
+def e11_file_tree(spark, sf_dir):
+    path = F.split_part(F.replace("url", F.lit("http:/"), F.lit("")), F.lit("?"), F.lit(1))
+    return summary.file_tree(P.read(spark, sf_dir, "pages").select(F.lit("u").alias("S"), path.alias("path")))
+
+
+@query('SELECT "S", ord, coalesce(ord < max(CASE WHEN is_boundary THEN ord END) OVER (PARTITION BY "S"), false) AS is_pre_compact FROM msg', P.MESSAGES)
+def f1_is_pre_compact(spark, sf_dir):
+    return sequence.mark_pre_compact(P.messages(spark, sf_dir)).select("S", "ord", "is_pre_compact")
+
+
+@query('SELECT "S", section_no, kind, n_users FROM lab', _SECTIONED)
+def f2_sections(spark, sf_dir):
+    return sequence.section_labels(_sectioned(spark, sf_dir), P.messages(spark, sf_dir))
+
+
+@query("""SELECT "S", section_no, ord, turn_no, type = 'user' AS starts_turn FROM turned""", _SECTIONED)
+def f3_turns(spark, sf_dir):
+    return sequence.turns(_sectioned(spark, sf_dir)).select("S", "section_no", "ord", "turn_no", "starts_turn")
+
+
+_ITEMS = P.CALLS + """, items AS (SELECT "S", 0 AS section_no, k % 3 AS turn_no, ord, 0 AS pos, CASE WHEN event_type = 'click' THEN 'text' ELSE 'tool' END AS kind FROM calls),
+ opened AS (SELECT *, CASE WHEN kind = 'text' OR coalesce(lag(kind) OVER w = 'text', true) THEN 1 ELSE 0 END AS new FROM items WINDOW w AS (PARTITION BY "S", turn_no ORDER BY ord)),
+ numbered AS (SELECT *, sum(new) OVER (PARTITION BY "S", turn_no ORDER BY ord) AS segment_no FROM opened)"""
+
+
+@query('SELECT "S", section_no, turn_no, segment_no, any_value(kind) AS kind, min(ord) AS first_ord, count(*) AS n_items FROM numbered GROUP BY 1, 2, 3, 4', _ITEMS)
+def f4_segments(spark, sf_dir):
+    c = P.calls(spark, sf_dir)
+    return sequence.segments(c.select("S", F.lit(0).alias("section_no"), (F.col("k") % 3).alias("turn_no"), "ord", F.lit(0).alias("pos"), F.when(F.col("event_type") == "click", "text").otherwise("tool").alias("kind")))
+
+
+@query("""SELECT "S" AS branch, count(*) FILTER (side <> was) AS n FROM (SELECT *, lag(side) OVER (PARTITION BY "S" ORDER BY time, side, ord) AS was FROM (SELECT *, CASE WHEN event_type = 'click' THEN 0 ELSE 1 END AS side FROM calls)) GROUP BY 1""", P.CALLS)
+def f5_transitions(spark, sf_dir):
+    c = P.calls(spark, sf_dir)
+    return sequence.transitions(c.select(F.col("S").alias("branch"), F.when(F.col("event_type") == "click", 0).otherwise(1).alias("side"), F.col("time").alias("ts"), F.col("ord").alias("pos")))
+
+
+_CLUSTERS = """r AS (SELECT o_custkey AS "S", o_orderkey AS file, CAST(o_orderdate AS TIMESTAMP) AS s, CAST(o_orderdate AS TIMESTAMP) + to_days(CAST(o_orderkey % 30 AS INT)) AS e FROM orders),
+ n AS (SELECT *, row_number() OVER (PARTITION BY "S" ORDER BY s, e, file) AS i FROM r),
+ fold AS (SELECT "S", i, file, 1 AS k, [e] AS ends FROM n WHERE i = 1 UNION ALL
+  SELECT f."S", n.i, n.file, coalesce(nullif(list_position(list_transform(f.ends, lambda x: n.s >= x - INTERVAL 1 SECOND), true), 0), len(f.ends) + 1) AS k,
+   CASE WHEN coalesce(nullif(list_position(list_transform(f.ends, lambda x: n.s >= x - INTERVAL 1 SECOND), true), 0), 0) = 0 THEN list_append(f.ends, n.e)
+   ELSE list_transform(f.ends, lambda x, j: CASE WHEN j = list_position(list_transform(f.ends, lambda y: n.s >= y - INTERVAL 1 SECOND), true) THEN greatest(x, n.e) ELSE x END) END AS ends
+  FROM fold f JOIN n ON n."S" = f."S" AND n.i = f.i + 1)"""
+
+
+@query('SELECT "S", file, k - 1 AS cluster FROM fold', _CLUSTERS, True)
+def f6_continuation_clusters(spark, sf_dir):
+    return sequence.continuation_clusters(P.ranges(spark, sf_dir)).select("S", "file", "cluster")
+
+
+@query('SELECT "S", k - 1 AS cluster, CASE WHEN count(*) OVER (PARTITION BY "S") > 1 THEN "S" || \':branch-\' || (k - 1) ELSE CAST("S" AS VARCHAR) END AS id, primary_file FROM (SELECT f."S", k, arg_max(f.file, (n.s, n.file)) AS primary_file FROM fold f JOIN n ON f."S" = n."S" AND f.i = n.i GROUP BY 1, 2)', _CLUSTERS, True)
+def g8_cluster_rows(spark, sf_dir):
+    return lineage.cluster_ids(sequence.continuation_clusters(P.ranges(spark, sf_dir)))
+
+
+@query("""SELECT "S", row_number() OVER (PARTITION BY "S" ORDER BY section_no, ord) AS place, level, title FROM (
+ SELECT l."S", section_no, -1 AS ord, 2 AS level, kind AS title FROM lab l JOIN (SELECT "S", count(*) AS n FROM lab GROUP BY 1) c ON l."S" = c."S" WHERE kind <> 'current' OR n > 1 UNION ALL
+ SELECT "S", section_no, ord, 5, left(split_part(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10), 1), 50) FROM turned WHERE type = 'user')""", _SECTIONED)
+def f7_chat_toc(spark, sf_dir):
+    s = _sectioned(spark, sf_dir)
+    return sequence.chat_toc(s, sequence.turns(s), sequence.section_labels(s, P.messages(spark, sf_dir)))
+
+
+@query("SELECT * FROM toc", P.DOCS)
+def f8_heading_toc(spark, sf_dir):
+    return sequence.heading_toc(P.marked_docs(spark, sf_dir))
+
+
+@query("""SELECT f.id, f.n, f.line, f.h AS is_heading, t.slug FROM (SELECT *, CASE WHEN h THEN sum(CAST(h AS INT)) OVER (PARTITION BY id ORDER BY n) END AS i FROM (SELECT *, NOT in_code AND regexp_matches(line, '^#{1,6} ') AS h FROM fenced)) f
+ LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n) AS i FROM toc) t ON f.id = t.id AND f.i = t.i""", P.DOCS)
+def f9_source_lines(spark, sf_dir):
+    return sequence.source_lines(P.marked_docs(spark, sf_dir))
+
+
+@query("""SELECT id, md5(string_agg(CASE WHEN NOT in_code AND regexp_matches(line, '^#{1,6}\\s') THEN repeat('#', least(6, length(regexp_extract(line, '^(#{1,6})', 1)) + 5)) || regexp_replace(line, '^#+', '') ELSE line END, chr(10) ORDER BY n)) AS digest FROM fenced GROUP BY 1""", P.DOCS)
+def f10_demote_headings(spark, sf_dir):
+    return sequence.demote_headings(P.marked_docs(spark, sf_dir)).select("id", F.md5("text").alias("digest"))
+
+
+@query('SELECT CAST("S" AS VARCHAR) AS "S", CAST(rn AS VARCHAR) AS node FROM leaf', P.TREE, True)
+def g1_leaves(spark, sf_dir):
+    return lineage.leaves(lineage.edges(P.tree(spark, sf_dir))).select("S", "node")
+
+
+@query('SELECT CAST("S" AS VARCHAR) AS "S", CAST(start AS VARCHAR) AS start, CAST(node AS VARCHAR) AS node, CAST(distance AS BIGINT) AS distance FROM path', P.TREE, True)
+def g2_ancestors(spark, sf_dir):
+    e = lineage.edges(P.tree(spark, sf_dir))
+    return lineage.ancestors(e, lineage.leaves(e))
+
+
+@query("""SELECT CAST(p."S" AS VARCHAR) AS "S", CAST(start AS VARCHAR) AS start, count(*) AS message_count, least(count(*) FILTER (event_type IN ('click', 'view')), count(*) FILTER (event_type NOT IN ('click', 'view'))) AS turn_count FROM path p JOIN tree t ON p."S" = t."S" AND p.node = t.rn GROUP BY 1, 2""", P.TREE, True)
+def e12_path_turn_counts(spark, sf_dir):
+    m = P.tree(spark, sf_dir)
+    e = lineage.edges(m)
+    return lineage.path_turn_counts(lineage.ancestors(e, lineage.leaves(e)), m)
+
+
+@query()
+def g4_branches(spark, sf_dir):
+    return lineage.detect_branches(P.tree(spark, sf_dir))
+
+
+@query('SELECT CAST(p."S" AS VARCHAR) AS "S", CAST(node AS VARCHAR) AS uuid FROM path p WHERE start = (SELECT max(rn) FROM leaf l WHERE l."S" = p."S")', P.TREE, True)
+def g3_branch_messages(spark, sf_dir):
+    m = P.tree(spark, sf_dir)
+    leaf = lineage.leaves(lineage.edges(m)).groupBy("S").agg(F.max_by("node", "ord").alias("node"))
+    return lineage.branch_messages(m, leaf).select("S", "uuid")
+
+
+@query('SELECT "S", ord, coalesce(ord <= 2, false) AS is_shared FROM msg m WHERE EXISTS (SELECT 1 FROM msg p WHERE p."S" = m."S" AND p.ord = 2) UNION ALL SELECT "S", ord, false FROM msg m WHERE NOT EXISTS (SELECT 1 FROM msg p WHERE p."S" = m."S" AND p.ord = 2)', P.MESSAGES)
+def g7_branch_split(spark, sf_dir):
+    m = P.messages(spark, sf_dir)
+    return lineage.branch_split(m, m.select("S", F.concat_ws("-", "S", F.lit(2)).alias("point")).distinct()).select("S", "ord", "is_shared")
+
+
+@query("""SELECT 'f' || "S" AS file, "S", "S" - 3 AS parent_S, 'x' || "S" AS point FROM (SELECT DISTINCT "S" FROM msg) a WHERE "S" % 3 = 0 AND EXISTS (SELECT 1 FROM msg b WHERE b."S" = a."S" - 3)""", P.MESSAGES)
+def d6_fork_links(spark, sf_dir):
+    m = P.messages(spark, sf_dir).withColumns({"file": F.concat(F.lit("f"), "S"), "fork_session": F.expr("if(S % 3 = 0, S - 3, null)"), "fork_message": F.concat(F.lit("x"), "S")})
+    return lineage.fork_links(m, m).select("file", "S", "parent_S", "point")
+
+
+_HITS = P.MESSAGES + """, hits AS (SELECT *, instr(lower(text), 'en ') AS p FROM msg WHERE type IN ('user', 'assistant') AND instr(lower(text), 'en ') > 0)"""
+
+
+def _hits(spark, sf_dir):
+    return search.search(P.messages(spark, sf_dir).where("type in ('user', 'assistant')"), "EN ", "text")
+
+
+@query("""SELECT "S", ord, CASE WHEN p > 61 THEN '...' ELSE '' END || substring(text, greatest(p - 60, 1), p + 63 - greatest(p - 60, 1)) || CASE WHEN p + 63 <= length(text) THEN '...' ELSE '' END AS snippet FROM hits""", _HITS)
+def k2_search(spark, sf_dir):
+    return _hits(spark, sf_dir).select("S", "ord", "snippet")
+
+
+@query('SELECT "S", count(*) AS n_hits, arg_min(ts, ord) AS first_ts FROM (SELECT *, row_number() OVER (PARTITION BY "S" ORDER BY ord) AS nth FROM hits) WHERE nth <= 3 GROUP BY 1', _HITS)
+def k3_search_ranked(spark, sf_dir):
+    return search.result_order(search.search_ranked(_hits(spark, sf_dir), "S", 3)[1], "S")
+
+
+@query("""SELECT 'f' || "S" AS file, "S", left(coalesce(arg_min(text, ord) FILTER (type = 'user'), ''), 200) AS first_user_message FROM msg GROUP BY "S" """, P.MESSAGES)
+def k4_search_header(spark, sf_dir):
+    return search.search_header(P.messages(spark, sf_dir).withColumn("file", F.concat(F.lit("f"), "S")))
+
+
+@query("""SELECT "S", section_no, count(*) AS hits, CAST(sum(len(list_filter(range(1, length(text)), lambda i: lower(substring(text, i, 2)) = 'en'))) AS BIGINT) AS occurrences FROM sec WHERE instr(lower(text), 'en') > 0 GROUP BY 1, 2""", _SECTIONED)
+def k5_search_in_session(spark, sf_dir):
+    return search.search_in_session(_sectioned(spark, sf_dir), " en ")
+
+
+@query("""SELECT c."S", c.ord, c.id, CASE WHEN c.nth = 1 THEN r.result END AS result FROM (SELECT "S", ord, k AS id, row_number() OVER (PARTITION BY "S", k ORDER BY ord) AS nth FROM calls WHERE event_type = 'click') c
+ LEFT JOIN (SELECT "S", k AS id, arg_max('r' || ord, ord) AS result FROM calls WHERE event_type = 'view' GROUP BY 1, 2) r ON c."S" = r."S" AND c.id = r.id""", P.CALLS)
+def d1_pair_tool_results(spark, sf_dir):
+    c = P.calls(spark, sf_dir).withColumns({"id": F.col("k"), "pos": F.lit(0)})
+    results = c.where("event_type = 'view'").select("S", "ord", "pos", "id", F.concat(F.lit("r"), "ord").alias("result"))
+    return messages.pair_tool_results(c.where("event_type = 'click'").select("S", "ord", "pos", "id"), results).select("S", "ord", "id", "result")
+
+
+_ROWS = """rows_ AS (SELECT 'd' || doc_id AS id, 'd' || (doc_id // 2) AS "S", doc_id % 5 = 0 AS is_branch FROM documents), meta AS (SELECT 'd' || doc_id AS id, 't' || doc_id AS custom_title, 'q' || quality AS notes FROM labels)"""
+
+
+def _rows(spark, sf_dir):
+    return P.read(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), F.concat(F.lit("d"), F.expr("doc_id div 2")).alias("S"), F.expr("doc_id % 5 = 0").alias("is_branch"))
+
+
+def _meta(spark, sf_dir):
+    return P.read(spark, sf_dir, "labels").select(F.concat(F.lit("d"), "doc_id").alias("id"), F.concat(F.lit("t"), "doc_id").alias("custom_title"), F.concat(F.lit("q"), "quality").alias("notes"))
+
+
+@query("""SELECT r.id, CASE WHEN is_branch OR s.id IS NULL THEN i.custom_title ELSE s.custom_title END AS custom_title FROM rows_ r LEFT JOIN meta s ON s.id = r."S" LEFT JOIN meta i ON i.id = r.id""", _ROWS)
+def d2_attach_meta(spark, sf_dir):
+    return annotate.attach_meta(_rows(spark, sf_dir), _meta(spark, sf_dir)).select("id", "custom_title")
+
+
+@query('SELECT id FROM rows_ r WHERE id NOT IN (SELECT id FROM meta) AND (is_branch OR "S" NOT IN (SELECT id FROM meta))', _ROWS)
+def d3_ungrouped(spark, sf_dir):
+    return annotate.ungrouped(_rows(spark, sf_dir), _meta(spark, sf_dir).select(F.col("id").alias("member_id"))).select("id")
+
+
+_SESSIONS = P.FOLDERS + """, s AS (SELECT 'c' || o_custkey AS "S", min('o' || o_orderkey) AS id FROM orders GROUP BY 1)"""
+
+
+def _orders(spark, sf_dir):
+    return P.read(spark, sf_dir, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("S"), F.concat(F.lit("o"), "o_orderkey").alias("id"))
+
+
+@query("""SELECT f.id AS folder_id, coalesce(o.n, 0) AS own, CAST(coalesce(o.n, 0) + coalesce(b.n, 0) AS BIGINT) AS total FROM folders f LEFT JOIN (SELECT folder_id, count(*) AS n FROM members m JOIN s ON s."S" = m.member_id GROUP BY 1) o ON o.folder_id = f.id
+ LEFT JOIN (SELECT parent_id, count(*) AS n FROM folders JOIN members ON folder_id = id GROUP BY 1) b ON b.parent_id = f.id""", _SESSIONS)
+def d4_folder_totals(spark, sf_dir):
+    return annotate.folder_totals(*P.folders(spark, sf_dir), _orders(spark, sf_dir))
+
+
+@query("""SELECT DISTINCT folder_id, member_id FROM (SELECT * FROM members UNION ALL SELECT 'n' || (o_orderkey % 40), 'o' || o_orderkey FROM orders WHERE 'n' || (o_orderkey % 40) IN (SELECT id FROM folders))""", P.FOLDERS)
+def d5_inject_branch_members(spark, sf_dir):
+    f, m = P.folders(spark, sf_dir)
+    placed = P.read(spark, sf_dir, "orders").select(F.concat(F.lit("n"), F.expr("o_orderkey % 40")).alias("folder_id"), F.concat(F.lit("o"), "o_orderkey").alias("member_id"))
+    return annotate.inject_branch_members(m, placed, f)
+
+
+@query('SELECT r.id, coalesce(o.notes, s.notes) AS export_path FROM rows_ r LEFT JOIN meta o ON o.id = r.id LEFT JOIN meta s ON s.id = r."S"', _ROWS)
+def d12_attach_export_paths(spark, sf_dir):
+    return annotate.attach_export_paths(_rows(spark, sf_dir), _meta(spark, sf_dir).select("id", F.col("notes").alias("path"))).select("id", "export_path")
+
+
+@query("""SELECT r.id, CASE WHEN p.id IS NOT NULL THEN coalesce(m.custom_title, left(p.id, 12)) END AS parent_title, (SELECT count(*) FROM rows_ c WHERE c."S" = r.id) AS n_children FROM rows_ r LEFT JOIN rows_ p ON p.id = r."S" LEFT JOIN meta m ON m.id = p.id""", _ROWS)
+def d13_branch_neighbours(spark, sf_dir):
+    s = _rows(spark, sf_dir).join(_meta(spark, sf_dir), "id", "left").withColumns({"parent_id": F.col("S"), "first_user_message": F.lit("")})
+    return annotate.branch_neighbours(s)
+
+
+@query("SELECT id AS ancestor, id AS descendant, 0 AS depth FROM folders UNION ALL SELECT parent_id, id, 1 FROM folders WHERE parent_id IS NOT NULL", P.FOLDERS)
+def m1_folder_closure(spark, sf_dir):
+    return annotate.folder_closure(P.folders(spark, sf_dir)[0])
+
+
+@query("SELECT id, CASE WHEN id IN ('n1', 'r1') THEN 'r2' ELSE parent_id END AS parent_id FROM folders", P.FOLDERS)
+def m2_apply_folder_moves(spark, sf_dir):
+    """Nation n1 and region r1 move under r2; r3 under its own nation, r4 under itself and n5 to nowhere known are refused."""
+    f = P.folders(spark, sf_dir)[0]
+    below = f.where("parent_id = 'r3'").groupBy().agg(F.min("id").alias("to")).select(F.lit("r3").alias("id"), F.col("to").alias("parent_id"))
+    new = F.expr("case id when 'n1' then 'r2' when 'r1' then 'r2' when 'r4' then 'r4' else 'gone' end")
+    moves = f.where("id in ('n1', 'r1', 'r4', 'n5')").select("id", new.alias("parent_id")).unionByName(below)
+    return annotate.apply_folder_moves(f, moves).select("id", "parent_id")
+
+
+@query("SELECT folder_id, member_id FROM members WHERE folder_id NOT IN (SELECT id FROM folders WHERE parent_id = 'r1') AND folder_id <> 'n3'", P.FOLDERS)
+def m3_delete_folders(spark, sf_dir):
+    f, m = P.folders(spark, sf_dir)
+    return annotate.delete_folders(f, m, f.where("id in ('r1', 'n3')"))[1].select("folder_id", "member_id")
+
+
+@query("""SELECT DISTINCT folder_id, member_id FROM (SELECT * FROM members WHERE member_id NOT IN (SELECT 'c' || o_custkey FROM orders WHERE o_orderkey % 3 > 0) UNION ALL
+ SELECT arg_max('n' || (o_orderkey % 25), o_orderkey), 'c' || o_custkey FROM orders WHERE o_orderkey % 3 > 0 GROUP BY o_custkey UNION ALL
+ SELECT 'n' || (o_orderkey % 25), 'c' || o.o_custkey FROM orders o LEFT JOIN (SELECT o_custkey, max(o_orderkey) AS last_move FROM orders WHERE o_orderkey % 3 > 0 GROUP BY 1) m ON m.o_custkey = o.o_custkey WHERE o_orderkey % 3 = 0 AND (last_move IS NULL OR o_orderkey > last_move))""", P.FOLDERS)
+def m4_assign_sessions(spark, sf_dir):
+    changes = P.read(spark, sf_dir, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("member_id"), F.concat(F.lit("n"), F.expr("o_orderkey % 25")).alias("folder_id"), F.expr("if(o_orderkey % 3 > 0, 'move', 'add')").alias("mode"), F.col("o_orderkey").alias("seq"))
+    return annotate.assign_sessions(P.folders(spark, sf_dir)[1], changes)
+
+
+@query("""SELECT coalesce(m.id, p.id) AS id, CASE WHEN p.id IS NOT NULL AND p.k % 2 = 0 THEN 'p' || p.k ELSE m.custom_title END AS custom_title, CASE WHEN p.id IS NOT NULL AND p.k % 3 = 0 THEN NULL ELSE m.notes END AS notes FROM meta m FULL JOIN (SELECT 'd' || doc_id AS id, doc_id AS k FROM documents WHERE source = 'src1') p ON m.id = p.id""", _ROWS)
+def m6_patch_meta(spark, sf_dir):
+    p = P.read(spark, sf_dir, "documents").where("source = 'src1'").select(F.concat(F.lit("d"), "doc_id").alias("id"), F.concat(F.lit("p"), "doc_id").alias("custom_title"), F.lit(None).cast("string").alias("notes"), F.expr("doc_id % 2 = 0").alias("has_custom_title"), F.expr("doc_id % 3 = 0").alias("has_notes"))
+    return annotate.patch_meta(_meta(spark, sf_dir), p)
+
+
+@query("""SELECT page_id, CASE WHEN starts_with(url, 'http://ththre.example.com/') THEN 'https://new/' || substring(url, 27) ELSE url END AS url FROM pages""")
+def m8_rename_paths(spark, sf_dir):
+    return annotate.rename_paths(P.read(spark, sf_dir, "pages").select("page_id", "url"), "http://ththre.example.com", "https://new", "url")
+
+
+@query("""SELECT id, CASE WHEN n > 1 THEN base || ' (' || n || ')' ELSE base END AS safe_name FROM (SELECT id, base, row_number() OVER (PARTITION BY source, base ORDER BY id) AS n FROM (SELECT doc_id AS id, source, coalesce(nullif(left(regexp_replace(regexp_replace(regexp_replace(split_part(text, '.', 1), '[<>:"/\\\\|?*\\x00-\\x1f]', '', 'g'), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g'), 60), ''), 'untitled') AS base FROM documents))""")
+def m9_unique_names(spark, sf_dir):
+    d = P.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("parent"), F.split_part("text", F.lit("."), F.lit(1)).alias("name"))
+    return annotate.unique_names(d).select("id", "safe_name")
+
+
+@query("SELECT id, row_number() OVER (PARTITION BY parent_id ORDER BY CASE WHEN id IN ('n3', 'n7', 'n11', 'r2') THEN 0 ELSE 1 END, CASE id WHEN 'n11' THEN 0 WHEN 'n7' THEN 1 WHEN 'n3' THEN 2 ELSE 3 END, name, id) AS place FROM folders", P.FOLDERS)
+def h4_folder_order(spark, sf_dir):
+    f = P.folders(spark, sf_dir)[0]
+    order = f.where("id in ('n3', 'n7', 'n11', 'r2')").select("id", F.expr("case id when 'n11' then 0 when 'n7' then 1 else 2 end").alias("pos"))
+    return annotate.folder_order(f, order).select("id", "place")
+
+
+@query("""SELECT "S", md5('# s' || "S" || chr(10) || chr(10) || '> ' || strftime(CAST(created_at AS TIMESTAMP), '%-m/%-d %H:%M') || ' | ' || turn_count || ' turns' || chr(10) || coalesce(chr(10) || body, '')) AS digest FROM summary LEFT JOIN
+ (SELECT "S" AS s2, string_agg(CASE type WHEN 'user' THEN '**User** [' ELSE '**Assistant** [' END || strftime(CAST(ts AS TIMESTAMP), '%-m/%-d %H:%M') || ']' || chr(10) || regexp_replace(text, '^\\s+|\\s+$', '', 'g') || chr(10), chr(10) ORDER BY ord) AS body FROM m
+ WHERE type IN ('user', 'assistant') AND regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> '' GROUP BY 1) ON s2 = "S" """, _SUMMARY)
+def n1_transcript_compact(spark, sf_dir):
+    m = _messages(spark, sf_dir)
+    head = summary.session_summary(m).select("S", F.concat(F.lit("s"), "S").alias("title"), "created_at", "turn_count", F.lit(None).cast("string").alias("tools"))
+    return export.transcript_compact(m, head).select("S", F.md5("markdown").alias("digest"))
+
+
+@query()
+def n2_transcript_full(spark, sf_dir):
+    m, s = _messages(spark, sf_dir), _sectioned(spark, sf_dir)
+    head = summary.session_summary(m).select("S", F.left("first_user_message", F.lit(60)).alias("title"), "created_at", "turn_count")
+    return export.transcript_full(sequence.turns(s), head, sequence.section_labels(s, m))
+
+
+@query("""SELECT "S", section_no, turn_no, ord, type FROM turned WHERE turn_no > 0 AND ((turn_no % 2 = 1 AND type = 'user') OR (turn_no % 3 = 1 AND type = 'assistant'))""", _SECTIONED)
+def n3_export_selection(spark, sf_dir):
+    t = sequence.turns(_sectioned(spark, sf_dir))
+    picks = t.where("turn_no > 0").select("S", "section_no", "turn_no").distinct().withColumns({"question": F.expr("turn_no % 2 = 1"), "answer": F.expr("turn_no % 3 = 1")})
+    return export.export_selection(t, picks).drop("text")
+
+
+@query("""SELECT "S", 'transcript-' || left(created_at, 10) || '-' || left(regexp_replace(coalesce(nullif(left(first_user_message, 30), ''), 's' || "S"), '[^a-zA-Z0-9一-鿿_-]', '_', 'g'), 30) AS name FROM summary""", _SUMMARY)
+def n4_export_filename(spark, sf_dir):
+    return _summary(spark, sf_dir).select("S", export.export_filename(F.col("created_at"), F.col("first_user_message"), F.concat(F.lit("s"), "S")).alias("name"))
+
+
+@query("""SELECT 'o' || o_orderkey AS path, CASE o_orderkey % 4 WHEN 0 THEN 'added' WHEN 1 THEN 'removed' ELSE 'changed' END AS change FROM orders WHERE o_orderkey % 4 < 3""")
+def a2_manifest_diff(spark, sf_dir):
+    o = P.read(spark, sf_dir, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("path"), F.col("o_orderdate").alias("mtime"), F.col("o_totalprice").alias("size"), F.expr("o_orderkey % 4").alias("k"))
+    old, new = o.where("k <> 0"), o.where("k <> 1").withColumn("size", F.when(F.col("k") == 2, F.col("size") + 1).otherwise(F.col("size")))
+    from talkweave.sources.logs import manifest_diff
+
+    return manifest_diff(old.drop("k"), new.drop("k"))
+
+
+@query("""SELECT n.id FROM (SELECT 'c' || o_custkey AS id, max(o_orderdate) AS newest FROM orders GROUP BY 1) n LEFT JOIN (SELECT 'c' || o_custkey AS id, max(o_orderdate) AS written FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1) w ON n.id = w.id WHERE written IS NULL OR newest > written""")
+def a6_stale_exports(spark, sf_dir):
+    o = P.read(spark, sf_dir, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("id"), F.col("o_orderdate").alias("mtime"), "o_orderkey")
+    return export.stale_exports(o, o.where("o_orderkey % 2 = 0").groupBy("id").agg(F.max("mtime").alias("mtime")))
+
+
+@query("""SELECT 'o' || o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'old' WHEN 1 THEN 'new' WHEN 2 THEN 'old' ELSE 'new' END AS title, CASE o_orderkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 2 END AS updated_at, CASE o_orderkey % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN 'a' ELSE 'b' END AS sources FROM orders""")
+def a7_session_registry(spark, sf_dir):
+    """By order key: only known before; only new; the same time and no title; a later time and a title."""
+    o = P.read(spark, sf_dir, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("id"), F.expr("o_orderkey % 4").alias("k"))
+    old = o.where("k <> 1").select("id", F.lit("old").alias("title"), F.lit(1).alias("updated_at"), F.lit("a").alias("sources"))
+    new = o.where("k <> 0").select("id", F.when(F.col("k") == 2, "").otherwise("new").alias("title"), F.when(F.col("k") == 2, 1).otherwise(2).alias("updated_at"), F.lit("b").alias("sources"))
+    return export.upsert_session_registry(old, new)
+
+
+@query("""SELECT "S", min(time) AS first, max(time) + INTERVAL 2 HOUR AS until, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY "S" ORDER BY time, ord) AS spell FROM (SELECT *, CASE WHEN time - lag(time) OVER (PARTITION BY "S" ORDER BY time, ord) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM calls)) GROUP BY "S", spell""", P.CALLS)
+def l3_active_sessions(spark, sf_dir):
+    return live.active_sessions(P.calls(spark, sf_dir), "2 hours")
+
+
+@query("""SELECT coalesce(a."S", b."S") AS "S", CASE WHEN b."S" IS NULL THEN 'idle' ELSE 'active' END AS change FROM (SELECT DISTINCT "S" FROM calls WHERE k < 2) a FULL JOIN (SELECT DISTINCT "S" FROM calls WHERE k BETWEEN 1 AND 2) b ON a."S" = b."S" WHERE a."S" IS NULL OR b."S" IS NULL""", P.CALLS)
+def l4_active_changes(spark, sf_dir):
+    c = P.calls(spark, sf_dir)
+    return live.active_changes(c.where("k < 2").select("S").distinct(), c.where("k between 1 and 2").select("S").distinct())
