@@ -220,12 +220,12 @@ def f5_transitions(spark, sf_dir):
     return sequence.transitions(c.select(F.col("S").alias("branch"), F.when(F.col("event_type") == "click", 0).otherwise(1).alias("side"), F.col("time").alias("ts"), F.col("ord").alias("pos")))
 
 
-_CLUSTERS = """r AS (SELECT o_custkey AS "S", o_orderkey AS file, CAST(o_orderdate AS TIMESTAMP) AS s, CAST(o_orderdate AS TIMESTAMP) + to_days(CAST(o_orderkey % 30 AS INT)) AS e FROM orders),
- n AS (SELECT *, row_number() OVER (PARTITION BY "S" ORDER BY s, e, file) AS i FROM r),
- fold AS (SELECT "S", i, file, 1 AS k, [e] AS ends FROM n WHERE i = 1 UNION ALL
-  SELECT f."S", n.i, n.file, coalesce(nullif(list_position(list_transform(f.ends, lambda x: n.s >= x - INTERVAL 1 SECOND), true), 0), len(f.ends) + 1) AS k,
-   CASE WHEN coalesce(nullif(list_position(list_transform(f.ends, lambda x: n.s >= x - INTERVAL 1 SECOND), true), 0), 0) = 0 THEN list_append(f.ends, n.e)
-   ELSE list_transform(f.ends, lambda x, j: CASE WHEN j = list_position(list_transform(f.ends, lambda y: n.s >= y - INTERVAL 1 SECOND), true) THEN greatest(x, n.e) ELSE x END) END AS ends
+_CLUSTERS = """r AS (SELECT o_custkey AS "S", o_orderkey AS file, CAST(o_orderdate AS TIMESTAMP) AS st, CAST(o_orderdate AS TIMESTAMP) + to_days(CAST(o_orderkey % 30 AS INT)) AS en FROM orders),
+ n AS (SELECT *, row_number() OVER (PARTITION BY "S" ORDER BY st, en, file) AS i FROM r),
+ fold AS (SELECT "S", i, file, 1 AS k, [en] AS ends FROM n WHERE i = 1 UNION ALL
+  SELECT f."S", n.i, n.file, coalesce(nullif(list_position(list_transform(f.ends, lambda x: n.st >= x - INTERVAL 1 SECOND), true), 0), len(f.ends) + 1) AS k,
+   CASE WHEN coalesce(nullif(list_position(list_transform(f.ends, lambda x: n.st >= x - INTERVAL 1 SECOND), true), 0), 0) = 0 THEN list_append(f.ends, n.en)
+   ELSE list_transform(f.ends, lambda x, j: CASE WHEN j = list_position(list_transform(f.ends, lambda y: n.st >= y - INTERVAL 1 SECOND), true) THEN greatest(x, n.en) ELSE x END) END AS ends
   FROM fold f JOIN n ON n."S" = f."S" AND n.i = f.i + 1)"""
 
 
@@ -234,7 +234,7 @@ def f6_continuation_clusters(spark, sf_dir):
     return sequence.continuation_clusters(P.ranges(spark, sf_dir)).select("S", "file", "cluster")
 
 
-@query('SELECT "S", k - 1 AS cluster, CASE WHEN count(*) OVER (PARTITION BY "S") > 1 THEN "S" || \':branch-\' || (k - 1) ELSE CAST("S" AS VARCHAR) END AS id, primary_file FROM (SELECT f."S", k, arg_max(f.file, (n.s, n.file)) AS primary_file FROM fold f JOIN n ON f."S" = n."S" AND f.i = n.i GROUP BY 1, 2)', _CLUSTERS, True)
+@query('SELECT "S", k - 1 AS cluster, CASE WHEN count(*) OVER (PARTITION BY "S") > 1 THEN "S" || \':branch-\' || (k - 1) ELSE CAST("S" AS VARCHAR) END AS id, primary_file FROM (SELECT f."S", k, arg_max(f.file, (n.st, n.file)) AS primary_file FROM fold f JOIN n ON f."S" = n."S" AND f.i = n.i GROUP BY 1, 2)', _CLUSTERS, True)
 def g8_cluster_rows(spark, sf_dir):
     return lineage.cluster_ids(sequence.continuation_clusters(P.ranges(spark, sf_dir)))
 

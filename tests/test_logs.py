@@ -1,0 +1,201 @@
+"""Log files with every kind of line, through ingest, classification, branches and streams."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from talkweave.operators import export, lineage, messages, search, sequence, summary
+from talkweave.sources import logs
+from talkweave.streaming import live
+
+
+def line(uuid, type="user", content="hello there", parent=None, ts="2026-03-01T00:00:00Z", session="s1", **more):
+    out = {"uuid": uuid, "parentUuid": parent, "sessionId": session, "type": type, "timestamp": ts}
+    if content is not None:
+        out["message"] = {"role": type, "content": content} | ({"usage": more.pop("usage")} if "usage" in more else {})
+    return json.dumps(out | more)
+
+
+@pytest.fixture(scope="module")
+def root(tmp_path_factory):
+    top = tmp_path_factory.mktemp("logs")
+    (top / "p1" / "subagents").mkdir(parents=True)
+    image = {"type": "image", "source": {"type": "base64", "media_type": "image/png", "data": "AAAA"}}
+    (top / "p1" / "a.jsonl").write_text("\n".join([
+        line("u1", content="[1]", cwd="/w", version="1"),
+        "", "{broken", '"scalar"', "[1, 2]", '{"uuid": "x"} trailing',
+        line("a1", "assistant", [{"type": "text", "text": "one"}, {"type": "text", "text": ""}, {"type": "text", "text": "two"}, {"type": "tool_use", "id": "t1", "name": "Bash", "input": {"command": "ls\nx"}}], "u1", usage={"input_tokens": 5, "output_tokens": 2}),
+        line("u2", content=[{"type": "tool_result", "tool_use_id": "t1", "content": "first"}], parent="a1"),
+        line("u3", content=[{"type": "tool_result", "tool_use_id": "t1", "content": [{"type": "text", "text": "x"}, "y", {"type": "text", "text": ""}, image]}], parent="u2"),
+        line("u4", content=[{"type": "tool_result", "tool_use_id": "t1", "content": ""}], parent="u3"),
+        line("u5", content=[{"type": "text", "text": "look [Image: source: /i/a.png ]"}, image], parent="u4", cwd="/w/b"),
+        line("a2", "assistant", [{"type": "tool_use", "id": "t2", "name": "Skill", "input": {}}, {"type": "tool_use", "id": "t3", "name": "Edit", "input": {"file_path": "/f", "old_string": "a\nb", "new_string": "c"}}], "u5"),
+        json.dumps({"uuid": "b1", "type": "system", "subtype": "compact_boundary", "sessionId": "s1", "logicalParentUuid": "a2", "content": "compacted"}),
+        json.dumps({"uuid": "d1", "uuid": "d2", "type": "progress", "sessionId": "s1"}),  # noqa: F601
+        '{"uuid": "k1", "uuid": "k2", "type": "user", "sessionId": "s1", "message": {"content": "twice"}}',
+    ]))
+    (top / "p1" / "subagents" / "z.jsonl").write_text(line("z"))
+    return str(top)
+
+
+@pytest.fixture(scope="module")
+def m(spark, root):
+    return messages.enrich(logs.normalize_messages(logs.scan_logs(spark, root))).cache()
+
+
+def test_scan_keeps_objects_in_order(m):
+    rows = m.orderBy("ord").collect()
+    assert [r.uuid for r in rows] == ["u1", "a1", "u2", "u3", "u4", "u5", "a2", "b1", "d2", "k2"]
+    assert [r.ord for r in rows] == list(range(1, 11))
+
+
+def test_text_and_content_kinds(m):
+    got = {r.uuid: r for r in m.collect()}
+    assert got["u1"].text == "[1]" and got["a1"].text == "one\ntwo" and got["b1"].text == "compacted" and got["u2"].text == ""
+    assert [u for u in got if got[u].is_real_user] == ["u1", "u5", "k2"]
+    assert got["a1"].usage.input == 5 and got["a1"].usage.cache_read == 0 and got["u1"].usage is None
+
+
+def test_parts(m):
+    parts = messages.explode_parts(m)
+    calls = messages.tool_calls(parts)
+    assert sorted(r.name for r in calls.collect()) == ["Bash", "Edit", "Skill"]
+    results = messages.tool_results(parts)
+    assert [r.result for r in results.orderBy("ord").collect()] == ["first", "x\ny"]
+    paired = {r.id: r.result for r in messages.pair_tool_results(calls, results).collect()}
+    assert paired == {"t1": "x\ny", "t2": None, "t3": None}
+    assert messages.inline_images(parts).count() == 2 and messages.pasted_image_count(parts).first().n_images == 1
+    assert [r.skill for r in messages.skill_invocations(calls).collect()] == ["unknown"]
+    assert [(r.side, r.line) for r in messages.edit_lines(calls).orderBy("side", "line_no").collect()] == [("+", "c"), ("-", "a"), ("-", "b")]
+    assert [r.line for r in export.tool_lines(calls).orderBy("ord", "pos").collect()] == ["[Bash] ls", "[Skill]", "[Edit] /f"]
+    assert [r.path for r in messages.image_path_refs(m).collect()] == ["/i/a.png"]
+    assert messages.token_usage(m).count() == 1
+    found = search.search(search.searchable_text(m, parts), "LS\nX")
+    assert [r.uuid for r in found.collect()] == ["a1"] and search.search(m, " ").count() == 0
+
+
+def test_summary(m):
+    s = summary.session_summary(m).first()
+    assert (s.S, s.turn_count, s.message_count, s.compact_count, s.initial_cwd, s.first_user_message) == ("s1", 2, 9, 1, "/w", "[1]")
+    assert summary.distinct_in_order(m, "cwd").first()["values"] == ["/w", "/w/b"]
+
+
+def test_leaves_follow_logical_parents_only_upward(m):
+    e = lineage.edges(m)
+    assert {r.node for r in lineage.leaves(e).collect()} == {"a2", "b1", "d2", "k2"}
+    way = lineage.ancestors(e, e.where("node = 'b1'").select("S", "node"))
+    assert [r.node for r in way.orderBy("distance").collect()] == ["b1", "a2", "u5", "u4", "u3", "u2", "a1", "u1"]
+    assert lineage.branch_messages(m, e.where("node = 'u2'").select("S", "node")).count() == 3
+
+
+def forest(spark, rows):
+    out = [("s", k, u, p, None, None, t, ts, x, t == "user") for k, (u, p, t, ts, x) in enumerate(rows)]
+    return spark.createDataFrame(out, "S string, ord int, uuid string, parent string, logical_parent string, subtype string, type string, ts string, text string, is_real_user boolean")
+
+
+def test_branches(spark):
+    rows = [("r", None, "user", "00", "start"), ("x", "r", "assistant", "01", "ok")]
+    for k in range(4):
+        rows.append((f"m{k}", f"m{k - 1}" if k else "x", "user" if k % 2 == 0 else "assistant", f"1{2 * k}", f"main {k}"))
+        if k < 3:
+            rows.append((f"b{k}", f"b{k - 1}" if k else "x", "user" if k % 2 == 0 else "assistant", f"1{2 * k + 1}", f"side {k}"))
+    rows.append(("late", "x", "user", "90", "late but alone"))
+    m = forest(spark, rows)
+    got = lineage.detect_branches(m).collect()
+    assert [(r.branch_no, r.leaf, r.point, r.first_user_message, r.path_length, r.common) for r in got] == [(0, "b2", "x", "side 0", 5, 2)]
+    e = lineage.edges(m)
+    b = lineage.detect_branches(m)
+    assert lineage.branch_tree(b, lineage.ancestors(e, lineage.leaves(e))).first().parent_no is None
+    s = summary.session_summary(m.withColumns({"is_sidechain": F.lit(False), **{c: F.lit(None).cast("string") for c in ("cwd", "version", "slug", "permission_mode")}}))
+    assert {r.id for r in lineage.branch_rows(b, s).collect()} == {"s", "s:intra-0"}
+
+
+def test_cycles_end(spark):
+    m = forest(spark, [("a", "c", "user", "1", "x"), ("b", "a", "user", "2", "x"), ("c", "b", "user", "3", "x"), ("t", "c", "user", "4", "x"), ("o", "gone", "user", "5", "x")])
+    e = lineage.edges(m)
+    got = {(r.start, r.node): r.distance for r in lineage.ancestors(e, lineage.leaves(e)).collect()}
+    assert got == {("t", "t"): 0, ("t", "c"): 1, ("t", "b"): 2, ("t", "a"): 3, ("o", "o"): 0}
+
+
+def test_clusters_allow_a_second(spark):
+    rows = [("s", "a", "2026-01-01 00:00:00", "2026-01-01 00:10:00"), ("s", "b", "2026-01-01 00:09:59.5", "2026-01-01 00:20:00"), ("s", "c", "2026-01-01 00:15:00", "2026-01-01 00:16:00"), ("s", "d", None, None)]
+    df = spark.createDataFrame(rows, "S string, file string, start string, end string").selectExpr("S", "file", "cast(start as timestamp) start", "cast(end as timestamp) end")
+    assert {r.file: r.cluster for r in sequence.continuation_clusters(df).collect()} == {"a": 0, "b": 0, "c": 1, "d": 2}
+    ids = lineage.cluster_ids(sequence.continuation_clusters(df))
+    assert {r.id for r in ids.collect()} == {"s:branch-0", "s:branch-1", "s:branch-2"}
+
+
+def turn_rows(spark, rows):
+    return spark.createDataFrame([("s", 0, k, t, s, x, n) for k, (t, s, x, n) in enumerate(rows)], "S string, section_no int, ord int, type string, subtype string, text string, n_tools int")
+
+
+def test_turns(spark):
+    rows = [("assistant", None, "lead", 0), ("user", None, "q", 0), ("user", None, " ", 0), ("assistant", None, "", 0), ("assistant", None, "", 1), ("user", "command-output", "<command-name>/a</command-name>", 0),
+            ("assistant", None, "x", 0), ("user", "command-output", "<local-command-stdout>b</local-command-stdout>", 0), ("user", "skill-output", "s", 0), ("user", None, "[Image: source: /a.png]", 0), ("user", None, "next", 0)]
+    got = {r.ord: r.turn_no for r in sequence.turns(turn_rows(spark, rows)).collect()}
+    assert got == {0: 0, 1: 1, 4: 1, 5: 2, 6: 2, 7: 2, 9: 2, 10: 3}
+
+
+def test_shared_context(spark):
+    parent = spark.createDataFrame([("p1", 1), ("p2", 2), ("p3", 3)], "uuid string, ord int")
+    own = spark.createDataFrame([("o1", 1)], "uuid string, ord int")
+    of = lambda p: sorted(r.uuid for r in lineage.with_shared_context(own, parent, spark.createDataFrame([(p,)], "point string")).collect())
+    assert of("p2") == ["o1", "p1", "p2"] and of("gone") == ["o1", "p1", "p2", "p3"]
+
+
+def test_annotations(spark, tmp_path):
+    f = tmp_path / "a.json"
+    f.write_text(json.dumps({"folders": [{"id": "f", "name": "n", "parentId": None, "sessionIds": ["s1", "s2"]}], "sessionMeta": {"s1": {"customTitle": "t", "highlights": [{"id": "h", "text": "q"}]}}}))
+    got = logs.load_annotations(spark, str(f))
+    assert {k: v.count() for k, v in got.items()} == {"folders": 1, "folder_members": 2, "session_meta": 1, "highlights": 1}
+    assert all(v.count() == 0 for v in logs.load_annotations(spark, str(tmp_path / "none.json")).values())
+
+
+def test_manifest(spark, root):
+    now = logs.file_manifest(spark, root)
+    assert now.count() == 1 and logs.manifest_diff(now, now).count() == 0
+    assert [r.change for r in logs.manifest_diff(now.limit(0), now).collect()] == ["added"]
+
+
+def test_backup(spark, tmp_path):
+    raw = spark.createDataFrame([("s", 1, 1, "c"), ("s", 0, 2, "b"), ("s", 0, 1, "a")], "S string, file_no int, ord int, value string")
+    export.write_backup(raw, str(tmp_path / "b"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "b" / "S=s")).collect()] == ["a", "b", "c"]
+    export.write_backup(raw.limit(0), str(tmp_path / "none"))
+    assert not (tmp_path / "none").exists()
+
+
+def test_full_transcript(spark):
+    t = sequence.turns(turn_rows(spark, [("user", None, "# Head\nbody", 0), ("assistant", None, "answer", 0)])).withColumn("ts", F.lit("2026-03-01T10:05:00Z"))
+    head = spark.createDataFrame([("s", "title", "2026-03-01T10:00:00Z", 1)], "S string, title string, created_at string, turn_count int")
+    labels = spark.createDataFrame([("s", 0, "current", 1)], "S string, section_no int, kind string, n_users int")
+    text = export.transcript_full(t, head, labels).first().markdown
+    assert text == "# title\n\n> 3/1 10:00 | 1 turns\n\n##### # Head...\n\n*3/1 10:05*\n\n> ###### Head\n> body\n\nanswer\n"
+
+
+def test_live_summaries_equal_batch(spark, tmp_path):
+    src, out = tmp_path / "in", tmp_path / "out"
+    (src / "s1").mkdir(parents=True)
+    (src / "s2").mkdir()
+    rows = [line(f"u{k}", ts=f"2026-03-01T00:00:0{k}Z", session=f"s{1 + k % 2}", ord=k) for k in range(6)]
+    (src / "s1" / "0.jsonl").write_text("\n".join(rows[:3]))
+    start = lambda: live.live_summary(live.stream_logs(spark, str(src)), str(out / "store"), str(out / "table"), str(out / "cp"), after=live.stream_exports(str(out / "md")))
+    q = start()
+    q.processAllAvailable()
+    assert {r.S: r.message_count for r in live.read_current(spark, str(out / "table")).collect()} == {"s1": 2, "s2": 1}
+    (src / "s2" / "1.jsonl").write_text("\n".join(rows[3:]))
+    q.processAllAvailable()
+    q.stop()
+    assert {r.S: r.message_count for r in live.read_current(spark, str(out / "table")).collect()} == {"s1": 3, "s2": 3}
+    assert spark.read.parquet(str(out / "md")).count() == 4
+
+
+def test_activity(spark):
+    rows = [("a", 0), ("a", 29), ("a", 60), ("b", 0)]
+    df = spark.createDataFrame(rows, "S string, t int").select("S", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("t")).alias("time"))
+    spells = live.active_sessions(df)
+    assert sorted((r.S, r.n) for r in spells.collect()) == [("a", 1), ("a", 2), ("b", 1)]
+    at = lambda t: {r.S for r in live.active_at(spells, F.timestamp_seconds(F.lit(1_700_000_000 + t))).collect()}
+    assert at(29) == {"a", "b"} and at(30) == {"a"} and at(59) == set() and at(60) == {"a"}
+    assert live.new_sessions(df).count() == 2
