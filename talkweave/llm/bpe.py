@@ -24,6 +24,11 @@ def _ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+@lru_cache(2)
+def _bytes_by_id(path: str) -> list[bytes]:
+    return [x for x, _ in sorted(_ranks(path).items(), key=lambda x: x[1])]
+
+
 @lru_cache(2)
 def _encoding(path: str, pattern: str):
     import tiktoken
@@ -158,7 +163,7 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ranks: str = RANKS) -> Da
     """(id, piece, ids, bytes): the raw bytes of each piece; a piece may end inside a character."""
 
     def run(batches):
-        table = [x for x, _ in sorted(_ranks(ranks).items(), key=lambda x: x[1])]
+        table = _bytes_by_id(ranks)
         for b in batches:
             yield b.assign(bytes=[decode_bytes(x, table) for x in b["ids"]])
 
@@ -168,28 +173,29 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ranks: str = RANKS) -> Da
     return restore_key(out, encoded, id_col)
 
 
-def digest(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """n_tokens and digests of each document, whose pieces must be together and in order."""
+def digest(encoded: DataFrame, id_col: str = "doc_id", ranks: str = RANKS) -> DataFrame:
+    """n_tokens and digests of the ids and of the decoded bytes of each document, whose pieces must be together and in order."""
 
     columns = ["k", "n_tokens", "ids_sha256", "decoded_sha256"]
 
     def run(batches):
+        table = _bytes_by_id(ranks)
         key, n, ids_sha, text_sha = None, 0, None, None
         for b in batches:
             rows = []
-            for k, piece, ids, data in b.itertuples(index=False, name=None):
+            for k, piece, ids in b.itertuples(index=False, name=None):
                 if piece == 0:
                     if ids_sha:
                         rows.append((key, n, ids_sha.hexdigest(), text_sha.hexdigest()))
                     key, n, ids_sha, text_sha = k, 0, hashlib.sha256(), hashlib.sha256()
                 n += len(ids)
                 ids_sha.update(np.asarray(ids, "<u4").tobytes())
-                text_sha.update(data)
+                text_sha.update(decode_bytes(ids, table))
             yield pd.DataFrame(rows, columns=columns)
         if ids_sha:
             yield pd.DataFrame([(key, n, ids_sha.hexdigest(), text_sha.hexdigest())], columns=columns)
 
-    out = decoded.select(F.col(id_col).cast("string").alias("k"), "piece", "ids", "bytes").mapInPandas(
+    out = encoded.select(F.col(id_col).cast("string").alias("k"), "piece", "ids").mapInPandas(
         run, "k string, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )
-    return restore_key(out, decoded, id_col)
+    return restore_key(out, encoded, id_col)

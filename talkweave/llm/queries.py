@@ -15,7 +15,7 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     short, long = bpe.encode(table(spark, sf_dir, "documents", "doc_id", "text"))
-    return bpe.digest(bpe.decode(short)).unionByName(bpe.digest(bpe.decode(long)))
+    return bpe.digest(short).unionByName(bpe.digest(long))
 
 
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,7 +86,7 @@ def test_packing_no_rows(no_docs):
 @pytest.mark.parametrize(("chunk", "overlap"), [(64, 16), (64, 3), (1000, 200), (32768, 1024)])
 def test_bpe_equals_whole_text_encoding(docs, texts, byte_ids, chunk, overlap):
     short, long = bpe.encode(docs, chunk=chunk, overlap=overlap)
-    rows = {r.doc_id: r for f in (short, long) for r in bpe.digest(bpe.decode(f)).collect()}
+    rows = {r.doc_id: r for f in (short, long) for r in bpe.digest(f).collect()}
     assert len(rows) == len(texts) + 1
     for i, t in enumerate(texts):
         want = byte_ids(t)
@@ -97,4 +97,12 @@ def test_bpe_equals_whole_text_encoding(docs, texts, byte_ids, chunk, overlap):
 
 def test_bpe_no_rows(no_docs):
     short, long = bpe.encode(no_docs)
-    assert bpe.digest(bpe.decode(short)).collect() == [] == bpe.digest(bpe.decode(long)).collect()
+    assert bpe.digest(short).collect() == [] == bpe.digest(long).collect()
+
+
+def test_bpe_decodes_pieces(spark, docs, texts):
+    got = {}
+    for f in bpe.encode(docs, chunk=64, overlap=16):
+        for r in bpe.decode(f).orderBy("doc_id", "piece").collect():
+            got[r.doc_id] = got.get(r.doc_id, b"") + bytes(r.bytes)
+    assert all(got[i] == (t or "").encode() for i, t in enumerate(texts))
