@@ -112,7 +112,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     known = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(id_col))
     total, df = document_frequencies(known, text_col, buckets)
     idf = np.log((1 + total) / (1 + df)) + 1
-    sample = known.select(F.col(text_col).alias("t"), F.col(lang_col).alias("y"), F.xxhash64(id_col).alias("h")).orderBy("h", "t", "y").limit(most_docs).toPandas()
+    hashed = known.select(F.col(text_col).alias("t"), F.col(lang_col).alias("y"), F.xxhash64(id_col, text_col).alias("h"))
+    # only hashes are put in order; texts come to the driver for the sample alone
+    last = hashed.select("h").orderBy("h").limit(most_docs).agg(F.max("h")).first()[0]
+    sample = hashed.where(F.col("h") <= (0 if last is None else last)).limit(most_docs).toPandas().sort_values(["h", "t", "y"], ignore_index=True)
     labels = sorted(sample["y"].unique())
     if not labels:
         return LanguageModel([], idf, np.zeros((buckets + 1, 0), "f4"))
