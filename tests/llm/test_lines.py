@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from talkweave.llm import line_dedup
@@ -69,8 +70,16 @@ def test_no_rows_and_repeats(spark, no_docs):
     assert [r.text for r in line_dedup.drop_repeated_lines(same).collect()] == ["one line", "one line"]
 
 
-def test_shingles_of_long_lines(spark):
+def test_shingles_of_long_lines():
     text = "".join(chr(97 + (i * i) % 23) for i in range(5432))
-    df = spark.createDataFrame([(text,), ("short",)], "line string")
-    n = [len(r[0]) for r in df.select(line_dedup.shingles(F.col("line"), 10)).collect()]
-    assert n == [len(grams(text)), 1]
+    lines = [text, "short", "", text[:11]]
+    h, offsets = line_dedup.shingle_hashes(lines, 10)
+    assert [len(set(x)) for x in np.split(h, offsets[1:])] == [len(grams(x)) for x in lines]
+
+
+def test_shared_counts():
+    r = np.random.default_rng(3)
+    a, b = ([np.unique(r.integers(0, 60, r.integers(0, 50)).astype("u4")) for _ in range(n)] for n in (7, 5))
+    for columns in (4, 8192):
+        got = line_dedup.shared_counts(a, b, columns)
+        assert got.tolist() == [[len(set(x) & set(y)) for y in b] for x in a]
