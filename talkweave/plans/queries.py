@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from talkweave.functions import text as T
 from talkweave.operators import annotate, export, lineage, messages, search, sequence, summary
 from talkweave.plans import tables as P
+from talkweave.sources import logs
 from talkweave.streaming import live
 
 QUERIES: dict = {}
@@ -506,3 +507,90 @@ def l3_active_sessions(spark, sf_dir):
 def l4_active_changes(spark, sf_dir):
     c = P.calls(spark, sf_dir)
     return live.active_changes(c.where("k < 2").select("S").distinct(), c.where("k between 1 and 2").select("S").distinct())
+
+
+def _parts(spark, sf_dir):
+    return messages.explode_parts(P.contents(spark, sf_dir))
+
+
+@query("""SELECT "S", ord, pos, kind FROM con, (VALUES (0, 'text'), (1, 'tool_use'), (2, 'tool_result'), (3, 'image')) v(pos, kind) WHERE is_array""", P.CONTENTS)
+def b2_explode_parts(spark, sf_dir):
+    return _parts(spark, sf_dir).select("S", "ord", "pos", messages.field("type").alias("kind"))
+
+
+@query('SELECT "S", ord, text FROM con', P.CONTENTS)
+def b3_extract_text(spark, sf_dir):
+    return messages.extract_text(P.contents(spark, sf_dir).drop("text")).select("S", "ord", "text")
+
+
+@query('SELECT "S", ord, uuid AS id, tool AS name FROM con WHERE is_array', P.CONTENTS)
+def b4_tool_calls(spark, sf_dir):
+    return messages.tool_calls(_parts(spark, sf_dir)).select("S", "ord", "id", "name")
+
+
+@query("""SELECT "S", ord, uuid AS id, CASE "S" % 3 WHEN 0 THEN 'p' || "S" || chr(10) || 'q' ELSE 'r' || ord END AS result FROM con WHERE is_array AND type = 'user' AND "S" % 3 <> 1""", P.CONTENTS)
+def b5_tool_results(spark, sf_dir):
+    return messages.tool_results(_parts(spark, sf_dir)).select("S", "ord", "id", "result")
+
+
+@query("""SELECT "S", ord, 3 AS pos, 'image/png' AS media_type, CAST(ord + 1 AS INT) AS n_chars FROM con WHERE is_array UNION ALL SELECT "S", ord, 2, 'image/png', 2 FROM con WHERE is_array AND "S" % 3 = 0""", P.CONTENTS)
+def b6_inline_images(spark, sf_dir):
+    return messages.inline_images(_parts(spark, sf_dir)).select("S", "ord", "pos", "media_type", "n_chars")
+
+
+@query("""SELECT "S", turn_no AS ord, input, output FROM usage WHERE turn_no % 2 = 1""", P.USAGE)
+def b7_token_usage(spark, sf_dir):
+    counted = F.when(F.col("turn_no") % 2 == 1, F.struct("input", "output")).alias("usage")
+    return messages.token_usage(P.usage(spark, sf_dir).select("S", F.lit("f").alias("file"), F.col("turn_no").alias("ord"), F.lit("assistant").alias("type"), counted)).drop("file", "type")
+
+
+@query("""SELECT "S", ord, CASE WHEN "S" % 2 = 0 THEN 'unknown' ELSE 's' || ord END AS skill, ts, 'a' || ord AS args FROM con WHERE is_array AND tool = 'Skill'""", P.CONTENTS)
+def b8_skill_invocations(spark, sf_dir):
+    return messages.skill_invocations(messages.tool_calls(_parts(spark, sf_dir))).select("S", "ord", "skill", "ts", "args")
+
+
+@query("""SELECT "S", ord, side, line_no, CASE line WHEN 'old' THEN 'old' || ord WHEN 'new' THEN 'new' || "S" ELSE line END AS line FROM con, (VALUES ('-', 0, 'old'), ('-', 1, 'more'), ('+', 0, 'new')) v(side, line_no, line) WHERE is_array AND tool = 'Edit'""", P.CONTENTS)
+def b15_edit_lines(spark, sf_dir):
+    return messages.edit_lines(messages.tool_calls(_parts(spark, sf_dir))).drop("pos")
+
+
+@query("""SELECT "S", ord, file FROM con WHERE NOT contains(file, '/subagents/')""", P.CONTENTS)
+def c2_exclude_subagents(spark, sf_dir):
+    return logs.exclude_subagents(P.contents(spark, sf_dir)).select("S", "ord", "file")
+
+
+@query(f"""SELECT "S", ord, type = 'user' AND (is_array OR {_SYS}) AS system_generated FROM con""", P.CONTENTS)
+def c8_system_generated(spark, sf_dir):
+    return messages.enrich(P.contents(spark, sf_dir)).select("S", "ord", "system_generated")
+
+
+@query("""SELECT "S", count(*) AS n_images FROM con WHERE is_array AND type = 'user' GROUP BY 1""", P.CONTENTS)
+def e7_pasted_image_count(spark, sf_dir):
+    return messages.pasted_image_count(_parts(spark, sf_dir))
+
+
+@query("""SELECT "S", 0 AS section_no, k % 3 AS turn_no, k % 2 AS segment_no, name AS tool, count(*) AS n, min(ord) AS first_ord FROM calls WHERE event_type <> 'click' GROUP BY 1, 3, 4, 5""", P.CALLS)
+def e9_segment_tool_counts(spark, sf_dir):
+    kind = F.when(F.col("event_type") == "click", "text").otherwise("tool").alias("kind")
+    c = P.calls(spark, sf_dir).select("S", F.lit(0).alias("section_no"), (F.col("k") % 3).alias("turn_no"), (F.col("k") % 2).alias("segment_no"), "ord", F.col("name").alias("tool"), kind)
+    return sequence.segment_tool_counts(c)
+
+
+@query("""SELECT CAST(f."S" AS VARCHAR) AS "S", f.cluster, CAST(f.point AS VARCHAR) AS point, o.cluster AS parent_cluster FROM (SELECT "S", cluster, arg_min(parent, rn) AS point FROM clustered WHERE parent IS NOT NULL GROUP BY 1, 2) f
+ JOIN clustered o ON o."S" = f."S" AND o.rn = f.point WHERE o.cluster <> f.cluster""", P.TREE + ", clustered AS (SELECT *, CAST(CASE WHEN rn <= 10 THEN 0 ELSE 1 + (rn - 11) % 3 END AS INT) AS cluster FROM tree)", True)
+def d7_cluster_parents(spark, sf_dir):
+    m = P.tree(spark, sf_dir).withColumns({"cluster": F.expr("if(ord <= 10, 0, 1 + (ord - 11) % 3)"), "file_no": F.lit(0)})
+    return lineage.cluster_parents(m)
+
+
+@query("SELECT DISTINCT folder_id, member_id FROM members", P.FOLDERS)
+def j2_distinct_members(spark, sf_dir):
+    m = P.folders(spark, sf_dir)[1]
+    return annotate.distinct_members(m.unionByName(m))
+
+
+@query("""SELECT id, name, parent_id, CASE WHEN parent_id IS NULL THEN 0 ELSE 1 END AS level FROM folders WHERE parent_id IS NULL OR parent_id <> 'r1'""", P.FOLDERS)
+def m10_load_folder_tree(spark, sf_dir):
+    f = P.folders(spark, sf_dir)[0]
+    orphaned = f.withColumn("parent_id", F.when(F.col("parent_id") == "r1", "nowhere").otherwise(F.col("parent_id")))
+    return annotate.load_folder_tree(orphaned)

@@ -123,3 +123,21 @@ def folders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 FOLDERS = """folders AS (SELECT 'r' || r_regionkey AS id, r_name AS name, CAST(NULL AS VARCHAR) AS parent_id FROM region UNION ALL SELECT 'n' || n_nationkey, n_name, 'r' || n_regionkey FROM nation),
  members AS (SELECT 'n' || c_nationkey AS folder_id, 'c' || c_custkey AS member_id FROM customer)"""
+
+
+def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """messages with their content: a string in every fourth turn, else a text, a tool call, a tool result and an image."""
+    image = "named_struct('type', 'image', 'source', named_struct('type', 'base64', 'media_type', 'image/png', 'data', repeat('A', {})))"
+    name = "case ord % 3 when 0 then 'Edit' when 1 then 'Skill' else 'Read' end"
+    args = "named_struct('old_string', concat('old', ord, '\\nmore'), 'new_string', concat('new', S), 'skill', if(S % 2 = 0, null, concat('s', ord)), 'args', concat('a', ord))"
+    nested = f"concat('[', to_json(named_struct('type', 'text', 'text', concat('p', S))), ',\"q\",', to_json({image.format(2)}), ']')"
+    said = f"case S % 3 when 0 then {nested} when 1 then '\"\"' else concat('\"r', ord, '\"') end"
+    parts = (
+        "to_json(named_struct('type', 'text', 'text', text))", f"to_json(named_struct('type', 'tool_use', 'id', uuid, 'name', {name}, 'input', {args}))",
+        f"concat('{{\"type\":\"tool_result\",\"tool_use_id\":\"', uuid, '\",\"content\":', {said}, '}}')", f"to_json({image.format('int(ord) + 1')})",
+    )
+    content = f"parse_json(if(ord % 4 = 3, get_json_object(to_json(named_struct('t', array(text))), '$.t[*]'), concat('[', {', \',\', '.join(parts)}, ']')))"
+    return messages(spark, sf_dir).withColumns({"content": F.expr(content), "file": F.concat(F.lit("/p/"), F.col("S").cast("string"), F.expr("if(ord % 5 = 0, '/subagents/a', '/main')"))})
+
+
+CONTENTS = MESSAGES + """, con AS (SELECT *, ord % 4 <> 3 AS is_array, CASE ord % 3 WHEN 0 THEN 'Edit' WHEN 1 THEN 'Skill' ELSE 'Read' END AS tool, '/p/' || "S" || CASE WHEN ord % 5 = 0 THEN '/subagents/a' ELSE '/main' END AS file FROM msg)"""
