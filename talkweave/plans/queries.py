@@ -594,3 +594,50 @@ def m10_load_folder_tree(spark, sf_dir):
     f = P.folders(spark, sf_dir)[0]
     orphaned = f.withColumn("parent_id", F.when(F.col("parent_id") == "r1", "nowhere").otherwise(F.col("parent_id")))
     return annotate.load_folder_tree(orphaned)
+
+
+@query("""SELECT "S", ord, CASE WHEN is_array THEN concat_ws(' ', nullif(text, ''), CASE WHEN "S" % 3 = 2 THEN 'r' || ord END) ELSE text END AS search_text FROM con WHERE type IN ('user', 'assistant')""", P.CONTENTS)
+def k1_searchable_text(spark, sf_dir):
+    return search.searchable_text(P.contents(spark, sf_dir), _parts(spark, sf_dir)).select("S", "ord", "search_text")
+
+
+@query("""SELECT "S", ord, "S" % 2 = 0 AS is_shared FROM msg WHERE "S" % 2 = 1 OR ord <= (SELECT coalesce(max(ord), 1000000) FROM msg WHERE uuid = '2-1')""", P.MESSAGES)
+def d8_with_shared_context(spark, sf_dir):
+    m = P.messages(spark, sf_dir)
+    parent = m.where("S % 2 = 0")
+    return lineage.with_shared_context(m.where("S % 2 = 1"), parent, m.where("uuid = '2-1'").select(F.col("uuid").alias("point"))).select("S", "ord", "is_shared")
+
+
+@query("""SELECT CAST("S" AS VARCHAR) AS id, "S", first_user_message, CAST(NULL AS VARCHAR) AS point FROM summary UNION ALL SELECT "S" || ':intra-1', "S", text, uuid FROM msg WHERE ord = 2""", _SUMMARY)
+def g6_branch_rows(spark, sf_dir):
+    branches = P.messages(spark, sf_dir).where("ord = 2").select("S", F.lit(1).alias("branch_no"), F.col("text").alias("first_user_message"), F.col("uuid").alias("point"), F.col("uuid").alias("leaf"))
+    return lineage.branch_rows(branches, _summary(spark, sf_dir).select("S", "first_user_message")).select("id", "S", "first_user_message", "point")
+
+
+_CONFIG = """inv AS (SELECT DISTINCT CASE page_id % 5 WHEN 0 THEN '/w/conf.md' WHEN 1 THEN '/w/own.md' ELSE '/w/' || (page_id % 3) || CASE WHEN page_id % 2 = 0 THEN '/conf.md' ELSE '/own.md' END END AS path FROM pages),
+ cand AS (SELECT cwd || '/conf.md' AS path, 0 AS level FROM msg UNION SELECT cwd || '/own.md', 0 FROM msg UNION SELECT '/w/conf.md', 1 FROM msg)"""
+
+
+@query("SELECT path, min(level) AS level FROM cand WHERE path IN (SELECT path FROM inv) GROUP BY 1", f"{P.MESSAGES}, {_CONFIG}")
+def d10_config_file_candidates(spark, sf_dir):
+    path = "case page_id % 5 when 0 then '/w/conf.md' when 1 then '/w/own.md' else concat('/w/', page_id % 3, if(page_id % 2 = 0, '/conf.md', '/own.md')) end"
+    inventory = P.read(spark, sf_dir, "pages").select(F.expr(path).alias("path"))
+    return summary.config_file_candidates(P.messages(spark, sf_dir).select("cwd").distinct(), inventory, ("conf.md",), ("own.md",))
+
+
+@query("""SELECT session_id, id, length(text) AS n_chars FROM (SELECT 's' || doc_id AS session_id, 'h' || doc_id AS id, 'kept' AS text FROM labels WHERE doc_id % 2 = 0 AND doc_id % 3 <> 0
+ UNION ALL SELECT 's' || doc_id, 'n' || doc_id, left(text, 2000) FROM documents WHERE doc_id % 7 = 1)""")
+def m7_apply_highlights(spark, sf_dir):
+    row = lambda df, mark, text: df.select(F.concat(F.lit("s"), "doc_id").alias("session_id"), F.concat(F.lit(mark), "doc_id").alias("id"), text.alias("text"))
+    labels = P.read(spark, sf_dir, "labels")
+    added = row(P.read(spark, sf_dir, "documents").where("doc_id % 7 = 1"), "n", F.col("text"))
+    out = annotate.apply_highlights(row(labels.where("doc_id % 2 = 0"), "h", F.lit("kept")), added, row(labels.where("doc_id % 3 = 0"), "h", F.lit("")))
+    return out.select("session_id", "id", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("""SELECT * FROM (SELECT l.doc_id AS id, CASE WHEN quality = 1 THEN 't' || l.doc_id END AS custom_title, CASE WHEN toxic = 1 THEN 'n' ELSE '' END AS notes, coalesce(h.n, 0) AS n_highlights
+ FROM labels l LEFT JOIN (SELECT doc_id, count(*) AS n FROM documents WHERE doc_id % 5 = 0 GROUP BY 1) h ON l.doc_id = h.doc_id) WHERE custom_title IS NOT NULL OR notes <> '' OR n_highlights > 0""")
+def m11_flatten_library(spark, sf_dir):
+    title = F.when(F.col("quality") == 1, F.concat(F.lit("t"), "doc_id"))
+    meta = P.read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), title.alias("custom_title"), F.expr("if(toxic = 1, 'n', '')").alias("notes"))
+    return annotate.flatten_library(meta, P.read(spark, sf_dir, "documents").where("doc_id % 5 = 0").select(F.col("doc_id").alias("session_id")))
