@@ -641,3 +641,21 @@ def m11_flatten_library(spark, sf_dir):
     title = F.when(F.col("quality") == 1, F.concat(F.lit("t"), "doc_id"))
     meta = P.read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), title.alias("custom_title"), F.expr("if(toxic = 1, 'n', '')").alias("notes"))
     return annotate.flatten_library(meta, P.read(spark, sf_dir, "documents").where("doc_id % 5 = 0").select(F.col("doc_id").alias("session_id")))
+
+
+@query("""SELECT id, parent_id, row_number() OVER (PARTITION BY parent_id ORDER BY CASE id WHEN 'n0' THEN coalesce((SELECT spot FROM base WHERE id = 'n16') - 0.5, 1e9) WHEN 'n1' THEN 1e9 ELSE spot END, id) AS place FROM base""", P.FOLDERS + """,
+ base AS (SELECT f.id, parent_id, row_number() OVER (PARTITION BY parent_id ORDER BY pos IS NULL, pos, name, f.id) AS spot FROM folders f LEFT JOIN (SELECT 'n' || n_nationkey AS id, -n_nationkey AS pos FROM nation WHERE n_nationkey % 2 = 0) o ON f.id = o.id)""")
+def h5_reorder_folders(spark, sf_dir):
+    n = P.read(spark, sf_dir, "nation")
+    id_ = F.concat(F.lit("n"), "n_nationkey").alias("id")
+    order = n.where("n_nationkey % 2 = 0").select(id_, (-F.col("n_nationkey")).alias("pos"))
+    moves = n.where("n_nationkey < 2").select(id_, F.expr("if(n_nationkey = 0, 'n16', 'unknown')").alias("target"), F.lit("before").alias("side"))
+    return annotate.reorder_folders(P.folders(spark, sf_dir)[0], order, moves)
+
+
+@query("""SELECT p."S", p.ts, CASE WHEN v.i IS NULL THEN 'path' ELSE 'paired' END AS source, p.i, path FROM p LEFT JOIN v ON p."S" = v."S" AND p.ts = v.ts AND p.i = v.i
+ UNION ALL SELECT "S", ts, 'inline', i, NULL FROM v WHERE NOT EXISTS (SELECT 1 FROM p WHERE p."S" = v."S" AND p.ts = v.ts)""", P.CALLS + """,
+ p AS (SELECT DISTINCT "S", strftime(time, '%Y-%m-%d') AS ts, k % 2 AS i, path FROM calls WHERE event_type = 'click'), v AS (SELECT DISTINCT "S", strftime(time, '%Y-%m-%d') AS ts, k % 2 AS i FROM calls WHERE event_type = 'view')""")
+def d11_image_gallery(spark, sf_dir):
+    c = P.calls(spark, sf_dir).select("S", F.date_format("time", "yyyy-MM-dd").alias("ts"), (F.col("k") % 2).alias("i"), "path", "event_type")
+    return annotate.image_gallery(c.where("event_type = 'click'").drop("event_type").distinct(), c.where("event_type = 'view'").select("S", "ts", "i").distinct())
