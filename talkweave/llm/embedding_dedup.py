@@ -1,4 +1,4 @@
-"""Near-duplicate vectors by sorted projection passes."""
+"""Near-duplicate vectors by passes of random projections."""
 
 from __future__ import annotations
 
@@ -13,13 +13,16 @@ from pyspark.sql import functions as F
 from talkweave.llm.common import connected_components, discard, saved
 
 
-def passes_for(n: int, window: int, threshold: float, miss: float) -> int:
-    """Passes after which a pair at the threshold has been missed with probability ``miss`` at most.
+def key_bits(n: int, window: int, most: int) -> int:
+    """Bits of a pass's key: so many that about ``window`` of evenly spread vectors share it."""
+    return min(most, max(1, math.ceil(math.log2(max(2.0, n / window)))))
 
-    Two vectors agree in a hash bit with probability 1 - angle/pi. Once they agree in the
-    first log2(n / window) bits, about ``window`` vectors share their place in the order.
+
+def passes_for(bits: int, threshold: float, miss: float) -> int:
+    """Passes after which a pair at the threshold has shared no key with probability ``miss`` at most.
+
+    Two vectors agree in a hash bit with probability 1 - angle/pi, whatever lies around them.
     """
-    bits = math.log2(max(2.0, n / window))
     agree = (1 - math.acos(threshold) / math.pi) ** bits
     return math.ceil(math.log(miss) / math.log(1 - agree))
 
@@ -46,8 +49,8 @@ def distinct_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFr
     )
 
 
-def _hash_rows(passes: range, kind: str, bits: int, seed: int):
-    """(dim, pass, key, rep, v): the keys of some passes for every vector."""
+def _hash_rows(passes: range, kind: str, bits: int, seed: int, vectors: bool):
+    """(dim, pass, key, rep, v): the keys of some passes for every vector; without ``vectors``, only (dim, pass, key)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         planes: dict[tuple[int, int], np.ndarray] = {}
@@ -55,53 +58,60 @@ def _hash_rows(passes: range, kind: str, bits: int, seed: int):
         for b in batches:
             for dim, part in b.groupby("dim"):
                 x = np.stack(part["vector"].to_list()).astype(kind)
-                raw = [v.tobytes() for v in x]
+                own = {"rep": part["rep"].array, "v": [v.tobytes() for v in x]} if vectors else {}
+                x = x.astype("f8")
                 for p in passes:
                     if (dim, p) not in planes:
                         planes[dim, p] = np.random.default_rng([seed, dim, p]).standard_normal((dim, bits))
-                    key = ((x.astype("f8") @ planes[dim, p]) > 0) @ place
-                    yield pd.DataFrame({"dim": dim, "pass": p, "key": key, "rep": part["rep"].array, "v": raw})
+                    yield pd.DataFrame({"dim": dim, "pass": p, "key": ((x @ planes[dim, p]) > 0) @ place, **own})
 
     return run
 
 
-def window_links(window: int, threshold: float, kind: str, block: int = 256):
-    """(src, dst): links inside windows of ``window`` neighbours of sorted rows.
+def bucket_links(threshold: float, kind: str):
+    """(src, dst): links that join what all links among the vectors of a bucket, or of a pair of its blocks, join.
 
-    Every pair within a window is compared; of the links found, those that a
-    union-find over the stream doesn't know yet are returned.
+    Rows (dim, pass, key, lo, hi, own, rep, v) are sorted by the first five columns.
     """
 
-    def links(reps, x, new_from, label, out):
-        n = len(reps)
-        for a in range(max(0, new_from - window), n, block):
-            z = min(n, a + block)
-            end = min(n, z + window)
-            near = x[a:z] @ x[a:end].T >= threshold
-            i, j = np.nonzero(near)
-            i, j = i + a, j + a
-            keep = (j > i) & (j - i <= window) & (j >= new_from)
-            for s, d in zip(i[keep].tolist(), j[keep].tolist()):
-                if label[s] != label[d]:
-                    out.append((reps[s], reps[d]))
-                    lo, hi = min(label[s], label[d]), max(label[s], label[d])
-                    label[label == hi] = lo
+    def links(part):
+        reps, x = part["rep"].to_numpy(), _unit(part["v"], kind)
+        a = z = slice(None)
+        if part["lo"].iat[0] != part["hi"].iat[0]:
+            a = part["own"].to_numpy() == part["lo"].iat[0]
+            z = ~a
+        near = x[a] @ x[z].T >= threshold
+        left, right = reps[a], reps[z]
+        if a is not z:
+            i, j = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+        else:
+            i = j = np.flatnonzero(near.sum(1) > near.diagonal())
+        near, left, right = near[np.ix_(i, j)], left[i], right[j]
+        if not near.size:
+            return []
+        # both sides take the smallest label that a link leads to, until all linked ones agree
+        label, none = np.arange(len(left), dtype="i4"), np.int32(len(left))
+        while True:
+            other = np.where(near, label[:, None], none).min(0)
+            new = np.minimum(label, np.where(near, other[None, :], none).min(1))
+            if (new == label).all():
+                break
+            label = new
+        src, dst = np.concatenate([left, right[other < none]]), left[np.concatenate([label, other[other < none]])]
+        return [pd.DataFrame({"src": src, "dst": dst})[src != dst]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[str, object] | None = None
+        held = None
         for b in batches:
-            for (dim, p), part in b.groupby(["dim", "pass"], sort=True):
-                reps, x = part["rep"].to_numpy(), _unit(part["v"], kind)
-                label, old = np.arange(len(reps)), 0
-                if held and held["at"] == (dim, p):
-                    old = len(held["reps"])
-                    reps, x = np.concatenate([held["reps"], reps]), np.concatenate([held["x"], x])
-                    label = np.concatenate([held["label"], label + held["next"]])
-                out: list[tuple] = []
-                links(reps, x, old, label, out)
-                # labels only say what the rows still in reach share
-                held = {"at": (dim, p), "reps": reps[-window:], "x": x[-window:], "label": label[-window:], "next": int(label.max()) + 1}
-                yield pd.DataFrame(out, columns=["src", "dst"]).astype({"src": reps.dtype, "dst": reps.dtype})
+            b = b if held is None else pd.concat([held, b], ignore_index=True)
+            at = b[["dim", "pass", "key", "lo", "hi"]].to_numpy()
+            cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1).tolist()]
+            out = [x for s, e in zip(cuts, cuts[1:]) for x in links(b.iloc[s:e])]
+            if out:
+                yield pd.concat(out)
+            held = b.iloc[cuts[-1] :]
+        if held is not None and len(held):
+            yield from links(held)
 
     return run
 
@@ -149,25 +159,33 @@ def near_duplicate_vectors(
     """(id, n_links, component_id, kept) of every row.
 
     Equal vectors are one representative with a number of copies, so copies cost nothing
-    further. Each pass sorts the representatives by ``bits`` signs of random projections
-    and compares each with its next ``window`` neighbours; the number of passes follows
-    from the number of vectors, so that a pair just at the threshold is missed with
-    probability ``miss``. Links of all passes are united. Inside the components all
-    pairs are then counted exactly, in pairs of blocks of about ``block`` vectors, however
+    further. Each pass keys the representatives by the signs of random projections, at most
+    ``bits`` and so many that about ``window`` evenly spread vectors share a key, and all
+    pairs of a key are compared, in pairs of blocks of about ``block`` vectors where a dense
+    region puts more under one key. The number of passes makes a pair just at the threshold
+    share no key with probability ``miss``, however the vectors lie. Links of all
+    passes are united. Inside the components all pairs are then counted exactly, in pairs of blocks too, however
     large a component is. Vectors that are null, zero or hold null or non-finite
     components, and vectors of different lengths, link with nothing. Ids are integers,
     unique and not null.
     """
     kind = "<f4" if "float" in vectors.schema[vector_col].dataType.simpleString() else "<f8"
     reps = saved(distinct_vectors(vectors, id_col, vector_col), "vectors")
-    passes = passes_for(reps.count(), window, threshold, miss)
+    bits = key_bits(reps.count(), window, bits)
+    passes = passes_for(bits, threshold, miss)
     key_type = vectors.schema[id_col].dataType.simpleString()
+    place, order = ["dim", "pass", "key"], ["dim", "pass", "key", "lo", "hi"]
     found = []
     for a in range(0, passes, passes_per_job):
         some = range(a, min(passes, a + passes_per_job))
-        rows = reps.select("dim", "rep", "vector").mapInPandas(_hash_rows(some, kind, bits, seed), f"dim int, pass int, key long, rep {key_type}, v binary")
-        order = ("dim", "pass", "key", "rep")
-        near = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(window_links(window, threshold, kind), f"src {key_type}, dst {key_type}")
+        src = reps.select("dim", "rep", "vector")
+        keys = src.mapInPandas(_hash_rows(some, kind, bits, seed, False), "dim int, pass int, key long")
+        full = keys.groupBy(*place).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1")
+        rows = src.mapInPandas(_hash_rows(some, kind, bits, seed, True), f"dim int, pass int, key long, rep {key_type}, v binary").join(F.broadcast(full), place, "left")
+        rows = rows.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        rows = rows.select(*place, "rep", "v", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        rows = rows.select(*place, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "v")
+        near = rows.repartition(*order).sortWithinPartitions(*order).mapInPandas(bucket_links(threshold, kind), f"src {key_type}, dst {key_type}")
         found.append(saved(near.distinct(), "links"))
     edges = found[0]
     for f in found[1:]:

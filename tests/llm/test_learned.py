@@ -37,6 +37,20 @@ def test_vectors_equal_brute_force(spark):
     assert embedding_dedup.near_duplicate_vectors(df.limit(0)).collect() == []
 
 
+def test_pairs_in_a_dense_cluster_are_found(spark):
+    r = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    # 2,000 vectors at mutual cosine 0.9, below the threshold, and 200 partners at 0.955 of some of them
+    hot = unit(np.sqrt(0.9) * unit(r.standard_normal(256)) + np.sqrt(0.1) * unit(r.standard_normal((2000, 256))))
+    off = r.standard_normal((200, 256))
+    off = unit(off - (off * hot[:200]).sum(1, keepdims=True) * hot[:200])
+    pair = 0.955 * hot[:200] + np.sqrt(1 - 0.955**2) * off
+    x = np.concatenate([hot, pair, unit(r.standard_normal((3800, 256)))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = {q.vec_id: q.component_id for q in embedding_dedup.near_duplicate_vectors(df, window=16, block=64).collect()}
+    assert [i for i in range(200) if got[i] != got[2000 + i]] == []
+
+
 def words(r, stock, n):
     return " ".join(r.choice(stock) for _ in range(n))
 
