@@ -53,3 +53,9 @@ def anchored_runs(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray
     if not firsts:
         return np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0, "u8")
     return np.concatenate(firsts), np.concatenate(lasts), np.concatenate(anchors)
+
+
+def anchor_place(raw: bytes, length: int) -> int:
+    """Where the anchor of the first window of ``raw`` begins."""
+    h = gram_hashes(np.frombuffer(raw, "u1", length)) & np.uint64(0xFFFFFFFFFFC00000)
+    return int(h.argmin())

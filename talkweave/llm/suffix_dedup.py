@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from talkweave.llm.common import discard, saved
-from talkweave.llm.suffix_anchors import anchored_runs
+from talkweave.llm.suffix_anchors import GRAM, anchor_place, anchored_runs
 from talkweave.llm.suffix_sort import repeated
 
 _T = ["t1", "t2"]
@@ -77,6 +77,74 @@ def _sort_shards(length: int, shard_bytes: int):
     return run
 
 
+def _divided(length: int, span: int):
+    """(g, c, t1, t2, s, e, n, p, raw): the windows of each snippet by the place of the anchor in them, ``span`` places together.
+
+    g: the hash of the anchor's group, of these places and of the bytes that all windows with the anchor at
+    one of them hold, so that equal windows have equal g. c: the hash of all bytes of the part's windows.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for g, t1, t2, s, e, n, p, raw in b.itertuples(index=False, name=None):
+                at = (anchor_place(raw, length) if p < 0 else p - s) + s
+                for lo in range((at - e) // span * span, at - s + 1, span):
+                    hi = min(lo + span - 1, length - GRAM)
+                    first, last = max(s, at - hi), min(e, at - lo)
+                    core = raw[at - lo - s : at - hi + length - s]
+                    part = raw[first - s : last - s + length]
+                    key = b"%d %d %d " % (g, span, lo)
+                    content = b"%d " % (at - first)
+                    out.append((xxhash.xxh3_64_intdigest(key + core, 7), xxhash.xxh3_64_intdigest(content + part, 7), t1, t2, first, last, n, at, part))
+                if len(out) > 10_000:
+                    yield _parts(out)
+                    out = []
+            if out:
+                yield _parts(out)
+
+    return run
+
+
+def _parts(rows: list[tuple]) -> pd.DataFrame:
+    df = pd.DataFrame(rows, columns=["g", "c", *_T, "s", "e", "n", "p", "raw"])
+    return df.assign(g=df["g"].to_numpy("u8").view("i8"), c=df["c"].to_numpy("u8").view("i8"))
+
+
+def divide(snippets: DataFrame, length: int, shard_bytes: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(ranges of repeated windows, snippets to sort) of the snippets of anchors that have more than ``shard_bytes``.
+
+    The windows of an anchor are divided by the anchor's place in them, ever more finely, and by the
+    bytes that all windows with it there hold. What shares these bytes with nothing is done, and
+    so is what has the same windows as another. Groups that fit are sorted; at single
+    places the shared bytes are the whole window, so no group is left.
+    """
+    found, small = [], []
+    for span in _spans(length - GRAM + 1):
+        parts = saved(snippets.mapInPandas(_divided(length, span), "g long, c long, t1 long, t2 long, s long, e long, n long, p long, raw binary"), "parts")
+        contents = parts.groupBy("g", "c").agg(F.sum("n").alias("n"), F.min(F.struct(*_T, "s", "e", "p", "raw")).alias("one"))
+        contents = saved(contents, "contents")
+        twice = contents.where("n > 1").select("g", "c")
+        # what stands for several copies is known to be repeated already
+        found.append(saved(parts.where("n = 1").join(twice, ["g", "c"], "left_semi").select(*_T, "s", "e"), "repeats"))
+        groups = contents.groupBy("g").agg(F.count("*").alias("k"), F.sum(F.octet_length("one.raw")).alias("size")).where("k > 1").select("g", "size")
+        rest = saved(contents.join(groups, "g").select(F.col("g").alias("a"), "one.t1", "one.t2", "one.s", "one.e", "n", "one.p", "one.raw", "size"), "snippets")
+        discard(parts)
+        discard(contents)
+        small.append(rest.where(F.col("size") <= shard_bytes).drop("size", "p"))
+        snippets = rest.where(F.col("size") > shard_bytes).drop("size")
+        if snippets.isEmpty():
+            break
+    return found, small
+
+
+def _spans(places: int) -> list[int]:
+    out = [places]
+    while out[-1] > 1:
+        out.append(-(-out[-1] // 8))
+    return out[1:] or [1]
+
+
 def repeated_windows(docs: DataFrame, text_col: str = "text", length: int = 400, shard_bytes: int = 3 << 20) -> DataFrame:
     """(t1, t2, s, e) by text key: ranges of first bytes of the strings that also begin elsewhere.
 
@@ -84,7 +152,9 @@ def repeated_windows(docs: DataFrame, text_col: str = "text", length: int = 400,
     occurs twice are looked at further. A run whose whole content occurs twice is repeated,
     and stands once for all its copies in what follows, however many they are. The
     different contents of an anchor come together in one shard, where induced sorting
-    orders their suffixes and finds those that share ``length`` bytes with a neighbour.
+    orders their suffixes and finds those that share ``length`` bytes with a neighbour. An
+    anchor with more than ``shard_bytes`` of contents is divided first, so that no shard
+    holds more than twice as much, but for a single run.
     """
     all_runs = saved(runs(docs, text_col, length), "runs")
     anchors = all_runs.groupBy("a").agg(F.count("*").alias("n"), (F.min("c") != F.max("c")).alias("mixed")).where("n > 1").drop("n")
@@ -102,10 +172,23 @@ def repeated_windows(docs: DataFrame, text_col: str = "text", length: int = 400,
         F.col("p.a").alias("a"), *_T, F.shiftright("p.se", 32).alias("s"), F.col("p.se").bitwiseAND(F.lit(0xFFFFFFFF)).alias("e"), F.col("p.n").alias("n"), "raw"
     )
     snippets = snippets.withColumn("raw", F.expr(f"substring(raw, int(s) + 1, int(e - s) + {length})"))
+    sizes = part.groupBy("a").agg(F.sum(F.col("se").bitwiseAND(F.lit(0xFFFFFFFF)) - F.shiftright("se", 32) + length).alias("size"))
+    over = sizes.where(F.col("size") > shard_bytes).select("a")
+    ranges = whole.select(*_T, F.shiftright("se", 32).alias("s"), F.col("se").bitwiseAND(F.lit(0xFFFFFFFF)).alias("e"))
+    divided, full = [], [r.a for r in over.collect()]
+    if full:
+        crowded = F.col("a").isin(full)
+        large = saved(snippets.where(crowded).select("a", *_T, "s", "e", "n", F.lit(-1).cast("long").alias("p"), "raw"), "crowded")
+        divided, small = divide(large, length, shard_bytes)
+        snippets = snippets.where(~crowded)
+        for t in small:
+            snippets = snippets.unionByName(t)
+        for t in divided:
+            ranges = ranges.unionByName(t)
     sorted_ = snippets.repartition("a").sortWithinPartitions("a").mapInPandas(_sort_shards(length, shard_bytes), "t1 long, t2 long, s long, e long")
-    found = saved(
-        whole.select(*_T, F.shiftright("se", 32).alias("s"), F.col("se").bitwiseAND(F.lit(0xFFFFFFFF)).alias("e")).unionByName(sorted_), "repeats"
-    )
+    found = saved(ranges.unionByName(sorted_), "repeats")
+    for t in divided:
+        discard(t)
     discard(shared)
     discard(contents)
     return found

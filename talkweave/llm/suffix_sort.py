@@ -293,7 +293,7 @@ def repeated(parts: list[bytes], starts: list[int], length: int, most: int = 1 <
             if not len(k):
                 low = min(low, int(lcp.min()))
                 continue
-            least = np.minimum.reduceat(lcp, np.append(0, k[:-1] + 1))
+            least = np.minimum.reduceat(lcp[: k[-1] + 1], np.append(0, k[:-1] + 1))
             least[0] = min(int(least[0]), low) if before >= 0 else 0
             far = np.flatnonzero(least >= length)
             hit[at[k[far]]] = True

@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from talkweave.llm import suffix_anchors, suffix_dedup, suffix_sort
@@ -86,5 +87,43 @@ def test_removed_bytes_equal_brute_force(spark):
     assert got == want
 
 
+def test_the_last_place_of_a_character_counts():
+    r = random.Random(1)
+    for _ in range(20):
+        same = bytes(r.choice(b"abcdefgh ") for _ in range(403))
+        assert [h.tolist() for h in suffix_sort.repeated([b"X" + same, b"Y" + same], [5, 5], 400)] == [[False, True, True, True, True]] * 2
+
+
+def test_crowded_anchors_are_divided(spark, monkeypatch):
+    r = random.Random(4)
+    text = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage, ends = text(900), [text(700) for _ in range(6)]
+    # the passage in 150 surroundings, some of them shared for a part of the way
+    rows = [text(300) + r.choice(ends)[r.randrange(600) :] + passage[r.randrange(40) : 900 - r.randrange(40)] + r.choice(ends)[: r.randrange(120)] + text(300) for _ in range(150)]
+    held = []
+    step = suffix_dedup._sort_shards
+
+    def measured(length, shard_bytes):
+        run = step(length, shard_bytes)
+
+        def sizes(batches):
+            rows = pd.concat(list(batches), ignore_index=True)
+            most = rows.groupby("a")["raw"].agg(lambda x: sum(map(len, x))).max() if len(rows) else 0
+            assert most <= shard_bytes, f"{most} bytes under one anchor"
+            yield from run([rows] if len(rows) else [])
+
+        held.append(shard_bytes)
+        return sizes
+
+    monkeypatch.setattr(suffix_dedup, "_sort_shards", measured)
+    df = spark.createDataFrame([(t,) for t in rows], "text string").repartition(4)
+    key = {(k.t1, k.t2): k.text.encode() for k in suffix_dedup._keyed(df, "text").collect()}
+    got = {t: np.zeros(len(t), bool) for t in key.values()}
+    for w in suffix_dedup.repeated_windows(df, shard_bytes=9000).collect():
+        got[key[w.t1, w.t2]][w.s : w.e + 400] = True
+    raw = [t.encode() for t in rows]
+    assert held == [9000] and all((got[t] == gone).all() for t, gone in zip(raw, brute_repeats(raw, 400)))
+
+
 def test_no_rows(no_docs):
     assert suffix_dedup.remove_repeats(no_docs).collect() == []
