@@ -614,6 +614,15 @@ def g6_branch_rows(spark, sf_dir):
     return lineage.branch_rows(branches, _summary(spark, sf_dir).select("S", "first_user_message")).select("id", "S", "first_user_message", "point")
 
 
+@query()
+def g6_detected_branch_rows(spark, sf_dir):
+    m = P.tree(spark, sf_dir)
+    kept = {"is_sidechain": F.lit(False), **{c: F.lit(None).cast("string") for c in ("cwd", "version", "slug", "permission_mode")}}
+    whole = summary.session_summary(m.withColumns({c: v for c, v in kept.items() if c not in m.columns}))
+    e = lineage.edges(m)
+    return lineage.branch_rows(lineage.branch_facts(lineage.detect_branches(m), lineage.ancestors(e, lineage.leaves(e)), m), whole)
+
+
 _CONFIG = """inv AS (SELECT DISTINCT CASE page_id % 5 WHEN 0 THEN '/w/conf.md' WHEN 1 THEN '/w/own.md' ELSE '/w/' || (page_id % 3) || CASE WHEN page_id % 2 = 0 THEN '/conf.md' ELSE '/own.md' END END AS path FROM pages),
  cand AS (SELECT cwd || '/conf.md' AS path, 0 AS level FROM msg UNION SELECT cwd || '/own.md', 0 FROM msg UNION SELECT '/w/conf.md', 1 FROM msg)"""
 

@@ -111,6 +111,32 @@ def test_branches(spark):
     assert {r.id for r in lineage.branch_rows(b, s).collect()} == {"s", "s:intra-0"}
 
 
+def test_branch_rows_have_their_own_facts(spark):
+    rows = [("r", None, "user", "00", "start"), ("x", "r", "assistant", "01", "ok")]
+    for k in range(6):
+        kind = "user" if k % 2 == 0 else "assistant"
+        rows.append((f"m{k}", f"m{k - 1}" if k else "x", kind, f"1{k}a", f"main {k}"))
+        if k < 5:
+            rows.append((f"b{k}", f"b{k - 1}" if k else "x", kind, f"1{k}b", f"side {k}"))
+        if 2 <= k < 5:
+            rows.append((f"c{k}", f"c{k - 1}" if k > 2 else "b1", kind, f"1{k}c", f"inner {k}"))
+    m = forest(spark, rows).withColumns({"is_sidechain": F.lit(False), **{c: F.lit(None).cast("string") for c in ("cwd", "version", "slug", "permission_mode")}})
+    e = lineage.edges(m)
+    paths = lineage.ancestors(e, lineage.leaves(e))
+    # as detected, a branch inside another has its point and first message where it leaves the main path
+    b = spark.createDataFrame([("s", 0, "b4", "x", "side 0", 7, 2), ("s", 1, "c4", "x", "side 0", 7, 2)], "S string, branch_no int, leaf string, point string, first_user_message string, path_length long, common long")
+    b = b.where("branch_no = 1 or leaf = 'b4'")
+    got = {q.id: q for q in lineage.branch_rows(lineage.branch_facts(b, paths, m), summary.session_summary(m)).collect()}
+    cols = ("created_at", "updated_at", "message_count", "turn_count", "first_user_message", "point", "leaf", "parent_id", "child_ids")
+    facts = {k: tuple(q[c] for c in cols) for k, q in got.items()}
+    assert facts["s"] == ("00", "15a", 16, 7, "start", None, None, None, facts["s"][-1])
+    # both share more with each other than with main, so each is the other's parent, as the rule has it
+    assert facts["s:intra-0"] == ("12b", "14b", 7, 3, "side 2", "b1", "b4", "s:intra-1", ["s:intra-1"])
+    assert facts["s:intra-1"] == ("12c", "14c", 7, 3, "inner 2", "b1", "c4", "s:intra-0", ["s:intra-0"])
+    one = {q.id: tuple(q[c] for c in cols) for q in lineage.branch_rows(lineage.branch_facts(b.where("branch_no = 0"), paths, m), summary.session_summary(m)).collect()}
+    assert one["s:intra-0"] == ("10b", "14b", 7, 3, "side 0", "x", "b4", "s", []) and one["s"][-1] == ["s:intra-0"]
+
+
 def test_cycles_end(spark):
     m = forest(spark, [("a", "c", "user", "1", "x"), ("b", "a", "user", "2", "x"), ("c", "b", "user", "3", "x"), ("t", "c", "user", "4", "x"), ("o", "gone", "user", "5", "x")])
     e = lineage.edges(m)
