@@ -86,22 +86,69 @@ def transitions(rows: DataFrame, by: str = "branch") -> DataFrame:
 def continuation_clusters(ranges: DataFrame, tolerance_s: float = 1.0) -> DataFrame:
     """(S, file, start, end, cluster): files by start, each to the first cluster that ended before it, but for a tolerance.
 
-    A fold over a session's sorted files, inside Catalyst. Without times, a file is its own cluster.
+    A fold over a session's sorted files, which stream through Python in Arrow batches; it holds the clusters' ends only,
+    in a tree of minima that finds the first fitting one. Without times, a file is its own cluster.
     """
-    files = ranges.groupBy("S").agg(F.sort_array(F.collect_list(F.struct("start", "end", "file"))).alias("files"))
-    files = files.withColumn("files", F.concat(F.filter("files", lambda f: f["start"].isNotNull()), F.filter("files", lambda f: f["start"].isNull())))
-    kind = dict(ranges.dtypes)["end"]
-    start = F.struct(F.expr(f"cast(array() as array<{kind}>)").alias("ends"), F.expr("cast(array() as array<int>)").alias("which"))
-    tolerance = F.make_interval(secs=F.lit(tolerance_s))
-
-    def step(acc, f):
-        fits = F.transform(acc["ends"], lambda e: F.coalesce(f["start"] >= e - tolerance, F.lit(False)))
-        k = F.coalesce(F.nullif(F.array_position(fits, F.lit(True)), F.lit(0)), F.size(fits) + 1).cast("int")
-        grown = F.when(k > F.size(fits), F.concat(acc["ends"], F.array(f["end"]))).otherwise(F.transform(acc["ends"], lambda e, i: F.when(i == k - 1, F.greatest(e, f["end"])).otherwise(e)))
-        return F.struct(grown.alias("ends"), F.concat(acc["which"], F.array(k - 1)).alias("which"))
-
-    done = files.withColumn("which", F.aggregate("files", start, step, lambda a: a["which"]))
-    return done.select("S", F.posexplode("files").alias("i", "f"), "which").select("S", "f.file", "f.start", "f.end", F.get("which", F.col("i")).alias("cluster"))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    files = ranges.select("S", "file", "start", "end", micros("start").alias("_start"), micros("end").alias("_end"))
+    files = files.repartition("S").sortWithinPartitions("S", F.col("start").isNull(), "start", "end", "file")
+    types = ", ".join(f"`{c}` {t}" for c, t in files.dtypes[:4])
+    return files.mapInArrow(_cluster_files(round(tolerance_s * 1e6)), f"{types}, cluster int")
+
+
+class _Ends:
+    """Ends of clusters; the first that isn't after a time is found by the logarithm of their number."""
+
+    never = float("inf")
+
+    def __init__(self):
+        self.n, self.room, self.low = 0, 1, [self.never, self.never]
+
+    def first(self, upto: int) -> int | None:
+        if self.low[1] > upto:
+            return None
+        k = 1
+        while k < self.room:
+            k = 2 * k if self.low[2 * k] <= upto else 2 * k + 1
+        return k - self.room
+
+    def put(self, i: int, end: int | None) -> None:
+        k = i + self.room
+        self.low[k] = self.never if end is None else end
+        while k > 1:
+            k //= 2
+            self.low[k] = min(self.low[2 * k], self.low[2 * k + 1])
+
+    def add(self, end: int | None) -> int:
+        if self.n == self.room:
+            ends, self.room = self.low[self.room :], 2 * self.room
+            self.low = [self.never] * self.room + ends + [self.never] * (self.room - len(ends))
+            for k in range(self.room - 1, 0, -1):
+                self.low[k] = min(self.low[2 * k], self.low[2 * k + 1])
+        self.n += 1
+        self.put(self.n - 1, end)
+        return self.n - 1
+
+
+def _cluster_files(tolerance: int):
+    def run(batches):
+        import pyarrow as pa
+
+        session, ends = object(), _Ends()
+        for b in batches:
+            which = []
+            for s, start, end in zip(*(b.column(i).to_pylist() for i in (0, 4, 5))):
+                if s != session:
+                    session, ends = s, _Ends()
+                k = None if start is None else ends.first(start + tolerance)
+                if k is None:
+                    k = ends.add(end)
+                elif end is not None:
+                    ends.put(k, max(end, ends.low[ends.room + k]))
+                which.append(k)
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(which, pa.int32())], names=["S", "file", "start", "end", "cluster"])
+
+    return run
 
 
 def chat_toc(sectioned: DataFrame, turned: DataFrame, labels: DataFrame) -> DataFrame:

@@ -152,6 +152,17 @@ def test_clusters_allow_a_second(spark):
     assert {r.id for r in ids.collect()} == {"s:branch-0", "s:branch-1", "s:branch-2"}
 
 
+def test_a_session_of_many_files_is_clustered(spark):
+    # long files that all overlap, then short ones that each fit a cluster: as many ends as files
+    n = 20_000
+    df = spark.range(2 * n).select(
+        F.lit("s").alias("S"), F.col("id").alias("file"), F.timestamp_seconds(F.when(F.col("id") < n, F.col("id")).otherwise(F.col("id") + 10 * n)).alias("start"),
+        F.timestamp_seconds(F.when(F.col("id") < n, F.col("id") + 2 * n).otherwise(F.col("id") + 20 * n)).alias("end"),
+    ).repartition(4)
+    got = sequence.continuation_clusters(df)
+    assert got.where("cluster <> file % 20000").count() == 0 and got.count() == 2 * n
+
+
 def turn_rows(spark, rows):
     return spark.createDataFrame([("s", 0, k, t, s, x, n) for k, (t, s, x, n) in enumerate(rows)], "S string, section_no int, ord int, type string, subtype string, text string, n_tools int")
 
