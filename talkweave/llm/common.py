@@ -44,6 +44,11 @@ def discard(df: DataFrame) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def few_or_shuffled(df: DataFrame, most: int = 1 << 19) -> DataFrame:
+    """A side of a join on keys of at most 16 bytes: broadcast if it has at most ``most`` rows, else hashed where both sides meet."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df.hint("shuffle_hash")
+
+
 def keyed_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(k, t): ids as strings, so that nulls and large integers pass Python unchanged; null texts are empty."""
     return docs.select(F.col(id_col).cast("string").alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
@@ -73,7 +78,7 @@ def text_batches(texts: list[str], most: int = 512, chars: int = 1 << 21) -> Ite
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """(id, component) for every node of ``edges``; component is the smallest id reachable.
+    """(id, component), saved, for every node of ``edges``; component is the smallest id reachable.
 
     Alternating large-star and small-star rounds: each node's neighbours move to its
     smallest neighbour, until the edge set no longer changes. Minima are aggregated
@@ -104,6 +109,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         if now == seen:
             break
         seen = now
-    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
-        e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
+    out = saved(
+        e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()),
+        "components",
     )
+    discard(e)
+    return out

@@ -190,7 +190,7 @@ def near_duplicate_vectors(
     edges = found[0]
     for f in found[1:]:
         edges = edges.unionByName(f)
-    components = saved(connected_components(edges), "components")
+    components = connected_components(edges)
     sizes = components.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     own = (
         components.join(sizes, "component")

@@ -1,22 +1,20 @@
-"""Fuzzy line dedup by MinHash.
-
-Signatures, shingle sets and their comparison are numpy in Arrow batches: the form with
-DataFrame functions alone took five times the CPU seconds allowed (figures in README.md).
-"""
+"""Fuzzy line dedup by MinHash, in DataFrame operations alone."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import random
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
-from talkweave.llm.common import connected_components, discard, saved, text_batches
+from talkweave.llm.common import connected_components, discard, few_or_shuffled, saved
 
-_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_NONE = (1 << 63) - 1
+#: Shingles that one row of the signature's aggregate takes at once.
+_CHUNK = 8
+#: What tells a document: its id and a 128-bit hash of it and its text.
+_DOC = ["id", "r1", "r2"]
+_LINE = ["k1", "k2"]
 
 
 def normalized(line: Column) -> Column:
@@ -24,204 +22,168 @@ def normalized(line: Column) -> Column:
     return F.lower(F.trim(line))
 
 
+def document_keys(id_: Column, text: Column) -> list[Column]:
+    """128 bits over the id and the text, as r1 and r2."""
+    return [F.xxhash64(id_, text).alias("r1"), F.xxhash64(F.lit(1), text, id_).alias("r2")]
+
+
 def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, pos, line): the lines that aren't blank; line is normalised."""
-    split = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
-    return split.select("id", "pos", normalized(F.col("line")).alias("line")).where("line <> ''")
+    """(id, r1, r2, pos, line, k1, k2): the lines that aren't blank, normalised, with 128 bits of hash."""
+    own = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    split = own.select("id", *document_keys(F.col("id"), F.col("text")), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    plain = split.select(*_DOC, "pos", normalized(F.col("line")).alias("line")).where("line <> ''")
+    return plain.select("*", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"))
+
+
+def band_bins(bins: int, bands: int, seed: int = 17) -> list[tuple[int, ...]]:
+    """The three bins of each band: every bin about as often, and two bins together at most once while that can be."""
+    r, out, used, together = random.Random(seed), [], [0] * bins, set()
+    for _ in range(bands):
+        tries = [tuple(sorted(r.sample(range(bins), 3))) for _ in range(200)]
+        pairs = lambda t: {(t[0], t[1]), (t[0], t[2]), (t[1], t[2])}
+        best = min(tries, key=lambda t: (len(pairs(t) & together), sum(used[b] for b in t)))
+        out.append(best)
+        together |= pairs(best)
+        for b in best:
+            used[b] += 1
+    return out
 
 
-def shingle_hashes(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(32-bit hashes of the shingles of all lines, where each line's begin).
+def hashed_chunks(rows: DataFrame, width: int) -> DataFrame:
+    """(k1, k2, c, h0, ..., h7): the hashes of eight shingles a row; rows: (k1, k2, line).
 
-    A shingle is ``width`` characters from any place; a shorter line, an empty one too,
-    is one shingle. Repeats stay. Time follows the length.
+    A shingle is ``width`` UTF-16 units from any place, or the whole of a shorter line. Past the last one, the hash is the largest.
     """
-    pad = "\U0010ffff" * width
-    codes = np.frombuffer("".join(x + pad for x in lines).encode("utf-32-le", "surrogatepass"), "<u4").astype("u8")
-    size = np.fromiter(map(len, lines), "i8", len(lines))
-    places = np.concatenate([[0], np.cumsum(size + width)[:-1]])
-    counts = np.maximum(1, size - width + 1)
-    offsets = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    h = np.zeros(len(codes) - width + 1, "u8")
-    for j in range(width):
-        h *= _FACTOR
-        h += codes[j : j + len(h)]
-    h = h[np.arange(counts.sum()) + np.repeat(places - offsets, counts)]
-    h = (h ^ (h >> np.uint64(29))) * _FACTOR
-    return (h >> np.uint64(32)).astype("u4"), offsets
-
-
-def signatures(rows: DataFrame, width: int, bands: int, band_rows: int, seed: int = 17) -> DataFrame:
-    """(k, b0, b1, ...): for each line, the bucket of each band of its MinHash signature; rows: (k, line).
-
-    A permutation of the hashes is an exclusive or with a random number, followed by the minimum.
+    u = rows.select(*_LINE, F.encode("line", "UTF-16BE").alias("u"))
+    u = u.withColumn("n", F.expr(f"greatest(1, octet_length(u) div 2 - {width - 1})"))
+    c = u.withColumn("c", F.explode(F.expr(f"sequence(0, (n - 1) div {_CHUNK})")))
+    c = c.select(*_LINE, "c", F.expr(f"substring(u, {2 * _CHUNK} * c + 1, {2 * (_CHUNK + width - 1)})").alias("s"), F.expr(f"n - {_CHUNK} * c").alias("left"))
+    h = [F.expr(f"if({q} < left, xxhash64(substring(s, {2 * q + 1}, {2 * width})), {_NONE}L)").alias(f"h{q}") for q in range(_CHUNK)]
+    return c.select(*_LINE, "c", *h)
+
+
+def signatures(rows: DataFrame, width: int, bins: int, bands: int, seed: int = 17) -> DataFrame:
+    """(k1, k2, n, b0, b1, ...): for each different line how often it occurs, and its bucket in each band; rows: (k1, k2, line).
+
+    A one-permutation MinHash: every shingle is hashed once, and the least hash of each of
+    ``bins`` classes of hashes makes the signature. A class without a hash takes that of
+    another one, in an order of its own.
     """
-    flips = np.random.default_rng(seed).integers(0, 1 << 32, (bands, band_rows), "u4")
-    names = [f"b{i}" for i in range(bands)]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b, at = b.drop_duplicates("k"), 0
-            keys = b["k"].to_numpy()
-            for part in text_batches(b["line"].tolist(), 4096, 1 << 19):
-                h, offsets = shingle_hashes(part, width)
-                out = {"k": keys[at : at + len(part)]}
-                at += len(part)
-                for i, name in enumerate(names):
-                    key = np.full(len(part), i + 1, "u8")
-                    for flip in flips[i]:
-                        key = (key ^ (key >> np.uint64(31))) * _FACTOR + np.minimum.reduceat(h ^ flip, offsets)
-                    out[name] = ((key ^ (key >> np.uint64(31))) * _FACTOR).view("i8")
-                yield pd.DataFrame(out)
-
-    return rows.select("k", "line").mapInPandas(run, "k long, " + ", ".join(f"{n} long" for n in names)).dropDuplicates(["k"])
+    c = hashed_chunks(rows, width)
+    c = c.select(
+        *_LINE, "c",
+        *(F.expr(f"cast((h{q} & 65535L) % {bins} as int)").alias(f"j{q}") for q in range(_CHUNK)),
+        *(F.expr(f"shiftrightunsigned(h{q}, 16)").alias(f"v{q}") for q in range(_CHUNK)),
+    )
+    none = _NONE >> 16  # of the places past a line's end
+    least = [F.min(F.least(*(F.expr(f"if(j{q} = {j}, v{q}, {none}L)") for q in range(_CHUNK)))).alias(f"m{j}") for j in range(bins)]
+    found = c.groupBy(*_LINE).agg(F.sum(F.expr("if(c = 0, 1L, 0L)")).alias("n"), *least)
+    r, filled = random.Random(seed), []
+    for j in range(bins):
+        order = [j, *r.sample([x for x in range(bins) if x != j], bins - 1)]
+        filled.append(F.coalesce(*(F.expr(f"nullif(m{x}, {none}L)") for x in order)).alias(f"m{j}"))
+    found = found.select(*_LINE, "n", *filled)
+    return found.select(*_LINE, "n", *(F.xxhash64(F.lit(i), *(f"m{j}" for j in b)).alias(f"b{i}") for i, b in enumerate(band_bins(bins, bands, seed))))
 
 
 def shingle_sets(rows: DataFrame, width: int) -> DataFrame:
-    """(k, shingles): the sorted set of a line's shingles, as little-endian 32-bit hashes; rows: (k, line)."""
+    """(k, s): the set of a line's shingles, as 32-bit hashes, of different lines (k1, k2, line)."""
+    none = _NONE >> 32
+    part = F.filter(F.array(*(F.expr(f"cast(shiftright(h{q}, 32) as int)") for q in range(_CHUNK))), lambda h: h != none)
+    every = F.array(*(F.expr(f"cast(shiftright(h{q}, 32) as int)") for q in range(_CHUNK)))
+    part = F.when(F.col(f"h{_CHUNK - 1}") == _NONE, part).otherwise(every)
+    return hashed_chunks(rows, width).groupBy(*_LINE).agg(F.array_distinct(F.flatten(F.collect_list(part))).alias("s")).select(F.struct(*_LINE).alias("k"), "s")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            keys, at = b["k"].to_numpy(), 0
-            for part in text_batches(b["line"].tolist(), 4096, 1 << 19):
-                h, offsets = shingle_hashes(part, width)
-                yield pd.DataFrame({"k": keys[at : at + len(part)], "shingles": [np.unique(x).tobytes() for x in np.split(h, offsets[1:])]})
-                at += len(part)
 
-    return rows.select("k", "line").mapInPandas(run, "k long, shingles binary")
+def jaccard_holds(a: Column, b: Column, similarity: float) -> Column:
+    """Whether two sets' Jaccard similarity is at least ``similarity``; unlike sizes are seen first."""
+    small, large = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
+    # so many common ones are needed; less what rounding may add
+    need = F.ceil((F.size(a) + F.size(b)) * (similarity / (1 + similarity)) - 1e-9)
+    return (small >= similarity * large) & (F.size(F.array_intersect(a, b)) >= need)
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(src, dst) of the pairs whose shingle sets have that Jaccard similarity."""
-
-    @pandas_udf("boolean")
-    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b):
-            x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
-            both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-            out.append(both >= similarity * (len(x) + len(y) - both))
-        return pd.Series(out, dtype=bool)
-
-    a, b = (sets.select(F.col("k").alias(k), F.col("shingles").alias(s)) for k, s in (("src", "a"), ("dst", "b")))
-    small, large = F.least(F.length("a"), F.length("b")), F.greatest(F.length("a"), F.length("b"))
-    return pairs.join(a, "src").join(b, "dst").where(small >= similarity * large).where(similar("a", "b")).select("src", "dst")
-
-
-def shared_counts(a: list[np.ndarray], b: list[np.ndarray], columns: int = 8192) -> np.ndarray:
-    """How many numbers each set of ``a`` has in common with each set of ``b``; numbers in one list alone don't matter."""
-    flat_a, flat_b = np.concatenate(a), np.concatenate(b)
-    row_a, row_b = (np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (a, b))
-    common = np.intersect1d(flat_a, flat_b)
-    out = np.zeros((len(a), len(b)), "f4")
-    if not len(common):
-        return out
-    at_a, at_b = np.searchsorted(common, flat_a), np.searchsorted(common, flat_b)
-    in_a, in_b = (common[np.minimum(at, len(common) - 1)] == x for at, x in ((at_a, flat_a), (at_b, flat_b)))
-    for c in range(0, len(common), columns):
-        dense = []
-        for rows, at, known, n in ((row_a, at_a, in_a, len(a)), (row_b, at_b, in_b, len(b))):
-            here = known & (at >= c) & (at < c + columns)
-            m = np.zeros((n, min(columns, len(common) - c)), "f4")
-            m[rows[here], at[here] - c] = 1
-            dense.append(m)
-        out += dense[0] @ dense[1].T
-    return out
+    """(src, dst) of the pairs of lines that are similar; sets: (k, s)."""
+    a, b = (sets.select(F.col("k").alias(k), F.col("s").alias(s)) for k, s in (("src", "a"), ("dst", "b")))
+    return pairs.join(a, "src").join(b, "dst").where(jaccard_holds(F.col("a"), F.col("b"), similarity)).select("src", "dst")
 
 
-def _links_across(similarity: float, block: int = 256):
-    """(src, dst): components that similar lines of a bucket's block pair join, each as soon as it is found.
+def links_across(rest: DataFrame, similarity: float, block_lines: int = 64, block_items: int = 1 << 17) -> DataFrame:
+    """(src, dst): components that similar lines of a bucket join; rest: (band, k, component, s).
 
-    Sets are compared by exact Jaccard similarity, ``block`` against ``block`` lines at once.
-    Lines whose components are joined already give no link.
+    A bucket's lines are dealt into blocks of about ``block_lines`` lines or ``block_items``
+    shingles, and a row holds two blocks, whose lines of different components are compared.
+    Two lines that share several buckets are compared in the one of the smallest number.
     """
+    size = F.greatest(F.count("*") / block_lines, F.sum(F.size("s") + 1) / block_items)
+    blocks = rest.groupBy("band").agg(F.ceil(size).cast("int").alias("blocks"))
+    every = rest.groupBy("k").agg(F.collect_set("band").alias("bands"))
+    dealt = rest.join(blocks, "band").join(every, "k").withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
+    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", F.struct("component", "bands", "s").alias("x")
+    )
+    held = pairs.groupBy("band", "lo", "hi").agg(
+        F.collect_list(F.when(F.col("own") == F.col("lo"), F.col("x"))).alias("a"), F.collect_list(F.when(F.col("own") == F.col("hi"), F.col("x"))).alias("b")
+    )
+
+    def meet(x, y):
+        apart = F.when(F.col("lo") == F.col("hi"), x["component"] < y["component"]).otherwise(x["component"] != y["component"])
+        return apart & (F.array_min(F.array_intersect(x["bands"], y["bands"])) == F.col("band")) & jaccard_holds(x["s"], y["s"], similarity)
+
+    edge = lambda x, y: F.struct(F.greatest(x["component"], y["component"]).alias("src"), F.least(x["component"], y["component"]).alias("dst"))
+    near = F.flatten(F.transform("a", lambda x: F.transform(F.filter("b", lambda y: meet(x, y)), lambda y: edge(x, y))))
+    return held.select(F.explode(F.array_distinct(near)).alias("e")).select("e.src", "e.dst")
 
-    def links(group: list[tuple]) -> list[tuple]:
-        names, label = np.unique(np.array([r[3] for r in group], "i8"), return_inverse=True)
-        sets, own = [np.frombuffer(r[5], "<u4") for r in group], np.array([r[4] for r in group])
-        size, apart, out = np.array([len(x) for x in sets]), group[0][1] != group[0][2], []
-        for i in range(0, len(sets), block):
-            for j in range(i, len(sets), block):
-                p, q = slice(i, i + block), slice(j, j + block)
-                different = label[p, None] != label[None, q]
-                if apart:
-                    different &= own[p, None] != own[None, q]
-                if not different.any():
-                    continue
-                both = shared_counts(sets[p], sets[q])
-                near = different & (both >= similarity * (size[p, None] + size[None, q] - both))
-                for s, d in zip(*np.nonzero(near)):
-                    u, v = label[i + s], label[j + d]
-                    if u != v:
-                        out.append((names[u], names[v]))
-                        label[label == max(u, v)] = min(u, v)
-        return out
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group: list[tuple] = []
-        for b in batches:
-            out = []
-            for row in b.itertuples(index=False, name=None):
-                if group and row[:3] != group[0][:3]:
-                    out += links(group)
-                    group = []
-                group.append(row)
-            yield pd.DataFrame(out, columns=["src", "dst"], dtype="i8")
-        if group:
-            yield pd.DataFrame(links(group), columns=["src", "dst"], dtype="i8")
-
-    return run
-
-
-def similar_lines(rows: DataFrame, width: int = 10, similarity: float = 0.8, bands: int = 8, band_rows: int = 3, block_bytes: int = 16 << 20) -> DataFrame:
-    """(id, component) of the lines, by hash, that are similar to another one; rows: (k, line).
+
+def similar_lines(rows: DataFrame, signed: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(id, component) of the lines, by key (k1, k2), that are similar to another one; rows: (k1, k2, line), signed: their ``signatures``.
 
     Lines in a common bucket are candidates. A bucket's members are first compared with
     its smallest one. Components of the pairs that hold leave few buckets in which
     members are still apart; there all members of different components are compared, in
-    pairs of blocks of about ``block_bytes`` of shingles, which give no more links than
-    they have components. No bucket is capped.
+    pairs of blocks. No bucket is capped, and no pair of a bucket is left out.
     """
-    signed = saved(signatures(rows, width, bands, band_rows), "signatures")
-    banded = signed.select("k", F.explode(F.array(*(f"b{i}" for i in range(bands)))).alias("band"))
-    least = banded.groupBy("band").agg(F.min("k").alias("center"), F.max("k").alias("other")).where("center <> other").select("band", "center")
-    members = saved(banded.join(least, "band"), "members")
-    discard(signed)
-    ids = members.select("k").distinct()
-    sets = saved(shingle_sets(rows.join(ids, "k").groupBy("k").agg(F.min("line").alias("line")), width), "shingles")
-    stars = members.where("k <> center").select(F.col("k").alias("src"), F.col("center").alias("dst")).distinct()
+    buckets = [c for c in signed.columns if c.startswith("b")]
+    banded = signed.select(*_LINE, F.explode(F.array(*buckets)).alias("band"))
+    shared = saved(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "shared")
+    members = saved(banded.join(few_or_shuffled(shared), "band").select("band", F.struct(*_LINE).alias("k")), "members")
+    ids = saved(members.select("k.*").distinct(), "ids")
+    sets = saved(shingle_sets(rows.join(few_or_shuffled(ids), _LINE).select(*_LINE, "line").dropDuplicates(_LINE), width), "sets")
+    centers = members.groupBy("band").agg(F.min("k").alias("center"))
+    stars = members.join(centers, "band").where("k <> center").select(F.col("k").alias("src"), F.col("center").alias("dst")).distinct()
     first = saved(similar_pairs(stars, sets, similarity), "links")
-    found = saved(connected_components(first), "components")
+    found = connected_components(first)
     apart = members.join(found.withColumnRenamed("id", "k"), "k", "left").select("band", "k", F.coalesce("component", "k").alias("component"))
     # two members of which one is the center were compared before
     mixed = apart.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("z"), F.count("*").alias("n")).where("a <> z and n > 2").select("band")
-    rest = saved(apart.join(mixed, "band").join(sets, "k").select("band", "k", "component", "shingles"), "mixed")
-    blocks = rest.groupBy("band").agg(F.ceil(F.sum(F.length("shingles") + 64) / block_bytes).cast("int").alias("blocks"))
-    dealt = rest.join(blocks, "band").withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
-    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "component", "own", "shingles"
-    )
-    joins = pairs.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi").mapInPandas(_links_across(similarity), "src long, dst long")
-    joined = saved(connected_components(joins), "joined")
+    rest = saved(apart.join(mixed, "band").join(sets, "k").select("band", "k", "component", "s"), "mixed")
+    joined = connected_components(links_across(rest, similarity))
     alone = joined.join(found, "id", "left_anti").select("id", F.col("id").alias("component"))
     top = joined.select(F.col("id").alias("component"), F.col("component").alias("top"))
     out = saved(found.unionByName(alone).join(top, "component", "left").select("id", F.coalesce("top", "component").alias("component")), "components")
-    for t in (members, sets, first, found, rest, joined):
+    for t in (shared, members, ids, sets, first, found, rest, joined):
         discard(t)
     return out
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """(id, gone): the positions of each document's lines that aren't the first of their component, in order of id and position."""
-    rows = saved(lines(docs, id_col, text_col).select(F.xxhash64("line").alias("k"), "id", "pos"), "lines")
-    similar = similar_lines(lines(docs, id_col, text_col).select(F.xxhash64("line").alias("k"), "line"), **how)
-    first = rows.groupBy("k").agg(F.count("*").alias("n"), F.min(F.struct("id", "pos")).alias("at"))
-    first = first.join(similar.withColumnRenamed("id", "k"), "k", "left").where("n > 1 or component is not null").select("k", "at", F.coalesce("component", "k").alias("component"))
-    first = saved(first, "firsts")
-    kept = first.groupBy("component").agg(F.min("at").alias("kept"))
-    keep = first.join(kept, "component").select("k", F.col("kept.id").alias("kept_id"), F.col("kept.pos").alias("kept_pos"))
-    gone = rows.join(keep, "k").where(~(F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("pos") == F.col("kept_pos"))))
-    return gone.groupBy("id").agg(F.collect_set("pos").alias("gone")).withColumnRenamed("id", id_col)
+def repeated_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 10, similarity: float = 0.8, bins: int = 12, bands: int = 10
+) -> DataFrame:
+    """(r1, r2, gone), saved: by document key, the positions of its lines that aren't the first of their component, in order of id and position."""
+    rows = saved(lines(docs, id_col, text_col), "lines")
+    signed = saved(signatures(rows, width, bins, bands), "signatures")
+    similar = similar_lines(rows, signed, width, similarity)
+    linked = similar.select("id.*", "component")
+    marked = signed.where("n > 1").select(*_LINE).join(linked, _LINE, "full").select(*_LINE, F.coalesce("component", F.struct(*_LINE)).alias("component"))
+    found = saved(rows.select(*_LINE, *_DOC, "pos").join(marked, _LINE).select("component", F.struct(*_DOC, "pos").alias("at")), "found")
+    for t in (rows, signed, similar):
+        discard(t)
+    kept = found.groupBy("component").agg(F.min("at").alias("kept"))
+    gone = found.join(kept, "component").where("at <> kept").groupBy("at.r1", "at.r2").agg(F.collect_set("at.pos").alias("gone"))
+    gone = saved(gone, "gone")
+    discard(found)
+    return gone
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -230,13 +192,17 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Lines are similar if the Jaccard similarity of their character shingles is at least
     ``similarity``, or linked through such lines; the line with the smallest id and
     position of each component stays. Blank lines and null texts stay as they are; a text
-    all of whose lines go becomes empty. Rows with the same id keep the same lines; rows with
-    a null id come first and are one document in this respect. Lines are known by a
-    64-bit hash.
+    all of whose lines go becomes empty. A document is known by its id and its text: rows
+    that share an id but not the text are different ones (in the order of a hash), rows
+    that share both are one document here and keep the same lines, and null ids come
+    first. Other columns may have any name. No rows give no rows. Lines and documents are
+    told apart by 128 bits of hash, shingles by 32.
     """
-    gone = repeated_lines(docs, id_col, text_col, **how).select(F.struct(F.col(id_col).alias("id")).alias("_key"), F.col("gone").alias("_gone"))
-    parts = F.split(text_col, "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get("_parts", i)), "\n"))
-    out = docs.withColumn("_key", F.struct(F.col(id_col).alias("id"))).join(gone, "_key", "left").withColumn("_parts", parts)
-    return out.withColumn(text_col, text).select(*docs.columns)
+    gone = repeated_lines(docs, id_col, text_col, **how)
+    text = F.col(text_col)
+    own = docs.select(F.struct("*").alias("row"), text.alias("text"), *document_keys(F.col(id_col), text))
+    out = own.join(gone.hint("shuffle_hash"), ["r1", "r2"], "left").withColumn("parts", F.when(F.col("gone").isNotNull(), F.split("text", "\n")))
+    left = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("gone"))
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("parts", i)), "\n"))
+    out = out.select("row", text.alias("text"))
+    return out.select(*((F.col("text") if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns))

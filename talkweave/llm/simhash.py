@@ -79,7 +79,7 @@ def link_fingerprints(fps: DataFrame, radius: int = 3) -> DataFrame:
         .select(F.col("fp").alias("src"), F.col("center").alias("dst")).distinct(),
         "links",
     )
-    found = saved(connected_components(first), "components")
+    found = connected_components(first)
     labelled = rows.join(found.withColumnRenamed("id", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     mixed = labelled.groupBy("t", "key").agg(F.min("component").alias("a"), F.max("component").alias("z")).where("a <> z").select("t", "key")
     open_rows = saved(labelled.join(mixed, ["t", "key"]), "mixed")
@@ -88,7 +88,7 @@ def link_fingerprints(fps: DataFrame, radius: int = 3) -> DataFrame:
         left.join(right, (F.col("l.t") == F.col("r.t")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.component") < F.col("r.component")) & near("l.fp", "r.fp"))
         .select(F.col("l.component").alias("src"), F.col("r.component").alias("dst")).distinct()
     )
-    joined = saved(connected_components(second), "components")
+    joined = connected_components(second)
     out = (
         fps.select(F.col("fp").alias("id"))
         .join(found, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")

@@ -1,6 +1,5 @@
 import random
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from talkweave.llm import line_dedup
@@ -70,16 +69,54 @@ def test_no_rows_and_repeats(spark, no_docs):
     assert [r.text for r in line_dedup.drop_repeated_lines(same).collect()] == ["one line", "one line"]
 
 
-def test_shingles_of_long_lines():
-    text = "".join(chr(97 + (i * i) % 23) for i in range(5432))
-    lines = [text, "short", "", text[:11]]
-    h, offsets = line_dedup.shingle_hashes(lines, 10)
-    assert [len(set(x)) for x in np.split(h, offsets[1:])] == [len(grams(x)) for x in lines]
-
-
-def test_shared_counts():
-    r = np.random.default_rng(3)
-    a, b = ([np.unique(r.integers(0, 60, r.integers(0, 50)).astype("u4")) for _ in range(n)] for n in (7, 5))
-    for columns in (4, 8192):
-        got = line_dedup.shared_counts(a, b, columns)
-        assert got.tolist() == [[len(set(x) & set(y)) for y in b] for x in a]
+def test_rows_that_share_an_id_lose_no_unlike_text(spark):
+    rows = [(0, "first text of all"), (1, "first text of all"), (1, "another text under that id"), (None, "a third text, without an id"), (None, "and one more of these")]
+    df = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "doc_id long, text string, _gone int, parts int, r1 int")
+    got = line_dedup.drop_repeated_lines(df)
+    assert got.columns == df.columns
+    assert sorted(r.text for r in got.collect()) == sorted(["first text of all", "", *(t for _, t in rows[2:])])
+
+
+def test_signature_stays_on_the_jvm(spark):
+    df = spark.createDataFrame([(1, "a line of text to sign\nshort")], "doc_id long, text string")
+    signed = line_dedup.signatures(line_dedup.lines(df, "doc_id", "text"), 10, 12, 10)
+    plan = signed._jdf.queryExecution().toString()
+    assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_recall_at_the_threshold(spark):
+    """Of pairs of lines near Jaccard 0.8, short and long, nearly all share a bucket."""
+    r = random.Random(9)
+    pairs = []
+    for n in [*range(14, 60, 2)] * 12 + [*range(80, 600, 20)] * 8:
+        x = "".join(r.choice("abcdefghij klmnop") for _ in range(n))
+        for _ in range(40):
+            y = list(x)
+            for _ in range(max(1, n // 110)):
+                y[r.choice([0, 1, -1, r.randrange(n)])] = "Z"
+            y = "".join(y) + "q" * r.randrange(2)
+            j = len(grams(x) & grams(y)) / len(grams(x) | grams(y))
+            if 0.8 <= j < 0.9:
+                pairs.append((x, y))
+                break
+    assert len(pairs) > 300
+    rows = spark.createDataFrame([(2 * i + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p)], "k1 long, line string").withColumn("k2", F.lit(0).cast("long"))
+    got = {row.k1: {row[f"b{i}"] for i in range(10)} for row in line_dedup.signatures(rows, 10, 12, 10).collect()}
+    met = [bool(got[2 * i] & got[2 * i + 1]) for i in range(len(pairs))]
+    assert sum(met) >= 0.97 * len(met)
+    short = [m for m, (x, _) in zip(met, pairs) if len(x) < 40]
+    assert sum(short) >= 0.95 * len(short)
+
+
+def test_blocks_of_a_bucket_meet(spark):
+    """A bucket dealt into many blocks gives the links that all its pairs give."""
+    r = random.Random(2)
+    base = "".join(r.choice("abcdefghijkl") for _ in range(120))
+    texts = sorted({base[: 60 + i] + "".join(r.choice("xyz") for _ in range(i % 7)) for i in range(50)})
+    lines = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "k1 long, k2 long, line string")
+    own = line_dedup.shingle_sets(lines, 10)
+    assert {r.k.k1: len(r.s) for r in own.collect()} == {i: len(grams(t)) for i, t in enumerate(texts)}
+    df = own.select(F.explode(F.array(F.lit(1), F.lit(2))).alias("band"), "k", F.col("k").alias("component"), "s")
+    got = {(x.src.k1, x.dst.k1) for x in line_dedup.links_across(df, 0.8, block_lines=7).collect()}
+    sets = [grams(t) for t in texts]
+    assert got == {(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
