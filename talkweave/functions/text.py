@@ -17,6 +17,8 @@ REMINDER = r"(?s)<system-reminder>.*?</system-reminder>\s*"
 DEFERRED_TOOLS = r"(?s)<available-deferred-tools>.*?</available-deferred-tools>\s*"
 IMAGE_PATH = r"\[Image: source: ([^\]]+)\]"
 ONLY_IMAGE_PATHS = r"^\[Image: source: [^\]]+\](\s*\[Image: source: [^\]]+\])*\s*$"
+# Fixed value: the white space that the log format's own tools trim.
+SPACE = r"\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 INSTRUCTION_DOC = r"(?s)Contents of[^\n]*?CLAUDE\.md[^\n]*?:\n(.*?)(?:\n\nContents of|\n</|$)"
 
 
@@ -26,7 +28,7 @@ def _c(x: Column | str) -> Column:
 
 def strip(x: Column | str) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(_c(x), r"^\s+|\s+$", "")
+    return F.regexp_replace(_c(x), rf"^[{SPACE}]+|[{SPACE}]+\z", "")
 
 
 def present(x: Column | str) -> Column:
@@ -92,6 +94,24 @@ def safe_name(x: Column | str) -> Column:
     return F.coalesce(present(F.left(strip(t), F.lit(60))), F.lit("untitled"))
 
 
+def lines(x: Column | str) -> Column:
+    """Lines of a text, each with whether it is code: a line of a fence or between two."""
+    # the text before the first fence, then from each fence to the next: every second part is code
+    parts = F.split(F.concat(F.lit("\n"), _c(x)), r"(?dm)^(?=```)")
+    last = F.size(parts) - 1
+    rows = lambda p, i: F.split(F.when(i < last, F.substring(p, F.lit(1), F.length(p) - 1)).otherwise(p), "\n")
+    marked = F.transform(parts, lambda p, i: F.transform(rows(p, i), lambda y: F.struct(y.alias("line"), ((i % 2 == 1) | y.startswith("```")).alias("in_code"))))
+    every = F.flatten(marked)
+    return F.slice(every, F.lit(2), F.size(every) - 1)  # the first line is the one put before the text
+
+
+def bold_headings(x: Column | str) -> Column:
+    """headings outside code as bold text, their own ``**`` taken out."""
+    heading = rf"^#{{1,6}}[{SPACE}]+([^\n\r\u2028\u2029]+)\z"
+    bold = lambda y: F.concat(F.lit("**"), F.regexp_replace(F.regexp_extract(y, heading, 1), r"\*\*", ""), F.lit("**"))
+    return F.array_join(F.transform(lines(x), lambda y: F.when(~y["in_code"] & y["line"].rlike(heading), bold(y["line"])).otherwise(y["line"])), "\n")
+
+
 def short_time(ts: Column | str) -> Column:
     """month/day and time, UTC."""
     return F.date_format(F.to_timestamp(_c(ts)), "M/d HH:mm")

@@ -59,12 +59,23 @@ def inject_branch_members(members: DataFrame, placements: DataFrame, folders: Da
     return distinct_members(members.select("folder_id", "member_id").unionByName(placements.select("folder_id", "member_id").join(known, "folder_id", "left_semi")))
 
 
-def image_gallery(paths: DataFrame, inline: DataFrame) -> DataFrame:
-    """(S, ts, source, i, path): path references by (S, ts, i), and inline images only where no path has their time."""
-    with_paths = paths.select("S", "ts").distinct()
-    shown = inline.join(with_paths, ["S", "ts"], "left_anti").select("S", "ts", F.lit("inline").alias("source"), "i", F.lit(None).cast("string").alias("path"))
-    paired = paths.join(inline.select("S", "ts", "i", F.lit(True).alias("_has")), ["S", "ts", "i"], "left")
-    return paired.select("S", "ts", F.when(F.col("_has"), "paired").otherwise("path").alias("source"), "i", "path").unionByName(shown)
+def image_gallery(m: DataFrame, images: DataFrame) -> DataFrame:
+    """(S, ord, i, path, image_ord, is_pasted): the images that users show. m: (S, ord, type, ts, text), images: (S, ord, i) inline.
+
+    The i-th path of a text goes with the i-th inline image of the first other user message of
+    the same time (image_ord; null: none). Inline images count of themselves only where no text has paths at their time.
+    """
+    users = m.where("type = 'user'").select("S", "ord", "ts", "text")
+    paths = users.select("S", "ord", "ts", F.posexplode(T.image_paths("text")).alias("i", "path"))
+    shown = images.join(users.select("S", "ord", "ts"), ["S", "ord"])
+    nth = F.row_number().over(Window.partitionBy("S", "ts").orderBy("ord"))
+    firsts = shown.select("S", "ts", "ord").distinct().withColumn("nth", nth).where("nth <= 2").groupBy("S", "ts").agg(F.min("ord").alias("a"), F.max("ord").alias("b"))
+    other = F.when(F.col("a") != F.col("ord"), F.col("a")).when(F.col("b") != F.col("ord"), F.col("b"))
+    paired = paths.join(firsts, ["S", "ts"], "left").withColumn("at", other)
+    has = images.select("S", F.col("ord").alias("at"), "i", F.col("ord").alias("image_ord"))
+    paired = paired.join(has, ["S", "at", "i"], "left").select("S", "ord", "i", "path", "image_ord", F.lit(False).alias("is_pasted"))
+    alone = shown.join(paths.select("S", "ts").distinct(), ["S", "ts"], "left_anti")
+    return paired.unionByName(alone.select("S", "ord", "i", F.lit(None).cast("string").alias("path"), F.col("ord").alias("image_ord"), F.lit(True).alias("is_pasted")))
 
 
 def attach_export_paths(summary: DataFrame, exports: DataFrame) -> DataFrame:
@@ -175,8 +186,29 @@ def load_folder_tree(flat: DataFrame) -> DataFrame:
     return flat.join(level, "id")
 
 
-def flatten_library(meta: DataFrame, highlights: DataFrame) -> DataFrame:
-    """Meta rows that say something: a title, notes or highlights."""
+def says_something(meta: DataFrame, highlights: DataFrame) -> DataFrame:
+    """Meta rows with a title, notes or highlights, and n_highlights."""
     n = highlights.groupBy(F.col("session_id").alias("id")).agg(F.count("*").alias("n_highlights"))
     out = meta.join(n, "id", "left").withColumn("n_highlights", F.coalesce("n_highlights", F.lit(0)))
     return out.where("coalesce(custom_title, '') <> '' or coalesce(notes, '') <> '' or n_highlights > 0")
+
+
+def flatten_library(
+    folders: DataFrame, order: DataFrame, members: DataFrame, meta: DataFrame, highlights: DataFrame, branch_members: DataFrame, branch_meta: DataFrame
+) -> dict[str, DataFrame]:
+    """Folders (with way), members and meta of a library.
+
+    way: the places among siblings (H4) from the root down to the folder; folders sorted by it come each
+    before what is below it. Branches are placed in known folders (D5). Sessions' meta are there only if they
+    say something; a branch's meta (id, custom_title, notes, n_highlights) stands in any case, in place of any other of that id.
+    """
+    placed = folder_order(folders, order).select(F.col("id").alias("ancestor"), "place")
+    way = folder_closure(folders).join(placed, "ancestor").groupBy(F.col("descendant").alias("id")).agg(
+        F.transform(F.reverse(F.sort_array(F.collect_list(F.struct("depth", "place")))), lambda x: x["place"]).alias("way")
+    )
+    own = says_something(meta, highlights).join(branch_meta.select("id"), "id", "left_anti")
+    return {
+        "folders": folders.join(way, "id"),
+        "members": inject_branch_members(members, branch_members, folders),
+        "meta": own.select("id", "custom_title", "notes", "n_highlights").unionByName(branch_meta.select("id", "custom_title", "notes", "n_highlights")),
+    }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from talkweave.functions import text as T
 from talkweave.operators.messages import field
+from talkweave.operators.summary import top_tools
 
 
 def joined_lines(rows: DataFrame, by: tuple[str, ...], order: tuple[str, ...], line: str = "line") -> DataFrame:
@@ -64,37 +65,45 @@ def tool_markdown(name: Column, arg, result: Column, input_json: Column) -> Colu
     )
 
 
-def demoted(text: Column, levels: int = 5) -> Column:
-    """Headings ``levels`` deeper, as far as six, outside code: parts between fences are the even ones."""
-    deeper = lambda x: F.regexp_replace(x, r"(?m)^#{1,6}(?=\s)", "#" * min(6, 1 + levels))
-    parts = F.split(text, r"(?m)^(?=```)")
-    return F.array_join(F.transform(parts, lambda p, i: F.when((i % 2 == 0) & ~p.startswith("```"), deeper(p)).otherwise(p)), "")
-
-
 def transcript_full(turned: DataFrame, header: DataFrame, labels: DataFrame, calls: DataFrame | None = None) -> DataFrame:
-    """(S, markdown) of turns: a heading and quote for each user text, a block for a compaction's summary, assistants' texts, then tools.
+    """(S, markdown) of turns: a heading and quote for each user's text, a block for a compaction's summary, assistants' texts and tools, a rule after each turn.
 
-    turned: rows of ``turns``. header: S, title, created_at, turn_count. labels: S, section_no, kind. calls: S, ord, pos, line of ``tool_markdown``.
+    turned: rows of ``turns`` with ts. header: S, title, created_at, turn_count and, if there is
+    one, tools. labels: S, section_no, kind. calls: S, ord, pos, line of ``tool_markdown``.
+    Headings in texts become bold.
     """
-    text = T.strip("text")
+    place = lambda ord_, pos: [F.col("section_no").cast("long").alias("section_no"), ord_.cast("long").alias("ord"), pos.cast("long").alias("pos")]
+    text = T.strip("turn_text")
     first = F.left(F.split_part(text, F.lit("\n"), F.lit(1)), F.lit(50))
     heading = F.concat(F.lit("##### "), first, F.when(F.length(text) > F.length(first), "...").otherwise(""), F.lit("\n"))
     stamp = F.concat(F.lit("*"), T.short_time("ts"), F.lit("*\n"))
-    quote = F.array_join(F.transform(F.split(demoted(text), "\n"), lambda x: F.concat(F.lit("> "), x)), "\n")
-    summary = F.concat_ws("\n", F.lit("*Compaction summary*\n"), F.lit("```"), F.left(T.strip(F.substring(text, F.lit(len(T.SUMMARY_PREFIX) + 1), F.length(text))), F.lit(3000)), F.lit("```"), F.lit(""))
+    quote = F.array_join(F.transform(F.split(T.bold_headings(text), "\n"), lambda x: F.concat(F.lit("> "), x)), "\n")
+    rest = T.strip(F.substring(text, F.lit(len(T.SUMMARY_PREFIX) + 1), F.length(text)))
+    summary = F.concat_ws("\n", F.lit("*Compaction summary*\n"), F.lit("```"), F.left(rest, F.lit(3000)), F.lit("```"), F.lit(""))
     user = F.when(text.startswith(T.SUMMARY_PREFIX), summary).otherwise(F.concat_ws("\n", heading, stamp, quote, F.lit("")))
-    body = F.when(F.col("type") == "user", user).otherwise(F.concat(demoted(text), F.lit("\n")))
-    rule = F.when(F.col("starts_turn") & (F.col("turn_no") > 1), F.concat(F.lit("---\n\n"), body)).otherwise(body)
-    rows = turned.where(F.col("text") != "").select("S", F.col("section_no").cast("long").alias("section_no"), F.col("ord").cast("long").alias("ord"), F.lit(0).alias("pos"), rule.alias("line"))
+    asked = turned.where("starts_turn").select("S", *place(F.col("ord"), F.lit(0)), user.alias("line"))
+    own = T.strip("text")
+    said = turned.where((F.col("type") == "assistant") & (own != "")).select("S", *place(F.col("ord"), F.lit(0)), F.concat(T.bold_headings(own), F.lit("\n")).alias("line"))
+    ends = turned.groupBy("S", "section_no", "turn_no").agg(F.max("ord").alias("ord")).select("S", *place(F.col("ord"), F.lit(2**31)), F.lit("---\n").alias("line"))
+    rows = asked.unionByName(said).unionByName(ends)
     if calls is not None:
-        at = turned.select("S", "ord", "section_no")
-        rows = rows.unionByName(calls.join(at, ["S", "ord"]).select("S", F.col("section_no").cast("long").alias("section_no"), F.col("ord").cast("long").alias("ord"), (F.col("pos") + 1).alias("pos"), F.concat("line", F.lit("\n")).alias("line")))
+        at = turned.where("type = 'assistant'").select("S", "ord", "section_no")
+        rows = rows.unionByName(calls.join(at, ["S", "ord"]).select("S", *place(F.col("ord"), F.col("pos") + 1), F.concat("line", F.lit("\n")).alias("line")))
     several = labels.groupBy("S").agg(F.count("*").alias("n"))
-    heads = labels.join(several, "S").where("kind <> 'current' or n > 1").select("S", F.col("section_no").cast("long").alias("section_no"), F.lit(-1).cast("long").alias("ord"), F.lit(0).alias("pos"), F.concat(F.lit("## "), "kind", F.lit("\n")).alias("line"))
-    top = header.select("S", F.lit(-1).cast("long").alias("section_no"), F.lit(-1).cast("long").alias("ord"), F.lit(0).alias("pos"), F.concat(F.lit("# "), "title", F.lit("\n\n> "), T.short_time("created_at"), F.lit(" | "), F.col("turn_count").cast("string"), F.lit(" turns\n")).alias("line"))
+    heads = labels.join(several, "S").where("kind <> 'current' or n > 1").select("S", *place(F.lit(-1), F.lit(0)), F.concat(F.lit("## "), "kind", F.lit("\n")).alias("line"))
+    tools = T.present("tools") if "tools" in header.columns else F.lit(None).cast("string")
+    counted = F.concat(F.lit("> "), T.short_time("created_at"), F.lit(" | "), F.col("turn_count").cast("string"), F.lit(" turns"))
+    top = F.concat_ws("\n", F.concat(F.lit("# "), "title", F.lit("\n")), counted, F.concat(F.lit("> Tools: "), tools), F.lit(""))
+    top = header.withColumn("section_no", F.lit(-1)).select("S", *place(F.lit(-1), F.lit(0)), top.alias("line"))
     return joined_lines(rows.unionByName(heads).unionByName(top), ("S",), ("section_no", "ord", "pos"))
 
 
+def tool_summary(usage: DataFrame, k: int = 6) -> DataFrame:
+    """(S, tools): the most used tools with their counts, as transcripts name them."""
+    top = top_tools(usage, k).select("S", "rank", F.concat("tool", F.lit("("), F.col("n").cast("string"), F.lit(")")).alias("x"))
+    return top.groupBy("S").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "x"))), lambda y: y["x"]), ", ").alias("tools"))
+
+
 def export_selection(turned: DataFrame, picks: DataFrame) -> DataFrame:
     """(S, section_no, turn_no, ord, type, text) of picked turns: their question, their answers, or both; picks: S, section_no, turn_no, question, answer."""
     j = turned.join(picks, ["S", "section_no", "turn_no"])

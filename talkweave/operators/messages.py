@@ -43,9 +43,9 @@ def extract_text(m: DataFrame) -> DataFrame:
 
 
 def tool_calls(parts: DataFrame) -> DataFrame:
-    """(S, file, ord, pos, ts, id, name, input)."""
+    """(S, file, ord, pos, ts, message_type, id, name, input)."""
     return parts.where((field("type") == "tool_use") & (field("name") != "")).select(
-        *KEY, "pos", "ts", field("id").alias("id"), field("name").alias("name"), F.coalesce(field("input", kind="variant"), F.parse_json(F.lit("{}"))).alias("input")
+        *KEY, "pos", "ts", "message_type", field("id").alias("id"), field("name").alias("name"), F.coalesce(field("input", kind="variant"), F.parse_json(F.lit("{}"))).alias("input")
     )
 
 
@@ -81,17 +81,22 @@ def token_usage(m: DataFrame) -> DataFrame:
 
 
 def skill_invocations(calls: DataFrame) -> DataFrame:
-    """B8."""
-    return calls.where("name = 'Skill'").select(
+    """Of assistants' calls."""
+    return calls.where("name = 'Skill' and message_type = 'assistant'").select(
         *KEY, "pos", F.coalesce(T.present(field("skill", "input")), F.lit("unknown")).alias("skill"), "ts", field("args", "input").alias("args")
     )
 
 
 def image_path_refs(m: DataFrame) -> DataFrame:
-    """(S, ord, pos, path) of user rows' texts."""
+    """B9, viewer: (S, ord, pos, path) of user rows' texts."""
     return m.where("type = 'user'").select("S", "ord", F.posexplode(T.image_paths("text")).alias("pos", "path"))
 
 
+def part_image_path_refs(parts: DataFrame) -> DataFrame:
+    """B9, summary: (S, ord, pos, i, path) of the parts of user rows that have a text; string content has none."""
+    return parts.where("message_type = 'user'").select("S", "ord", "pos", F.posexplode(T.image_paths(field("text"))).alias("i", "path"))
+
+
 def is_real_user() -> Column:
     """C3 over content."""
     parts = F.try_variant_get("content", "$", "array<variant>")

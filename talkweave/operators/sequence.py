@@ -39,17 +39,18 @@ def section_labels(sectioned: DataFrame, m: DataFrame) -> DataFrame:
 
 
 def turns(sectioned: DataFrame) -> DataFrame:
-    """rows with turn_no (0: assistants before any user row) and starts_turn, within (S, section_no).
+    """rows with turn_no (0: assistants before any user row), starts_turn and turn_text, within (S, section_no).
 
     A kept user row starts a turn unless it is a command output and the user row that
-    owns the turn so far is one too, or it holds only image paths after an earlier user row.
+    owns the turn so far is one too, or it holds only image paths after an earlier user row:
+    these are merged, and turn_text of the row that starts the turn is the texts of all of its user rows.
     Assistants need a text or tools (n_tools).
     """
     text = F.col("text")
     user, assistant = F.col("type") == "user", F.col("type") == "assistant"
     skipped = F.coalesce(F.col("subtype").isin("task-notification", "skill-output", "system-reminder"), F.lit(False))
     tools = F.col("n_tools") if "n_tools" in sectioned.columns else F.lit(0)
-    kept = sectioned.where(~skipped & ((user & (T.strip(text) != "")) | (assistant & ((text != "") | (tools > 0)))))
+    kept = sectioned.where(~skipped & ((user & (T.strip(text) != "")) | (assistant & ((T.strip(text) != "") | (tools > 0)))))
     before = Window.partitionBy("S", "section_no").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("S", "section_no").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     had_user = F.coalesce(F.max(user.cast("int")).over(before), F.lit(0)) == 1
@@ -57,7 +58,10 @@ def turns(sectioned: DataFrame) -> DataFrame:
     command = F.coalesce(F.col("subtype"), F.lit("")) == "command-output"
     owner = F.last(F.when(user & ~F.col("_image"), command.cast("int")), ignorenulls=True).over(before)
     step = step.withColumn("starts_turn", user & ~F.col("_image") & ~(command & (F.coalesce(owner, F.lit(0)) == 1)))
-    return step.withColumn("turn_no", F.sum(F.col("starts_turn").cast("int")).over(upto)).drop("_image")
+    step = step.withColumn("turn_no", F.sum(F.col("starts_turn").cast("int")).over(upto)).drop("_image")
+    whole = Window.partitionBy("S", "section_no", "turn_no").orderBy("ord").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    said = F.array_join(F.collect_list(F.when(user, text)).over(whole), "\n")
+    return step.withColumn("turn_text", F.when(F.col("starts_turn"), said))
 
 
 def segments(items: DataFrame) -> DataFrame:
@@ -155,8 +159,8 @@ def chat_toc(sectioned: DataFrame, turned: DataFrame, labels: DataFrame) -> Data
     """(S, place, level, title): a section's label (2), the current one's only beside others, and each user turn's first line (5)."""
     several = labels.groupBy("S").agg(F.count("*").alias("n"))
     heads = labels.join(several, "S").where("kind <> 'current' or n > 1").select("S", "section_no", F.lit(-1).cast("long").alias("ord"), F.lit(2).alias("level"), F.col("kind").alias("title"))
-    name, _ = T.command_output("text")
-    text = T.strip("text")
+    name, _ = T.command_output("turn_text")
+    text = T.strip("turn_text")
     title = F.when(F.col("subtype") == "command-output", F.when(name == "System", "Terminal").otherwise(name)).otherwise(F.left(F.split_part(text, F.lit("\n"), F.lit(1)), F.lit(50)))
     rows = turned.where(F.col("starts_turn") & ~text.startswith(T.SUMMARY_PREFIX)).select("S", "section_no", F.col("ord").cast("long").alias("ord"), F.lit(5).alias("level"), title.alias("title"))
     place = F.row_number().over(Window.partitionBy("S").orderBy("section_no", "ord"))
@@ -164,11 +168,9 @@ def chat_toc(sectioned: DataFrame, turned: DataFrame, labels: DataFrame) -> Data
 
 
 def doc_lines(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(id, n, line, in_code): lines with whether a code fence is open."""
-    rows = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "\n")).alias("n", "line"))
-    fence = F.col("line").startswith("```")
-    w = Window.partitionBy("id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("fence", fence).withColumn("in_code", (F.sum(fence.cast("int")).over(w) % 2 == 1) | fence)
+    """(id, n, line, in_code): lines with whether they belong to a code block, its fences included."""
+    rows = docs.select(F.col(id_col).alias("id"), F.posexplode(T.lines(text_col)).alias("n", "x"))
+    return rows.select("id", "n", "x.line", "x.in_code")
 
 
 def heading_toc(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -191,11 +193,6 @@ def source_lines(docs: DataFrame, id_col: str = "id", text_col: str = "text") ->
     return rows.join(toc, ["id", "i"], "left").select("id", "n", "line", "is_heading", "slug")
 
 
-def demote_headings(docs: DataFrame, id_col: str = "id", text_col: str = "text", levels: int = 5) -> DataFrame:
-    """(id, text) with headings outside code ``levels`` deeper, as far as six."""
-    rows = doc_lines(docs, id_col, text_col)
-    hashes = F.regexp_extract("line", r"^(#{1,6})\s", 1)
-    deeper = F.concat(F.repeat(F.lit("#"), F.least(F.length(hashes) + levels, F.lit(6))), F.regexp_replace("line", "^#+", ""))
-    line = F.when(~F.col("in_code") & (hashes != ""), deeper).otherwise(F.col("line"))
-    ordered = F.sort_array(F.collect_list(F.struct("n", line.alias("x"))))
-    return rows.groupBy("id").agg(F.array_join(F.transform(ordered, lambda s: s["x"]), "\n").alias("text"))
+def demote_headings(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """(id, text) with headings outside code as bold text."""
+    return docs.select(F.col(id_col).alias("id"), T.bold_headings(text_col).alias("text"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkweave.functions import text as T
+from talkweave.operators.messages import part_image_path_refs, tool_calls
 
 
 def _when(cond: Column, value) -> Column:
@@ -44,8 +45,8 @@ def distinct_in_order(m: DataFrame, column: str) -> DataFrame:
 
 
 def tool_usage(calls: DataFrame) -> DataFrame:
-    """(S, tool, n, first_ord)."""
-    return calls.groupBy("S", F.col("name").alias("tool")).agg(F.count("*").alias("n"), F.min("ord").alias("first_ord"))
+    """(S, tool, n, first_ord) of assistants' calls; calls have message_type."""
+    return calls.where("message_type = 'assistant'").groupBy("S", F.col("name").alias("tool")).agg(F.count("*").alias("n"), F.min("ord").alias("first_ord"))
 
 
 def top_tools(usage: DataFrame, k: int = 6) -> DataFrame:
@@ -55,8 +56,8 @@ def top_tools(usage: DataFrame, k: int = 6) -> DataFrame:
 
 
 def token_totals(usage: DataFrame, by: tuple[str, ...] = ("S",)) -> DataFrame:
-    """E5; E6 with turn numbers in ``by``."""
-    return usage.groupBy(*by).agg(*(F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in ("input", "output", "cache_creation", "cache_read")))
+    """E5, of assistants' rows; E6 with turn numbers in ``by``. usage has the message's type."""
+    return usage.where("type = 'assistant'").groupBy(*by).agg(*(F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in ("input", "output", "cache_creation", "cache_read")))
 
 
 def turn_tokens(usage: DataFrame, by: tuple[str, ...] = ("S", "turn_no")) -> DataFrame:
@@ -71,8 +72,14 @@ def file_actions(actions: DataFrame) -> DataFrame:
 
 
 def call_actions(calls: DataFrame) -> DataFrame:
-    """(S, ord, path, action) of reads, writes and edits."""
-    return calls.where(F.col("name").isin("Read", "Write", "Edit")).select("S", "ord", F.try_variant_get("input", "$.file_path", "string").alias("path"), F.lower("name").alias("action"))
+    """(S, ord, path, action) of assistants' reads, writes and edits."""
+    return calls.where(F.col("name").isin("Read", "Write", "Edit") & (F.col("message_type") == "assistant")).select("S", "ord", F.try_variant_get("input", "$.file_path", "string").alias("path"), F.lower("name").alias("action"))
+
+
+def session_file_actions(parts: DataFrame) -> DataFrame:
+    """E8 of messages' parts: assistants' file tools, and the image paths that users' parts name, as ``user-image``."""
+    shown = part_image_path_refs(parts).select("S", "ord", "path", F.lit("user-image").alias("action"))
+    return file_actions(call_actions(tool_calls(parts)).unionByName(shown))
 
 
 def notable_files(refs: DataFrame) -> DataFrame:
@@ -104,14 +111,31 @@ def config_file_candidates(cwds: DataFrame, inventory: DataFrame, names: tuple[s
 
 
 def file_tree(refs: DataFrame) -> DataFrame:
-    """(S, prefix, depth, n_files, n_children, collapsed) of every directory; a directory with one child that is no file is collapsed into it."""
+    """(S, path, name, parent, depth, is_file, n_files, n_existing, n_deleted, place): the nodes that a tree of files shows; refs: (S, path, exists).
+
+    A directory that is no file itself and has one child is shown as one with it, under joined
+    names. parent is the shown node above (null at the top). Among siblings directories come
+    before files, then names; counts are of the files at and below a node.
+    """
+    key = lambda p: F.concat(F.lit("/"), F.array_join(p, "/"))
     parts = F.filter(F.split("path", "/"), lambda p: p != "")
-    p = refs.select("S", "path", parts.alias("p")).distinct()
-    up = p.select("S", "p", F.explode(F.sequence(F.lit(1), F.size("p"))).alias("depth")).select(
-        "S", "depth", F.array_join(F.slice("p", F.lit(1), F.col("depth") - 1), "/").alias("prefix"), F.get("p", F.col("depth") - 1).alias("child"), (F.col("depth") == F.size("p")).alias("is_file")
+    own = refs.select("S", parts.alias("p"), "exists").groupBy("S", "p").agg(F.bool_or("exists").alias("exists")).where("size(p) > 0")
+    up = own.select("S", "p", "exists", F.explode(F.sequence(F.lit(1), F.size("p"))).alias("level"))
+    up = up.select("S", "exists", "level", F.slice("p", F.lit(1), F.col("level")).alias("q"), F.get("p", F.col("level")).alias("child"))
+    nodes = up.groupBy("S", "q", "level").agg(
+        F.count("*").alias("n_files"), F.count_if("exists").alias("n_existing"), F.min("child").alias("least"), F.max("child").alias("most"), F.bool_or(F.col("child").isNull()).alias("is_file")
     )
-    out = up.groupBy("S", "prefix", (F.col("depth") - 1).alias("depth")).agg(F.count("*").alias("n_files"), F.countDistinct("child").alias("n_children"), F.bool_or("is_file").alias("has_file"))
-    return out.select("S", "prefix", "depth", "n_files", "n_children", ((F.col("n_children") == 1) & ~F.col("has_file")).alias("collapsed"))
+    shown = nodes.where("is_file or least <> most")
+    above = F.explode(F.sequence(F.lit(1), F.col("level") - 1)).alias("at")
+    ways = shown.where("level > 1").select("S", "q", above).select("S", "q", key(F.slice("q", F.lit(1), F.col("at"))).alias("up"), "at")
+    nearest = ways.join(shown.select("S", key("q").alias("up")), ["S", "up"]).groupBy("S", "q").agg(F.max("at").alias("from"), F.count("*").alias("depth"))
+    out = shown.join(nearest, ["S", "q"], "left").withColumns({"from": F.coalesce("from", F.lit(0)), "depth": F.coalesce("depth", F.lit(0))})
+    out = out.select(
+        "S", key("q").alias("path"), F.array_join(F.slice("q", F.col("from") + 1, F.col("level") - F.col("from")), "/").alias("name"),
+        F.when(F.col("from") > 0, key(F.slice("q", F.lit(1), F.col("from")))).alias("parent"), "depth", "is_file", F.col("least").isNull().alias("leaf"), "n_files", "n_existing",
+    )
+    place = F.row_number().over(Window.partitionBy("S", "parent").orderBy("leaf", "name"))
+    return out.withColumns({"n_deleted": F.col("n_files") - F.col("n_existing"), "place": place}).drop("leaf")
 
 
 def corpus_stats(summary: DataFrame, size_col: str) -> DataFrame:

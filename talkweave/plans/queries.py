@@ -103,6 +103,17 @@ def b9_image_path_refs(spark, sf_dir):
     return messages.image_path_refs(P.marked(spark, sf_dir))
 
 
+@query("""SELECT "S", ord, 0 AS pos, 0 AS i, path FROM calls WHERE message_type = 'user' OR name = 'Bash'""", P.CALLS)
+def b9_part_image_path_refs(spark, sf_dir):
+    return messages.part_image_path_refs(messages.explode_parts(P.acted(spark, sf_dir)))
+
+
+@query("""SELECT "S", md5(arg_max(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), ord)) AS digest FROM msg WHERE ("S" + ord) % 3 = 0 OR type = 'system' GROUP BY 1""", P.MESSAGES)
+def b14_instruction_doc(spark, sf_dir):
+    m = P.messages(spark, sf_dir).withColumns({"type": F.expr("if((S + ord) % 3 = 0, 'system', type)"), "text": F.concat(F.lit("x\nContents of /w/CLAUDE.md (of the project):\n"), "text", F.lit("\n\nContents of /w/b.md:\ny"))})
+    return messages.instruction_doc(m).select("S", F.md5("doc").alias("digest"))
+
+
 @query("""SELECT "S", ord, CASE WHEN name = 'Bash' THEN left('run ' || k || chr(10) || repeat('x', CAST(k AS INT)), 120) ELSE path END AS preview, '[' || name || '] ' || CASE WHEN name = 'Bash' THEN 'run ' || k ELSE path END AS line FROM calls""", P.CALLS)
 def b12_tool_preview(spark, sf_dir):
     c = P.calls(spark, sf_dir)
@@ -123,31 +134,31 @@ def e3_distinct_in_order(spark, sf_dir):
     return summary.distinct_in_order(P.calls(spark, sf_dir), "event_type").select("S", F.array_join("values", ",").alias("values"))
 
 
-@query('SELECT "S", name AS tool, count(*) AS n, min(ord) AS first_ord FROM calls GROUP BY 1, 2', P.CALLS)
+@query('SELECT "S", name AS tool, count(*) AS n, min(ord) AS first_ord FROM calls WHERE message_type = \'assistant\' GROUP BY 1, 2', P.CALLS)
 def e4_tool_usage(spark, sf_dir):
     return summary.tool_usage(P.calls(spark, sf_dir))
 
 
-@query('SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "S" ORDER BY n DESC, first_ord, tool) AS rank FROM (SELECT "S", name AS tool, count(*) AS n, min(ord) AS first_ord FROM calls GROUP BY 1, 2)) WHERE rank <= 2', P.CALLS)
+@query('SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "S" ORDER BY n DESC, first_ord, tool) AS rank FROM (SELECT "S", name AS tool, count(*) AS n, min(ord) AS first_ord FROM calls WHERE message_type = \'assistant\' GROUP BY 1, 2)) WHERE rank <= 2', P.CALLS)
 def h2_top_tools(spark, sf_dir):
     return summary.top_tools(summary.tool_usage(P.calls(spark, sf_dir)), 2)
 
 
-@query('SELECT "S", CAST(sum(input) AS BIGINT) AS input, CAST(sum(output) AS BIGINT) AS output, CAST(sum(cache_creation) AS BIGINT) AS cache_creation, CAST(sum(cache_read) AS BIGINT) AS cache_read FROM usage GROUP BY 1', P.USAGE)
+@query('SELECT "S", CAST(sum(input) AS BIGINT) AS input, CAST(sum(output) AS BIGINT) AS output, CAST(sum(cache_creation) AS BIGINT) AS cache_creation, CAST(sum(cache_read) AS BIGINT) AS cache_read FROM usage WHERE type = \'assistant\' GROUP BY 1', P.USAGE)
 def e5_token_totals(spark, sf_dir):
     return summary.token_totals(P.usage(spark, sf_dir))
 
 
-@query('SELECT "S", turn_no, CAST(sum(input + cache_creation + cache_read) AS BIGINT) AS input, CAST(sum(output) AS BIGINT) AS output FROM usage GROUP BY 1, 2', P.USAGE)
+@query('SELECT "S", turn_no, CAST(sum(input + cache_creation + cache_read) AS BIGINT) AS input, CAST(sum(output) AS BIGINT) AS output FROM usage WHERE type = \'assistant\' GROUP BY 1, 2', P.USAGE)
 def e6_turn_tokens(spark, sf_dir):
     return summary.turn_tokens(P.usage(spark, sf_dir))
 
 
-_REFS = P.CALLS + """, refs AS (SELECT "S", path, array_to_string(list_sort(list_distinct(list(lower(name)))), ',') AS actions, min(ord) AS first_ord FROM calls WHERE name <> 'Bash' GROUP BY 1, 2)"""
+_REFS = P.CALLS + """, refs AS (SELECT "S", path, array_to_string(list_sort(list_distinct(list(CASE WHEN message_type = 'user' OR name = 'Bash' THEN 'user-image' ELSE lower(name) END))), ',') AS actions, min(ord) AS first_ord FROM calls GROUP BY 1, 2)"""
 
 
 def _refs(spark, sf_dir):
-    return summary.file_actions(P.calls(spark, sf_dir).where("name <> 'Bash'").select("S", "ord", "path", F.lower("name").alias("action")))
+    return summary.session_file_actions(messages.explode_parts(P.acted(spark, sf_dir)))
 
 
 @query("SELECT * FROM refs", _REFS)
@@ -182,11 +193,16 @@ def e10_corpus_stats(spark, sf_dir):
     return summary.corpus_stats(P.read(spark, sf_dir, "documents").withColumn("n", F.length("text")), "n")
 
 
-@query("""SELECT 'u' AS "S", array_to_string(p[1:d - 1], '/') AS prefix, d - 1 AS depth, count(*) AS n_files, count(DISTINCT p[d]) AS n_children, count(DISTINCT p[d]) = 1 AND NOT bool_or(d = len(p)) AS collapsed
- FROM (SELECT p, unnest(range(1, len(p) + 1)) AS d FROM (SELECT list_filter(string_split(x, '/'), lambda y: y <> '') AS p FROM (SELECT DISTINCT split_part(replace(url, 'http:/', ''), '?', 1) AS x FROM pages))) GROUP BY 1, 2, 3""")
+@query("""SELECT 'u' AS "S", '/' || array_to_string(s.q, '/') AS path, array_to_string(s.q[coalesce(f, 0) + 1:s.level], '/') AS name, CASE WHEN f > 0 THEN '/' || array_to_string(s.q[1:f], '/') END AS parent, coalesce(n.depth, 0) AS depth, is_file, n_files, n_existing,
+ n_files - n_existing AS n_deleted, row_number() OVER (PARTITION BY CASE WHEN f > 0 THEN s.q[1:f] END ORDER BY least IS NULL, array_to_string(s.q[coalesce(f, 0) + 1:s.level], '/')) AS place FROM shown s LEFT JOIN near n ON n.q = s.q""",
+ """own AS (SELECT p, bool_or(e) AS e FROM (SELECT list_filter(string_split(split_part(replace(url, 'http:/', ''), '?', 1), '/'), lambda y: y <> '') AS p, page_id % 3 > 0 AS e FROM pages) WHERE len(p) > 0 GROUP BY 1),
+ up AS (SELECT p[1:d] AS q, d AS level, p[d + 1] AS child, e FROM (SELECT p, e, unnest(range(1, len(p) + 1)) AS d FROM own)),
+ nodes AS (SELECT q, level, count(*) AS n_files, count(*) FILTER (e) AS n_existing, min(child) AS least, max(child) AS most, bool_or(child IS NULL) AS is_file FROM up GROUP BY 1, 2),
+ shown AS (SELECT * FROM nodes WHERE is_file OR least <> most), ways AS (SELECT q, q[1:d] AS a, d FROM (SELECT q, unnest(range(1, level)) AS d FROM shown)),
+ near AS (SELECT w.q, max(w.d) AS f, count(*) AS depth FROM ways w JOIN shown s ON s.q = w.a GROUP BY 1)""")
 def e11_file_tree(spark, sf_dir):
     path = F.split_part(F.replace("url", F.lit("http:/"), F.lit("")), F.lit("?"), F.lit(1))
-    return summary.file_tree(P.read(spark, sf_dir, "pages").select(F.lit("u").alias("S"), path.alias("path")))
+    return summary.file_tree(P.read(spark, sf_dir, "pages").select(F.lit("u").alias("S"), path.alias("path"), F.expr("page_id % 3 > 0").alias("exists")))
 
 
 @query('SELECT "S", ord, coalesce(ord < max(CASE WHEN is_boundary THEN ord END) OVER (PARTITION BY "S"), false) AS is_pre_compact FROM msg', P.MESSAGES)
@@ -259,7 +275,10 @@ def f9_source_lines(spark, sf_dir):
     return sequence.source_lines(P.marked_docs(spark, sf_dir))
 
 
-@query("""SELECT id, md5(string_agg(CASE WHEN NOT in_code AND regexp_matches(line, '^#{1,6}\\s') THEN repeat('#', least(6, length(regexp_extract(line, '^(#{1,6})', 1)) + 5)) || regexp_replace(line, '^#+', '') ELSE line END, chr(10) ORDER BY n)) AS digest FROM fenced GROUP BY 1""", P.DOCS)
+_BOLD = "CASE WHEN NOT in_code AND regexp_matches(line, '^#{1,6}\\s+[^\\r]+$') THEN '**' || replace(regexp_extract(line, '^#{1,6}\\s+(.+)$', 1), '**', '') || '**' ELSE line END"
+
+
+@query(f"SELECT id, md5(string_agg({_BOLD}, chr(10) ORDER BY n)) AS digest FROM fenced GROUP BY 1", P.DOCS)
 def f10_demote_headings(spark, sf_dir):
     return sequence.demote_headings(P.marked_docs(spark, sf_dir)).select("id", F.md5("text").alias("digest"))
 
@@ -282,7 +301,19 @@ def e12_path_turn_counts(spark, sf_dir):
     return lineage.path_turn_counts(lineage.ancestors(e, lineage.leaves(e)), m)
 
 
-@query()
+_BRANCHES = P.TREE + """, facts AS (SELECT user_id AS "S", row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn, ts, event_type IN ('click', 'view') AS by_user, trim(event_type || props) AS text FROM events),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY "S" ORDER BY length DESC, start) AS rank FROM (SELECT "S", start, count(*) AS length FROM path GROUP BY 1, 2)),
+ main AS (SELECT p.*, r.length FROM path p JOIN ranked r ON r."S" = p."S" AND r.start = p.start WHERE rank = 1),
+ placed AS (SELECT p."S", p.start, p.node, p.distance, r.length, r.rank, m.distance AS on_main, m.length AS main_length FROM path p JOIN ranked r ON r."S" = p."S" AND r.start = p.start AND r.rank > 1 LEFT JOIN main m ON m."S" = p."S" AND m.node = p.node),
+ side AS (SELECT p."S", p.start, length, rank, count(on_main) AS common, max(main_length) AS main_length, arg_min(node, on_main) FILTER (on_main IS NOT NULL) AS point, min(on_main) AS fork,
+  count(*) FILTER (on_main IS NULL AND by_user) AS users, arg_max(left(text, 200), p.distance) FILTER (on_main IS NULL AND by_user) AS first_user_message FROM placed p JOIN facts f ON f."S" = p."S" AND f.rn = p.node GROUP BY 1, 2, 3, 4),
+ longest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "S", point, left(first_user_message, 60) ORDER BY rank) AS nth FROM side WHERE first_user_message IS NOT NULL) WHERE nth = 1 AND common BETWEEN 1 AND main_length - 1 AND users > 0),
+ timed AS (SELECT l."S", l.start, 1 AS side, f.ts, -p.distance AS pos FROM longest l JOIN placed p ON p."S" = l."S" AND p.start = l.start AND on_main IS NULL JOIN facts f ON f."S" = p."S" AND f.rn = p.node
+  UNION ALL SELECT l."S", l.start, 0, f.ts, -m.distance FROM longest l JOIN main m ON m."S" = l."S" AND m.distance < l.fork JOIN facts f ON f."S" = m."S" AND f.rn = m.node),
+ swaps AS (SELECT "S", start, count(*) FILTER (side <> was) AS n FROM (SELECT *, lag(side) OVER (PARTITION BY "S", start ORDER BY ts, side, pos) AS was FROM timed) GROUP BY 1, 2)"""
+
+
+@query("""SELECT CAST(l."S" AS VARCHAR) AS "S", row_number() OVER (PARTITION BY l."S" ORDER BY rank) - 1 AS branch_no, CAST(l.start AS VARCHAR) AS leaf, CAST(point AS VARCHAR) AS point, first_user_message, length AS path_length, common FROM longest l JOIN swaps w ON w."S" = l."S" AND w.start = l.start WHERE n >= 3""", _BRANCHES, True)
 def g4_branches(spark, sf_dir):
     return lineage.detect_branches(P.tree(spark, sf_dir))
 
@@ -393,25 +424,24 @@ def d13_branch_neighbours(spark, sf_dir):
     return annotate.branch_neighbours(s)
 
 
-@query("SELECT id AS ancestor, id AS descendant, 0 AS depth FROM folders UNION ALL SELECT parent_id, id, 1 FROM folders WHERE parent_id IS NOT NULL", P.FOLDERS)
+@query("SELECT * FROM closure", P.DEEP, True)
 def m1_folder_closure(spark, sf_dir):
-    return annotate.folder_closure(P.folders(spark, sf_dir)[0])
+    return annotate.folder_closure(P.deep_folders(spark, sf_dir)[0])
 
 
-@query("SELECT id, CASE WHEN id IN ('n1', 'r1') THEN 'r2' ELSE parent_id END AS parent_id FROM folders", P.FOLDERS)
+@query("SELECT id, CASE WHEN k >= 20 AND k % 7 = 3 OR k = 9 THEN 'c2' WHEN k = 12 THEN NULL ELSE parent_id END AS parent_id FROM deep", P.DEEP, True)
 def m2_apply_folder_moves(spark, sf_dir):
-    """Nation n1 and region r1 move under r2; r3 under its own nation, r4 under itself and n5 to nowhere known are refused."""
-    f = P.folders(spark, sf_dir)[0]
-    below = f.where("parent_id = 'r3'").groupBy().agg(F.min("id").alias("to")).select(F.lit("r3").alias("id"), F.col("to").alias("parent_id"))
-    new = F.expr("case id when 'n1' then 'r2' when 'r1' then 'r2' when 'r4' then 'r4' else 'gone' end")
-    moves = f.where("id in ('n1', 'r1', 'r4', 'n5')").select("id", new.alias("parent_id")).unionByName(below)
+    """Many folders move under c2 and one to the top; under an own descendant, itself and nowhere known are refused."""
+    f = P.deep_folders(spark, sf_dir)[0]
+    to = F.expr("case when k >= 20 and k % 7 = 3 or k = 9 then 'c2' when k = 1 then 'c30' when k = 4 then 'c4' when k = 5 then 'gone' end")
+    moves = f.where("k >= 20 and k % 7 = 3 or k in (1, 4, 5, 9, 12)").select("id", to.alias("parent_id"))
     return annotate.apply_folder_moves(f, moves).select("id", "parent_id")
 
 
-@query("SELECT folder_id, member_id FROM members WHERE folder_id NOT IN (SELECT id FROM folders WHERE parent_id = 'r1') AND folder_id <> 'n3'", P.FOLDERS)
+@query("SELECT 'c' || o_custkey AS folder_id, 'o' || o_orderkey AS member_id FROM orders WHERE 'c' || o_custkey NOT IN (SELECT descendant FROM closure WHERE ancestor IN ('c3', 'c8'))", P.DEEP, True)
 def m3_delete_folders(spark, sf_dir):
-    f, m = P.folders(spark, sf_dir)
-    return annotate.delete_folders(f, m, f.where("id in ('r1', 'n3')"))[1].select("folder_id", "member_id")
+    f, m = P.deep_folders(spark, sf_dir)
+    return annotate.delete_folders(f, m, f.where("id in ('c3', 'c8')"))[1].select("folder_id", "member_id")
 
 
 @query("""SELECT DISTINCT folder_id, member_id FROM (SELECT * FROM members WHERE member_id NOT IN (SELECT 'c' || o_custkey FROM orders WHERE o_orderkey % 3 > 0) UNION ALL
@@ -439,11 +469,17 @@ def m9_unique_names(spark, sf_dir):
     return annotate.unique_names(d).select("id", "safe_name")
 
 
-@query("SELECT id, row_number() OVER (PARTITION BY parent_id ORDER BY CASE WHEN id IN ('n3', 'n7', 'n11', 'r2') THEN 0 ELSE 1 END, CASE id WHEN 'n11' THEN 0 WHEN 'n7' THEN 1 WHEN 'n3' THEN 2 ELSE 3 END, name, id) AS place FROM folders", P.FOLDERS)
+_PLACED = P.DEEP + """, base AS (SELECT *, row_number() OVER (PARTITION BY parent_id ORDER BY k % 4 <> 1, CASE WHEN k % 4 = 1 THEN -k END, name, id) AS spot FROM deep)"""
+
+
+def _order(folders):
+    return folders.where("k % 4 = 1").select("id", (-F.col("k")).alias("pos"))
+
+
+@query("SELECT id, spot AS place FROM base", _PLACED, True)
 def h4_folder_order(spark, sf_dir):
-    f = P.folders(spark, sf_dir)[0]
-    order = f.where("id in ('n3', 'n7', 'n11', 'r2')").select("id", F.expr("case id when 'n11' then 0 when 'n7' then 1 else 2 end").alias("pos"))
-    return annotate.folder_order(f, order).select("id", "place")
+    f = P.deep_folders(spark, sf_dir)[0]
+    return annotate.folder_order(f, _order(f)).select("id", "place")
 
 
 @query("""SELECT "S", md5('# s' || "S" || chr(10) || chr(10) || '> ' || strftime(CAST(created_at AS TIMESTAMP), '%-m/%-d %H:%M') || ' | ' || turn_count || ' turns' || chr(10) || coalesce(chr(10) || body, '')) AS digest FROM summary LEFT JOIN
@@ -455,11 +491,22 @@ def n1_transcript_compact(spark, sf_dir):
     return export.transcript_compact(m, head).select("S", F.md5("markdown").alias("digest"))
 
 
-@query()
+_TRANSCRIPT = _SUMMARY + _SECTIONED.removeprefix(_CLASSED) + f""", said AS (SELECT *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t, strftime(CAST(ts AS TIMESTAMP), '%-m/%-d %H:%M') AS stamp FROM turned WHERE regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> ''),
+ pieces AS (SELECT "S", ord, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS n FROM said),
+ coded AS (SELECT *, sum(CAST(starts_with(line, '```') AS INT)) OVER (PARTITION BY "S", ord ORDER BY n) % 2 = 1 OR starts_with(line, '```') AS in_code FROM pieces),
+ bold AS (SELECT "S", ord, string_agg({_BOLD}, chr(10) ORDER BY n) AS plain, string_agg('> ' || {_BOLD}, chr(10) ORDER BY n) AS quoted FROM coded GROUP BY 1, 2),
+ rows_ AS (SELECT "S", -1 AS section_no, -1 AS ord, 0 AS pos, '# ' || left(first_user_message, 60) || chr(10) || chr(10) || '> ' || strftime(CAST(created_at AS TIMESTAMP), '%-m/%-d %H:%M') || ' | ' || turn_count || ' turns' || chr(10) AS x FROM summary
+  UNION ALL SELECT l."S", section_no, -1, 0, '## ' || kind || chr(10) FROM lab l JOIN (SELECT "S", count(*) AS n FROM lab GROUP BY 1) c ON c."S" = l."S" WHERE kind <> 'current' OR n > 1
+  UNION ALL SELECT s."S", section_no, s.ord, 0, CASE WHEN type = 'user' THEN '##### ' || left(split_part(t, chr(10), 1), 50) || CASE WHEN length(t) > length(left(split_part(t, chr(10), 1), 50)) THEN '...' ELSE '' END || chr(10) || chr(10) || '*' || stamp || '*' || chr(10) || chr(10) || quoted || chr(10)
+   ELSE plain || chr(10) END FROM said s JOIN bold b ON b."S" = s."S" AND b.ord = s.ord
+  UNION ALL SELECT "S", section_no, max(ord), 1, '---' || chr(10) FROM said GROUP BY "S", section_no, turn_no)"""
+
+
+@query("""SELECT "S", md5(string_agg(x, chr(10) ORDER BY section_no, ord, pos)) AS digest FROM rows_ GROUP BY 1""", _TRANSCRIPT)
 def n2_transcript_full(spark, sf_dir):
     m, s = _messages(spark, sf_dir), _sectioned(spark, sf_dir)
     head = summary.session_summary(m).select("S", F.left("first_user_message", F.lit(60)).alias("title"), "created_at", "turn_count")
-    return export.transcript_full(sequence.turns(s), head, sequence.section_labels(s, m))
+    return export.transcript_full(sequence.turns(s), head, sequence.section_labels(s, m)).select("S", F.md5("markdown").alias("digest"))
 
 
 @query("""SELECT "S", section_no, turn_no, ord, type FROM turned WHERE turn_no > 0 AND ((turn_no % 2 = 1 AND type = 'user') OR (turn_no % 3 = 1 AND type = 'assistant'))""", _SECTIONED)
@@ -544,7 +591,7 @@ def b7_token_usage(spark, sf_dir):
     return messages.token_usage(P.usage(spark, sf_dir).select("S", F.lit("f").alias("file"), F.col("turn_no").alias("ord"), F.lit("assistant").alias("type"), counted)).drop("file", "type")
 
 
-@query("""SELECT "S", ord, CASE WHEN "S" % 2 = 0 THEN 'unknown' ELSE 's' || ord END AS skill, ts, 'a' || ord AS args FROM con WHERE is_array AND tool = 'Skill'""", P.CONTENTS)
+@query("""SELECT "S", ord, CASE WHEN "S" % 2 = 0 THEN 'unknown' ELSE 's' || ord END AS skill, ts, 'a' || ord AS args FROM con WHERE is_array AND tool = 'Skill' AND type = 'assistant'""", P.CONTENTS)
 def b8_skill_invocations(spark, sf_dir):
     return messages.skill_invocations(messages.tool_calls(_parts(spark, sf_dir))).select("S", "ord", "skill", "ts", "args")
 
@@ -589,11 +636,11 @@ def j2_distinct_members(spark, sf_dir):
     return annotate.distinct_members(m.unionByName(m))
 
 
-@query("""SELECT id, name, parent_id, CASE WHEN parent_id IS NULL THEN 0 ELSE 1 END AS level FROM folders WHERE parent_id IS NULL OR parent_id <> 'r1'""", P.FOLDERS)
+@query("""SELECT id, name, parent_id, level FROM kept""", P.DEEP + """, kept AS (SELECT id, name, parent_id, 0 AS level FROM deep WHERE parent_id IS NULL UNION ALL SELECT d.id, d.name, d.parent_id, level + 1 FROM kept JOIN deep d ON d.parent_id = kept.id WHERE d.k % 5 <> 3)""", True)
 def m10_load_folder_tree(spark, sf_dir):
-    f = P.folders(spark, sf_dir)[0]
-    orphaned = f.withColumn("parent_id", F.when(F.col("parent_id") == "r1", "nowhere").otherwise(F.col("parent_id")))
-    return annotate.load_folder_tree(orphaned)
+    f = P.deep_folders(spark, sf_dir)[0]
+    orphaned = f.withColumn("parent_id", F.when((F.col("k") % 5 == 3) & (F.col("k") >= 3), "nowhere").otherwise(F.col("parent_id")))
+    return annotate.load_folder_tree(orphaned.drop("k"))
 
 
 @query("""SELECT "S", ord, CASE WHEN is_array THEN concat_ws(' ', nullif(text, ''), CASE WHEN "S" % 3 = 2 THEN 'r' || ord END) ELSE text END AS search_text FROM con WHERE type IN ('user', 'assistant')""", P.CONTENTS)
@@ -601,11 +648,13 @@ def k1_searchable_text(spark, sf_dir):
     return search.searchable_text(P.contents(spark, sf_dir), _parts(spark, sf_dir)).select("S", "ord", "search_text")
 
 
-@query("""SELECT "S", ord, "S" % 2 = 0 AS is_shared FROM msg WHERE "S" % 2 = 1 OR ord <= (SELECT coalesce(max(ord), 1000000) FROM msg WHERE uuid = '2-1')""", P.MESSAGES)
+@query("""SELECT "S", ord, false AS is_shared FROM msg WHERE "S" % 2 = 1 UNION ALL SELECT "S" + 1, ord, true FROM msg p WHERE "S" % 2 = 0 AND EXISTS (SELECT 1 FROM msg c WHERE c."S" = p."S" + 1) AND ("S" % 4 <> 0 OR ord <= 1 OR NOT EXISTS (SELECT 1 FROM msg a WHERE a."S" = p."S" AND a.ord = 1))""", P.MESSAGES)
 def d8_with_shared_context(spark, sf_dir):
+    """Odd sessions share with the one before: up to its second row, or, where the point is unknown, all of it."""
     m = P.messages(spark, sf_dir)
-    parent = m.where("S % 2 = 0")
-    return lineage.with_shared_context(m.where("S % 2 = 1"), parent, m.where("uuid = '2-1'").select(F.col("uuid").alias("point"))).select("S", "ord", "is_shared")
+    own = m.where("S % 2 = 1")
+    links = own.select("S", (F.col("S") - 1).alias("parent_S"), F.expr("if(S % 4 = 1, concat(S - 1, '-1'), 'gone')").alias("point")).distinct()
+    return lineage.with_shared_context(own, m, links).select("S", "ord", "is_shared")
 
 
 @query("""SELECT CAST("S" AS VARCHAR) AS id, "S", first_user_message, CAST(NULL AS VARCHAR) AS point FROM summary UNION ALL SELECT "S" || ':intra-1', "S", text, uuid FROM msg WHERE ord = 2""", _SUMMARY)
@@ -619,8 +668,8 @@ def g6_detected_branch_rows(spark, sf_dir):
     m = P.tree(spark, sf_dir)
     kept = {"is_sidechain": F.lit(False), **{c: F.lit(None).cast("string") for c in ("cwd", "version", "slug", "permission_mode")}}
     whole = summary.session_summary(m.withColumns({c: v for c, v in kept.items() if c not in m.columns}))
-    e = lineage.edges(m)
-    return lineage.branch_rows(lineage.branch_facts(lineage.detect_branches(m), lineage.ancestors(e, lineage.leaves(e)), m), whole)
+    found = lineage.checkpointed(lineage.detect_branches(m))
+    return lineage.branch_rows(lineage.branch_facts(found, lineage.branch_paths(m, found), m), whole)
 
 
 _CONFIG = """inv AS (SELECT DISTINCT CASE page_id % 5 WHEN 0 THEN '/w/conf.md' WHEN 1 THEN '/w/own.md' ELSE '/w/' || (page_id % 3) || CASE WHEN page_id % 2 = 0 THEN '/conf.md' ELSE '/own.md' END END AS path FROM pages),
@@ -644,27 +693,47 @@ def m7_apply_highlights(spark, sf_dir):
     return out.select("session_id", "id", F.length("text").cast("long").alias("n_chars"))
 
 
-@query("""SELECT * FROM (SELECT l.doc_id AS id, CASE WHEN quality = 1 THEN 't' || l.doc_id END AS custom_title, CASE WHEN toxic = 1 THEN 'n' ELSE '' END AS notes, coalesce(h.n, 0) AS n_highlights
- FROM labels l LEFT JOIN (SELECT doc_id, count(*) AS n FROM documents WHERE doc_id % 5 = 0 GROUP BY 1) h ON l.doc_id = h.doc_id) WHERE custom_title IS NOT NULL OR notes <> '' OR n_highlights > 0""")
-def m11_flatten_library(spark, sf_dir):
+def _library(spark, sf_dir):
     title = F.when(F.col("quality") == 1, F.concat(F.lit("t"), "doc_id"))
     meta = P.read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), title.alias("custom_title"), F.expr("if(toxic = 1, 'n', '')").alias("notes"))
-    return annotate.flatten_library(meta, P.read(spark, sf_dir, "documents").where("doc_id % 5 = 0").select(F.col("doc_id").alias("session_id")))
+    d = P.read(spark, sf_dir, "documents")
+    branches = d.where("doc_id % 6 = 0").select(F.col("doc_id").alias("id"), F.lit(None).cast("string").alias("custom_title"), F.lit("b").alias("notes"), F.lit(0).cast("long").alias("n_highlights"))
+    folders, members = P.deep_folders(spark, sf_dir)
+    placed = P.read(spark, sf_dir, "orders").select(F.concat(F.lit("c"), F.expr("o_orderkey % 50")).alias("folder_id"), F.concat(F.lit("b"), "o_orderkey").alias("member_id"))
+    return annotate.flatten_library(folders, _order(folders), members, meta, d.where("doc_id % 5 = 0").select(F.col("doc_id").alias("session_id")), placed, branches)
+
+
+@query("""SELECT * FROM (SELECT l.doc_id AS id, CASE WHEN quality = 1 THEN 't' || l.doc_id END AS custom_title, CASE WHEN toxic = 1 THEN 'n' ELSE '' END AS notes, coalesce(h.n, 0) AS n_highlights
+ FROM labels l LEFT JOIN (SELECT doc_id, count(*) AS n FROM documents WHERE doc_id % 5 = 0 GROUP BY 1) h ON l.doc_id = h.doc_id WHERE l.doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 6 = 0)) WHERE custom_title IS NOT NULL OR notes <> '' OR n_highlights > 0
+ UNION ALL SELECT doc_id, NULL, 'b', 0 FROM documents WHERE doc_id % 6 = 0""")
+def m11_flatten_library(spark, sf_dir):
+    return _library(spark, sf_dir)["meta"]
+
+
+@query("SELECT c.descendant AS id, string_agg(CAST(spot AS VARCHAR), '.' ORDER BY depth DESC) AS way FROM closure c JOIN base b ON b.id = c.ancestor GROUP BY 1", _PLACED, True)
+def m11_library_folders(spark, sf_dir):
+    return _library(spark, sf_dir)["folders"].select("id", F.concat_ws(".", F.col("way").cast("array<string>")).alias("way"))
+
+
+@query("""SELECT DISTINCT * FROM (SELECT 'c' || o_custkey AS folder_id, 'o' || o_orderkey AS member_id FROM orders UNION ALL SELECT id, 'b' || o_orderkey FROM orders JOIN deep ON id = 'c' || (o_orderkey % 50))""", P.DEEP, True)
+def m11_library_members(spark, sf_dir):
+    return _library(spark, sf_dir)["members"]
 
 
-@query("""SELECT id, parent_id, row_number() OVER (PARTITION BY parent_id ORDER BY CASE id WHEN 'n0' THEN coalesce((SELECT spot FROM base WHERE id = 'n16') - 0.5, 1e9) WHEN 'n1' THEN 1e9 ELSE spot END, id) AS place FROM base""", P.FOLDERS + """,
- base AS (SELECT f.id, parent_id, row_number() OVER (PARTITION BY parent_id ORDER BY pos IS NULL, pos, name, f.id) AS spot FROM folders f LEFT JOIN (SELECT 'n' || n_nationkey AS id, -n_nationkey AS pos FROM nation WHERE n_nationkey % 2 = 0) o ON f.id = o.id)""")
+@query("""SELECT b.id, b.parent_id, row_number() OVER (PARTITION BY b.parent_id ORDER BY CASE WHEN b.k % 30 = 15 THEN coalesce(t.spot - 0.5, 1e9) ELSE b.spot END, b.id) AS place FROM base b LEFT JOIN base t ON b.k % 30 = 15 AND t.k = b.k + 1""", _PLACED, True)
 def h5_reorder_folders(spark, sf_dir):
-    n = P.read(spark, sf_dir, "nation")
-    id_ = F.concat(F.lit("n"), "n_nationkey").alias("id")
-    order = n.where("n_nationkey % 2 = 0").select(id_, (-F.col("n_nationkey")).alias("pos"))
-    moves = n.where("n_nationkey < 2").select(id_, F.expr("if(n_nationkey = 0, 'n16', 'unknown')").alias("target"), F.lit("before").alias("side"))
-    return annotate.reorder_folders(P.folders(spark, sf_dir)[0], order, moves)
+    f = P.deep_folders(spark, sf_dir)[0]
+    moves = f.where("k % 30 = 15").select("id", F.concat(F.lit("c"), F.col("k") + 1).alias("target"), F.lit("before").alias("side"))
+    return annotate.reorder_folders(f, _order(f), moves)
 
 
-@query("""SELECT p."S", p.ts, CASE WHEN v.i IS NULL THEN 'path' ELSE 'paired' END AS source, p.i, path FROM p LEFT JOIN v ON p."S" = v."S" AND p.ts = v.ts AND p.i = v.i
- UNION ALL SELECT "S", ts, 'inline', i, NULL FROM v WHERE NOT EXISTS (SELECT 1 FROM p WHERE p."S" = v."S" AND p.ts = v.ts)""", P.CALLS + """,
- p AS (SELECT DISTINCT "S", strftime(time, '%Y-%m-%d') AS ts, k % 2 AS i, path FROM calls WHERE event_type = 'click'), v AS (SELECT DISTINCT "S", strftime(time, '%Y-%m-%d') AS ts, k % 2 AS i FROM calls WHERE event_type = 'view')""")
+@query("""SELECT p."S", p.ord, 0 AS i, path, coalesce(f.at, -1) AS image_ord, false AS is_pasted FROM p LEFT JOIN f ON p."S" = f."S" AND p.ts = f.ts
+ UNION ALL SELECT "S", ord, i, NULL, ord, true FROM v, range(2) r(i) WHERE i <= v.k % 2 AND NOT EXISTS (SELECT 1 FROM p WHERE p."S" = v."S" AND p.ts = v.ts)""", P.CALLS + """, u AS (SELECT *, strftime(time, '%Y-%m-%d') AS ts FROM calls WHERE message_type = 'assistant'),
+ p AS (SELECT * FROM u WHERE event_type = 'click'), v AS (SELECT * FROM u WHERE event_type = 'view'), f AS (SELECT "S", ts, min(ord) AS at FROM v GROUP BY 1, 2)""")
 def d11_image_gallery(spark, sf_dir):
-    c = P.calls(spark, sf_dir).select("S", F.date_format("time", "yyyy-MM-dd").alias("ts"), (F.col("k") % 2).alias("i"), "path", "event_type")
-    return annotate.image_gallery(c.where("event_type = 'click'").drop("event_type").distinct(), c.where("event_type = 'view'").select("S", "ts", "i").distinct())
+    """Clicks show a path, views one image or two."""
+    text = F.when(F.col("event_type") == "click", F.concat(F.lit("[Image: source: "), "path", F.lit("]"))).otherwise("")
+    kind = F.when(F.col("message_type") == "assistant", "user").otherwise("other")
+    m = P.calls(spark, sf_dir).select("S", "ord", kind.alias("type"), F.date_format("time", "yyyy-MM-dd").alias("ts"), text.alias("text"), "k", "event_type")
+    images = m.where("event_type = 'view'").select("S", "ord", F.explode(F.sequence(F.lit(0), (F.col("k") % 2).cast("int"))).alias("i"))
+    return annotate.image_gallery(m, images).withColumn("image_ord", F.coalesce("image_ord", F.lit(-1)))

@@ -55,15 +55,24 @@ MARKED = MESSAGES + """, marked AS (SELECT * REPLACE (CASE WHEN ("S" + ord) % 9
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as tool calls of a user's session."""
+    """events as tool calls of a user's session, some in users' rows."""
     e = read(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("long")
     tool = F.expr("case event_type when 'click' then 'Read' when 'view' then 'Edit' when 'purchase' then 'Write' else 'Bash' end")
-    return e.select(F.col("user_id").alias("S"), F.col("event_id").alias("ord"), F.col("ts").alias("time"), "event_type", tool.alias("name"), k.alias("k"), F.concat(F.lit("/src/"), k.cast("string")).alias("path"), "value")
+    return e.select(F.col("user_id").alias("S"), F.col("event_id").alias("ord"), F.col("ts").alias("time"), "event_type", tool.alias("name"), k.alias("k"), F.concat(F.lit("/src/"), k.cast("string")).alias("path"), "value", F.expr("if(event_id % 11 = 0, 'user', 'assistant')").alias("message_type"))
 
 
 CALLS = """calls AS (SELECT user_id AS "S", event_id AS ord, ts AS time, event_type, CASE event_type WHEN 'click' THEN 'Read' WHEN 'view' THEN 'Edit' WHEN 'purchase' THEN 'Write' ELSE 'Bash' END AS name,
- CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, '/src/' || json_extract_string(props, '$.k') AS path, value FROM events)"""
+ CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, '/src/' || json_extract_string(props, '$.k') AS path, value, CASE WHEN event_id % 11 = 0 THEN 'user' ELSE 'assistant' END AS message_type FROM events)"""
+
+
+def acted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as messages: each names an image path and calls a tool; users' ones do where the message is a user's or the tool is Bash."""
+    c = calls(spark, sf_dir)
+    said = "to_json(named_struct('type', 'text', 'text', concat('see [Image: source: ', path, ' ]')))"
+    used = "to_json(named_struct('type', 'tool_use', 'id', string(ord), 'name', name, 'input', named_struct('file_path', path)))"
+    kind = F.expr("if(message_type = 'user' or name = 'Bash', 'user', 'assistant')")
+    return c.select("S", F.lit("f").alias("file"), "ord", kind.alias("type"), F.col("time").cast("string").alias("ts"), F.expr(f"parse_json(concat('[', {said}, ',', {used}, ']'))").alias("content"))
 
 
 def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,10 +97,11 @@ TREE = """tree AS (SELECT *, CASE WHEN rn = 1 THEN NULL WHEN rn <= 10 THEN rn -
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read(spark, sf_dir, "lineitem")
     d = lambda c, by: F.round(F.col(c) * by).cast("long")
-    return li.select(F.col("l_orderkey").alias("S"), F.col("l_linenumber").alias("turn_no"), d("l_quantity", 1).alias("input"), d("l_extendedprice", 100).alias("output"), d("l_discount", 100).alias("cache_creation"), d("l_tax", 100).alias("cache_read"))
+    kind = F.expr("if(l_linenumber % 5 = 4, 'user', 'assistant')").alias("type")
+    return li.select(F.col("l_orderkey").alias("S"), F.col("l_linenumber").alias("turn_no"), kind, d("l_quantity", 1).alias("input"), d("l_extendedprice", 100).alias("output"), d("l_discount", 100).alias("cache_creation"), d("l_tax", 100).alias("cache_read"))
 
 
-USAGE = """usage AS (SELECT l_orderkey AS "S", l_linenumber AS turn_no, CAST(round(l_quantity) AS BIGINT) AS input, CAST(round(l_extendedprice * 100) AS BIGINT) AS output, CAST(round(l_discount * 100) AS BIGINT) AS cache_creation, CAST(round(l_tax * 100) AS BIGINT) AS cache_read FROM lineitem)"""
+USAGE = """usage AS (SELECT l_orderkey AS "S", l_linenumber AS turn_no, CASE WHEN l_linenumber % 5 = 4 THEN 'user' ELSE 'assistant' END AS type, CAST(round(l_quantity) AS BIGINT) AS input, CAST(round(l_extendedprice * 100) AS BIGINT) AS output, CAST(round(l_discount * 100) AS BIGINT) AS cache_creation, CAST(round(l_tax * 100) AS BIGINT) AS cache_read FROM lineitem)"""
 
 
 def ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,6 +135,18 @@ FOLDERS = """folders AS (SELECT 'r' || r_regionkey AS id, r_name AS name, CAST(N
  members AS (SELECT 'n' || c_nationkey AS folder_id, 'c' || c_custkey AS member_id FROM customer)"""
 
 
+def deep_folders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Customers as folders, three under each, and orders as members: as deep as the logarithm of the customers."""
+    id_ = lambda x: F.concat(F.lit("c"), x)
+    c = read(spark, sf_dir, "customer").select(id_("c_custkey").alias("id"), F.col("c_name").alias("name"), F.when(F.col("c_custkey") >= 3, id_(F.expr("c_custkey div 3"))).alias("parent_id"), F.col("c_custkey").alias("k"))
+    o = read(spark, sf_dir, "orders").select(id_("o_custkey").alias("folder_id"), F.concat(F.lit("o"), "o_orderkey").alias("member_id"))
+    return c, o
+
+
+DEEP = """deep AS (SELECT 'c' || c_custkey AS id, c_name AS name, CASE WHEN c_custkey >= 3 THEN 'c' || (c_custkey // 3) END AS parent_id, c_custkey AS k FROM customer),
+ closure AS (SELECT id AS ancestor, id AS descendant, 0 AS depth FROM deep UNION ALL SELECT f.parent_id, c.descendant, c.depth + 1 FROM closure c JOIN deep f ON f.id = c.ancestor JOIN deep p ON p.id = f.parent_id)"""
+
+
 def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """messages with their content: a string in every fourth turn, else a text, a tool call, a tool result and an image."""
     image = "named_struct('type', 'image', 'source', named_struct('type', 'base64', 'media_type', 'image/png', 'data', repeat('A', {})))"

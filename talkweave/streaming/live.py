@@ -4,34 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from talkweave.functions.text import present
-from talkweave.operators.export import transcript_compact
-from talkweave.operators.messages import classify
-from talkweave.operators.summary import session_summary
+from talkweave.operators.export import tool_lines, tool_summary, transcript_compact
+from talkweave.operators.messages import enrich, explode_parts, tool_calls
+from talkweave.operators.summary import session_summary, tool_usage
+from talkweave.sources.logs import json_objects, normalize_messages
 
 IDLE = "30 seconds"
 WATERMARK = "10 minutes"
 
 
 def stream_logs(spark: SparkSession, root: str, files_per_batch: int = 1000) -> DataFrame:
-    """L1: (file, S, ts, type, ord, text, …) of lines in files that land under ``root``/<session>/.
+    """L1: the columns of ``normalize_messages`` (ord is null), with block, line and time, of lines in files that land under ``root``/<folder>/.
 
-    Files are read once, when they appear: producers land chunks and don't append.
-    ord is the line's place in its chunk's name and file, as ``<n>.jsonl`` and running id.
+    Files are read once, when they appear: producers land chunks and don't append. ``numbered``
+    gives the lines of a batch their order.
     """
-    raw = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(f"{root}/*/*.jsonl").withColumn("file", F.col("_metadata.file_path"))
-    v = F.try_parse_json("value")
-    s = lambda path: present(F.try_variant_get("v", f"$.{path}", "string"))
-    return raw.withColumn("v", v).where("v is not null").select(
-        "file", s("sessionId").alias("S"), s("timestamp").alias("ts"), F.to_timestamp(s("timestamp")).alias("time"), s("type").alias("type"), s("subtype").alias("subtype"),
-        s("cwd").alias("cwd"), s("version").alias("version"), s("slug").alias("slug"), s("permissionMode").alias("permission_mode"),
-        F.coalesce(F.try_variant_get("v", "$.isSidechain", "boolean"), F.lit(False)).alias("is_sidechain"), F.try_variant_get("v", "$.ord", "bigint").alias("ord"),
-        F.coalesce(F.try_variant_get("v", "$.message.content", "string"), F.lit("")).alias("text"),
-    ).where("S is not null")
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")  # the last of equal keys wins
+    raw = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(f"{root}/*/*.jsonl").select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value"
+    )
+    kept = normalize_messages(json_objects(raw).withColumn("ord", F.lit(None).cast("long")), "block")
+    return kept.withColumn("time", F.to_timestamp("ts")).where("S is not null")
+
+
+def numbered(rows: DataFrame, batch: int) -> DataFrame:
+    """A batch's rows with ord: later batches after earlier ones, then by file, block and line."""
+    order = Window.partitionBy("S").orderBy("file", "block", "_line")
+    lines = rows.withColumn("_line", F.monotonically_increasing_id())
+    return lines.withColumn("ord", F.lit(batch).cast("long") * (1 << 32) + F.row_number().over(order)).drop("_line")
 
 
 def new_sessions(messages: DataFrame) -> DataFrame:
@@ -57,51 +61,81 @@ def active_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     return after.exceptAll(before).withColumn("change", F.lit("active")).unionByName(before.exceptAll(after).withColumn("change", F.lit("idle")))
 
 
-def _upsert(spark: SparkSession, path: str, fresh: DataFrame, key: str = "S") -> None:
-    """Rows of a table replaced by key: a new version beside the old one, then a pointer to it."""
-    versions = spark.read.parquet(f"{path}/current").agg(F.max("version")).first()[0] if _exists(spark, f"{path}/current") else 0
-    table = fresh
-    if versions:
-        table = spark.read.parquet(f"{path}/v{versions}").join(fresh.select(key), key, "left_anti").unionByName(fresh)
-    table.write.mode("overwrite").parquet(f"{path}/v{versions + 1}")
-    spark.createDataFrame([(versions + 1,)], "version long").write.mode("overwrite").parquet(f"{path}/current")
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+def _buckets(rows: DataFrame, buckets: int) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("S"), F.lit(buckets)).cast("int"))
 
 
 def read_current(spark: SparkSession, path: str) -> DataFrame:
-    version = spark.read.parquet(f"{path}/current").agg(F.max("version")).first()[0]
-    return spark.read.parquet(f"{path}/v{version}")
+    """The newest version of each bucket of a table that ``live_summary`` keeps."""
+    rows = spark.read.parquet(path)
+    newest = rows.select("bucket", "written").distinct().groupBy("bucket").agg(F.max("written").alias("written"))
+    return rows.join(F.broadcast(newest), ["bucket", "written"]).drop("bucket", "written")  # a row for each bucket, a fixed number
 
 
-def live_summary(messages: DataFrame, store: str, table: str, checkpoint: str, interval: str = "500 milliseconds", after: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
-    """Keeps a table of session summaries current.
+def live_summary(
+    messages: DataFrame, store: str, table: str, checkpoint: str, interval: str = "500 milliseconds", after: Callable[[DataFrame, int], None] | None = None, buckets: int = 64
+) -> StreamingQuery:
+    """Keeps a table of session summaries current; messages: of ``stream_logs``.
 
     Each micro-batch (bursts within ``interval`` come together) is stored under its number, so a
-    repeated batch replaces itself; the sessions it touches are summarised anew from all stored
-    messages and replace their rows in ``table``. ``after`` gets their messages, as for exports.
+    repeated batch replaces itself. Stored messages and the table lie in ``buckets`` parts by
+    session: a batch reads the parts of the sessions that it touches, summarises these sessions
+    anew, and writes the parts' rows as a new version; versions before the last one are deleted.
+    ``after`` gets the touched sessions' messages, as for exports.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
-        rows.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{store}/batch={number}")
-        touched = spark.read.parquet(f"{store}/batch={number}").select("S").distinct()
-        seen = classify(spark.read.parquet(store).join(touched, "S", "left_semi"))
-        _upsert(spark, table, session_summary(seen))
+        if rows.isEmpty():
+            return
+        mine = f"{store}/batch={number}"
+        _buckets(numbered(rows, number), buckets).write.mode("overwrite").partitionBy("bucket").parquet(mine)
+        touched = spark.read.parquet(mine).select("bucket", "S").distinct()
+        parts = [r.bucket for r in touched.select("bucket").distinct().collect()]  # at most ``buckets``
+        stored = spark.read.option("basePath", store).parquet(store).where(F.col("bucket").isin(parts) & (F.col("batch") <= number))
+        seen = enrich(stored.join(touched, ["bucket", "S"], "left_semi").drop("bucket", "batch", "block"))
+        fresh = _buckets(session_summary(seen), buckets)
+        old = _exists(spark, table) and spark.read.parquet(table).where(F.col("bucket").isin(parts) & (F.col("written") < number))
+        if old:
+            newest = old.groupBy("bucket").agg(F.max("written").alias("written"))
+            kept = old.join(F.broadcast(newest), ["bucket", "written"]).join(touched, ["bucket", "S"], "left_anti").drop("written")
+            fresh = fresh.unionByName(kept.select(fresh.columns))
+            last = {r.bucket: r.written for r in newest.collect()}
+        out = fresh.withColumn("written", F.lit(number).cast("long")).repartition("bucket")
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "written").parquet(table)
+        if old:
+            for b, v in last.items():
+                _drop_before(spark, f"{table}/bucket={b}", v)
         if after:
             after(seen, number)
 
     return messages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
 
 
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p, files = _path(spark, path)
+    return files.exists(p)
+
+
+def _drop_before(spark: SparkSession, bucket: str, version: int) -> None:
+    """Deletes a bucket's versions before ``version``; that one stays for those who still read it."""
+    p, files = _path(spark, bucket)
+    for f in files.listStatus(p):
+        if int(f.getPath().getName().split("=")[1]) < version:
+            files.delete(f.getPath(), True)
+
+
 def stream_exports(out: str) -> Callable[[DataFrame, int], None]:
-    """For ``live_summary``: writes the transcripts of each batch's sessions."""
+    """For ``live_summary``: writes the transcripts of each batch's sessions, tools included."""
 
-    def export(messages: DataFrame, number: int) -> None:
-        head = session_summary(messages).select("S", F.left("first_user_message", F.lit(60)).alias("title"), "created_at", "turn_count", F.lit(None).cast("string").alias("tools"))
-        transcript_compact(messages, head).write.mode("overwrite").parquet(f"{out}/batch={number}")
+    def export(seen: DataFrame, number: int) -> None:
+        calls = tool_calls(explode_parts(seen.withColumn("file", F.coalesce("file", F.lit("")))))
+        head = session_summary(seen).join(tool_summary(tool_usage(calls)), "S", "left").select("S", F.left("first_user_message", F.lit(60)).alias("title"), "created_at", "turn_count", "tools")
+        transcript_compact(seen, head, tool_lines(calls).select("S", "ord", "pos", "line")).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return export

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from talkweave.operators import export, lineage, messages, search, sequence, summary
@@ -175,17 +176,115 @@ def test_turns(spark):
 
 
 def test_shared_context(spark):
-    parent = spark.createDataFrame([("p1", 1), ("p2", 2), ("p3", 3)], "uuid string, ord int")
-    own = spark.createDataFrame([("o1", 1)], "uuid string, ord int")
-    of = lambda p: sorted(r.uuid for r in lineage.with_shared_context(own, parent, spark.createDataFrame([(p,)], "point string")).collect())
-    assert of("p2") == ["o1", "p1", "p2"] and of("gone") == ["o1", "p1", "p2", "p3"]
+    rows = [("p", "p1", 1, "user"), ("p", "p2", 2, "assistant"), ("p", "px", 3, "progress"), ("p", "p3", 4, "user"), ("p", "p2", 5, "user"), ("q", "q1", 1, "user"), ("q", "q2", 2, "user")]
+    m = spark.createDataFrame(rows, "S string, uuid string, ord int, type string")
+    own = spark.createDataFrame([("a", "o1", 1, "user"), ("b", "o2", 1, "user"), ("c", "o3", 1, "user"), ("d", "o4", 1, "user")], "S string, uuid string, ord int, type string")
+    links = spark.createDataFrame([("a", "p", "p2"), ("b", "q", "gone"), ("c", "p", "p1")], "S string, parent_S string, point string")
+    trunk = spark.createDataFrame([("c", "t1", 1, "user")], "S string, uuid string, ord int, type string")
+
+    def of(*more):
+        got = {}
+        for r in lineage.with_shared_context(own, m, links, *more).collect():
+            got.setdefault(r.S, set()).add((r.uuid, r.is_shared))
+        return got
+
+    # up to the first row with the point's id; all of the parent's valid rows where it isn't
+    assert of() == {"a": {("p1", True), ("p2", True), ("o1", False)}, "b": {("q1", True), ("q2", True), ("o2", False)}, "c": {("p1", True), ("o3", False)}, "d": {("o4", False)}}
+    assert of(trunk)["c"] == {("t1", True), ("o3", False)}
+
+
+def test_nested_branch_has_its_parent(spark):
+    """The main chain, a branch beside it, and a branch that leaves this one after a stretch in which only the assistant speaks."""
+    paths = {
+        0: ["r", "x", "b0", "b1", "b2", "b3"],
+        1: ["r", "x", "b0", "b1", "c0", "c1"],
+        2: ["r", "x", "d0", "d1"],
+    }
+    branches = spark.createDataFrame([("s", k, p[-1], "x", "", len(p), 2) for k, p in paths.items()], "S string, branch_no int, leaf string, point string, first_user_message string, path_length long, common long")
+    rows = [("s", p[-1], n, len(p) - 1 - i) for p in paths.values() for i, n in enumerate(p)]
+    got = lineage.branch_tree(branches, spark.createDataFrame(rows, "S string, start string, node string, distance long")).collect()
+    assert {r.branch_no: r.parent_no for r in got} == {0: 1, 1: 0, 2: None}
+
+
+def test_interleaved_nested_branches_are_detected(spark):
+    rows = [("r", None, "user", "00", "start"), ("x", "r", "assistant", "01", "ok")]
+    for k in range(8):
+        kind = "user" if k % 2 == 0 else "assistant"
+        rows.append((f"m{k}", f"m{k - 1}" if k else "x", kind, f"1{k}a", f"main {k}"))
+        if k < 2:  # shared by both branches: the assistant alone
+            rows.append((f"b{k}", f"b{k - 1}" if k else "x", "assistant", f"1{k}b", f"shared {k}"))
+        elif k < 6:
+            rows.append((f"c{k}", f"c{k - 1}" if k > 2 else "b1", kind, f"1{k}c", f"one {k}"))
+            rows.append((f"d{k}", f"d{k - 1}" if k > 2 else "b1", kind, f"1{k}d", f"two {k}"))
+    m = forest(spark, rows)
+    b = lineage.detect_branches(m)
+    got = lineage.branch_tree(b, lineage.branch_paths(m, b)).orderBy("branch_no").collect()
+    assert [(r.branch_no, r.leaf, r.point, r.first_user_message, r.path_length, r.common, r.parent_no) for r in got] == [
+        (0, "c5", "x", "one 2", 8, 2, 1), (1, "d5", "x", "two 2", 8, 2, 0),
+    ]
+
+
+def test_depths(spark):
+    m = forest(spark, [("a", None, "user", "1", "x"), ("b", "a", "user", "2", "x"), ("c", "b", "user", "3", "x"), ("o", "gone", "user", "4", "x"), ("p", "q", "user", "5", "x"), ("q", "p", "user", "6", "x"), ("t", "p", "user", "7", "x")])
+    e = lineage.edges(m)
+    assert {r.node: r.depth for r in lineage.depths(e).where("not endless").collect()} == {"a": 0, "b": 1, "c": 2, "o": 0}
+    assert {(r.start, r.length, r.rank) for r in lineage.ranked_leaves(e).collect()} == {("c", 3, 1), ("t", 3, 2), ("o", 1, 3)}
+
+
+def test_only_assistants_tools_and_tokens_count(spark, tmp_path):
+    (tmp_path / "p").mkdir()
+    call = lambda name, path: {"type": "tool_use", "id": path, "name": name, "input": {"file_path": path}}
+    (tmp_path / "p" / "a.jsonl").write_text("\n".join([
+        line("u1", content=[{"type": "text", "text": "see [Image: source: /i/a.png] and [Image: source: b.png]"}, call("Write", "/user"), call("Skill", "/skill")], usage={"input_tokens": 7}),
+        line("u2", content="[Image: source: /i/string.png]"),
+        line("a1", "assistant", [{"type": "text", "text": "[Image: source: /i/assistant.png]"}, call("Read", "/i/a.png"), call("Edit", "/f")], usage={"input_tokens": 5}),
+    ]))
+    m = messages.enrich(logs.normalize_messages(logs.scan_logs(spark, str(tmp_path))))
+    parts = messages.explode_parts(m)
+    calls = messages.tool_calls(parts)
+    assert {r.tool: r.n for r in summary.tool_usage(calls).collect()} == {"Read": 1, "Edit": 1} and messages.skill_invocations(calls).count() == 0
+    assert summary.token_totals(messages.token_usage(m)).first().input == 5
+    assert {r.path: r.actions for r in summary.session_file_actions(parts).collect()} == {"/i/a.png": ["read", "user-image"], "/f": ["edit"]}
+
+
+def test_instruction_document(spark):
+    rows = [("s", 1, "system", "claudeMd Contents of /w/CLAUDE.md (x):\nold\n"), ("s", 2, "system", "Contents of /w/CLAUDE.md (y):\n new\nlines \n\nContents of /z"), ("s", 3, "system", "CLAUDE.md only named"), ("s", 4, "user", "Contents of /w/CLAUDE.md:\nuser"), ("t", 1, "system", "Contents of CLAUDE.md:\nin a tag\n</tag>")]
+    m = spark.createDataFrame(rows, "S string, ord int, type string, text string")
+    assert {r.S: r.doc for r in messages.instruction_doc(m).collect()} == {"s": "new\nlines", "t": "in a tag"}
+
+
+def test_transcripts_are_written(spark, tmp_path):
+    docs = spark.createDataFrame([("s", "# a", 1), ("s:intra-0", "# b", 2)], "id string, markdown string, n int")
+    for _ in range(2):
+        export.write_transcripts(docs, str(tmp_path / "t"))
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "t")).collect())) == [("s", "# a"), ("s:intra-0", "# b")]
+
+
+def test_file_tree(spark):
+    paths = ["/a/b/c.py", "/a/b/d.py", "/x/y/z/only.txt", "/top.md", "/a/e.py", "/f", "/f/g"]
+    refs = spark.createDataFrame([("s", p, p != "/a/e.py") for p in paths], "S string, path string, exists boolean")
+    got = [(r.path, r["name"], r.parent, r.depth, r.is_file, r.n_files, r.n_deleted, r.place) for r in summary.file_tree(refs).collect()]
+    assert sorted(got) == sorted([
+        ("/a", "a", None, 0, False, 3, 1, 1), ("/f", "f", None, 0, True, 2, 0, 2), ("/top.md", "top.md", None, 0, True, 1, 0, 3), ("/x/y/z/only.txt", "x/y/z/only.txt", None, 0, True, 1, 0, 4),
+        ("/a/b", "b", "/a", 1, False, 2, 0, 1), ("/a/e.py", "e.py", "/a", 1, True, 1, 1, 2), ("/a/b/c.py", "c.py", "/a/b", 2, True, 1, 0, 1), ("/a/b/d.py", "d.py", "/a/b", 2, True, 1, 0, 2),
+        ("/f/g", "g", "/f", 1, True, 1, 0, 1),
+    ])
+
+
+def test_folder_closure_of_a_chain_and_a_cycle(spark):
+    from talkweave.operators import annotate
+
+    rows = [("a", None), ("b", "a"), ("c", "b"), ("d", "c"), ("p", "q"), ("q", "p")]
+    f = spark.createDataFrame(rows, "id string, parent_id string")
+    got = {(r.ancestor, r.descendant): r.depth for r in annotate.folder_closure(f).collect()}
+    assert got == {(x, y): j - i for i, x in enumerate("abcd") for j, y in enumerate("abcd") if i <= j} | {("p", "p"): 0, ("q", "q"): 0, ("p", "q"): 1, ("q", "p"): 1}
 
 
 def test_annotations(spark, tmp_path):
     f = tmp_path / "a.json"
-    f.write_text(json.dumps({"folders": [{"id": "f", "name": "n", "parentId": None, "sessionIds": ["s1", "s2"]}], "sessionMeta": {"s1": {"customTitle": "t", "highlights": [{"id": "h", "text": "q"}]}}}))
+    f.write_text(json.dumps({"folders": [{"id": "f", "name": "n", "parentId": None, "sessionIds": ["s1", "s2"]}], "sessionMeta": {"s1": {"customTitle": "t", "highlights": [{"id": "h", "text": "q"}]}}, "branchFolders": {"s1:intra-0": ["f", "g"]}, "branchMeta": {"s1:intra-0": {"notes": "n", "highlights": [{"id": "k"}]}}, "folderOrder": ["g", "f"]}))
     got = logs.load_annotations(spark, str(f))
-    assert {k: v.count() for k, v in got.items()} == {"folders": 1, "folder_members": 2, "session_meta": 1, "highlights": 1}
+    assert {k: v.count() for k, v in got.items()} == {"folders": 1, "folder_order": 2, "folder_members": 2, "branch_members": 2, "session_meta": 1, "highlights": 1, "branch_meta": 1, "branch_highlights": 1}
     assert all(v.count() == 0 for v in logs.load_annotations(spark, str(tmp_path / "none.json")).values())
 
 
@@ -208,24 +307,59 @@ def test_full_transcript(spark):
     head = spark.createDataFrame([("s", "title", "2026-03-01T10:00:00Z", 1)], "S string, title string, created_at string, turn_count int")
     labels = spark.createDataFrame([("s", 0, "current", 1)], "S string, section_no int, kind string, n_users int")
     text = export.transcript_full(t, head, labels).first().markdown
-    assert text == "# title\n\n> 3/1 10:00 | 1 turns\n\n##### # Head...\n\n*3/1 10:05*\n\n> ###### Head\n> body\n\nanswer\n"
-
-
-def test_live_summaries_equal_batch(spark, tmp_path):
+    assert text == "# title\n\n> 3/1 10:00 | 1 turns\n\n##### # Head...\n\n*3/1 10:05*\n\n> **Head**\n> body\n\nanswer\n\n---\n"
+
+
+def test_full_transcript_of_merged_turns_tools_and_sections(spark):
+    rows = [("assistant", None, "lead", 0), ("user", "command-output", "<command-name>/a</command-name>", 0), ("assistant", None, "", 1), ("user", "command-output", "<local-command-stdout>b</local-command-stdout>", 0),
+            ("user", None, "[Image: source: /a.png]", 0), ("user", None, "q", 0), ("assistant", None, "# H **x**\n```\n# code\n```\n## T", 0)]
+    t = sequence.turns(turn_rows(spark, rows)).withColumn("ts", F.lit(None).cast("string"))
+    head = spark.createDataFrame([("s", "t", "2026-03-01T10:00:00Z", 2, "Bash(1)")], "S string, title string, created_at string, turn_count int, tools string")
+    labels = spark.createDataFrame([("s", 0, "original", 3), ("s", 1, "current", 1)], "S string, section_no int, kind string, n_users int")
+    calls = spark.createDataFrame([("s", 2, 0, "> Read `/f`")], "S string, ord int, pos int, line string")
+    text = export.transcript_full(t, head, labels, calls).first().markdown
+    merged = "<command-name>/a</command-name>\n<local-command-stdout>b</local-command-stdout>\n[Image: source: /a.png]"
+    assert text == "\n".join([
+        "# t\n", "> 3/1 10:00 | 2 turns", "> Tools: Bash(1)", "", "## original\n", "lead\n", "---\n", "##### <command-name>/a</command-name>...\n", "\n".join("> " + x for x in merged.split("\n")), "",
+        "> Read `/f`\n", "---\n", "##### q\n", "> q", "", "**H x**\n```\n# code\n```\n**T**\n", "---\n", "## current\n",
+    ])
+
+
+def test_headings_become_bold_outside_code(spark):
+    said = ["# **Big** title\n####### no\n#no\n```\n# code\n```py\n# out", "```\n# code", "# a\n\n###### b ", "", "## \n# x\ry"]
+    want = ["**Big title**\n####### no\n#no\n```\n# code\n```py\n**out**", "```\n# code", "**a**\n\n**b **", "", "## \n# x\ry"]
+    docs = spark.createDataFrame(list(enumerate(said)), "id int, text string")
+    assert [r.text for r in sequence.demote_headings(docs).orderBy("id").collect()] == want
+    fenced = sequence.doc_lines(docs).where("id = 0").orderBy("n").collect()
+    assert [(r.n, r.in_code) for r in fenced] == list(enumerate([False, False, False, True, True, True, False]))
+
+
+def test_live_summaries_equal_batch(spark, root, tmp_path):
+    """The batch reader's own file, without any order in its lines, and more files later."""
     src, out = tmp_path / "in", tmp_path / "out"
-    (src / "s1").mkdir(parents=True)
-    (src / "s2").mkdir()
-    rows = [line(f"u{k}", ts=f"2026-03-01T00:00:0{k}Z", session=f"s{1 + k % 2}", ord=k) for k in range(6)]
-    (src / "s1" / "0.jsonl").write_text("\n".join(rows[:3]))
-    start = lambda: live.live_summary(live.stream_logs(spark, str(src)), str(out / "store"), str(out / "table"), str(out / "cp"), after=live.stream_exports(str(out / "md")))
-    q = start()
-    q.processAllAvailable()
-    assert {r.S: r.message_count for r in live.read_current(spark, str(out / "table")).collect()} == {"s1": 2, "s2": 1}
-    (src / "s2" / "1.jsonl").write_text("\n".join(rows[3:]))
-    q.processAllAvailable()
+    (src / "p1").mkdir(parents=True)
+    (src / "p2").mkdir()
+    with open(f"{root}/p1/a.jsonl") as f:
+        (src / "p1" / "a.jsonl").write_text(f.read())
+    q = live.live_summary(live.stream_logs(spark, str(src)), str(out / "store"), str(out / "table"), str(out / "cp"), after=live.stream_exports(str(out / "md")), buckets=4)
+
+    def same():
+        q.processAllAvailable()
+        over_files = F.row_number().over(Window.partitionBy("S").orderBy("file", "ord"))
+        m = messages.enrich(logs.normalize_messages(logs.scan_logs(spark, str(src)))).where("S is not null")
+        want = summary.session_summary(m.withColumn("ord", over_files))
+        got = live.read_current(spark, str(out / "table")).select(want.columns)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+        return {r.S: r for r in got.collect()}
+
+    first = same()
+    assert first["s1"].turn_count == 2 and first["s1"].version == "1"
+    (src / "p2" / "b.jsonl").write_text("\n".join(line(f"v{k}", ts=f"2026-03-02T00:00:0{k}Z", session=f"s{1 + k % 2}", content=f"text {k}", version=str(k)) for k in range(6)))
+    second = same()
     q.stop()
-    assert {r.S: r.message_count for r in live.read_current(spark, str(out / "table")).collect()} == {"s1": 3, "s2": 3}
-    assert spark.read.parquet(str(out / "md")).count() == 4
+    assert second["s2"].message_count == 3 and second["s1"].version == "4" and second["s1"].first_user_message == "[1]"
+    notes = {r.S: r.markdown for r in spark.read.parquet(str(out / "md")).where("batch = 1").collect()}
+    assert "[Bash] ls" in notes["s1"] and "> 3/1 00:00 | 2 turns | Tools: " in notes["s1"] and set(notes) == {"s1", "s2"}
 
 
 def test_activity(spark):
