@@ -663,13 +663,27 @@ def g6_branch_rows(spark, sf_dir):
     return lineage.branch_rows(branches, _summary(spark, sf_dir).select("S", "first_user_message")).select("id", "S", "first_user_message", "point")
 
 
-@query()
+_FACTS = _BRANCHES + """, found AS (SELECT l."S", row_number() OVER (PARTITION BY l."S" ORDER BY rank) - 1 AS no, l.start, common FROM longest l JOIN swaps w ON w."S" = l."S" AND w.start = l.start WHERE n >= 3),
+ nodes AS (SELECT f."S", f.no, f.common, p.node, p.distance FROM found f JOIN path p ON p."S" = f."S" AND p.start = f.start),
+ share AS (SELECT x."S", x.no, y.no AS other, count(*) AS n FROM nodes x JOIN nodes y ON x."S" = y."S" AND x.node = y.node AND x.no <> y.no GROUP BY 1, 2, 3, x.common, y.common HAVING count(*) > x.common AND count(*) > y.common),
+ parent AS (SELECT "S", no, arg_max(other, n * 1000 - other) AS up FROM share GROUP BY 1, 2),
+ held AS (SELECT "S", -1 AS up, node FROM main UNION ALL SELECT "S", no, node FROM nodes),
+ way AS (SELECT n."S", n.no, u.up, n.node, n.distance, h.node IS NULL AS own, f.ts, f.by_user, f.text FROM nodes n LEFT JOIN parent u ON u."S" = n."S" AND u.no = n.no LEFT JOIN held h ON h."S" = n."S" AND h.up = coalesce(u.up, -1) AND h.node = n.node JOIN facts f ON f."S" = n."S" AND f.rn = n.node),
+ branch AS (SELECT "S", no, up, CAST(arg_max(ts, distance) FILTER (own) AS VARCHAR) AS created_at, CAST(arg_min(ts, distance) FILTER (own) AS VARCHAR) AS updated_at, count(*) AS message_count, least(count(*) FILTER (by_user), count(*) FILTER (NOT by_user)) AS turn_count,
+  coalesce(left(arg_max(text, distance) FILTER (own AND by_user), 200), '') AS first_user_message, CAST(coalesce(arg_min(node, distance) FILTER (NOT own), arg_max(node, distance)) AS VARCHAR) AS point, CAST(arg_min(node, distance) AS VARCHAR) AS leaf FROM way GROUP BY 1, 2, 3),
+ session AS (SELECT "S", CAST(min(ts) AS VARCHAR) AS created_at, CAST(max(ts) AS VARCHAR) AS updated_at, count(*) AS message_count, least(count(*) FILTER (by_user), count(*) FILTER (NOT by_user)) AS turn_count, left(coalesce(arg_min(text, rn) FILTER (by_user), ''), 200) AS first_user_message FROM facts GROUP BY 1),
+ kids AS (SELECT "S", coalesce(up, -1) AS no, string_agg("S" || ':intra-' || no, ',' ORDER BY no) AS children FROM branch GROUP BY 1, 2)"""
+
+
+@query("""SELECT b."S" || ':intra-' || b.no AS id, created_at, updated_at, message_count, turn_count, first_user_message, point, leaf, b."S" || coalesce(':intra-' || up, '') AS parent_id, coalesce(children, '') AS children FROM branch b LEFT JOIN kids k ON k."S" = b."S" AND k.no = b.no
+ UNION ALL SELECT CAST(s."S" AS VARCHAR), created_at, updated_at, message_count, turn_count, first_user_message, NULL, NULL, NULL, coalesce(children, '') FROM session s LEFT JOIN kids k ON k."S" = s."S" AND k.no = -1""", _FACTS, True)
 def g6_detected_branch_rows(spark, sf_dir):
     m = P.tree(spark, sf_dir)
     kept = {"is_sidechain": F.lit(False), **{c: F.lit(None).cast("string") for c in ("cwd", "version", "slug", "permission_mode")}}
     whole = summary.session_summary(m.withColumns({c: v for c, v in kept.items() if c not in m.columns}))
     found = lineage.checkpointed(lineage.detect_branches(m))
-    return lineage.branch_rows(lineage.branch_facts(found, lineage.branch_paths(m, found), m), whole)
+    rows = lineage.branch_rows(lineage.branch_facts(found, lineage.branch_paths(m, found), m), whole)
+    return rows.select("id", "created_at", "updated_at", "message_count", "turn_count", "first_user_message", "point", "leaf", "parent_id", F.array_join("child_ids", ",").alias("children"))
 
 
 _CONFIG = """inv AS (SELECT DISTINCT CASE page_id % 5 WHEN 0 THEN '/w/conf.md' WHEN 1 THEN '/w/own.md' ELSE '/w/' || (page_id % 3) || CASE WHEN page_id % 2 = 0 THEN '/conf.md' ELSE '/own.md' END END AS path FROM pages),
