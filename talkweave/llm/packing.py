@@ -31,16 +31,23 @@ _BYTE_CHARS = _byte_chars()
 
 
 def _normal(word: str) -> str:
-    return "".join(c.lower() for c in unicodedata.normalize("NFC", word))
+    word = unicodedata.normalize("NFC", word)
+    # a capital sigma's lower case depends on its place in the word, but not here
+    return "".join(c.lower() for c in word) if "\u03a3" in word else word.lower()
 
 
-class WordEncoder:
-    """Ids of whole texts for a tokenizer that drops white space between its pre-tokens.
+_PROBES = ["The  quick,\tbrown\nfox's it'LL . .. a.b, 12 3x", "\u00c9t\u00e9 e\u0301t\u00c9\u00a0\u03a3\u03b1\u03a3 \u4e2d\u6587 \U0001f600", " lead  trail, "]
+
 
-    Such a tokenizer treats every blank-separated word alike wherever it stands, so
-    each distinct word is encoded once and the texts are put together from a table
-    of at most ``most_words`` words. A single ``.`` or ``,`` after letters is a
-    pre-token of its own, which keeps the table small.
+class WordEncoder:
+    """Ids of whole texts, as the tokenizer's ``encode`` gives without special tokens of its own.
+
+    For a tokenizer that lower-cases and drops white space between its pre-tokens, every
+    blank-separated word is treated alike wherever it stands, so each distinct word is
+    encoded once and the texts are put together from a table of at most ``most_words``
+    words. A single ``.`` or ``,`` after letters is a pre-token of its own, which keeps
+    the table small. Texts that hold an added token (such as ``<|endoftext|>``, which
+    becomes its id), and all texts of another kind of tokenizer, are encoded as a whole.
     """
 
     def __init__(self, path: str, most_words: int = 600_000):
@@ -48,10 +55,12 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.by_word, self.most_words, self.words = True, most_words, {"": b""}
         self.tokenizer.encode_special_tokens = True
-        self.most_words, self.words = most_words, {"": b""}
         probe = ["the", "wordings", "\u00e9t\u00e9", "e\u0301t", "\u00c9", "stra\u00dfe", "\u03a3\u03b1\u03c2\u03a3", "\u4e2d\u6587"]
         self.direct = self._letters([_normal(w) for w in probe]) == self._whole(probe)
+        self.by_word = self.direct and self(_PROBES) == [np.array(x, "<u4").tobytes() for x in self._whole(_PROBES)]
 
     def _whole(self, words: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch(words, add_special_tokens=False)]
@@ -71,18 +80,32 @@ class WordEncoder:
                 part = some[a : a + at_once]
                 self.words.update((w[0], np.array(x, "<u4").tobytes()) for w, x in zip(part, ids([w[k] for w in part])))
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+    def _as_they_are(self, texts: list[str]) -> list[bytes]:
+        self.tokenizer.encode_special_tokens = False
+        out = [np.array(x, "<u4").tobytes() for x in self._whole(texts)]
+        self.tokenizer.encode_special_tokens = True
+        return out
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        if not self.by_word:
+            return self._as_they_are(texts)
         split = [_ascii_lower(t).replace("\n", " ").split(" ") for t in texts]
-        new = {w for words in split for w in words if w not in self.words}
+        every = set().union(*split)
+        new = every.difference(self.words)
         if len(self.words) + len(new) > self.most_words:
             # the words learned first are the frequent ones
             self.words = dict(islice(self.words.items(), self.most_words // 2))
-            new = {w for words in split for w in words if w not in self.words}
+            new = every.difference(self.words)
         ends = {w: w[:-1] for w in new if w[-1] in ".," and w[:-1].isalpha()}
         whole = (new - ends.keys()) | {w for w in ends.values() if w not in self.words} | ({".", ","} - self.words.keys())
         self._learn(list(whole))
         self.words.update((w, self.words[stem] + self.words[w[-1]]) for w, stem in ends.items())
-        return [np.frombuffer(b"".join(map(self.words.__getitem__, words)), "<u4") for words in split]
+        out = [b"".join(map(self.words.__getitem__, words)) for words in split]
+        special = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
+        for i, ids in zip(special, self._as_they_are([texts[i] for i in special])):
+            out[i] = ids
+        return out
 
 
 @lru_cache(1)
@@ -102,33 +125,34 @@ def token_pieces(
     tokenizer: str = WORD_TOKENIZER,
     capacity: int = 4096,
     end_id: int = 1,
+    with_ids: bool = True,
 ) -> DataFrame:
-    """(id, piece, start, length, ids_crc32, ids) of every document.
+    """(id, piece, start, length, ids_crc32, ids) of every document; without ids, if only their places are wanted.
 
-    A null text counts as empty; an empty text is the end id alone. Only documents
+    Ids are those of the tokenizer's ``encode`` without special tokens of its own; one that
+    stands in a text is its id. A null text counts as empty; an empty text is the end id alone. Only documents
     longer than ``capacity`` are cut. Repeated rows give repeated pieces, a null id
     is kept, and further columns are ignored.
     """
+    end = np.array([end_id], "<u4").tobytes()
+    columns = ["k", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
+
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = _encoder(tokenizer)
         for b in batches:
             keys, at = b["k"].tolist(), 0
             for texts in text_batches(b["t"].tolist(), 256):
                 rows = []
-                for key, ids in zip(keys[at : at + len(texts)], encode(texts)):
-                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                    for n, start in enumerate(range(0, len(ids), capacity)):
-                        x = ids[start : start + capacity].tobytes()
-                        rows.append((key, n, start, len(x) // 4, zlib.crc32(x), x))
+                for key, raw in zip(keys[at : at + len(texts)], encode(texts)):
+                    raw += end
+                    for n, start in enumerate(range(0, len(raw), 4 * capacity)):
+                        x = raw[start : start + 4 * capacity]
+                        rows.append((key, n, start // 4, len(x) // 4, zlib.crc32(x), x)[: len(columns)])
                 at += len(texts)
-                yield pd.DataFrame(rows, columns=["k", "piece", "start", "length", "ids_crc32", "ids"])
+                yield pd.DataFrame(rows, columns=columns)
 
-    return restore_key(
-        keyed_text(docs, id_col, text_col).mapInPandas(
-            cut, "k string, piece int, start long, length long, ids_crc32 long, ids binary"
-        ),
-        docs, id_col,
-    )
+    schema = "k string, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
+    return restore_key(keyed_text(docs, id_col, text_col).mapInPandas(cut, schema), docs, id_col)
 
 
 class OpenBins:
@@ -205,5 +229,5 @@ def best_fit_pack(
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **tokenizing) -> DataFrame:
     """Pieces of all documents with their places, without the ids."""
     capacity = tokenizing.get("capacity", 4096)
-    pieces = saved(token_pieces(docs, id_col, text_col, **tokenizing).drop("ids"), "pieces")
+    pieces = saved(token_pieces(docs, id_col, text_col, with_ids=False, **tokenizing), "pieces")
     return best_fit_pack(pieces, order=(id_col, "piece"), capacity=capacity)

@@ -15,7 +15,6 @@ def word_ids():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     return lambda x: t.encode(x or "", add_special_tokens=False).ids
 
 
@@ -41,6 +40,25 @@ def test_pieces_hold_the_tokenizers_ids(spark, docs, texts, word_ids):
         assert all(r.length == 512 for r in got[:-1]) and all(r.ids_crc32 == zlib.crc32(r.ids) for r in got)
 
 
+def test_special_tokens_in_texts_are_the_tokenizers(word_ids):
+    encode = packing.WordEncoder(packing.WORD_TOKENIZER)
+    texts = ["x <|endoftext|> y", "x<|ENDOFTEXT|>y", "A<|startoftext|>\tB  ", "<|ENDOFTEXT|>", "<|endoftext|>" * 3, "plain"]
+    assert encode.by_word
+    assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == [word_ids(x) for x in texts]
+
+
+def test_another_kind_of_tokenizer_encodes_whole_texts(tmp_path, texts):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    vocab = {c: i for i, c in enumerate(sorted(pre_tokenizers.ByteLevel.alphabet()))}
+    t = Tokenizer(models.BPE(vocab, []))
+    t.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    t.save(str(tmp_path / "t.json"))
+    encode, some = packing.WordEncoder(str(tmp_path / "t.json")), [x or "" for x in texts]
+    assert not encode.by_word
+    assert [np.frombuffer(x, "<u4").tolist() for x in encode(some)] == [t.encode(x, add_special_tokens=False).ids for x in some]
+
+
 def test_packing_fills_sequences_without_gaps(spark, docs):
     rows = packing.pack_documents(docs, capacity=512).collect()
     bins = defaultdict(list)
