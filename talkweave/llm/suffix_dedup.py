@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from talkweave.llm.common import discard, saved
+from talkweave.llm.common import discard, few_or_shuffled, saved
 from talkweave.llm.suffix_anchors import GRAM, anchor_place, anchored_runs
 from talkweave.llm.suffix_sort import repeated
 
@@ -111,15 +111,15 @@ def _parts(rows: list[tuple]) -> pd.DataFrame:
     return df.assign(g=df["g"].to_numpy("u8").view("i8"), c=df["c"].to_numpy("u8").view("i8"))
 
 
-def divide(snippets: DataFrame, length: int, shard_bytes: int) -> tuple[list[DataFrame], list[DataFrame]]:
-    """(ranges of repeated windows, snippets to sort) of the snippets of anchors that have more than ``shard_bytes``.
+def divide(snippets: DataFrame, length: int, shard_bytes: int) -> tuple[list[DataFrame], list[DataFrame], list[DataFrame]]:
+    """(ranges of repeated windows, snippets to sort, the tables that hold these) of the snippets of anchors that have more than ``shard_bytes``.
 
     The windows of an anchor are divided by the anchor's place in them, ever more finely, and by the
     bytes that all windows with it there hold. What shares these bytes with nothing is done, and
     so is what has the same windows as another. Groups that fit are sorted; at single
     places the shared bytes are the whole window, so no group is left.
     """
-    found, small = [], []
+    found, small, stored = [], [], []
     for span in _spans(length - GRAM + 1):
         parts = saved(snippets.mapInPandas(_divided(length, span), "g long, c long, t1 long, t2 long, s long, e long, n long, p long, raw binary"), "parts")
         contents = parts.groupBy("g", "c").agg(F.sum("n").alias("n"), F.min(F.struct(*_T, "s", "e", "p", "raw")).alias("one"))
@@ -131,11 +131,12 @@ def divide(snippets: DataFrame, length: int, shard_bytes: int) -> tuple[list[Dat
         rest = saved(contents.join(groups, "g").select(F.col("g").alias("a"), "one.t1", "one.t2", "one.s", "one.e", "n", "one.p", "one.raw", "size"), "snippets")
         discard(parts)
         discard(contents)
+        stored.append(rest)
         small.append(rest.where(F.col("size") <= shard_bytes).drop("size", "p"))
         snippets = rest.where(F.col("size") > shard_bytes).drop("size")
         if snippets.isEmpty():
             break
-    return found, small
+    return found, small, stored
 
 
 def _spans(places: int) -> list[int]:
@@ -145,8 +146,8 @@ def _spans(places: int) -> list[int]:
     return out[1:] or [1]
 
 
-def repeated_windows(docs: DataFrame, text_col: str = "text", length: int = 400, shard_bytes: int = 3 << 20) -> DataFrame:
-    """(t1, t2, s, e) by text key: ranges of first bytes of the strings that also begin elsewhere.
+def repeated_windows(docs: DataFrame, text_col: str = "text", length: int = 400, shard_bytes: int = 1 << 20) -> DataFrame:
+    """(t1, t2, s, e), saved, by text key: ranges of first bytes of the strings that also begin elsewhere.
 
     Equal strings have equal content-chosen anchors, so only runs of windows whose anchor
     occurs twice are looked at further. A run whose whole content occurs twice is repeated,
@@ -157,41 +158,44 @@ def repeated_windows(docs: DataFrame, text_col: str = "text", length: int = 400,
     holds more than twice as much, but for a single run.
     """
     all_runs = saved(runs(docs, text_col, length), "runs")
-    anchors = all_runs.groupBy("a").agg(F.count("*").alias("n"), (F.min("c") != F.max("c")).alias("mixed")).where("n > 1").drop("n")
+    anchors = saved(all_runs.groupBy("a").agg(F.count("*").alias("n"), (F.min("c") != F.max("c")).alias("mixed")).where("n > 1").drop("n"), "anchors")
+    # a stored side on each side of the join: a very common anchor's rows can be split
     shared = saved(all_runs.join(anchors, "a"), "shared")
-    discard(all_runs)
+    for t in (all_runs, anchors):
+        discard(t)
     contents = saved(
         shared.groupBy("a", "c").agg(F.count("*").alias("n"), F.first("mixed").alias("mixed"), F.min(F.struct("t1", "t2", "se")).alias("one")), "contents"
     )
-    whole = shared.join(contents.where("n > 1").select("a", "c"), ["a", "c"]).select(*_T, "se").distinct()
+    first_byte, last_byte = F.shiftright("se", 32), F.col("se").bitwiseAND(F.lit(0xFFFFFFFF))
+    whole = shared.join(contents.where("n > 1").select("a", "c"), ["a", "c"]).select(*_T, "se").distinct().select(*_T, first_byte.alias("s"), last_byte.alias("e"))
+    whole = saved(whole, "whole")
+    discard(shared)
     part = contents.where("mixed").select("a", "n", "one.*")
-    places = part.groupBy(*_T).agg(F.collect_list(F.struct("a", "n", "se")).alias("places"))
-    texts = _keyed(docs.where(F.octet_length(text_col) >= length).select(F.col(text_col).alias("t")), "t").join(places, _T)
-    once = texts.groupBy(*_T).agg(F.first("t").alias("t"), F.first("places").alias("places"))
-    snippets = once.select(*_T, F.col("t").cast("binary").alias("raw"), F.explode("places").alias("p")).select(
-        F.col("p.a").alias("a"), *_T, F.shiftright("p.se", 32).alias("s"), F.col("p.se").bitwiseAND(F.lit(0xFFFFFFFF)).alias("e"), F.col("p.n").alias("n"), "raw"
-    )
-    snippets = snippets.withColumn("raw", F.expr(f"substring(raw, int(s) + 1, int(e - s) + {length})"))
-    sizes = part.groupBy("a").agg(F.sum(F.col("se").bitwiseAND(F.lit(0xFFFFFFFF)) - F.shiftright("se", 32) + length).alias("size"))
-    over = sizes.where(F.col("size") > shard_bytes).select("a")
-    ranges = whole.select(*_T, F.shiftright("se", 32).alias("s"), F.col("se").bitwiseAND(F.lit(0xFFFFFFFF)).alias("e"))
-    divided, full = [], [r.a for r in over.collect()]
-    if full:
-        crowded = F.col("a").isin(full)
-        large = saved(snippets.where(crowded).select("a", *_T, "s", "e", "n", F.lit(-1).cast("long").alias("p"), "raw"), "crowded")
-        divided, small = divide(large, length, shard_bytes)
-        snippets = snippets.where(~crowded)
+    over = saved(part.groupBy("a").agg(F.sum(last_byte - first_byte + length).alias("size")).where(F.col("size") > shard_bytes).select("a"), "over")
+    part = part.join(few_or_shuffled(over.withColumn("crowded", F.lit(True))), "a", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
+    places = part.groupBy(*_T).agg(F.collect_list(F.struct("a", "n", "se", "crowded")).alias("places"))
+    long = docs.where(F.octet_length(text_col) >= length).select(F.col(text_col).alias("t"))
+    once = _keyed(long, "t").groupBy(*_T).agg(F.first("t").alias("t")).join(places, _T)  # copies of a text meet before they move
+    snippets = once.select(*_T, F.col("t").cast("binary").alias("raw"), F.explode("places").alias("p")).select("p.*", *_T, "raw")
+    snippets = snippets.select("a", "crowded", *_T, first_byte.alias("s"), last_byte.alias("e"), "n", F.expr(f"substring(raw, int(se >> 32) + 1, int((se & {0xFFFFFFFF}L) - (se >> 32)) + {length})").alias("raw"))
+    divided, found = [], [whole]
+    if not over.isEmpty():
+        large = saved(snippets.where("crowded").select("a", *_T, "s", "e", "n", F.lit(-1).cast("long").alias("p"), "raw"), "crowded")
+        divided, small, stored = divide(large, length, shard_bytes)
+        snippets = snippets.where(~F.col("crowded"))
+        found += divided
         for t in small:
-            snippets = snippets.unionByName(t)
-        for t in divided:
-            ranges = ranges.unionByName(t)
-    sorted_ = snippets.repartition("a").sortWithinPartitions("a").mapInPandas(_sort_shards(length, shard_bytes), "t1 long, t2 long, s long, e long")
-    found = saved(ranges.unionByName(sorted_), "repeats")
-    for t in divided:
+            snippets = snippets.unionByName(t.withColumn("crowded", F.lit(True)))
+        divided += [large, *stored]
+    snippets = snippets.select("a", *_T, "s", "e", "n", "raw")
+    found.append(snippets.repartition("a").sortWithinPartitions("a").mapInPandas(_sort_shards(length, shard_bytes), "t1 long, t2 long, s long, e long"))
+    ranges = found[0]
+    for t in found[1:]:
+        ranges = ranges.unionByName(t)
+    out = saved(ranges, "repeats")
+    for t in (whole, contents, over, *divided):
         discard(t)
-    discard(shared)
-    discard(contents)
-    return found
+    return out
 
 
 def merged(starts: np.ndarray, lasts: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -210,7 +214,9 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = 400) -
     another row; strings are judged on the input. All copies of a repeated string go. Null
     and empty texts have zero bytes. Rows are kept as they are, whatever their ids.
     """
-    spans_of = repeated_windows(docs, text_col, length).groupBy(*_T).agg(F.collect_list(F.struct("s", "e")).alias("w"))
+    windows = repeated_windows(docs, text_col, length)
+    spans_of = saved(windows.groupBy(*_T).agg(F.collect_list(F.struct("s", "e")).alias("w")), "spans")
+    discard(windows)
 
     @pandas_udf("spans array<struct<start:long,end:long>>, kept binary, kept_text string")
     def cut(texts: pd.Series, windows: pd.Series) -> pd.DataFrame:
@@ -226,7 +232,8 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = 400) -
             kept.append(b"".join(parts))
         return pd.DataFrame({"spans": spans, "kept": kept, "kept_text": [k.decode("utf-8", "ignore") for k in kept]})
 
-    names = docs.columns
-    out = _keyed(docs.select(F.struct(*names).alias("row"), F.col(text_col).alias("t")), "t").join(spans_of, _T, "left")
+    out = _keyed(docs.select(F.struct("*").alias("row"), F.col(text_col).alias("t")), "t").join(spans_of.hint("shuffle_hash"), _T, "left")
     out = out.select("row", F.coalesce("t", F.lit("")).alias("t"), "w").withColumn("cut", cut("t", "w"))
-    return out.select(*(F.col("row").getField(c).alias(c) for c in names), F.octet_length("t").cast("long").alias("n_bytes"), "cut.spans", "cut.kept", "cut.kept_text")
+    return out.select(
+        *(F.col("row").getField(c).alias(c) for c in docs.columns), F.octet_length("t").cast("long").alias("n_bytes"), "cut.spans", "cut.kept", "cut.kept_text"
+    )
