@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -43,7 +42,15 @@ class Rendered:
 
 
 def _shared(a: str, b: str) -> int:
-    return len(os.path.commonprefix([a, b]))
+    """How many characters two texts have in common at their beginning, by halving: slices are compared, not characters."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            high = mid - 1
+    return low
 
 
 def render_incrementally(turns: list[Turn], template: Template = marked_turns) -> Rendered:
