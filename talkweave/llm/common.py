@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -18,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where none is named (tests)."""
+    """The cluster's shared folder, as ``spark.checkpoint.dir`` names it; a folder of our own in a local session without one (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -49,6 +51,11 @@ def few_or_shuffled(df: DataFrame, most: int = 1 << 19) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df.hint("shuffle_hash")
 
 
+def document_keys(id_: Column, text: Column) -> list[Column]:
+    """128 bits over the id and the text, as r1 and r2."""
+    return [F.xxhash64(id_, text).alias("r1"), F.xxhash64(F.lit(1), text, id_).alias("r2")]
+
+
 def keyed_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(k, t): ids as strings, so that nulls and large integers pass Python unchanged; null texts are empty."""
     return docs.select(F.col(id_col).cast("string").alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))

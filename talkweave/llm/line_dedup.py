@@ -7,7 +7,7 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talkweave.llm.common import connected_components, discard, few_or_shuffled, saved
+from talkweave.llm.common import connected_components, discard, document_keys, few_or_shuffled, saved
 
 _NONE = (1 << 63) - 1
 #: Shingles that one row of the signature's aggregate takes at once.
@@ -15,6 +15,8 @@ _CHUNK = 8
 #: What tells a document: its id and a 128-bit hash of it and its text.
 _DOC = ["id", "r1", "r2"]
 _LINE = ["k1", "k2"]
+#: 64-bit words of the bitmap of a line's shingles.
+_WORDS = 16
 
 
 def normalized(line: Column) -> Column:
@@ -22,11 +24,6 @@ def normalized(line: Column) -> Column:
     return F.lower(F.trim(line))
 
 
-def document_keys(id_: Column, text: Column) -> list[Column]:
-    """128 bits over the id and the text, as r1 and r2."""
-    return [F.xxhash64(id_, text).alias("r1"), F.xxhash64(F.lit(1), text, id_).alias("r2")]
-
-
 def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, r1, r2, pos, line, k1, k2): the lines that aren't blank, normalised, with 128 bits of hash."""
     own = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -109,47 +106,68 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataF
     return pairs.join(a, "src").join(b, "dst").where(jaccard_holds(F.col("a"), F.col("b"), similarity)).select("src", "dst")
 
 
-def links_across(rest: DataFrame, similarity: float, block_lines: int = 64, block_items: int = 1 << 17) -> DataFrame:
-    """(src, dst): components that similar lines of a bucket join; rest: (band, k, component, s).
+def bitmaps(sets: DataFrame) -> DataFrame:
+    """(k, w0, w1, ...): which of 1,024 remainders a set's hashes leave."""
+    h = sets.select("k", F.explode("s").alias("h"))
+    bit = "shiftleft(1L, h & 63)"
+    return h.groupBy("k").agg(*(F.bit_or(F.expr(f"if((h >> 6) & {_WORDS - 1} = {w}, {bit}, 0L)")).alias(f"w{w}") for w in range(_WORDS)))
+
+
+def apart_lines(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """(k, s, bands, w0, ...), saved: the lines of ``rest`` with their sets, all their buckets there and their bitmaps."""
+    every = rest.groupBy("k").agg(F.collect_set("band").alias("bands"))
+    own = saved(sets.join(every, "k"), "own")
+    mine = saved(own.join(bitmaps(own), "k"), "mine")
+    discard(own)
+    return mine
+
+
+def links_across(rest: DataFrame, mine: DataFrame, similarity: float, block_lines: int = 1024, block_items: int = 1 << 19) -> DataFrame:
+    """(src, dst), saved: components that similar lines of a bucket join; rest: (band, k, component), mine: ``apart_lines``.
 
     A bucket's lines are dealt into blocks of about ``block_lines`` lines or ``block_items``
-    shingles, and a row holds two blocks, whose lines of different components are compared.
-    Two lines that share several buckets are compared in the one of the smallest number.
+    shingles. Blocks meet in pairs, each pair under a key of its own, and of the lines of
+    different components in them the similar ones are joined. Before whole sets are compared, their
+    bitmaps are: a set has at least as many items that the other one lacks as bits. Two lines that share
+    several buckets are compared in the one of the smallest number.
     """
     size = F.greatest(F.count("*") / block_lines, F.sum(F.size("s") + 1) / block_items)
-    blocks = rest.groupBy("band").agg(F.ceil(size).cast("int").alias("blocks"))
-    every = rest.groupBy("k").agg(F.collect_set("band").alias("bands"))
-    dealt = rest.join(blocks, "band").join(every, "k").withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
-    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", F.struct("component", "bands", "s").alias("x")
-    )
-    held = pairs.groupBy("band", "lo", "hi").agg(
-        F.collect_list(F.when(F.col("own") == F.col("lo"), F.col("x"))).alias("a"), F.collect_list(F.when(F.col("own") == F.col("hi"), F.col("x"))).alias("b")
-    )
+    blocks = saved(rest.join(mine.select("k", "s"), "k").groupBy("band").agg(F.ceil(size).cast("int").alias("blocks")), "blocks")
+    dealt = rest.join(blocks, "band").join(mine, "k").withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
+    held = ["component", "bands", "s", *(f"w{w}" for w in range(_WORDS))]
+    left = dealt.select("band", F.col("own").alias("lo"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("hi"), *held)
+    right = dealt.select("band", F.explode(F.sequence(F.lit(0), "own")).alias("lo"), F.col("own").alias("hi"), *(F.col(c).alias(f"{c}_2") for c in held))
+    lacks = lambda a, b: sum((F.bit_count(F.col(f"w{w}{a}").bitwiseAND(F.bitwise_not(F.col(f"w{w}{b}")))) for w in range(_WORDS)), F.lit(0))
+    need = F.ceil((F.size("s") + F.size("s_2")) * (similarity / (1 + similarity)) - 1e-9)
+    near = (
+        F.when(F.col("lo") == F.col("hi"), F.col("component") < F.col("component_2")).otherwise(F.col("component") != F.col("component_2"))
+        & (F.size("s") - lacks("", "_2") >= need) & (F.size("s_2") - lacks("_2", "") >= need)
+        & (F.array_min(F.array_intersect("bands", "bands_2")) == F.col("band"))
+        & jaccard_holds(F.col("s"), F.col("s_2"), similarity)
+    )
+    met = left.join(right, ["band", "lo", "hi"]).where(near)
+    links = saved(met.select(F.greatest("component", "component_2").alias("src"), F.least("component", "component_2").alias("dst")).distinct(), "links")
+    discard(blocks)
+    return links
 
-    def meet(x, y):
-        apart = F.when(F.col("lo") == F.col("hi"), x["component"] < y["component"]).otherwise(x["component"] != y["component"])
-        return apart & (F.array_min(F.array_intersect(x["bands"], y["bands"])) == F.col("band")) & jaccard_holds(x["s"], y["s"], similarity)
 
-    edge = lambda x, y: F.struct(F.greatest(x["component"], y["component"]).alias("src"), F.least(x["component"], y["component"]).alias("dst"))
-    near = F.flatten(F.transform("a", lambda x: F.transform(F.filter("b", lambda y: meet(x, y)), lambda y: edge(x, y))))
-    return held.select(F.explode(F.array_distinct(near)).alias("e")).select("e.src", "e.dst")
+def members_of_buckets(signed: DataFrame) -> DataFrame:
+    """(band, k), saved: the lines of each bucket that holds several; signed: ``signatures``."""
+    banded = signed.select(*_LINE, F.explode(F.array(*(c for c in signed.columns if c.startswith("b")))).alias("band"))
+    shared = saved(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "shared")
+    members = saved(banded.join(few_or_shuffled(shared), "band").select("band", F.struct(*_LINE).alias("k")), "members")
+    discard(shared)
+    return members
 
 
-def similar_lines(rows: DataFrame, signed: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(id, component) of the lines, by key (k1, k2), that are similar to another one; rows: (k1, k2, line), signed: their ``signatures``.
+def similar_lines(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(id, component), saved, of the lines that are similar to another one; members: (band, k), sets: (k, s), which it deletes.
 
     Lines in a common bucket are candidates. A bucket's members are first compared with
     its smallest one. Components of the pairs that hold leave few buckets in which
     members are still apart; there all members of different components are compared, in
     pairs of blocks. No bucket is capped, and no pair of a bucket is left out.
     """
-    buckets = [c for c in signed.columns if c.startswith("b")]
-    banded = signed.select(*_LINE, F.explode(F.array(*buckets)).alias("band"))
-    shared = saved(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "shared")
-    members = saved(banded.join(few_or_shuffled(shared), "band").select("band", F.struct(*_LINE).alias("k")), "members")
-    ids = saved(members.select("k.*").distinct(), "ids")
-    sets = saved(shingle_sets(rows.join(few_or_shuffled(ids), _LINE).select(*_LINE, "line").dropDuplicates(_LINE), width), "sets")
     centers = members.groupBy("band").agg(F.min("k").alias("center"))
     stars = members.join(centers, "band").where("k <> center").select(F.col("k").alias("src"), F.col("center").alias("dst")).distinct()
     first = saved(similar_pairs(stars, sets, similarity), "links")
@@ -157,12 +175,16 @@ def similar_lines(rows: DataFrame, signed: DataFrame, width: int, similarity: fl
     apart = members.join(found.withColumnRenamed("id", "k"), "k", "left").select("band", "k", F.coalesce("component", "k").alias("component"))
     # two members of which one is the center were compared before
     mixed = apart.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("z"), F.count("*").alias("n")).where("a <> z and n > 2").select("band")
-    rest = saved(apart.join(mixed, "band").join(sets, "k").select("band", "k", "component", "s"), "mixed")
-    joined = connected_components(links_across(rest, similarity))
+    rest = saved(apart.join(mixed, "band"), "mixed")
+    mine = apart_lines(rest, sets)
+    discard(sets)
+    across = links_across(rest, mine, similarity)
+    discard(mine)
+    joined = connected_components(across)
     alone = joined.join(found, "id", "left_anti").select("id", F.col("id").alias("component"))
     top = joined.select(F.col("id").alias("component"), F.col("component").alias("top"))
     out = saved(found.unionByName(alone).join(top, "component", "left").select("id", F.coalesce("top", "component").alias("component")), "components")
-    for t in (shared, members, ids, sets, first, found, rest, joined):
+    for t in (first, found, rest, across, joined):
         discard(t)
     return out
 
@@ -173,16 +195,26 @@ def repeated_lines(
     """(r1, r2, gone), saved: by document key, the positions of its lines that aren't the first of their component, in order of id and position."""
     rows = saved(lines(docs, id_col, text_col), "lines")
     signed = saved(signatures(rows, width, bins, bands), "signatures")
-    similar = similar_lines(rows, signed, width, similarity)
-    linked = similar.select("id.*", "component")
-    marked = signed.where("n > 1").select(*_LINE).join(linked, _LINE, "full").select(*_LINE, F.coalesce("component", F.struct(*_LINE)).alias("component"))
-    found = saved(rows.select(*_LINE, *_DOC, "pos").join(marked, _LINE).select("component", F.struct(*_DOC, "pos").alias("at")), "found")
-    for t in (rows, signed, similar):
+    members = members_of_buckets(signed)
+    repeats = saved(signed.where("n > 1").select(*_LINE), "repeats")
+    discard(signed)
+    ids = saved(members.select("k.*").distinct(), "ids")
+    sets = saved(shingle_sets(rows.join(few_or_shuffled(ids), _LINE).select(*_LINE, "line").dropDuplicates(_LINE), width), "sets")
+    places = saved(rows.drop("line"), "places")
+    for t in (rows, ids):
         discard(t)
-    kept = found.groupBy("component").agg(F.min("at").alias("kept"))
+    similar = similar_lines(members, sets, similarity)  # deletes the sets when they are no longer needed
+    discard(members)
+    marked = repeats.join(similar.select("id.*", "component"), _LINE, "full").select(*_LINE, F.coalesce("component", F.struct(*_LINE)).alias("component"))
+    marked = saved(marked, "marked")
+    found = saved(places.join(marked, _LINE).select("component", F.struct(*_DOC, "pos").alias("at")), "found")
+    for t in (repeats, similar, places, marked):
+        discard(t)
+    kept = saved(found.groupBy("component").agg(F.min("at").alias("kept")), "kept")
     gone = found.join(kept, "component").where("at <> kept").groupBy("at.r1", "at.r2").agg(F.collect_set("at.pos").alias("gone"))
     gone = saved(gone, "gone")
-    discard(found)
+    for t in (found, kept):
+        discard(t)
     return gone
 
 

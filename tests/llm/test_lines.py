@@ -116,7 +116,7 @@ def test_blocks_of_a_bucket_meet(spark):
     lines = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "k1 long, k2 long, line string")
     own = line_dedup.shingle_sets(lines, 10)
     assert {r.k.k1: len(r.s) for r in own.collect()} == {i: len(grams(t)) for i, t in enumerate(texts)}
-    df = own.select(F.explode(F.array(F.lit(1), F.lit(2))).alias("band"), "k", F.col("k").alias("component"), "s")
-    got = {(x.src.k1, x.dst.k1) for x in line_dedup.links_across(df, 0.8, block_lines=7).collect()}
+    df = own.select(F.explode(F.array(F.lit(1), F.lit(2))).alias("band"), "k", F.col("k").alias("component"))
+    got = {(x.src.k1, x.dst.k1) for x in line_dedup.links_across(df, line_dedup.apart_lines(df, own), 0.8, block_lines=7).collect()}
     sets = [grams(t) for t in texts]
     assert got == {(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
