@@ -58,6 +58,7 @@ def test_links_equal_brute_force(spark):
     want = closure(ids, [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if ((a ^ b) % (1 << 64)).bit_count() <= 3])
     df = spark.createDataFrame([(i,) for i in ids], "fp long")
     assert {x.id: x.component for x in simhash.link_fingerprints(df).collect()} == want
+    assert {x.id: x.component for x in simhash.link_fingerprints(df, block=16).collect()} == want
 
 
 def test_documents(docs, no_docs, texts):
@@ -66,5 +67,21 @@ def test_documents(docs, no_docs, texts):
     n = len(texts)
     assert [got[n - 4 + k].component_id for k in range(4)] == [got[5 + k].component_id for k in range(4)]
     kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
-    assert None in kept and kept - {None} == {i for i, r in got.items() if r.component_id == i} - {None}
+    assert kept - {None} == {i for i, r in got.items() if r.component_id == i} - {None}
     assert simhash.near_duplicates(no_docs).collect() == []
+
+
+def test_one_row_of_each_component_stays(spark):
+    a, b, c = ("first " * 9 + str(i) for i in range(3))
+    unlike = "quite another text of some words, under an id that is used already"
+    rows = [(0, a, 1), (1, a, 2), (1, unlike, 3), (1, unlike, 4), (None, a, 5), (None, None, 6), (None, "", 7), (5, c, 8), (5, b, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, r1 int").withColumnRenamed("r1", "fp")
+    fp = {t: simhash.simhash(t) for _, t, _ in rows}
+    got = simhash.keep_one(df)
+    assert got.columns == df.columns
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    # whatever links, one row of each component is left
+    texts = list(fp)
+    root = closure(range(len(texts)), [(i, j) for i in range(len(texts)) for j in range(i) if (fp[texts[i]] ^ fp[texts[j]]).bit_count() <= 3])
+    assert len(kept) == len(set(root.values())) and {root[texts.index(t)] for _, t in kept} == set(root.values())
+    assert (0, a) in kept and (1, unlike) in kept
