@@ -40,12 +40,12 @@ def usable(column: str):
 
 
 def distinct_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(rep, copies, vector, dim) of every different usable vector; rep is its smallest id."""
+    """(rep, least, copies, vector, dim) of every different usable vector, to be stored: rep is a number of its own, least its smallest id."""
     return (
         vectors.where(usable(vector_col))
         .groupBy(F.col(vector_col).alias("vector"))
-        .agg(F.min(id_col).alias("rep"), F.count(F.lit(1)).alias("copies"))
-        .select("rep", "copies", "vector", F.size("vector").alias("dim"))
+        .agg(F.min(id_col).alias("least"), F.count(F.lit(1)).alias("copies"))
+        .select(F.monotonically_increasing_id().alias("rep"), "least", "copies", "vector", F.size("vector").alias("dim"))
     )
 
 
@@ -166,14 +166,16 @@ def near_duplicate_vectors(
     share no key with probability ``miss``, however the vectors lie. Links of all
     passes are united. Inside the components all pairs are then counted exactly, in pairs of blocks too, however
     large a component is. Vectors that are null, zero or hold null or non-finite
-    components, and vectors of different lengths, link with nothing. Ids are integers,
-    unique and not null.
+    components, and vectors of different lengths, link with nothing, not even copies of
+    themselves. Ids may be of any ordered type and repeat: every row counts as a vector of
+    its own, and rows that share an id and nothing else aren't linked. A null id is never the smallest
+    one; a component of these only has a null component_id and keeps nothing.
     """
     kind = "<f4" if "float" in vectors.schema[vector_col].dataType.simpleString() else "<f8"
     reps = saved(distinct_vectors(vectors, id_col, vector_col), "vectors")
     bits = key_bits(reps.count(), window, bits)
     passes = passes_for(bits, threshold, miss)
-    key_type = vectors.schema[id_col].dataType.simpleString()
+    key_type = "long"
     place, order = ["dim", "pass", "key"], ["dim", "pass", "key", "lo", "hi"]
     found = []
     for a in range(0, passes, passes_per_job):
@@ -206,15 +208,18 @@ def near_duplicate_vectors(
         .mapInPandas(to_bytes, f"component {key_type}, lo int, hi int, rep {key_type}, own int, copies long, v binary")
     )
     linked = pairs.mapInPandas(_block_counts(threshold, kind), f"rep {key_type}, n long").groupBy("rep").agg(F.sum("n").alias("n"))
-    facts = reps.select("rep", "vector", "copies").join(linked, "rep", "left").join(components.withColumnRenamed("id", "rep"), "rep", "left").select(
-        F.col("vector").alias(vector_col), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")
-    )
+    known = components.withColumnRenamed("id", "rep")
+    named = saved(known.join(reps.select("rep", "least"), "rep").groupBy("component").agg(F.min("least").alias("component_id")), "named")
+    facts = reps.select("rep", "vector", "least", "copies").join(linked, "rep", "left").join(known, "rep", "left").join(named, "component", "left").select(
+        F.col("vector").alias(vector_col), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"),
+    )
     facts = saved(facts, "facts")
-    for t in found:
+    for t in (*found, reps, components, named):
         discard(t)
     src = vectors.select(id_col, vector_col)
     alone = src.where(~usable(vector_col)).select(id_col, F.lit(0).cast("long").alias("n_links"), F.col(id_col).alias("component_id"))
     return (
         src.where(usable(vector_col)).join(facts, vector_col).select(id_col, "n_links", "component_id").unionByName(alone)
-        .withColumn("kept", F.col(id_col) == F.col("component_id"))
+        .withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
     )
