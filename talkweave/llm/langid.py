@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkweave.llm.common import held_out, keyed_text, restore_key
@@ -76,6 +76,10 @@ def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes:
     return weights(slice(None))
 
 
+#: Characters of the longest text that a model is fitted on.
+LONGEST = 1 << 16
+
+
 def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:
     """The temperature of least log-loss on rows that the weights weren't fitted on."""
     loss = lambda t: -np.log(softmax(logits / t)[np.arange(len(y)), y] + 1e-12).mean()
@@ -102,20 +106,32 @@ def document_frequencies(docs: DataFrame, text_col: str, buckets: int) -> tuple[
     return int(out[-1]), out[:-1]
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", buckets: int = 1 << 15, most_docs: int = 6000) -> LanguageModel:
+def language_sample(known: DataFrame, most: int) -> DataFrame:
+    """(h, t, y) of at most ``most`` different texts of each language, those with the smallest hashes; known: (t, y).
+
+    Copies of a text count once. A first cut by hash, from the number of each language's
+    texts, leaves few more than that, so that no task orders a whole language.
+    """
+    hashed = known.select("t", "y", F.xxhash64("t").alias("h"))
+    sizes = hashed.groupBy("y").agg(F.approx_count_distinct("h", 0.02).alias("n"))
+    share = F.col("h").cast("double") + 2.0**63 <= F.greatest(1.5 * most / F.col("n"), F.lit(0.0)) * 2.0**64
+    few = hashed.join(F.broadcast(sizes), "y").where(share).groupBy("y", "h").agg(F.min("t").alias("t"))  # a row a language
+    return few.withColumn("nth", F.row_number().over(Window.partitionBy("y").orderBy("h"))).where(F.col("nth") <= most).select("h", "t", "y")
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", buckets: int = 1 << 15, most_docs: int = 1500) -> LanguageModel:
     """A model from the rows that aren't held out and whose text and language aren't null.
 
-    Document frequencies cover all of those rows. Weights are fitted on at most
-    ``most_docs`` of them, those with the smallest hashed ids; every fifth of these sets
-    the temperature instead. With no rows at all, the model knows no language.
+    Document frequencies cover all of those rows, and so do the languages. Weights are fitted on at
+    most ``most_docs`` different texts of each language, those with the smallest hashes; every fifth of
+    these sets the temperature instead. Texts of more than ``LONGEST`` characters aren't in
+    the sample, so that its bytes are bounded. With no rows at all, the model knows no language.
     """
     known = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(id_col))
     total, df = document_frequencies(known, text_col, buckets)
     idf = np.log((1 + total) / (1 + df)) + 1
-    hashed = known.select(F.col(text_col).alias("t"), F.col(lang_col).alias("y"), F.xxhash64(id_col, text_col).alias("h"))
-    # only hashes are put in order; texts come to the driver for the sample alone
-    last = hashed.select("h").orderBy("h").limit(most_docs).agg(F.max("h")).first()[0]
-    sample = hashed.where(F.col("h") <= (0 if last is None else last)).limit(most_docs).toPandas().sort_values(["h", "t", "y"], ignore_index=True)
+    rows = known.where(F.length(text_col) <= LONGEST).select(F.col(text_col).alias("t"), F.col(lang_col).alias("y"))
+    sample = language_sample(rows, most_docs).toPandas().sort_values(["h", "t", "y"], ignore_index=True)
     labels = sorted(sample["y"].unique())
     if not labels:
         return LanguageModel([], idf, np.zeros((buckets + 1, 0), "f4"))
