@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from dataclasses import dataclass
 from functools import lru_cache
@@ -221,20 +222,28 @@ def score_all(m: LineCRF, texts: list[str]) -> np.ndarray:
     return np.concatenate([np.zeros(0), *(score_texts(m, part) for part in text_batches(texts))])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_per_class: int = 1500) -> LineCRF:
+def train(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_per_class: int = 1500, longest: int = 1 << 17
+) -> LineCRF:
     """A model from a sample of at most ``most_per_class`` labelled documents of each class that aren't held out.
 
     The sample is the documents whose hashed ids are smallest, so it is the same in every
-    run. Rows with null ids, texts or labels, and ids with different labels, teach nothing.
+    run; one row of each, of those with at most ``longest`` characters, which bounds its rows and bytes. Scores are then
+    moved by how much more frequent a class is among all labels than in the sample, so that 0.5 means the same at every size.
+    Rows with null ids, texts or labels, and ids with different labels, teach nothing.
     With no labelled documents, or one class only, all features have weight zero.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & ~held_out(id_col)).groupBy(id_col).agg(F.min(label_col).alias("y"), F.max(label_col).alias("z")).where("y = z")
     taught = [known.where(F.col("y") == y).orderBy(F.xxhash64(id_col), id_col).limit(most_per_class).select(id_col, "y") for y in (0, 1)]
     ids = taught[0].unionByName(taught[1])
-    rows = docs.where(F.col(text_col).isNotNull()).select(id_col, F.col(text_col).alias("t")).join(F.broadcast(ids), id_col).orderBy(id_col, "t").select("t", "y").toPandas()
+    texts = docs.where(F.col(text_col).isNotNull() & (F.length(text_col) <= longest)).select(id_col, F.col(text_col).alias("t")).join(F.broadcast(ids), id_col)
+    rows = texts.groupBy(id_col, "y").agg(F.min("t").alias("t")).orderBy(id_col).select("t", "y").toPandas()
     if rows["y"].nunique() < 2:
-        rows = pd.DataFrame({"t": ["a", "a"], "y": [0, 1]})
-    return fit(rows["t"].tolist(), rows["y"].to_numpy())
+        return fit(["a", "a"], np.array([0, 1]))
+    m = fit(rows["t"].tolist(), rows["y"].to_numpy())
+    n = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
+    m.offset += math.log(n[1] / n[0]) - math.log((rows["y"] == 1).sum() / (rows["y"] == 0).sum())
+    return m
 
 
 def score(docs: DataFrame, model: LineCRF, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -37,6 +37,14 @@ def test_vectors_equal_brute_force(spark):
     assert embedding_dedup.near_duplicate_vectors(df.limit(0)).collect() == []
 
 
+def test_rows_that_share_an_id_are_vectors_of_their_own(spark):
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.99, 0.01]
+    rows = [(1, a), (1, b), (2, a), (None, c), (None, [0.0, 0.0, 1.0]), (7, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(q.vec_id, q.n_links, q.component_id, q.kept) for q in embedding_dedup.near_duplicate_vectors(df).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(1, 1, 1, True), (2, 1, 1, False), (1, 1, 1, True), (None, 1, 1, False), (None, 0, None, False), (7, 0, 7, True)]))
+
+
 def test_pairs_in_a_dense_cluster_are_found(spark):
     r = np.random.default_rng(3)
     unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
@@ -76,6 +84,19 @@ def test_languages(spark, no_docs):
     assert {q.lang_pred for q in langid.predict(df, empty).collect()} == {"und"}
 
 
+def test_a_rare_language_is_learned(spark):
+    r = random.Random(8)
+    rows = [(i, words(r, ["the", "thing", "of"], 20), "aa") for i in range(900)] + [(1000 + i, words(r, ["le", "chose", "avec"], 20), "bb") for i in range(12)]
+    rows += [(2000 + i, "the thing of", "aa") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = df.selectExpr("text as t", "lang as y")
+    sample = langid.language_sample(known, 50).toPandas()
+    assert (sample["y"] == "aa").sum() == 50 and (sample["y"] == "bb").sum() == 12 and sample["t"].is_unique
+    model = langid.train(df, buckets=1 << 12, most_docs=50)
+    got = {q.doc_id: q.lang_pred for q in langid.predict(df, model).collect()}
+    assert all(got[i] == lang for i, _, lang in rows if held(i))
+
+
 def test_ngram_counts_in_blocks(monkeypatch):
     whole = langid.ngram_counts("abcdefghij klm" * 9, 1 << 10)
     monkeypatch.setattr(langid, "_BLOCK", 10)
@@ -122,6 +143,10 @@ def test_quality(spark):
     test = [(i, y) for i, y, _ in labels[:500] if held(i)]
     assert np.mean([(got[i] >= 0.5) == y for i, y in test]) > 0.95
     assert all(0 <= s <= 1 for s in got.values()) and len(got) == len(rows)
+    # a smaller sample of the frequent class moves the cut no further than chance
+    few = quality.train(docs, marks.select("doc_id", "quality"), most_per_class=60)
+    share = [np.mean([s >= 0.5 for s in scores]) for scores in (got.values(), quality.score_all(few, [t or "" for _, t in rows]))]
+    assert abs(share[0] - share[1]) < 0.08
     kept = quality.keep_good(docs, marks.select("doc_id", "quality"))
     assert kept.columns == docs.columns and 250 < kept.count() < 450
     none = quality.train(docs.limit(0), marks.limit(0))
