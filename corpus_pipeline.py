@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkweave.llm import line_dedup, packing, quality, simhash, suffix_dedup
-from talkweave.llm.common import saved, table
+from talkweave.llm.common import discard, saved, table
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -20,10 +20,12 @@ def keep_good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes out every line that is similar to an earlier one; a document all of whose lines go stays, empty."""
     return _measured(line_dedup.drop_repeated_lines(docs))
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one row of each group of near copies, the one with the smallest id; null and empty texts are copies of each other."""
     return simhash.keep_one(docs)
 
 
@@ -33,6 +35,7 @@ def remove_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs all documents left, empty ones too, into sequences of 4,096 tokens; rows are pieces."""
     return packing.pack_documents(docs)
 
 
@@ -51,7 +54,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for n, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        after = stage(spark, docs, sf_dir)
         if n < len(STAGES) - 1:
-            docs = saved(docs, "stage")
+            after = saved(after, "stage")
+            if n:
+                discard(docs)
+        docs = after
     return docs

@@ -132,3 +132,22 @@ def test_run_equals_its_stages(spark, stages):
     sf_dir, out, _ = stages
     got = sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).select("doc_id", "piece", "start", "length", "ids_crc32").collect()))
     assert got == sorted(map(tuple, out[-1][1].select("doc_id", "piece", "start", "length", "ids_crc32").collect()))
+
+
+def test_no_documents_give_no_rows(spark, stages, tmp_path):
+    sf_dir, _, _ = stages
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_repeated_ids_and_clashing_columns_lose_nothing(spark, stages):
+    """Rows that share an id, or have none, are documents of their own in each stage; other columns pass through."""
+    sf_dir, _, _ = stages
+    line = "a line of plain words number {} that nothing else repeats in any way at all."
+    rows = [(i // 2, line.format(chr(97 + i) * 40), "en", "web", 1, f"x{i}") for i in range(6)] + [(None, line.format("z" * 40), "en", "web", 1, "x6")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _gone string")
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        after = stage(spark, docs, sf_dir)
+        assert after.columns == docs.columns
+        assert sorted((r.text, r._gone) for r in after.collect()) == sorted((r[1], r[5]) for r in rows)
