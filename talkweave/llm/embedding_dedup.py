@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkweave.llm.common import connected_components, discard, saved
+from talkweave.llm.common import connected_components, discard, few_or_shuffled, saved
 
 
 def key_bits(n: int, window: int, most: int) -> int:
@@ -183,12 +183,14 @@ def near_duplicate_vectors(
         src = reps.select("dim", "rep", "vector")
         keys = src.mapInPandas(_hash_rows(some, kind, bits, seed, False), "dim int, pass int, key long")
         full = keys.groupBy(*place).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1")
-        rows = src.mapInPandas(_hash_rows(some, kind, bits, seed, True), f"dim int, pass int, key long, rep {key_type}, v binary").join(F.broadcast(full), place, "left")
+        full = saved(full, "full")
+        rows = src.mapInPandas(_hash_rows(some, kind, bits, seed, True), f"dim int, pass int, key long, rep {key_type}, v binary").join(few_or_shuffled(full), place, "left")
         rows = rows.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         rows = rows.select(*place, "rep", "v", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         rows = rows.select(*place, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "v")
         near = rows.repartition(*order).sortWithinPartitions(*order).mapInPandas(bucket_links(threshold, kind), f"src {key_type}, dst {key_type}")
         found.append(saved(near.distinct(), "links"))
+        discard(full)
     edges = found[0]
     for f in found[1:]:
         edges = edges.unionByName(f)
