@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkweave.llm import bpe, chat, embedding_dedup, langid, line_dedup, media, packing, quality, simhash, suffix_dedup
+from talkweave.llm import bpe, chat, embedding_dedup, fingerprint, langid, line_dedup, media, packing, quality, simhash, suffix_dedup, whitening
 from talkweave.llm.common import held_out, table
 
 
@@ -63,11 +63,20 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(chat.format_conversations(rows.unionByName(forged)))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+    return out.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_with_edits(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_bpe_round_trip, op3_embedding_near_dedup, op4_line_dedup, op5_simhash_near_dedup, op6_language_id,
-        op7_quality_classifier, op8_suffix_array_dedup, op9_media_columns, op10_chat_formatting,
+        op7_quality_classifier, op8_suffix_array_dedup, op9_media_columns, op10_chat_formatting, op11_embedding_whitening, op12_document_fingerprints,
     )
 }
 ORACLE_SQL: dict[str, str] = {}
