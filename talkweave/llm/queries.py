@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkweave.llm import bpe, chat, embedding_dedup, fingerprint, langid, line_dedup, media, packing, quality, simhash, suffix_dedup, whitening
+from talkweave.llm import bpe, chat, embedding_dedup, fingerprint, langid, line_dedup, media, packing, quality, simhash, structure_repair, suffix_dedup, whitening
 from talkweave.llm.common import held_out, table
 
 
@@ -72,11 +72,85 @@ def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_with_edits(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return structure_repair.repair_conversations(structure_repair.damage(rows)).withColumnRenamed("id", "conv_id")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_bpe_round_trip, op3_embedding_near_dedup, op4_line_dedup, op5_simhash_near_dedup, op6_language_id,
         op7_quality_classifier, op8_suffix_array_dedup, op9_media_columns, op10_chat_formatting, op11_embedding_whitening, op12_document_fingerprints,
+        op13_structure_repair,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _spent(entry: str, cost: str, edit: str) -> str:
+    """An entry (nine digits of cost, then edits) after one more edit; entries compare as costs and edits do."""
+    return f"lpad((left({entry}, 9)::int + {cost})::varchar, 9, '0') || substr({entry}, 10) || '{edit}'"
+
+
+_IN2 = f"least(c2, {', '.join(_spent(c, '2', 'I') for c in ('c0', 'c1', 'c3'))})"
+_IN3 = f"least(c3, {_spent('c2', '2', 'I')}, {_spent('c0', '4', 'II')}, {_spent('c1', '4', 'II')})"
+
+
+def _edited(entries: str, state: str, fits: str) -> str:
+    """The cheapest way into a state by a row: deleted in it, or kept or given a role out of other ones."""
+    ways = [_spent(state, "3", "D")]
+    for e in entries.split():
+        if state != "i1":
+            ways.append(f"case when not gone then {_spent(e, '2 + late', 'R')} end")
+        ways.append(f"case when not gone and {fits} then {_spent(e, 'late', 'K')} end")
+    return f"least({', '.join(ways)})"
+
+
+#: op13: damage by a bitwise crc32, then a row at a time: the cheapest entry of each of four states; the edits found are replayed.
+_REPAIR_SQL = f"""
+with recursive crc as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    xor(list_reduce(list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda x: ascii(x)::ubigint),
+      lambda c, b: list_reduce(range(8)::ubigint[], lambda x, i: case when x & 1 = 1 then xor(x >> 1, 3988292384::ubigint) else x >> 1 end, xor(c, b)), 4294967295::ubigint), 4294967295::ubigint) % 20 as code
+  from conversations
+), damaged as (
+  select conv_id, turn, case when code = 4 then 'user' else role end as role, case when code = 1 then '' when code = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+    unnest(range(case when code = 0 then 0 when code = 3 then 2 else 1 end)) as copy
+  from crc
+), placed as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as pos, left(role, 1) as initial,
+    not regexp_matches(text, '[^\\x20\\x09-\\x0D]') as is_blank, right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) not in ('.', '!', '?') as open_ended
+  from damaged
+), faulty as (
+  select *, not is_blank and row_number() over (partition by conv_id, role, text order by pos) > 1 as again, lag(initial) over (partition by conv_id order by pos) as was from placed
+), marked as (
+  select *, is_blank or again as gone, (open_ended and not is_blank and not again)::int as late from faulty
+), walk as (
+  select distinct conv_id, 0::bigint as pos, repeat('0', 9) as c0, null::varchar as c1, null::varchar as c2, null::varchar as c3 from conversations
+  union all
+  select w.conv_id, m.pos, {_spent('c0', '3', 'D')}, {_edited('c0', 'i1', "m.initial = 's'")}, {_edited('c0 i1 i3', 'i2', "m.initial = 'u'")}, {_edited('i2', 'i3', "m.initial = 'a'")}
+  from (select *, c1 as i1, {_IN2} as i2, {_IN3} as i3 from walk) w join marked m on m.conv_id is not distinct from w.conv_id and m.pos = w.pos + 1
+), found as (
+  select conv_id, pos as n, least(c0, {_IN3}) as best from walk qualify row_number() over (partition by conv_id order by pos desc) = 1
+), replay as (
+  select conv_id, substr(best, 10) as audit, 0 as i, 0::bigint as pos, 0 as state, null::varchar as said from found
+  union all
+  select r.conv_id, r.audit, r.i + 1, r.pos + (e.edit <> 'I')::int,
+    case when e.edit = 'D' then r.state when e.edit = 'K' and m.initial = 's' then 1 when r.state = 2 then 3 else 2 end,
+    case when e.edit = 'D' then r.said else concat(r.said, case when r.said is null then '' else chr(10) end,
+      case when e.edit = 'K' then m.role when r.state = 2 then 'assistant' else 'user' end, ':', case when e.edit = 'I' then '' else m.text end) end
+  from replay r, lateral (select substr(r.audit, r.i + 1, 1) as edit) e
+  left join marked m on m.conv_id is not distinct from r.conv_id and m.pos = r.pos + 1 where r.i < length(r.audit)
+), written as (
+  select conv_id, sha256(coalesce(said, '')) as repaired_sha256 from replay where i = length(audit)
+), counted as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps, count(*) filter (is_blank) as blank, count(*) filter (again) as duplicate, sum(late)::bigint as truncated,
+    count(*) filter (was is not null and was || initial not in ('su', 'ua', 'au')) as illegal
+  from marked group by conv_id
+)
+select f.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+  left(best, 9)::bigint as cost, substr(best, 10) as audit, repaired_sha256
+from found f left join counted c on c.conv_id is not distinct from f.conv_id left join written w on w.conv_id is not distinct from f.conv_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op13_structure_repair": _REPAIR_SQL}
