@@ -12,9 +12,8 @@ from talkweave.operators.export import tool_lines, tool_summary, transcript_comp
 from talkweave.operators.messages import enrich, explode_parts, tool_calls
 from talkweave.operators.summary import session_summary, tool_usage
 from talkweave.sources.logs import json_objects, normalize_messages
+from talkweave.streaming.activity import IDLE, live_events
 
-IDLE = "30 seconds"
-WATERMARK = "10 minutes"
 
 
 def stream_logs(spark: SparkSession, root: str, files_per_batch: int = 1000) -> DataFrame:
@@ -39,15 +38,18 @@ def numbered(rows: DataFrame, batch: int) -> DataFrame:
 
 
 def new_sessions(messages: DataFrame) -> DataFrame:
-    """L2: the first message seen of each session; in a stream, state older than the watermark goes."""
+    """L2: (S, time): when each session was first seen; in a stream, once ever (``live_events`` also says when it comes again)."""
     if not messages.isStreaming:
         return messages.groupBy("S").agg(F.min("time").alias("time"))
-    return messages.withWatermark("time", WATERMARK).dropDuplicatesWithinWatermark(["S"]).select("S", "time")
+    return live_events(messages).where("event = 'added'").select("S", F.col("at").alias("time"))
 
 
 def active_sessions(messages: DataFrame, idle: str = IDLE) -> DataFrame:
-    """L3: (S, first, until, n): spells of activity; a session is active before ``until``, the last activity plus ``idle``."""
-    spells = messages.withWatermark("time", WATERMARK).groupBy(F.session_window("time", idle), "S").agg(F.count("*").alias("n"))
+    """L3: (S, first, until, n): spells of activity of stored messages; a session is active before ``until``, the last activity plus ``idle``.
+
+    A stream says as it happens who is active with ``live_events``.
+    """
+    spells = messages.groupBy(F.session_window("time", idle), "S").agg(F.count("*").alias("n"))
     return spells.select("S", F.col("session_window.start").alias("first"), F.col("session_window.end").alias("until"), "n")
 
 
