@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkweave.functions import text as T
-from talkweave.operators.lineage import checkpointed
+from talkweave.operators.durable import dropped, stored
 
 
 def attach_meta(summary: DataFrame, meta: DataFrame) -> DataFrame:
@@ -111,16 +111,18 @@ def reorder_folders(folders: DataFrame, order: DataFrame, moves: DataFrame) -> D
 def folder_closure(folders: DataFrame) -> DataFrame:
     """M1: (ancestor, descendant, depth), each folder being its own at depth 0: pointer doubling, as many rounds as the logarithm of the depth."""
     jump = folders.where("parent_id is not null").join(folders.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").select(F.col("id").alias("node"), F.col("parent_id").alias("to"))
-    out = folders.select(F.col("id").alias("ancestor"), F.col("id").alias("descendant"), F.lit(0).alias("depth"))
+    out = stored(folders.select(F.col("id").alias("ancestor"), F.col("id").alias("descendant"), F.lit(0).alias("depth")), "closure")
+    jump = stored(jump, "jump")
     reach = 1
     n = max(1, folders.count())
-    while reach <= n:
+    while reach <= n and not jump.isEmpty():
         more = out.join(jump, F.col("ancestor") == F.col("node")).select(F.col("to").alias("ancestor"), "descendant", (F.col("depth") + reach).alias("depth"))
-        out = checkpointed(out.unionByName(more).groupBy("ancestor", "descendant").agg(F.min("depth").alias("depth")))
-        jump = checkpointed(jump.alias("a").join(jump.alias("b"), F.col("a.to") == F.col("b.node")).select("a.node", "b.to"))
+        wider = stored(out.unionByName(more).groupBy("ancestor", "descendant").agg(F.min("depth").alias("depth")), "closure")
+        farther = stored(jump.alias("a").join(jump.alias("b"), F.col("a.to") == F.col("b.node")).select("a.node", "b.to"), "jump")
+        dropped(out, jump)
+        out, jump = wider, farther
         reach *= 2
-        if jump.isEmpty():
-            break
+    dropped(jump)
     return out
 
 

@@ -297,8 +297,8 @@ def g2_ancestors(spark, sf_dir):
 @query("""SELECT CAST(p."S" AS VARCHAR) AS "S", CAST(start AS VARCHAR) AS start, count(*) AS message_count, least(count(*) FILTER (event_type IN ('click', 'view')), count(*) FILTER (event_type NOT IN ('click', 'view'))) AS turn_count FROM path p JOIN tree t ON p."S" = t."S" AND p.node = t.rn GROUP BY 1, 2""", P.TREE, True)
 def e12_path_turn_counts(spark, sf_dir):
     m = P.tree(spark, sf_dir)
-    e = lineage.edges(m)
-    return lineage.path_turn_counts(lineage.ancestors(e, lineage.leaves(e)), m)
+    ends = lineage.leaves(lineage.edges(m)).select("S", F.col("node").alias("start"))
+    return lineage.path_turn_counts(lineage.plant(m), ends)
 
 
 _BRANCHES = P.TREE + """, facts AS (SELECT user_id AS "S", row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn, ts, event_type IN ('click', 'view') AS by_user, trim(event_type || props) AS text FROM events),
@@ -681,8 +681,9 @@ def g6_detected_branch_rows(spark, sf_dir):
     m = P.tree(spark, sf_dir)
     kept = {"is_sidechain": F.lit(False), **{c: F.lit(None).cast("string") for c in ("cwd", "version", "slug", "permission_mode")}}
     whole = summary.session_summary(m.withColumns({c: v for c, v in kept.items() if c not in m.columns}))
-    found = lineage.checkpointed(lineage.detect_branches(m))
-    rows = lineage.branch_rows(lineage.branch_facts(found, lineage.branch_paths(m, found), m), whole)
+    forest = lineage.plant(m, forks_only=True)
+    rows = lineage.branch_rows(lineage.branch_facts(lineage.detect_branches(m, forest=forest), forest), whole)
+    forest.drop()
     return rows.select("id", "created_at", "updated_at", "message_count", "turn_count", "first_user_message", "point", "leaf", "parent_id", F.array_join("child_ids", ",").alias("children"))
 
 

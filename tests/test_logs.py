@@ -105,9 +105,8 @@ def test_branches(spark):
     m = forest(spark, rows)
     got = lineage.detect_branches(m).collect()
     assert [(r.branch_no, r.leaf, r.point, r.first_user_message, r.path_length, r.common) for r in got] == [(0, "b2", "x", "side 0", 5, 2)]
-    e = lineage.edges(m)
     b = lineage.detect_branches(m)
-    assert lineage.branch_tree(b, lineage.ancestors(e, lineage.leaves(e))).first().parent_no is None
+    assert lineage.branch_tree(b, lineage.plant(m)).first().parent_no is None
     s = summary.session_summary(m.withColumns({"is_sidechain": F.lit(False), **{c: F.lit(None).cast("string") for c in ("cwd", "version", "slug", "permission_mode")}}))
     assert {r.id for r in lineage.branch_rows(b, s).collect()} == {"s", "s:intra-0"}
 
@@ -122,19 +121,18 @@ def test_branch_rows_have_their_own_facts(spark):
         if 2 <= k < 5:
             rows.append((f"c{k}", f"c{k - 1}" if k > 2 else "b1", kind, f"1{k}c", f"inner {k}"))
     m = forest(spark, rows).withColumns({"is_sidechain": F.lit(False), **{c: F.lit(None).cast("string") for c in ("cwd", "version", "slug", "permission_mode")}})
-    e = lineage.edges(m)
-    paths = lineage.ancestors(e, lineage.leaves(e))
+    paths = lineage.plant(m)
     # as detected, a branch inside another has its point and first message where it leaves the main path
     b = spark.createDataFrame([("s", 0, "b4", "x", "side 0", 7, 2), ("s", 1, "c4", "x", "side 0", 7, 2)], "S string, branch_no int, leaf string, point string, first_user_message string, path_length long, common long")
     b = b.where("branch_no = 1 or leaf = 'b4'")
-    got = {q.id: q for q in lineage.branch_rows(lineage.branch_facts(b, paths, m), summary.session_summary(m)).collect()}
+    got = {q.id: q for q in lineage.branch_rows(lineage.branch_facts(b, paths), summary.session_summary(m)).collect()}
     cols = ("created_at", "updated_at", "message_count", "turn_count", "first_user_message", "point", "leaf", "parent_id", "child_ids")
     facts = {k: tuple(q[c] for c in cols) for k, q in got.items()}
     assert facts["s"] == ("00", "15a", 16, 7, "start", None, None, None, facts["s"][-1])
     # both share more with each other than with main, so each is the other's parent, as the rule has it
     assert facts["s:intra-0"] == ("12b", "14b", 7, 3, "side 2", "b1", "b4", "s:intra-1", ["s:intra-1"])
     assert facts["s:intra-1"] == ("12c", "14c", 7, 3, "inner 2", "b1", "c4", "s:intra-0", ["s:intra-0"])
-    one = {q.id: tuple(q[c] for c in cols) for q in lineage.branch_rows(lineage.branch_facts(b.where("branch_no = 0"), paths, m), summary.session_summary(m)).collect()}
+    one = {q.id: tuple(q[c] for c in cols) for q in lineage.branch_rows(lineage.branch_facts(b.where("branch_no = 0"), paths), summary.session_summary(m)).collect()}
     assert one["s:intra-0"] == ("10b", "14b", 7, 3, "side 0", "x", "b4", "s", []) and one["s"][-1] == ["s:intra-0"]
 
 
@@ -201,8 +199,8 @@ def test_nested_branch_has_its_parent(spark):
         2: ["r", "x", "d0", "d1"],
     }
     branches = spark.createDataFrame([("s", k, p[-1], "x", "", len(p), 2) for k, p in paths.items()], "S string, branch_no int, leaf string, point string, first_user_message string, path_length long, common long")
-    rows = [("s", p[-1], n, len(p) - 1 - i) for p in paths.values() for i, n in enumerate(p)]
-    got = lineage.branch_tree(branches, spark.createDataFrame(rows, "S string, start string, node string, distance long")).collect()
+    rows = {n: (n, p[i - 1] if i else None, "assistant", "1", "x") for p in paths.values() for i, n in enumerate(p)}
+    got = lineage.branch_tree(branches, lineage.plant(forest(spark, list(rows.values())))).collect()
     assert {r.branch_no: r.parent_no for r in got} == {0: 1, 1: 0, 2: None}
 
 
@@ -218,7 +216,7 @@ def test_interleaved_nested_branches_are_detected(spark):
             rows.append((f"d{k}", f"d{k - 1}" if k > 2 else "b1", kind, f"1{k}d", f"two {k}"))
     m = forest(spark, rows)
     b = lineage.detect_branches(m)
-    got = lineage.branch_tree(b, lineage.branch_paths(m, b)).orderBy("branch_no").collect()
+    got = lineage.branch_tree(b, lineage.plant(m)).orderBy("branch_no").collect()
     assert [(r.branch_no, r.leaf, r.point, r.first_user_message, r.path_length, r.common, r.parent_no) for r in got] == [
         (0, "c5", "x", "one 2", 8, 2, 1), (1, "d5", "x", "two 2", 8, 2, 0),
     ]
@@ -226,9 +224,28 @@ def test_interleaved_nested_branches_are_detected(spark):
 
 def test_depths(spark):
     m = forest(spark, [("a", None, "user", "1", "x"), ("b", "a", "user", "2", "x"), ("c", "b", "user", "3", "x"), ("o", "gone", "user", "4", "x"), ("p", "q", "user", "5", "x"), ("q", "p", "user", "6", "x"), ("t", "p", "user", "7", "x")])
-    e = lineage.edges(m)
-    assert {r.node: r.depth for r in lineage.depths(e).where("not endless").collect()} == {"a": 0, "b": 1, "c": 2, "o": 0}
-    assert {(r.start, r.length, r.rank) for r in lineage.ranked_leaves(e).collect()} == {("c", 3, 1), ("t", 3, 2), ("o", 1, 3)}
+    f = lineage.plant(m)
+    depth = {r.node: r.depth for r in f.nodes.collect()}
+    assert {n: depth[n] for n in "abco"} == {"a": 0, "b": 1, "c": 2, "o": 0} and depth["t"] == 2
+    ends = lineage.leaves(lineage.edges(m)).select("S", F.col("node").alias("start"))
+    assert {(r.start, r.message_count) for r in lineage.path_turn_counts(f, ends).collect()} == {("c", 3), ("t", 3), ("o", 1)}
+
+
+def test_two_thousand_branches_on_one_trunk(spark):
+    rows = [("t0", None, "user", "0000", "start")] + [(f"t{k}", f"t{k - 1}", "assistant", f"{k:04}", "on") for k in range(1, 300)]
+    for k in range(2000):
+        rows += [(f"b{k}", "t200", "user", f"{201 + k % 50:04}", f"question {k}"), (f"c{k}", f"b{k}", "user", f"{252 + k % 40:04}", "more")]
+    m = forest(spark, rows)
+    f = lineage.plant(m, forks_only=True)
+    got = lineage.detect_branches(m, forest=f)
+    assert got.count() == 2000 and got.where("point <> 't200' or common <> 201 or path_length <> 203").count() == 0
+    assert f.nodes.count() == len(rows) and sum(r.count() for r in f.rounds) <= 9 * len(rows)  # nodes times the logarithm of the depth
+    facts = lineage.branch_facts(got, f)
+    assert facts.where("parent_no is null and created_at >= '0201' and message_count = 203").count() == 2000
+    # under a shared stretch the lowest other number is the parent of all
+    inside = got.withColumn("common", F.lit(100))
+    tree = {r.branch_no: r.parent_no for r in lineage.branch_tree(inside, f).collect()}
+    assert tree[0] == 1 and {p for n, p in tree.items() if n} == {0}
 
 
 def test_only_assistants_tools_and_tokens_count(spark, tmp_path):
