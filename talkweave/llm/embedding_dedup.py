@@ -1,4 +1,4 @@
-"""Near-duplicate vectors by passes of random projections."""
+"""Near-duplicate vectors by sorted passes of random projections: neighbours in lexicographic order are compared."""
 
 from __future__ import annotations
 
@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 from talkweave.llm.common import connected_components, discard, few_or_shuffled, saved
 
 
-def key_bits(n: int, window: int, most: int) -> int:
-    """Bits of a pass's key: so many that about ``window`` of evenly spread vectors share it."""
-    return min(most, max(1, math.ceil(math.log2(max(2.0, n / window)))))
+def prefix_bits(n: int, window: int, most: int) -> int:
+    """Leading bits of a pass's key that about a quarter of a window of evenly spread vectors share: a window then holds nearly every such run whole."""
+    return min(most, max(1, math.ceil(math.log2(max(2.0, 4 * n / window)))))
 
 
 def passes_for(bits: int, threshold: float, miss: float) -> int:
-    """Passes after which a pair at the threshold has shared no key with probability ``miss`` at most.
+    """Passes after which a pair at the threshold has shared no prefix of ``bits`` with probability ``miss`` at most.
 
     Two vectors agree in a hash bit with probability 1 - angle/pi, whatever lies around them.
     """
@@ -49,29 +49,88 @@ def distinct_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFr
     )
 
 
-def _hash_rows(passes: range, kind: str, bits: int, seed: int, vectors: bool):
-    """(dim, pass, key, rep, v): the keys of some passes for every vector; without ``vectors``, only (dim, pass, key)."""
+def _hash_rows(passes: range, kind: str, bits: int, seed: int):
+    """(dim, pass, key, rep): the hash bits of some passes for every vector, the first hash in the highest bit."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         planes: dict[tuple[int, int], np.ndarray] = {}
         place = 1 << np.arange(bits - 1, -1, -1, dtype="i8")
         for b in batches:
             for dim, part in b.groupby("dim"):
-                x = np.stack(part["vector"].to_list()).astype(kind)
-                own = {"rep": part["rep"].array, "v": [v.tobytes() for v in x]} if vectors else {}
-                x = x.astype("f8")
+                x = np.stack(part["vector"].to_list()).astype(kind).astype("f8")
                 for p in passes:
                     if (dim, p) not in planes:
                         planes[dim, p] = np.random.default_rng([seed, dim, p]).standard_normal((dim, bits))
-                    yield pd.DataFrame({"dim": dim, "pass": p, "key": ((x @ planes[dim, p]) > 0) @ place, **own})
+                    yield pd.DataFrame({"dim": dim, "pass": p, "key": ((x @ planes[dim, p]) > 0) @ place, "rep": part["rep"].array})
+
+    return run
+
+
+def _numbered(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(keys in their lexicographic order with rank, the table stored for it): Spark sorts ranges; counts of the ranges, one for each task, give their first ranks."""
+    order = ["dim", "pass", "key", "rep"]
+    ordered = keys.repartitionByRange(*order).sortWithinPartitions(*order)
+    stored = saved(ordered.select(*order, F.spark_partition_id().alias("range"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at")), "order")
+    sizes, first, starts = stored.groupBy("range").agg(F.count("*").alias("n")).orderBy("range").collect(), 0, []
+    for r in sizes:
+        starts.append((r["range"], first))
+        first += r.n
+    offsets = keys.sparkSession.createDataFrame(starts, "range int, first long")
+    return stored.join(F.broadcast(offsets), "range").select(*order, (F.col("first") + F.col("at")).alias("rank")), stored  # a row for each range
+
+
+def window_links(threshold: float, kind: str, window: int):
+    """(src, dst): links that join what all links join between vectors at most ``window`` places apart in a pass's order.
+
+    Rows (block, rank, dim, pass, rep, v) are sorted by block and rank; a block begins with the last ``window`` rows of the one before.
+    """
+    ahead = np.arange(2 * window)[None, :] - np.arange(window)[:, None]
+    band = (ahead > 0) & (ahead <= window)
+
+    def links(part: pd.DataFrame) -> pd.DataFrame:
+        reps, x, n = part["rep"].to_numpy(), _unit(part["v"], kind), len(part)
+        pairs = []
+        for a in range(0, n, window):
+            one, two = x[a : a + window], x[a : a + 2 * window]
+            i, j = np.nonzero((one @ two.T >= threshold) & band[: len(one), : len(two)])
+            pairs.append((a + i, a + j))
+        i, j = (np.concatenate(c) for c in zip(*pairs))
+        label = np.arange(n)
+        while True:
+            new = label.copy()
+            np.minimum.at(new, j, label[i])
+            np.minimum.at(new, i, label[j])
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        moved = label != np.arange(n)
+        return pd.DataFrame({"src": reps[moved], "dst": reps[label[moved]]})
+
+    def block_links(block: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        for _, part in block.groupby(["dim", "pass"], sort=False):
+            yield links(part)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for b in batches:
+            b = b if held is None else pd.concat([held, b], ignore_index=True)
+            at = b["block"].to_numpy()
+            cuts = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist()]
+            out = [x for s, e in zip(cuts, cuts[1:]) for x in block_links(b.iloc[s:e])]
+            if out:
+                yield pd.concat(out)
+            held = b.iloc[cuts[-1] :]
+        if held is not None and len(held):
+            yield from block_links(held)
 
     return run
 
 
 def bucket_links(threshold: float, kind: str):
-    """(src, dst): links that join what all links among the vectors of a bucket, or of a pair of its blocks, join.
+    """(src, dst): links that join what all links among the vectors of a run too long for a window, or of a pair of its blocks, join.
 
-    Rows (dim, pass, key, lo, hi, own, rep, v) are sorted by the first five columns.
+    Rows (dim, pass, prefix, lo, hi, own, rep, v) are sorted by the first five columns.
     """
 
     def links(part):
@@ -104,7 +163,7 @@ def bucket_links(threshold: float, kind: str):
         held = None
         for b in batches:
             b = b if held is None else pd.concat([held, b], ignore_index=True)
-            at = b[["dim", "pass", "key", "lo", "hi"]].to_numpy()
+            at = b[["dim", "pass", "prefix", "lo", "hi"]].to_numpy()
             cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1).tolist()]
             out = [x for s, e in zip(cuts, cuts[1:]) for x in links(b.iloc[s:e])]
             if out:
@@ -149,21 +208,23 @@ def near_duplicate_vectors(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     threshold: float = 0.95,
-    window: int = 64,
+    window: int = 128,
     miss: float = 1e-4,
     bits: int = 48,
     block: int = 1024,
+    rows_per_task: int = 8192,
     passes_per_job: int = 8,
     seed: int = 11,
 ) -> DataFrame:
     """(id, n_links, component_id, kept) of every row.
 
     Equal vectors are one representative with a number of copies, so copies cost nothing
-    further. Each pass keys the representatives by the signs of random projections, at most
-    ``bits`` and so many that about ``window`` evenly spread vectors share a key, and all
-    pairs of a key are compared, in pairs of blocks of about ``block`` vectors where a dense
-    region puts more under one key. The number of passes makes a pair just at the threshold
-    share no key with probability ``miss``, however the vectors lie. Links of all
+    further. Each pass orders the representatives lexicographically by ``bits`` concatenated random hashes (signs of
+    projections), and each is compared with the ``window`` next ones. A run of equal prefixes that is longer than a window, as a dense
+    region makes it, is also compared in all pairs, in pairs of blocks of about ``block`` vectors. So every pair that
+    shares a prefix in some pass is compared, however the vectors lie; prefixes are as long as ``prefix_bits`` says, and the number of passes makes a
+    pair just at the threshold share none with probability ``miss``. Only (rep, hashes) are sorted; vectors are
+    sent to the windows and blocks that need them, ``rows_per_task`` to each. Links of all
     passes are united. Inside the components all pairs are then counted exactly, in pairs of blocks too, however
     large a component is. Vectors that are null, zero or hold null or non-finite
     components, and vectors of different lengths, link with nothing, not even copies of
@@ -173,24 +234,33 @@ def near_duplicate_vectors(
     """
     kind = "<f4" if "float" in vectors.schema[vector_col].dataType.simpleString() else "<f8"
     reps = saved(distinct_vectors(vectors, id_col, vector_col), "vectors")
-    bits = key_bits(reps.count(), window, bits)
-    passes = passes_for(bits, threshold, miss)
+    short = prefix_bits(reps.count(), window, bits)
+    passes = passes_for(short, threshold, miss)
     key_type = "long"
-    place, order = ["dim", "pass", "key"], ["dim", "pass", "key", "lo", "hi"]
+    run = ["dim", "pass", "prefix"]
+    order = [*run, "lo", "hi"]
+    to_bytes = lambda batches: (b.assign(v=[np.asarray(v, kind).tobytes() for v in b["v"]]) for b in batches)
+    bytes_of = saved(reps.select("rep", F.col("vector").alias("v")).mapInPandas(to_bytes, f"rep {key_type}, v binary"), "bytes")
     found = []
     for a in range(0, passes, passes_per_job):
         some = range(a, min(passes, a + passes_per_job))
-        src = reps.select("dim", "rep", "vector")
-        keys = src.mapInPandas(_hash_rows(some, kind, bits, seed, False), "dim int, pass int, key long")
-        full = keys.groupBy(*place).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1")
-        full = saved(full, "full")
-        rows = src.mapInPandas(_hash_rows(some, kind, bits, seed, True), f"dim int, pass int, key long, rep {key_type}, v binary").join(few_or_shuffled(full), place, "left")
-        rows = rows.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        rows = rows.select(*place, "rep", "v", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        rows = rows.select(*place, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "v")
-        near = rows.repartition(*order).sortWithinPartitions(*order).mapInPandas(bucket_links(threshold, kind), f"src {key_type}, dst {key_type}")
+        keys = reps.select("dim", "rep", "vector").mapInPandas(_hash_rows(some, kind, bits, seed), f"dim int, pass int, key long, rep {key_type}")
+        ranked, sorted_keys = _numbered(keys)
+        ranked = ranked.withColumn("prefix", F.shiftright("key", bits - short))
+        long_runs = saved(ranked.groupBy(*run).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("n")).where(F.col("n") > window).drop("n"), "runs")
+        # where a vector goes in each pass: its block of the order, the next one if it stands in its last window, and its blocks of a long run
+        place = F.col("rank") % rows_per_task >= rows_per_task - window
+        home = (F.col("rank") / rows_per_task).cast("long")
+        windows = ranked.select("rep", "dim", "pass", "rank", F.explode(F.when(place, F.array(home, home + 1)).otherwise(F.array(home))).alias("block"))
+        near = windows.join(bytes_of, "rep").select("block", "rank", "dim", "pass", "rep", "v").repartition("block").sortWithinPartitions("block", "rank")
+        found.append(saved(near.mapInPandas(window_links(threshold, kind, window), f"src {key_type}, dst {key_type}").distinct(), "links"))
+        dense = ranked.join(few_or_shuffled(long_runs), run).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        dense = dense.select(*run, "rep", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        dense = dense.select(*run, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep").join(bytes_of, "rep").select(*order, "own", "rep", "v")
+        near = dense.repartition(*order).sortWithinPartitions(*order).mapInPandas(bucket_links(threshold, kind), f"src {key_type}, dst {key_type}")
         found.append(saved(near.distinct(), "links"))
-        discard(full)
+        for t in (long_runs, sorted_keys):
+            discard(t)
     edges = found[0]
     for f in found[1:]:
         edges = edges.unionByName(f)
@@ -201,7 +271,6 @@ def near_duplicate_vectors(
         .join(reps.withColumnRenamed("rep", "id"), "id")
         .select("component", "id", "copies", "vector", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("own"))
     )
-    to_bytes = lambda batches: (b.assign(v=[np.asarray(v, kind).tobytes() for v in b["v"]]) for b in batches)
     pairs = (
         own.select("component", "id", "copies", F.col("vector").alias("v"), "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         .select("component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.col("id").alias("rep"), "own", "copies", "v")
@@ -217,7 +286,7 @@ def near_duplicate_vectors(
         F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"),
     )
     facts = saved(facts, "facts")
-    for t in (*found, reps, components, named):
+    for t in (*found, bytes_of, reps, components, named):
         discard(t)
     src = vectors.select(id_col, vector_col)
     alone = src.where(~usable(vector_col)).select(id_col, F.lit(0).cast("long").alias("n_links"), F.col(id_col).alias("component_id"))
