@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from talkweave.llm.common import held_out, keyed_text, restore_key
+from talkweave.llm.common import discard, held_out, keyed_text, restore_key, saved
 
 _BLOCK = 1 << 20
 
@@ -76,10 +76,6 @@ def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes:
     return weights(slice(None))
 
 
-#: Characters of the longest text that a model is fitted on.
-LONGEST = 1 << 16
-
-
 def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:
     """The temperature of least log-loss on rows that the weights weren't fitted on."""
     loss = lambda t: -np.log(softmax(logits / t)[np.arange(len(y)), y] + 1e-12).mean()
@@ -119,24 +115,52 @@ def language_sample(known: DataFrame, most: int) -> DataFrame:
     return few.withColumn("nth", F.row_number().over(Window.partitionBy("y").orderBy("h"))).where(F.col("nth") <= most).select("h", "t", "y")
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", buckets: int = 1 << 15, most_docs: int = 1500) -> LanguageModel:
+def _counted(buckets: int):
+    """(h, y, at, n, size): the buckets of a text's n-grams and their counts, as bytes: at most ``buckets`` of them, however long the text."""
+
+    def run(batches):
+        for b in batches:
+            found = [ngram_counts(t, buckets) for t in b["t"]]
+            at = [np.flatnonzero(c) for c in found]
+            yield pd.DataFrame({
+                "h": b["h"], "y": b["y"], "at": [a.astype("<i4").tobytes() for a in at], "n": [c[a].astype("<f8").tobytes() for c, a in zip(found, at)], "size": [len(a) for a in at],
+            })
+
+    return run
+
+
+def _dense(at: bytes, n: bytes, buckets: int) -> np.ndarray:
+    out = np.zeros(buckets)
+    out[np.frombuffer(at, "<i4")] = np.frombuffer(n, "<f8")
+    return out
+
+
+def train(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", buckets: int = 1 << 15, most_docs: int = 1500, most_entries: int = 1 << 24,
+) -> LanguageModel:
     """A model from the rows that aren't held out and whose text and language aren't null.
 
     Document frequencies cover all of those rows, and so do the languages. Weights are fitted on at
-    most ``most_docs`` different texts of each language, those with the smallest hashes; every fifth of
-    these sets the temperature instead. Texts of more than ``LONGEST`` characters aren't in
-    the sample, so that its bytes are bounded. With no rows at all, the model knows no language.
+    most ``most_docs`` different texts of each language, those with the smallest hashes, long ones like short ones; every fifth of
+    these sets the temperature instead. The driver gets their n-gram counts, made in tasks. All languages share ``most_entries`` counts:
+    a language gives texts in order of their hashes as long as its share lasts, and its first one in any case.
+    With no rows at all, the model knows no language.
     """
     known = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(id_col))
     total, df = document_frequencies(known, text_col, buckets)
     idf = np.log((1 + total) / (1 + df)) + 1
-    rows = known.where(F.length(text_col) <= LONGEST).select(F.col(text_col).alias("t"), F.col(lang_col).alias("y"))
-    sample = language_sample(rows, most_docs).toPandas().sort_values(["h", "t", "y"], ignore_index=True)
+    rows = known.select(F.col(text_col).alias("t"), F.col(lang_col).alias("y"))
+    each = max(1, most_entries // max(1, rows.select("y").distinct().count()))
+    counted = saved(language_sample(rows, most_docs).mapInPandas(_counted(buckets), "h long, y string, at binary, n binary, size int"), "counts")
+    so_far = Window.partitionBy("y").orderBy("h").rowsBetween(Window.unboundedPreceding, 0)  # of at most ``most_docs`` rows
+    fit = counted.select("h", "y", "size").withColumn("sum", F.sum("size").over(so_far)).where((F.col("sum") <= each) | (F.col("sum") == F.col("size")))
+    sample = counted.join(fit.select("h", "y"), ["h", "y"]).select("h", "y", "at", "n").toPandas().sort_values(["h", "y"], ignore_index=True)
+    discard(counted)
     labels = sorted(sample["y"].unique())
     if not labels:
         return LanguageModel([], idf, np.zeros((buckets + 1, 0), "f4"))
     y = sample["y"].map({x: k for k, x in enumerate(labels)}).to_numpy()
-    rows = [tfidf(ngram_counts(t, buckets), idf) for t in sample["t"]]
+    rows = [tfidf(_dense(a, n, buckets), idf) for a, n in zip(sample["at"], sample["n"])]
     rest = np.arange(len(rows)) % 5 == 4
     w = fit_ftrl([r for r, q in zip(rows, rest) if not q], y[~rest], len(labels), buckets)
     logits = np.array([x @ w[at] + w[-1] for (at, x), q in zip(rows, rest) if q]).reshape(-1, len(labels))

@@ -152,3 +152,15 @@ def test_quality(spark):
     none = quality.train(docs.limit(0), marks.limit(0))
     assert quality.score(docs.limit(0), none).collect() == []
     assert isinstance(quality.score_all(none, ["a", ""]), np.ndarray) and pd.notna(quality.score_all(none, [""])).all()
+
+
+def test_a_language_of_long_texts_alone_is_learned(spark):
+    r = random.Random(1)
+    rows = [(i, words(r, ["the", "of", "and", "house", "they"], 60), "en") for i in range(60)]
+    rows += [(100 + i, words(r, ["zzik", "zwar", "wzok", "ozzy"], 15_000), "zz") for i in range(16)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for most in (1 << 24, 40):  # counts for all texts; for the first one of each language only
+        m = langid.train(df, most_entries=most)
+        assert m.labels == ["en", "zz"]
+        got = {q.doc_id: q.lang_pred for q in langid.predict(df, m).collect()}
+        assert all(got[i] == lang for i, _, lang in rows)
