@@ -122,11 +122,15 @@ def write_transcripts(documents: DataFrame, path: str) -> None:
     documents.select("id", "markdown").write.mode("overwrite").parquet(path)
 
 
-def write_backup(raw: DataFrame, path: str, tasks: int = 8) -> None:
-    """A5: raw lines (S, file_no, ord, value) as text in a folder for each session, in order; nothing if there are none."""
+def write_backup(raw: DataFrame, path: str, replace_all: bool = True) -> None:
+    """A5: raw lines (S, file_no, ord, value) as text in a folder for each session, in order; nothing if there are none.
+
+    Sessions are dealt by hash over the session's shuffle partitions. Without ``replace_all`` only the folders of the sessions that come here are replaced.
+    """
     if raw.isEmpty():
         return
-    raw.repartition(tasks, "S").sortWithinPartitions("S", "file_no", "ord").select("S", "value").write.mode("overwrite").partitionBy("S").text(path)
+    rows = raw.repartition("S").sortWithinPartitions("S", "file_no", "ord").select("S", "value")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "static" if replace_all else "dynamic").partitionBy("S").text(path)
 
 
 def stale_exports(sources: DataFrame, targets: DataFrame) -> DataFrame:

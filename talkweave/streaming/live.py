@@ -8,16 +8,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from talkweave.operators.export import tool_lines, tool_summary, transcript_compact
+from talkweave.operators.durable import dropped, stored
+from talkweave.operators.export import tool_lines, tool_summary, transcript_compact, write_backup
+from talkweave.operators.library import library_rows
 from talkweave.operators.messages import enrich, explode_parts, tool_calls
 from talkweave.operators.summary import session_summary, tool_usage
 from talkweave.sources.logs import json_objects, normalize_messages
 from talkweave.streaming.activity import IDLE, live_events
+from talkweave.streaming.store import Store
 
 
 
 def stream_logs(spark: SparkSession, root: str, files_per_batch: int = 1000) -> DataFrame:
-    """L1: the columns of ``normalize_messages`` (ord is null), with block, line and time, of lines in files that land under ``root``/<folder>/.
+    """L1: the columns of ``normalize_messages`` (ord is null), with block, the raw line and time, of lines in files that land under ``root``/<folder>/.
 
     Files are read once, when they appear: producers land chunks and don't append. ``numbered``
     gives the lines of a batch their order.
@@ -26,7 +29,7 @@ def stream_logs(spark: SparkSession, root: str, files_per_batch: int = 1000) ->
     raw = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(f"{root}/*/*.jsonl").select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value"
     )
-    kept = normalize_messages(json_objects(raw).withColumn("ord", F.lit(None).cast("long")), "block")
+    kept = normalize_messages(json_objects(raw.withColumn("raw", F.col("value"))).withColumn("ord", F.lit(None).cast("long")), "block", "raw")
     return kept.withColumn("time", F.to_timestamp("ts")).where("S is not null")
 
 
@@ -63,81 +66,67 @@ def active_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     return after.exceptAll(before).withColumn("change", F.lit("active")).unionByName(before.exceptAll(after).withColumn("change", F.lit("idle")))
 
 
-def _buckets(rows: DataFrame, buckets: int) -> DataFrame:
-    return rows.withColumn("bucket", F.pmod(F.xxhash64("S"), F.lit(buckets)).cast("int"))
+def _stores(spark: SparkSession, root: str, fanout: int) -> tuple[Store, Store]:
+    return Store(spark, f"{root}/messages", order=("file", "ord"), fanout=fanout), Store(spark, f"{root}/sessions", replaces=True, fanout=fanout)
 
 
-def read_current(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version of each bucket of a table that ``live_summary`` keeps."""
-    rows = spark.read.parquet(path)
-    newest = rows.select("bucket", "written").distinct().groupBy("bucket").agg(F.max("written").alias("written"))
-    return rows.join(F.broadcast(newest), ["bucket", "written"]).drop("bucket", "written")  # a row for each bucket, a fixed number
+def read_current(spark: SparkSession, root: str) -> DataFrame:
+    """The rows that ``live_summary`` keeps (``library_rows``), as of its newest version."""
+    return Store(spark, f"{root}/sessions", replaces=True).read().drop("slot", "written")
+
+
+def read_messages(spark: SparkSession, root: str, sessions: DataFrame | None = None) -> DataFrame:
+    """The messages that ``live_summary`` has stored, of all sessions or of those in ``sessions`` (S)."""
+    return enrich(Store(spark, f"{root}/messages").read(sessions).drop("slot", "written"))
 
 
 def live_summary(
-    messages: DataFrame, store: str, table: str, checkpoint: str, interval: str = "500 milliseconds", after: Callable[[DataFrame, int], None] | None = None, buckets: int = 64
+    messages: DataFrame, root: str, checkpoint: str, interval: str = "500 milliseconds", after: Callable[[DataFrame, int], None] | None = None, fanout: int = 8
 ) -> StreamingQuery:
-    """Keeps a table of session summaries current; messages: of ``stream_logs``.
+    """Keeps the rows of sessions, clusters and branches current; messages: of ``stream_logs``.
 
-    Each micro-batch (bursts within ``interval`` come together) is stored under its number, so a
-    repeated batch replaces itself. Stored messages and the table lie in ``buckets`` parts by
-    session: a batch reads the parts of the sessions that it touches, summarises these sessions
-    anew, and writes the parts' rows as a new version; versions before the last one are deleted.
-    ``after`` gets the touched sessions' messages, as for exports.
+    Each micro-batch (bursts within ``interval`` come together) adds its messages to a ``Store`` and makes the rows of the sessions
+    that it touches anew, from their own stored messages; these rows stand for the sessions' earlier ones. What is read follows
+    the touched sessions, and what is written a batch, but for merges. A repeated batch changes nothing that it has done already. ``after`` gets the
+    touched sessions' messages, as for exports.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
         if rows.isEmpty():
             return
-        mine = f"{store}/batch={number}"
-        _buckets(numbered(rows, number), buckets).write.mode("overwrite").partitionBy("bucket").parquet(mine)
-        touched = spark.read.parquet(mine).select("bucket", "S").distinct()
-        parts = [r.bucket for r in touched.select("bucket").distinct().collect()]  # at most ``buckets``
-        stored = spark.read.option("basePath", store).parquet(store).where(F.col("bucket").isin(parts) & (F.col("batch") <= number))
-        seen = enrich(stored.join(touched, ["bucket", "S"], "left_semi").drop("bucket", "batch", "block"))
-        fresh = _buckets(session_summary(seen), buckets)
-        old = _exists(spark, table) and spark.read.parquet(table).where(F.col("bucket").isin(parts) & (F.col("written") < number))
-        if old:
-            newest = old.groupBy("bucket").agg(F.max("written").alias("written"))
-            kept = old.join(F.broadcast(newest), ["bucket", "written"]).join(touched, ["bucket", "S"], "left_anti").drop("written")
-            fresh = fresh.unionByName(kept.select(fresh.columns))
-            last = {r.bucket: r.written for r in newest.collect()}
-        out = fresh.withColumn("written", F.lit(number).cast("long")).repartition("bucket")
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "written").parquet(table)
-        if old:
-            for b, v in last.items():
-                _drop_before(spark, f"{table}/bucket={b}", v)
+        log, table = _stores(spark, root, fanout)
+        log.append(numbered(rows, number).drop("block", "time"), number)
+        touched = log.read().where(F.col("written") == number).select("S").distinct() if log.snapshot().batch > number else rows.select("S").distinct()
+        touched = stored(touched, "touched")
+        seen = enrich(log.read(touched).drop("slot", "written"))
+        table.append(library_rows(seen), number)
         if after:
             after(seen, number)
+        dropped(touched)
 
     return messages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
 
 
-def _path(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    p, files = _path(spark, path)
-    return files.exists(p)
-
+def stream_exports(root: str, backups: str | None = None, fanout: int = 8) -> Callable[[DataFrame, int], None]:
+    """For ``live_summary``: the current transcripts (N1, tools included) of all sessions under ``root``, and backups (A5).
 
-def _drop_before(spark: SparkSession, bucket: str, version: int) -> None:
-    """Deletes a bucket's versions before ``version``; that one stays for those who still read it."""
-    p, files = _path(spark, bucket)
-    for f in files.listStatus(p):
-        if int(f.getPath().getName().split("=")[1]) < version:
-            files.delete(f.getPath(), True)
-
-
-def stream_exports(out: str) -> Callable[[DataFrame, int], None]:
-    """For ``live_summary``: writes the transcripts of each batch's sessions, tools included."""
+    A touched session's transcript stands for its earlier one (``read_exports``). ``backups`` is a folder with a folder for each
+    session, whose raw lines, file by file, are replaced as a whole; other sessions' folders stay.
+    """
 
     def export(seen: DataFrame, number: int) -> None:
         calls = tool_calls(explode_parts(seen.withColumn("file", F.coalesce("file", F.lit("")))))
         head = session_summary(seen).join(tool_summary(tool_usage(calls)), "S", "left").select("S", F.left("first_user_message", F.lit(60)).alias("title"), "created_at", "turn_count", "tools")
-        transcript_compact(seen, head, tool_lines(calls).select("S", "ord", "pos", "line")).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        documents = transcript_compact(seen, head, tool_lines(calls).select("S", "ord", "pos", "line"))
+        Store(seen.sparkSession, root, replaces=True, fanout=fanout).append(documents, number)
+        if backups:
+            lines = seen.select("S", F.col("file").alias("file_no"), "ord", F.col("raw").alias("value"))
+            write_backup(lines, backups, replace_all=False)
 
     return export
+
+
+def read_exports(spark: SparkSession, root: str) -> DataFrame:
+    """(S, markdown): the current transcript of each session that ``stream_exports`` has seen."""
+    return Store(spark, root, replaces=True).read().drop("slot", "written")

@@ -351,34 +351,6 @@ def test_headings_become_bold_outside_code(spark):
     assert [(r.n, r.in_code) for r in fenced] == list(enumerate([False, False, False, True, True, True, False]))
 
 
-def test_live_summaries_equal_batch(spark, root, tmp_path):
-    """The batch reader's own file, without any order in its lines, and more files later."""
-    src, out = tmp_path / "in", tmp_path / "out"
-    (src / "p1").mkdir(parents=True)
-    (src / "p2").mkdir()
-    with open(f"{root}/p1/a.jsonl") as f:
-        (src / "p1" / "a.jsonl").write_text(f.read())
-    q = live.live_summary(live.stream_logs(spark, str(src)), str(out / "store"), str(out / "table"), str(out / "cp"), after=live.stream_exports(str(out / "md")), buckets=4)
-
-    def same():
-        q.processAllAvailable()
-        over_files = F.row_number().over(Window.partitionBy("S").orderBy("file", "ord"))
-        m = messages.enrich(logs.normalize_messages(logs.scan_logs(spark, str(src)))).where("S is not null")
-        want = summary.session_summary(m.withColumn("ord", over_files))
-        got = live.read_current(spark, str(out / "table")).select(want.columns)
-        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
-        return {r.S: r for r in got.collect()}
-
-    first = same()
-    assert first["s1"].turn_count == 2 and first["s1"].version == "1"
-    (src / "p2" / "b.jsonl").write_text("\n".join(line(f"v{k}", ts=f"2026-03-02T00:00:0{k}Z", session=f"s{1 + k % 2}", content=f"text {k}", version=str(k)) for k in range(6)))
-    second = same()
-    q.stop()
-    assert second["s2"].message_count == 3 and second["s1"].version == "4" and second["s1"].first_user_message == "[1]"
-    notes = {r.S: r.markdown for r in spark.read.parquet(str(out / "md")).where("batch = 1").collect()}
-    assert "[Bash] ls" in notes["s1"] and "> 3/1 00:00 | 2 turns | Tools: " in notes["s1"] and set(notes) == {"s1", "s2"}
-
-
 def test_activity(spark):
     rows = [("a", 0), ("a", 29), ("a", 60), ("b", 0)]
     df = spark.createDataFrame(rows, "S string, t int").select("S", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("t")).alias("time"))
