@@ -94,15 +94,22 @@ def safe_name(x: Column | str) -> Column:
     return F.coalesce(present(F.left(strip(t), F.lit(60))), F.lit("untitled"))
 
 
+def once(value: Column, body) -> Column:
+    """``body`` of a value that is computed a single time, however often the body names it (in lambdas, once for each element otherwise)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def lines(x: Column | str) -> Column:
-    """Lines of a text, each with whether it is code: a line of a fence or between two."""
-    # the text before the first fence, then from each fence to the next: every second part is code
-    parts = F.split(F.concat(F.lit("\n"), _c(x)), r"(?dm)^(?=```)")
-    last = F.size(parts) - 1
-    rows = lambda p, i: F.split(F.when(i < last, F.substring(p, F.lit(1), F.length(p) - 1)).otherwise(p), "\n")
-    marked = F.transform(parts, lambda p, i: F.transform(rows(p, i), lambda y: F.struct(y.alias("line"), ((i % 2 == 1) | y.startswith("```")).alias("in_code"))))
-    every = F.flatten(marked)
-    return F.slice(every, F.lit(2), F.size(every) - 1)  # the first line is the one put before the text
+    """Lines of a text, each with whether it is code: a line of a fence or between two. Takes time in proportion to the text."""
+
+    def marked(parts: Column) -> Column:
+        # the text before the first fence, then from each fence to the next: every second part is code
+        last = F.size(parts) - 1
+        rows = lambda p, i: F.split(F.when(i < last, F.substring(p, F.lit(1), F.length(p) - 1)).otherwise(p), "\n")
+        every = F.flatten(F.transform(parts, lambda p, i: F.transform(rows(p, i), lambda y: F.struct(y.alias("line"), ((i % 2 == 1) | y.startswith("```")).alias("in_code")))))
+        return once(every, lambda e: F.slice(e, F.lit(2), F.size(e) - 1))  # the first line is the one put before the text
+
+    return once(F.split(F.concat(F.lit("\n"), _c(x)), r"(?dm)^(?=```)"), marked)
 
 
 def bold_headings(x: Column | str) -> Column:

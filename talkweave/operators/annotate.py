@@ -126,14 +126,91 @@ def folder_closure(folders: DataFrame) -> DataFrame:
     return out
 
 
+def _nearest_moved(folders: DataFrame, moved: DataFrame) -> DataFrame:
+    """(id, to): for each folder the nearest one of ``moved`` (id) at or above it, by pointer doubling that stops there; null without one."""
+    here = folders.join(moved.withColumn("_m", F.lit(True)), "id", "left")
+    known = folders.select(F.col("id").alias("up"), F.lit(True).alias("_k"))
+    step = here.select("id", "_m", F.col("parent_id").alias("up")).join(known, "up", "left")
+    at = stored(step.select("id", F.when(F.col("_m"), F.col("id")).when(F.col("_k"), F.col("up")).alias("to"), F.coalesce("_m", F.lit(False)).alias("done")), "nearest")
+    while True:
+        open_ = at.where("not done and to is not null")
+        if open_.isEmpty():
+            return at
+        up = at.select(F.col("id").alias("to"), F.col("to").alias("_to"), F.col("done").alias("_done"))
+        # a pointer that meets a moved folder ends there, one that meets a root without any ends nowhere
+        met = open_.join(up, "to", "left").select("id", F.when(F.col("_done"), F.col("to")).otherwise(F.col("_to")).alias("to"), F.coalesce(F.col("_done"), F.lit(False)).alias("done"))
+        more = met.join(moved.select(F.col("id").alias("to"), F.lit(True).alias("_m")), "to", "left").select("id", "to", (F.col("done") | F.coalesce("_m", F.lit(False))).alias("done"))
+        now = stored(at.where("done or to is null").unionByName(more), "nearest")
+        dropped(at)
+        at = now
+
+
+def _groups(edges: DataFrame) -> DataFrame:
+    """(id, group): the smallest id that ``edges`` (a, b) lead to; labels and pointers take each other's minima until none falls."""
+    both = stored(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    label = stored(both.select(F.col("a").alias("id"), F.col("a").alias("group")).distinct(), "groups")
+    while True:
+        near = both.join(label.select(F.col("id").alias("b"), F.col("group").alias("g")), "b").select(F.col("a").alias("id"), "g")
+        low = near.unionByName(label.select("id", F.col("group").alias("g"))).groupBy("id").agg(F.min("g").alias("g"))
+        # a label's own label is as good: halves the way that is left
+        far = low.join(label.select(F.col("id").alias("g"), F.col("group").alias("gg")), "g", "left").select("id", F.least("g", "gg").alias("group"))
+        new = stored(far, "groups")
+        same = new.exceptAll(label).isEmpty()
+        dropped(label)
+        label = new
+        if same:
+            dropped(both)
+            return label
+
+
 def apply_folder_moves(folders: DataFrame, moves: DataFrame) -> DataFrame:
-    """M2: folders with the parents that moves (id, parent_id) give; into itself, a descendant or an unknown folder is refused."""
-    bad = folder_closure(folders).select(F.col("ancestor").alias("id"), F.col("descendant").alias("new_parent"))
-    m = moves.select("id", F.col("parent_id").alias("new_parent"), F.lit(True).alias("moved"))
+    """M2: folders with the parents that moves (id, parent_id, seq) give, one after another by seq (equal ones by parent); into itself, a folder then below it or an unknown folder is refused.
+
+    Only moved folders' parents change, so a way up is a chain of moved folders with fixed stretches between: each folder's nearest moved one is found once,
+    over all folders. Moves are then replayed in order over these chains, each group of moved folders that chains can join by itself: a task
+    holds a group's moves, not its folders.
+    """
+    m = moves.select("id", F.col("parent_id").alias("new_parent"), *(["seq"] if "seq" in moves.columns else [F.lit(0).alias("seq")]))
+    m = m.join(folders.select("id"), "id", "left_semi")
     known = folders.select(F.col("id").alias("new_parent"))
-    ok = m.join(bad, ["id", "new_parent"], "left_anti")
-    ok = ok.where("new_parent is null").unionByName(ok.join(known, "new_parent", "left_semi").select(ok.columns))
-    return folders.join(ok, "id", "left").withColumn("parent_id", F.when(F.col("moved"), F.col("new_parent")).otherwise(F.col("parent_id"))).drop("new_parent", "moved")
+    m = stored(m.where("new_parent is null").unionByName(m.where("new_parent is not null").join(known, "new_parent", "left_semi").select(m.columns)), "moves")
+    moved = m.select("id").distinct()
+    nearest = _nearest_moved(folders, moved)
+    place = nearest.where("done").select(F.col("id").alias("new_parent"), F.col("to").alias("goal"))
+    start = folders.join(moved, "id", "left_semi").select("id", F.col("parent_id").alias("new_parent"))
+    chains = start.join(place, "new_parent", "left").select("id", F.lit(None).cast("string").alias("new_parent"), "goal", F.lit(None).cast(m.schema["seq"].dataType).alias("seq"), F.lit(True).alias("is_start"))
+    steps = m.join(place, "new_parent", "left").select("id", F.col("new_parent").cast("string").alias("new_parent"), "goal", "seq", F.lit(False).alias("is_start"))
+    rows = stored(chains.unionByName(steps), "steps")
+    group = _groups(rows.select(F.col("id").alias("a"), F.coalesce("goal", "id").alias("b")))
+    kind = folders.schema["id"].dataType.simpleString()
+    ordered = rows.join(group, "id").repartition("group").sortWithinPartitions("group", F.desc("is_start"), "seq", "new_parent", "id")
+    done = stored(ordered.select("group", "id", "new_parent", "goal", "is_start").mapInPandas(_replayed, f"id {kind}, new_parent string"), "moved")
+    out = folders.join(done.withColumn("_moved", F.lit(True)), "id", "left")
+    dropped(m, nearest, rows, group)
+    return out.withColumn("parent_id", F.when(F.col("_moved"), F.col("new_parent").cast(folders.schema["parent_id"].dataType)).otherwise(F.col("parent_id"))).select(*folders.columns)
+
+
+def _replayed(batches):
+    """(id, new_parent) of the moves that stand in the end; rows come group by group, chains (is_start) first, then moves in order."""
+    import pandas as pd
+
+    group, chain, parent = None, {}, {}
+    for b in batches:
+        out = []
+        for g, x, p, goal, start in zip(b["group"], b["id"], b["new_parent"], b["goal"], b["is_start"]):
+            if g != group:
+                out += parent.items()
+                group, chain, parent = g, {}, {}
+            if start:
+                chain[x] = goal
+                continue
+            at = goal
+            while at is not None and at != x:
+                at = chain.get(at)
+            if at is None:
+                chain[x], parent[x] = goal, p
+        yield pd.DataFrame(out, columns=["id", "new_parent"])
+    yield pd.DataFrame(list(parent.items()), columns=["id", "new_parent"])
 
 
 def delete_folders(folders: DataFrame, members: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -175,10 +252,44 @@ def rename_paths(df: DataFrame, old: str, new: str, path_col: str = "path") -> D
 
 
 def unique_names(df: DataFrame, parent_col: str = "parent", name_col: str = "name", order: str = "id") -> DataFrame:
-    """M9: safe_name, with `` (n)`` from the second of a name under a parent."""
-    base = df.withColumn("_base", T.safe_name(name_col))
-    nth = F.row_number().over(Window.partitionBy(parent_col, "_base").orderBy(order))
-    return base.withColumn("_n", nth).withColumn("safe_name", F.when(F.col("_n") > 1, F.concat(F.col("_base"), F.lit(" ("), F.col("_n"), F.lit(")"))).otherwise(F.col("_base"))).drop("_base", "_n")
+    """M9: safe_name; of equal ones under a parent, in order, each takes the first free ``<name> (n)`` from 2.
+
+    Names meet only if they are equal without their numbers in brackets. Where no name brings such a number, a name's n-th row takes n. Where some do,
+    numbers may be taken already: those rows are streamed in order, each name with a pointer to its first number that may be free.
+    """
+    base = df.withColumn("_base", T.safe_name(name_col)).withColumn("_stem", F.regexp_replace("_base", r"( \(\d+\))+$", ""))
+    numbered = base.where("_base <> _stem").select(F.coalesce(F.col(parent_col).cast("string"), F.lit("")).alias("_p"), F.col(parent_col).isNull().alias("_no"), "_stem").distinct().withColumn("_mixed", F.lit(True))
+    base = base.withColumns({"_p": F.coalesce(F.col(parent_col).cast("string"), F.lit("")), "_no": F.col(parent_col).isNull()}).join(numbered, ["_p", "_no", "_stem"], "left")
+    nth = F.row_number().over(Window.partitionBy("_p", "_no", "_base").orderBy(order))
+    plain = base.where("_mixed is null").withColumn("_n", nth)
+    plain = plain.withColumn("safe_name", F.when(F.col("_n") > 1, F.concat(F.col("_base"), F.lit(" ("), F.col("_n"), F.lit(")"))).otherwise(F.col("_base")))
+    mixed = base.where("_mixed").select("_p", "_no", "_stem", "_base", *df.columns)
+    place = ["_p", "_no", "_stem"]
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    mixed = mixed.repartition(*place).sortWithinPartitions(*place, order).mapInArrow(_free_names(df.columns), f"{types}, safe_name string")
+    return plain.select(*df.columns, "safe_name").unionByName(mixed)
+
+
+def _free_names(columns: list[str]):
+    def run(batches):
+        import pyarrow as pa
+
+        group, taken, nxt = None, set(), {}
+        for b in batches:
+            names = []
+            for *at, name in zip(*(b.column(i).to_pylist() for i in range(4))):
+                if at != group:
+                    group, taken, nxt = at, set(), {}
+                free, n = name, nxt.get(name, 2)
+                while free in taken:
+                    free, n = f"{name} ({n})", n + 1
+                if free != name:
+                    nxt[name] = n
+                taken.add(free)
+                names.append(free)
+            yield pa.RecordBatch.from_arrays([*b.columns[4:], pa.array(names, pa.string())], names=[*columns, "safe_name"])
+
+    return run
 
 
 def load_folder_tree(flat: DataFrame) -> DataFrame:

@@ -21,13 +21,15 @@ def searchable_text(m: DataFrame, parts: DataFrame) -> DataFrame:
     return m.where("type in ('user', 'assistant')").join(per, keys, "left").withColumn("search_text", F.coalesce(F.when(is_string, content_text()), F.col("x"), F.lit(""))).drop("x")
 
 
-def _at(text: Column, query: str) -> Column:
-    return F.instr(F.lower(text), query.lower())
+def literal(query: str) -> str:
+    """A pattern that matches the query itself, whatever its case. Characters fold one by one, so a match is as long as the query."""
+    return "(?iu)\\Q" + query.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
 def snippet(text: Column, query: str, around: int = 60) -> Column:
     """Up to ``around`` characters on either side of the first match, with ``...`` where cut."""
-    at, n = _at(text, query), len(query)
+    before = F.regexp_extract(text, f"(?s)^(.*?){literal(query)}", 1)  # its length counts code points, as substring does
+    at, n = F.length(before) + 1, len(query)
     start = F.greatest(at - around, F.lit(1))
     end = at + n + around
     return F.concat(F.when(start > 1, "...").otherwise(""), F.substring(text, start, end - start), F.when(end <= F.length(text), "...").otherwise(""))
@@ -38,7 +40,7 @@ def search(m: DataFrame, query: str, text_col: str = "search_text") -> DataFrame
     if not query.strip():
         return m.limit(0).withColumn("snippet", F.lit(""))
     text = F.col(text_col)
-    return m.where(_at(text, query) > 0).withColumn("snippet", snippet(text, query))
+    return m.where(text.rlike(literal(query))).withColumn("snippet", snippet(text, query))
 
 
 def search_ranked(hits: DataFrame, file_col: str = "file", most: int = 10) -> tuple[DataFrame, DataFrame]:
@@ -59,11 +61,14 @@ def search_header(m: DataFrame, file_col: str = "file") -> DataFrame:
     return per.where("S is not null").withColumn("first_user_message", F.coalesce("first_user_message", F.lit("")))
 
 
+def search_totals(kept: DataFrame, file_col: str = "file") -> DataFrame:
+    """(files, hits) of a search's hits."""
+    return kept.agg(F.countDistinct(file_col).alias("files"), F.count("*").alias("hits"))
+
+
 def occurrences(text: Column, query: str) -> Column:
-    """How often a text holds the query, overlaps included."""
-    n = len(query)
-    places = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
-    return F.size(F.filter(places, lambda i: F.lower(F.substring(text, i, F.lit(n))) == query.lower()))
+    """How often a text holds the query, overlaps included, whatever its case."""
+    return F.regexp_count(text, F.lit(f"(?={literal(query)})"))
 
 
 def search_in_session(sectioned: DataFrame, query: str) -> DataFrame:
@@ -71,5 +76,5 @@ def search_in_session(sectioned: DataFrame, query: str) -> DataFrame:
     q = query.strip()
     if not q:
         return sectioned.select("S", "section_no", F.lit(0).alias("hits"), F.lit(0).alias("occurrences")).limit(0)
-    found = sectioned.where(_at(F.col("text"), q) > 0)
+    found = sectioned.where(F.col("text").rlike(literal(q)))
     return found.groupBy("S", "section_no").agg(F.count("*").alias("hits"), F.sum(occurrences(F.col("text"), q)).alias("occurrences"))

@@ -98,16 +98,34 @@ def file_order(refs: DataFrame) -> DataFrame:
     return refs.withColumn("place", F.row_number().over(Window.partitionBy("S").orderBy(F.desc("exists"), priority, "first_ord", "path")))
 
 
-def config_file_candidates(cwds: DataFrame, inventory: DataFrame, names: tuple[str, ...], top_only: tuple[str, ...] = (), levels: int = 10, home: str = "/root") -> DataFrame:
-    """(path, level) of existing configuration files in a directory and its ancestors; ``top_only`` names only count at level 0."""
+def config_file_candidates(
+    cwds: DataFrame, inventory: DataFrame, names: tuple[str, ...], top_only: tuple[str, ...] = (), levels: int = 10, home: str = "/root",
+    project: str | None = None, project_names: tuple[str, ...] = (), root_only: tuple[str, ...] = (),
+) -> DataFrame:
+    """(path, level) of existing configuration files in a directory and its ancestors; ``top_only`` names only count at level 0.
+
+    The walk up ends at / and at ``home``, whose own files and those above it don't count. Files of the folder ``project`` (``project_names``)
+    have level -2, those of the project's root, which the folder's name spells with dashes, level -1 (``names``, ``top_only`` and ``root_only``), unless that is
+    / or home. Each path comes once, with its lowest level: ordered by it, the project's files come first.
+    """
     parts = F.filter(F.split("cwd", "/"), lambda p: p != "")
     ups = F.sequence(F.lit(0), F.least(F.size(parts) - 1, F.lit(levels - 1)))
-    dirs = cwds.where("cwd like '/_%'").select(parts.alias("p"), F.explode(ups).alias("level")).select(
-        "level", F.concat(F.lit("/"), F.array_join(F.slice("p", F.lit(1), F.size("p") - F.col("level")), "/")).alias("dir")
-    ).where(F.col("dir") != home)
-    named = dirs.select("level", "dir", F.explode(F.array(*map(F.lit, names + top_only))).alias("name")).where(~F.col("name").isin(*top_only) | (F.col("level") == 0))
-    found = named.select(F.concat("dir", F.lit("/"), "name").alias("path"), "level").groupBy("path").agg(F.min("level").alias("level"))
-    return found.join(inventory.select("path").distinct(), "path", "left_semi")
+    dirs = cwds.where("cwd like '/_%'").select("cwd", parts.alias("p"), F.explode(ups).alias("level")).select(
+        "cwd", "level", F.concat(F.lit("/"), F.array_join(F.slice("p", F.lit(1), F.size("p") - F.col("level")), "/")).alias("dir")
+    )
+    inside = (F.col("cwd") == home) | F.col("cwd").startswith(home.rstrip("/") + "/")
+    over = (F.col("dir") == home) | F.lit(home).startswith(F.concat("dir", F.lit("/")))
+    named = dirs.where(~(inside & over)).select("level", "dir", F.explode(F.array(*map(F.lit, names + top_only))).alias("name")).where(~F.col("name").isin(*top_only) | (F.col("level") == 0))
+    found = named.select(F.concat("dir", F.lit("/"), "name").alias("path"), "level")
+    if project:
+        own = [(f"{project}/{n}", -2) for n in project_names]
+        folder = project.rstrip("/").rsplit("/", 1)[-1]
+        root = (("/" + folder[1:]) if folder.startswith("-") else folder).replace("-", "/")
+        if root not in ("", "/", home):
+            own += [(f"{root}/{n}", -1) for n in (*names, *top_only, *root_only)]
+        if own:
+            found = found.unionByName(cwds.sparkSession.createDataFrame(own, "path string, level int"))
+    return found.groupBy("path").agg(F.min("level").alias("level")).join(inventory.select("path").distinct(), "path", "left_semi")
 
 
 def file_tree(refs: DataFrame) -> DataFrame:

@@ -344,9 +344,12 @@ def _hits(spark, sf_dir):
     return search.search(P.messages(spark, sf_dir).where("type in ('user', 'assistant')"), "EN ", "text")
 
 
-@query("""SELECT "S", ord, CASE WHEN p > 61 THEN '...' ELSE '' END || substring(text, greatest(p - 60, 1), p + 63 - greatest(p - 60, 1)) || CASE WHEN p + 63 <= length(text) THEN '...' ELSE '' END AS snippet FROM hits""", _HITS)
+@query("""SELECT "S", ord, CASE WHEN p > 61 THEN '...' ELSE '' END || substring(text, greatest(p - 60, 1), p + 63 - greatest(p - 60, 1)) || CASE WHEN p + 63 <= length(text) THEN '...' ELSE '' END AS snippet
+ FROM (SELECT "S", ord, text, length(regexp_extract(text, '(?is)^(.*?)en ', 1)) + 1 AS p FROM (SELECT * REPLACE (CASE WHEN ord % 2 = 1 THEN repeat(chr(304), 70) || text ELSE text END AS text) FROM hits))""", _HITS)
 def k2_search(spark, sf_dir):
-    return _hits(spark, sf_dir).select("S", "ord", "snippet")
+    """Every second text begins with characters that are longer in lower case."""
+    m = P.messages(spark, sf_dir).where("type in ('user', 'assistant')").withColumn("text", F.expr("if(ord % 2 = 1, concat(repeat('\u0130', 70), text), text)"))
+    return search.search(m, "EN ", "text").select("S", "ord", "snippet")
 
 
 @query('SELECT "S", count(*) AS n_hits, arg_min(ts, ord) AS first_ts FROM (SELECT *, row_number() OVER (PARTITION BY "S" ORDER BY ord) AS nth FROM hits) WHERE nth <= 3 GROUP BY 1', _HITS)
@@ -354,6 +357,11 @@ def k3_search_ranked(spark, sf_dir):
     return search.result_order(search.search_ranked(_hits(spark, sf_dir), "S", 3)[1], "S")
 
 
+@query('SELECT count(DISTINCT "S") AS files, count(*) AS hits FROM (SELECT *, row_number() OVER (PARTITION BY "S" ORDER BY ord) AS nth FROM hits) WHERE nth <= 3', _HITS)
+def e10_search_totals(spark, sf_dir):
+    return search.search_totals(search.search_ranked(_hits(spark, sf_dir), "S", 3)[0], "S")
+
+
 @query("""SELECT 'f' || "S" AS file, "S", left(coalesce(arg_min(text, ord) FILTER (type = 'user'), ''), 200) AS first_user_message FROM msg GROUP BY "S" """, P.MESSAGES)
 def k4_search_header(spark, sf_dir):
     return search.search_header(P.messages(spark, sf_dir).withColumn("file", F.concat(F.lit("f"), "S")))
@@ -429,13 +437,17 @@ def m1_folder_closure(spark, sf_dir):
     return annotate.folder_closure(P.deep_folders(spark, sf_dir)[0])
 
 
-@query("SELECT id, CASE WHEN k >= 20 AND k % 7 = 3 OR k = 9 THEN 'c2' WHEN k = 12 THEN NULL ELSE parent_id END AS parent_id FROM deep", P.DEEP, True)
+@query("SELECT id, CASE WHEN k >= 20 AND k % 7 = 3 OR k = 9 THEN 'c2' WHEN k = 12 THEN NULL WHEN k = 6 THEN 'c7' WHEN k = 13 THEN 'c10' WHEN k = 10 THEN 'c1' ELSE parent_id END AS parent_id FROM deep", P.DEEP, True)
 def m2_apply_folder_moves(spark, sf_dir):
-    """Many folders move under c2 and one to the top; under an own descendant, itself and nowhere known are refused."""
+    """Many folders move under c2 and some elsewhere; under an own descendant, itself and nowhere known are refused, in the order of the moves:
+
+    c6 goes under c7, so c7 can't go under c6 any more; c10 goes away and comes back under c1 after c13 went under it.
+    """
     f = P.deep_folders(spark, sf_dir)[0]
     to = F.expr("case when k >= 20 and k % 7 = 3 or k = 9 then 'c2' when k = 1 then 'c30' when k = 4 then 'c4' when k = 5 then 'gone' end")
-    moves = f.where("k >= 20 and k % 7 = 3 or k in (1, 4, 5, 9, 12)").select("id", to.alias("parent_id"))
-    return annotate.apply_folder_moves(f, moves).select("id", "parent_id")
+    many = f.where("k >= 20 and k % 7 = 3 or k in (1, 4, 5, 9, 12)").select("id", to.alias("parent_id"), F.lit(1).alias("seq"))
+    more = [("c6", "c7", 2), ("c7", "c6", 3), ("c10", "c8", 4), ("c13", "c10", 5), ("c10", "c13", 6), ("c10", "c1", 7), ("nobody", "c1", 8)]
+    return annotate.apply_folder_moves(f, many.unionByName(spark.createDataFrame(more, "id string, parent_id string, seq int"))).select("id", "parent_id")
 
 
 @query("SELECT 'c' || o_custkey AS folder_id, 'o' || o_orderkey AS member_id FROM orders WHERE 'c' || o_custkey NOT IN (SELECT descendant FROM closure WHERE ancestor IN ('c3', 'c8'))", P.DEEP, True)
@@ -469,6 +481,16 @@ def m9_unique_names(spark, sf_dir):
     return annotate.unique_names(d).select("id", "safe_name")
 
 
+@query("""SELECT id, given[len(given)] AS safe_name FROM walk WHERE n > 0""", """named AS (SELECT doc_id AS id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n, CASE doc_id % 5 WHEN 0 THEN 'a (2)' WHEN 1 THEN 'b' WHEN 2 THEN 'a (3) (2)' WHEN 3 THEN 'a (3)' ELSE 'a' END AS base FROM documents),
+ walk AS (SELECT source, 0::bigint AS n, NULL::bigint AS id, []::varchar[] AS given FROM named GROUP BY 1 UNION ALL
+ SELECT w.source, m.n, m.id, list_append(w.given, CASE WHEN NOT list_contains(w.given, m.base) THEN m.base ELSE m.base || ' (' || list_filter(range(2, m.n + 2), lambda k: NOT list_contains(w.given, m.base || ' (' || k || ')'))[1] || ')' END) FROM walk w JOIN named m ON m.source = w.source AND m.n = w.n + 1)""", True)
+def m9_names_with_numbers(spark, sf_dir):
+    """Names that bring numbers in brackets of their own."""
+    base = F.expr("case doc_id % 5 when 0 then 'a (2)' when 1 then 'b' when 2 then 'a (3) (2)' when 3 then 'a (3)' else 'a' end")
+    d = P.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("parent"), base.alias("name"))
+    return annotate.unique_names(d).select("id", "safe_name")
+
+
 _PLACED = P.DEEP + """, base AS (SELECT *, row_number() OVER (PARTITION BY parent_id ORDER BY k % 4 <> 1, CASE WHEN k % 4 = 1 THEN -k END, name, id) AS spot FROM deep)"""
 
 
@@ -687,15 +709,18 @@ def g6_detected_branch_rows(spark, sf_dir):
     return rows.select("id", "created_at", "updated_at", "message_count", "turn_count", "first_user_message", "point", "leaf", "parent_id", F.array_join("child_ids", ",").alias("children"))
 
 
-_CONFIG = """inv AS (SELECT DISTINCT CASE page_id % 5 WHEN 0 THEN '/w/conf.md' WHEN 1 THEN '/w/own.md' ELSE '/w/' || (page_id % 3) || CASE WHEN page_id % 2 = 0 THEN '/conf.md' ELSE '/own.md' END END AS path FROM pages),
- cand AS (SELECT cwd || '/conf.md' AS path, 0 AS level FROM msg UNION SELECT cwd || '/own.md', 0 FROM msg UNION SELECT '/w/conf.md', 1 FROM msg)"""
+_CONFIG = """inv AS (SELECT DISTINCT CASE page_id % 5 WHEN 0 THEN '/a/conf.md' WHEN 1 THEN '/a/w/own.md' WHEN 2 THEN '/b/conf.md' ELSE CASE WHEN page_id % 4 = 1 THEN '/b/w/' ELSE '/a/w/' END || (page_id % 3) || CASE WHEN page_id % 2 = 0 THEN '/conf.md' ELSE '/own.md' END END AS path FROM pages),
+ dirs AS (SELECT DISTINCT CASE WHEN "S" % 2 = 0 THEN '/a' ELSE '/b' END || cwd AS cwd FROM msg),
+ cand AS (SELECT cwd || '/conf.md' AS path, 0 AS level FROM dirs UNION SELECT cwd || '/own.md', 0 FROM dirs UNION SELECT '/b/w/conf.md', 1 UNION SELECT '/b/conf.md', 2 UNION SELECT '/a/w/2/conf.md', -1 UNION SELECT '/a/w/2/own.md', -1)"""
 
 
 @query("SELECT path, min(level) AS level FROM cand WHERE path IN (SELECT path FROM inv) GROUP BY 1", f"{P.MESSAGES}, {_CONFIG}")
 def d10_config_file_candidates(spark, sf_dir):
-    path = "case page_id % 5 when 0 then '/w/conf.md' when 1 then '/w/own.md' else concat('/w/', page_id % 3, if(page_id % 2 = 0, '/conf.md', '/own.md')) end"
+    """Half of the directories lie under home (/a/w), where the walk ends, half elsewhere; one is a project's root."""
+    path = "case page_id % 5 when 0 then '/a/conf.md' when 1 then '/a/w/own.md' when 2 then '/b/conf.md' else concat(if(page_id % 4 = 1, '/b/w/', '/a/w/'), page_id % 3, if(page_id % 2 = 0, '/conf.md', '/own.md')) end"
     inventory = P.read(spark, sf_dir, "pages").select(F.expr(path).alias("path"))
-    return summary.config_file_candidates(P.messages(spark, sf_dir).select("cwd").distinct(), inventory, ("conf.md",), ("own.md",))
+    cwds = P.messages(spark, sf_dir).select(F.expr("concat(if(S % 2 = 0, '/a', '/b'), cwd)").alias("cwd")).distinct()
+    return summary.config_file_candidates(cwds, inventory, ("conf.md",), ("own.md",), home="/a/w", project="/logs/-a-w-2", project_names=("notes.md",))
 
 
 @query("""SELECT session_id, id, length(text) AS n_chars FROM (SELECT 's' || doc_id AS session_id, 'h' || doc_id AS id, 'kept' AS text FROM labels WHERE doc_id % 2 = 0 AND doc_id % 3 <> 0
