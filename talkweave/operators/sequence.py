@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkweave.functions import text as T
+from talkweave.operators.durable import stored
+from talkweave.operators.scan import BLOCK, blocked, by_length, scan
 
 
 def mark_pre_compact(m: DataFrame) -> DataFrame:
@@ -14,17 +16,37 @@ def mark_pre_compact(m: DataFrame) -> DataFrame:
     return m.join(last, "S", "left").withColumn("is_pre_compact", F.coalesce(F.col("ord") < F.col("_last"), F.lit(False))).drop("_last")
 
 
-def sections(m: DataFrame) -> DataFrame:
+def sections(m: DataFrame, block: int = BLOCK) -> DataFrame:
     """user and assistant rows that the system didn't inject, with section_no from 0 within the rows kept.
 
     Needs is_boundary, system_generated and, where there is shared context, is_shared.
-    Shared rows are a section of their own before the others; sections without rows vanish.
+    Shared rows are a section of their own before the others; sections without rows vanish. Sessions of more than ``block`` rows
+    are scanned in blocks (``scan``; ord is a whole number there), so that none of them is a single task.
     """
+    return by_length(m, ("S",), block, _sections, lambda x: _long_sections(x, block))
+
+
+def _part(m: DataFrame, boundaries: Column) -> Column:
     shared = F.coalesce("is_shared", F.lit(False)) if "is_shared" in m.columns else F.lit(False)
+    return F.when(shared, F.lit(-1)).otherwise(boundaries).cast("long")
+
+
+def _kept(at: DataFrame) -> DataFrame:
+    return at.where(F.col("type").isin("user", "assistant") & ~F.col("system_generated") & ~F.col("is_boundary"))
+
+
+def _sections(m: DataFrame) -> DataFrame:
     w = Window.partitionBy("S").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    at = m.withColumn("_part", F.when(shared, -1).otherwise(F.sum(F.col("is_boundary").cast("int")).over(w)))
-    kept = at.where(F.col("type").isin("user", "assistant") & ~F.col("system_generated") & ~F.col("is_boundary"))
-    return kept.withColumn("section_no", F.dense_rank().over(Window.partitionBy("S").orderBy("_part")) - 1)
+    at = m.withColumn("_part", _part(m, F.sum(F.col("is_boundary").cast("int")).over(w)))
+    return _kept(at).withColumn("section_no", F.dense_rank().over(Window.partitionBy("S").orderBy("_part")) - 1)
+
+
+def _long_sections(m: DataFrame, block: int) -> DataFrame:
+    at = scan(blocked(m, size=block), ("S",), ("ord",), sums={"_n": F.col("is_boundary").cast("int")})
+    kept = stored(_kept(at.withColumn("_part", _part(m, F.col("_n")))).select(*m.columns, "_part"), "sections")
+    parts = kept.select("S", "_part").distinct()  # a row for each section
+    number = parts.select("S", "_part", (F.row_number().over(Window.partitionBy("S").orderBy("_part")) - 1).alias("section_no"))
+    return kept.join(number, ["S", "_part"]).select(*m.columns, "_part", "section_no")
 
 
 def section_labels(sectioned: DataFrame, m: DataFrame) -> DataFrame:
@@ -38,19 +60,23 @@ def section_labels(sectioned: DataFrame, m: DataFrame) -> DataFrame:
     return got.select("S", "section_no", kind.alias("kind"), "n_users")
 
 
-def turns(sectioned: DataFrame) -> DataFrame:
+def turns(sectioned: DataFrame, block: int = BLOCK) -> DataFrame:
     """rows with turn_no (0: assistants before any user row), starts_turn and turn_text, within (S, section_no).
 
     A kept user row starts a turn unless it is a command output and the user row that
     owns the turn so far is one too, or it holds only image paths after an earlier user row:
     these are merged, and turn_text of the row that starts the turn is the texts of all of its user rows.
-    Assistants need a text or tools (n_tools).
+    Assistants need a text or tools (n_tools). Sections of more than ``block`` rows are scanned in blocks.
     """
-    text = F.col("text")
-    user, assistant = F.col("type") == "user", F.col("type") == "assistant"
+    user, assistant, text = F.col("type") == "user", F.col("type") == "assistant", F.col("text")
     skipped = F.coalesce(F.col("subtype").isin("task-notification", "skill-output", "system-reminder"), F.lit(False))
     tools = F.col("n_tools") if "n_tools" in sectioned.columns else F.lit(0)
     kept = sectioned.where(~skipped & ((user & (T.strip(text) != "")) | (assistant & ((T.strip(text) != "") | (tools > 0)))))
+    return by_length(kept, ("S", "section_no"), block, _turns, lambda x: _long_turns(x, block))
+
+
+def _turns(kept: DataFrame) -> DataFrame:
+    user, text = F.col("type") == "user", F.col("text")
     before = Window.partitionBy("S", "section_no").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("S", "section_no").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     had_user = F.coalesce(F.max(user.cast("int")).over(before), F.lit(0)) == 1
@@ -64,15 +90,42 @@ def turns(sectioned: DataFrame) -> DataFrame:
     return step.withColumn("turn_text", F.when(F.col("starts_turn"), said))
 
 
-def segments(items: DataFrame) -> DataFrame:
+def _long_turns(kept: DataFrame, block: int) -> DataFrame:
+    user, text, columns = F.col("type") == "user", F.col("text"), kept.columns
+    by = ("S", "section_no")
+    kept = scan(stored(blocked(kept, size=block), "turns"), by, ("ord",), lasts={"_had": F.when(user, F.lit(1))})
+    command = F.coalesce(F.col("subtype"), F.lit("")) == "command-output"
+    step = kept.withColumn("_image", user & T.strip(text).rlike(T.ONLY_IMAGE_PATHS) & F.col("_had").isNotNull()).drop("_had")
+    step = scan(stored(step, "turns"), by, ("ord",), lasts={"_owner": F.when(user & ~F.col("_image"), command.cast("int"))})
+    step = step.withColumn("starts_turn", user & ~F.col("_image") & ~(command & (F.coalesce("_owner", F.lit(0)) == 1))).drop("_owner")
+    step = stored(scan(stored(step, "turns"), by, ("ord",), sums={"turn_no": F.col("starts_turn").cast("int")}).drop("_image", "_block"), "turns")
+    # a turn's user rows, its first one starting it
+    said = step.where(user & (F.col("turn_no") > 0)).groupBy("S", "section_no", "turn_no").agg(F.min("ord").alias("ord"), F.sort_array(F.collect_list(F.struct("ord", "text"))).alias("_said"))
+    said = said.select("S", "section_no", "ord", F.array_join(F.transform("_said", lambda x: x["text"]), "\n").alias("turn_text"))
+    return step.join(said, ["S", "section_no", "ord"], "left").select(*columns, "starts_turn", "turn_no", "turn_text")
+
+
+def segments(items: DataFrame, block: int = BLOCK) -> DataFrame:
     """(S, section_no, turn_no, segment_no, kind, first_ord, n_items); items: kind ``text`` or ``tool`` in order (ord, pos).
 
-    A text is a segment of its own; tools that follow each other are one.
+    A text is a segment of its own; tools that follow each other are one. Turns of more than ``block`` items are scanned in blocks.
     """
+    step = by_length(items, ("S", "section_no", "turn_no"), block, _numbered_items, lambda x: _long_items(x, block))
+    return step.groupBy("S", "section_no", "turn_no", "segment_no").agg(F.min("kind").alias("kind"), F.min("ord").alias("first_ord"), F.count("*").alias("n_items"))
+
+
+def _numbered_items(items: DataFrame) -> DataFrame:
     w = Window.partitionBy("S", "section_no", "turn_no").orderBy("ord", "pos")
     new = (F.col("kind") == "text") | F.coalesce(F.lag("kind").over(w) == "text", F.lit(True))
     step = items.withColumn("_new", new.cast("int")).withColumn("segment_no", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return step.groupBy("S", "section_no", "turn_no", "segment_no").agg(F.first("kind").alias("kind"), F.min("ord").alias("first_ord"), F.count("*").alias("n_items"))
+    return step.drop("_new")
+
+
+def _long_items(items: DataFrame, block: int) -> DataFrame:
+    by, order = ("S", "section_no", "turn_no"), ("ord", "pos")
+    step = scan(stored(blocked(items, size=block), "items"), by, order, lasts={"_before": F.col("kind")})
+    step = stored(step.withColumn("_new", (F.col("kind") == "text") | F.coalesce(F.col("_before") == "text", F.lit(True))), "items")
+    return scan(step, by, order, sums={"segment_no": F.col("_new").cast("int")}).select(*items.columns, "segment_no")
 
 
 def segment_tool_counts(items: DataFrame) -> DataFrame:
