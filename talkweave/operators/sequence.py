@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from talkweave.functions import text as T
 from talkweave.operators.durable import stored
-from talkweave.operators.scan import BLOCK, blocked, by_length, scan
+from talkweave.operators.scan import BLOCK, blocked, by_length, ranged, scan
 
 
 def mark_pre_compact(m: DataFrame) -> DataFrame:
@@ -140,17 +140,76 @@ def transitions(rows: DataFrame, by: str = "branch") -> DataFrame:
     return moved.groupBy(by).agg(F.count_if(F.col("_was") != F.col("side")).alias("n"))
 
 
-def continuation_clusters(ranges: DataFrame, tolerance_s: float = 1.0) -> DataFrame:
+def continuation_clusters(ranges: DataFrame, tolerance_s: float = 1.0, most: int = BLOCK) -> DataFrame:
     """(S, file, start, end, cluster): files by start, each to the first cluster that ended before it, but for a tolerance.
 
     A fold over a session's sorted files, which stream through Python in Arrow batches; it holds the clusters' ends only,
-    in a tree of minima that finds the first fitting one. Without times, a file is its own cluster.
+    in a tree of minima that finds the first fitting one. Without times, a file is its own cluster. Sessions of more than ``most`` files
+    are cut where all earlier files have ended, and their pieces are folded apart.
     """
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    files = ranges.select("S", "file", "start", "end", micros("start").alias("_start"), micros("end").alias("_end"))
-    files = files.repartition("S").sortWithinPartitions("S", F.col("start").isNull(), "start", "end", "file")
-    types = ", ".join(f"`{c}` {t}" for c, t in files.dtypes[:4])
-    return files.mapInArrow(_cluster_files(round(tolerance_s * 1e6)), f"{types}, cluster int")
+    files = ranges.select("S", "file", "start", "end", micros("start").alias("_start"), micros("end").alias("_end"), F.col("start").isNull().alias("_none"))
+    tolerance = round(tolerance_s * 1e6)
+    return by_length(files, ("S",), most, lambda x: _folded(x, tolerance), lambda x: _folded_in_pieces(x, tolerance))
+
+
+_FILE_ORDER = ("_none", "start", "end", "file")
+
+
+def _folded(files: DataFrame, tolerance: int) -> DataFrame:
+    rows = files.repartition("S").sortWithinPartitions("S", *_FILE_ORDER).drop("_none")
+    types = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:4])
+    return rows.mapInArrow(_cluster_files(tolerance), f"{types}, cluster int")
+
+
+def _folded_in_pieces(files: DataFrame, tolerance: int) -> DataFrame:
+    """At a file that begins after all earlier ones have ended, every cluster is free, as if there were none yet: pieces between such files are folded
+    apart, with as many free clusters as they like. Afterwards these are numbered as the whole fold would: a cluster exists from its first file on. A file without
+    an end takes a free cluster that exists, and else one of its own that nobody joins; such ones, and files without a start, shift the numbers after them."""
+    by = ("S",)
+    rows = ranged(files, by, _FILE_ORDER)
+    ends = stored(scan(rows, by, _FILE_ORDER, maxes={"_before": F.when(~F.col("_none"), F.col("_end"))}), "ends")
+    cut = F.coalesce(F.col("_start") + tolerance >= F.col("_before"), F.col("_before").isNull()).cast("int")
+    pieces = scan(ends, by, _FILE_ORDER, sums={"piece": cut}).drop("_before")
+    types = ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes)
+    place = ["S", "piece", *_FILE_ORDER]
+    folded = pieces.repartition("S", "piece").sortWithinPartitions(*place).mapInArrow(_piece_places(tolerance, pieces.columns), f"{types}, at int")
+    folded = stored(folded, "folded")
+    fills = ~F.col("_none") & F.col("_end").isNotNull()
+    known = stored(scan(folded, by, _FILE_ORDER, maxes={"_high": F.when(fills, F.col("at"))}), "known")
+    exist = F.coalesce(F.col("_high") + 1, F.lit(0))
+    alone = F.col("_none") | (F.col("_end").isNull() & (F.col("at") >= exist))
+    counted = stored(scan(known.withColumn("_alone", alone.cast("int")), by, _FILE_ORDER, sums={"_shift": F.col("_alone")}).withColumn("_shift", F.col("_shift") - F.col("_alone")), "counted")
+    first = counted.where(fills).groupBy("S", "at").agg(F.min_by("_shift", F.struct(*_FILE_ORDER)).alias("_by"))
+    out = counted.join(first, ["S", "at"], "left")
+    number = F.when(F.col("_alone") == 1, exist + F.col("_shift")).otherwise(F.col("at") + F.col("_by"))
+    return out.select("S", "file", "start", "end", number.cast("int").alias("cluster"))
+
+
+def _piece_places(tolerance: int, columns: list[str]):
+    """Adds the first free place of each file, within its piece; files without an end don't hold theirs."""
+    at = [columns.index(c) for c in ("S", "piece", "_start", "_end")]
+
+    def run(batches):
+        import pyarrow as pa
+
+        piece, ends = None, _Ends()
+        for b in batches:
+            which = []
+            for s, p, start, end in zip(*(b.column(i).to_pylist() for i in at)):
+                if (s, p) != piece:
+                    piece, ends = (s, p), _Ends()
+                k = None if start is None else ends.first(start + tolerance)
+                if k is None:
+                    k = ends.n
+                    if start is not None and end is not None:
+                        ends.add(end)
+                elif end is not None:
+                    ends.put(k, max(end, ends.low[ends.room + k]))
+                which.append(k)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(which, pa.int32())], names=[*columns, "at"])
+
+    return run
 
 
 class _Ends:
