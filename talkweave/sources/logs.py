@@ -9,14 +9,14 @@ from pyspark.sql.utils import AnalysisException
 from talkweave.functions.text import present
 
 
-def scan_logs(spark: SparkSession, root: str) -> DataFrame:
-    """A1: (file, ord, v) of one JSON object a line, in files one folder below ``root``.
+def scan_logs(spark: SparkSession, root: str, paths: list[str] | None = None) -> DataFrame:
+    """A1: (file, ord, v) of one JSON object a line, in files one folder below ``root``, or in those of ``paths`` only.
 
     Blank and malformed lines and lines that aren't objects are left out. ord is dense in
     file order: blocks of a file in order, and lines of a block by their running id.
     """
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")  # the last of equal keys wins
-    raw = spark.read.text(f"{root}/*/*.jsonl").select(
+    raw = spark.read.text(f"{root}/*/*.jsonl" if paths is None else paths).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value"
     )
     order = F.row_number().over(Window.partitionBy("file").orderBy("block", "line"))
