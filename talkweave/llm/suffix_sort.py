@@ -6,7 +6,8 @@ suffix one place to its left, goes to the end of its own character's queue, whic
 every queue sorted. What doesn't fit the memory allowed is on disk: queues lie in a file for
 each range of characters, which is read back in parts; sorted tuples follow each other
 in a log; arrays over the text are mapped files that are passed in blocks. Names of
-substrings are sorted in the same way, however many they are, once they don't fit.
+substrings are sorted in the same way, however many they are, once they don't fit. A shard of the
+query holds many times the tuples that are allowed in memory, so its queues and logs are files.
 """
 
 from __future__ import annotations
@@ -17,6 +18,9 @@ import tempfile
 
 import numpy as np
 
+#: Tuples in memory for each set of queues, log or block of an array, and names that are sorted in memory.
+MOST, NAMES = 1 << 17, 1 << 22
+
 _TUPLE = np.dtype([("at", "<i8"), ("lcp", "<i4")])
 _KEYED = np.dtype([("c", "<i8"), ("at", "<i8"), ("lcp", "<i4")])
 
@@ -365,13 +369,13 @@ def _leftmost(t, is_s, folder: str, most: int):
     return lms, Seeds(by_char, None, starts), sizes
 
 
-def suffix_order(t: np.ndarray, cap: int, folder: str, most: int = 1 << 22):
+def suffix_order(t: np.ndarray, cap: int, folder: str, most: int = MOST, names_at_once: int = NAMES):
     """Yields (suffixes, common prefixes with the one before) of ``t`` in order of their first ``cap`` characters.
 
     The last item of ``t`` must be 0 and no other. Left-most S substrings are sorted by
     inducing from unsorted ones, and named. If names repeat, the string of names is sorted
-    the same way, or, where it has at most ``most`` items, by doubling in memory. ``most`` is
-    the number of tuples or items in memory for each set of queues, log or block of an array.
+    the same way, or, where it has at most ``names_at_once`` items, by doubling in memory. ``most`` is
+    the number of tuples or items in memory for each set of queues, log or block of an array; the rest is on disk.
     """
     os.makedirs(folder, exist_ok=True)
     is_s, run = _types(t, folder, most)
@@ -400,10 +404,10 @@ def suffix_order(t: np.ndarray, cap: int, folder: str, most: int = 1 << 22):
         name, before = int(names[q[-1]]), (at[-1], length[-1])
         order[k : k + len(at)] = at
         k += len(at)
-    if name + 1 < m and m <= most:
-        order = lms[_double(names, cap)]
+    if name + 1 < m and m <= names_at_once:
+        order = lms[_double(np.asarray(names), cap)]
     elif name + 1 < m:
-        inner = suffix_order(np.asarray(names, "u4") if m <= most else names, cap, os.path.join(folder, "inner"), most)
+        inner = suffix_order(np.asarray(names, "u4") if m <= most else names, cap, os.path.join(folder, "inner"), most, names_at_once)
         k = 0
         for x, _ in inner:
             order[k : k + len(x)] = lms[x]
@@ -415,7 +419,7 @@ def suffix_order(t: np.ndarray, cap: int, folder: str, most: int = 1 << 22):
     yield from induce(t, is_s, run, Seeds(order, lcp, unsorted.starts), sizes, cap, os.path.join(folder, "all"), most)
 
 
-def repeated(parts: list[bytes], starts: list[int], length: int, most: int = 1 << 22) -> list[np.ndarray]:
+def repeated(parts: list[bytes], starts: list[int], length: int, most: int = MOST, names_at_once: int = NAMES) -> list[np.ndarray]:
     """For each part, which of its first ``starts`` places begin a string of ``length`` bytes that begins elsewhere among those of all parts."""
     sizes = np.array([len(p) for p in parts])
     raw = np.frombuffer(b"\x00".join([*parts, b""]), "u1")
@@ -434,7 +438,7 @@ def repeated(parts: list[bytes], starts: list[int], length: int, most: int = 1 <
     folder = tempfile.mkdtemp(prefix="induced-")
     try:
         before, low = -1, 0
-        for at, lcp in suffix_order(t, length, folder, most):
+        for at, lcp in suffix_order(t, length, folder, most, names_at_once):
             k = np.flatnonzero(own[at])
             if not len(k):
                 low = min(low, int(lcp.min()))

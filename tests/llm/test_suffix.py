@@ -1,5 +1,6 @@
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,7 @@ def test_order_and_prefixes_equal_brute_force(tmp_path, most):
         t = np.array([*(t * r.choice([1, 1, 3])), 0], "u1")
         folder = tmp_path / str(k)
         folder.mkdir()
-        out = list(suffix_sort.suffix_order(t, cap, str(folder), most))
+        out = list(suffix_sort.suffix_order(t, cap, str(folder), most, most))
         order, lcp = brute_order(t.tolist(), cap)
         assert np.concatenate([x for _, x in out]).tolist() == lcp
         assert [tuple(t[i : i + cap]) for i in np.concatenate([x for x, _ in out])] == [tuple(t[i : i + cap]) for i in order]
@@ -127,3 +128,20 @@ def test_crowded_anchors_are_divided(spark, monkeypatch):
 
 def test_no_rows(no_docs):
     assert suffix_dedup.remove_repeats(no_docs).collect() == []
+
+
+def test_queues_and_logs_of_a_production_shard_are_on_disk(monkeypatch):
+    """A shard of the size that the query deals, sorted with its parameters, goes through files, and gives what memory alone gives."""
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefgh ") for _ in range(r.randrange(2, 9))) for _ in range(400)]
+    parts = [" ".join(r.choice(words) for _ in range(3000)).encode() for _ in range(70)]
+    parts += [p[500:9000] for p in parts[:9]]
+    starts = [len(p) - 399 for p in parts]
+    assert sum(map(len, parts)) > 1 << 20
+    seen, remove = {}, suffix_sort.shutil.rmtree
+    monkeypatch.setattr(suffix_sort.shutil, "rmtree", lambda folder, **k: (seen.update({f.name: f.stat().st_size for f in Path(folder).rglob("*") if f.is_file()}), remove(folder, **k)))
+    got = suffix_sort.repeated(parts, starts, 400)
+    queues = {n: size for n, size in seen.items() if n.rsplit("-", 1)[0] in ("l", "s") and n.rsplit("-", 1)[1].isdigit()}
+    assert len(queues) >= 4 and sum(queues.values()) > 1 << 22 and seen["l-done"] > 1 << 20
+    want = suffix_sort.repeated(parts, starts, 400, 1 << 23)
+    assert all((a == b).all() for a, b in zip(got, want)) and any(a.any() for a in got)
