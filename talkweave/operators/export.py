@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkweave.functions import text as T
+from talkweave.operators.lineage import document_messages
 from talkweave.operators.messages import field
 from talkweave.operators.summary import top_tools
 
@@ -117,6 +118,13 @@ def export_filename(created: Column, first_message: Column, id: Column) -> Colum
     return F.concat(F.lit("transcript-"), F.date_format(F.to_timestamp(created), "yyyy-MM-dd"), F.lit("-"), safe)
 
 
+def branch_transcripts(m: DataFrame, branches: DataFrame, rows: DataFrame) -> DataFrame:
+    """A4: (id, markdown) of each session and each of its branches (N1); rows: those of ``branch_rows``, which give titles, times and turns."""
+    head = rows.select(F.col("id").alias("S"), F.left("first_user_message", F.lit(60)).alias("title"), "created_at", "turn_count", F.lit(None).cast("string").alias("tools"))
+    documents = document_messages(m, branches).withColumn("S", F.col("id")).drop("id")
+    return transcript_compact(documents, head).withColumnRenamed("S", "id")
+
+
 def write_transcripts(documents: DataFrame, path: str) -> None:
     """A4: one row (id, markdown) for each session or branch."""
     documents.select("id", "markdown").write.mode("overwrite").parquet(path)

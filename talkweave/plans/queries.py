@@ -700,13 +700,29 @@ _FACTS = _BRANCHES + """, found AS (SELECT l."S", row_number() OVER (PARTITION B
 @query("""SELECT b."S" || ':intra-' || b.no AS id, created_at, updated_at, message_count, turn_count, first_user_message, point, leaf, b."S" || coalesce(':intra-' || up, '') AS parent_id, coalesce(children, '') AS children FROM branch b LEFT JOIN kids k ON k."S" = b."S" AND k.no = b.no
  UNION ALL SELECT CAST(s."S" AS VARCHAR), created_at, updated_at, message_count, turn_count, first_user_message, NULL, NULL, NULL, coalesce(children, '') FROM session s LEFT JOIN kids k ON k."S" = s."S" AND k.no = -1""", _FACTS, True)
 def g6_detected_branch_rows(spark, sf_dir):
-    m = P.tree(spark, sf_dir)
+    _, rows = _branch_rows(P.tree(spark, sf_dir))
+    return rows.select("id", "created_at", "updated_at", "message_count", "turn_count", "first_user_message", "point", "leaf", "parent_id", F.array_join("child_ids", ",").alias("children"))
+
+
+def _branch_rows(m):
+    """Detected branches of ``m``, and the rows of its sessions and branches."""
     kept = {"is_sidechain": F.lit(False), **{c: F.lit(None).cast("string") for c in ("cwd", "version", "slug", "permission_mode")}}
     whole = summary.session_summary(m.withColumns({c: v for c, v in kept.items() if c not in m.columns}))
     forest = lineage.plant(m, forks_only=True)
-    rows = lineage.branch_rows(lineage.branch_facts(lineage.detect_branches(m, forest=forest), forest), whole)
+    found = lineage.detect_branches(m, forest=forest)
+    rows = lineage.branch_rows(lineage.branch_facts(found, forest), whole)
     forest.drop()
-    return rows.select("id", "created_at", "updated_at", "message_count", "turn_count", "first_user_message", "point", "leaf", "parent_id", F.array_join("child_ids", ",").alias("children"))
+    return found, rows
+
+
+@query("""SELECT d.id, md5('# ' || left(first_user_message, 60) || chr(10) || chr(10) || '> ' || strftime(CAST(created_at AS TIMESTAMP), '%-m/%-d %H:%M') || ' | ' || turn_count || ' turns' || chr(10) || chr(10) || body) AS digest
+ FROM (SELECT "S" || ':intra-' || no AS id, created_at, turn_count, first_user_message FROM branch UNION ALL SELECT CAST("S" AS VARCHAR), created_at, turn_count, first_user_message FROM session) h JOIN
+ (SELECT id, string_agg(CASE WHEN by_user THEN '**User** [' ELSE '**Assistant** [' END || strftime(ts, '%-m/%-d %H:%M') || ']' || chr(10) || text || chr(10), chr(10) ORDER BY rn) AS body
+  FROM (SELECT CAST("S" AS VARCHAR) AS id, rn, ts, by_user, text FROM facts UNION ALL SELECT n."S" || ':intra-' || n.no, f.rn, f.ts, f.by_user, f.text FROM nodes n JOIN facts f ON f."S" = n."S" AND f.rn = n.node) GROUP BY 1) d ON d.id = h.id""", _FACTS, True)
+def a4_branch_transcripts(spark, sf_dir):
+    m = P.tree(spark, sf_dir)
+    found, rows = _branch_rows(m)
+    return export.branch_transcripts(m, found, rows).select("id", F.md5("markdown").alias("digest"))
 
 
 _CONFIG = """inv AS (SELECT DISTINCT CASE page_id % 5 WHEN 0 THEN '/a/conf.md' WHEN 1 THEN '/a/w/own.md' WHEN 2 THEN '/b/conf.md' ELSE CASE WHEN page_id % 4 = 1 THEN '/b/w/' ELSE '/a/w/' END || (page_id % 3) || CASE WHEN page_id % 2 = 0 THEN '/conf.md' ELSE '/own.md' END END AS path FROM pages),
