@@ -68,7 +68,8 @@ def pieces(docs: DataFrame, pattern: str, chunk: int, overlap: int) -> DataFrame
     looking back, so once a boundary of a chunk is also one of the next chunk, the two
     agree from there on: that is the cut. Where no boundary is shared within the
     overlap, the two chunks stay together, are read again as one text from the last
-    cut, and the next seam is tried with the boundaries of that reading. A text is put
+    cut, and the next seam is tried with the boundaries of that reading; what is held is read again
+    each time it has grown by half, so a long stretch without boundaries takes time in proportion. A text is put
     in order in one task as a stream of its chunks; the pieces then spread again.
     """
     def ends(batches):
@@ -82,27 +83,30 @@ def pieces(docs: DataFrame, pattern: str, chunk: int, overlap: int) -> DataFrame
             yield b.assign(head=heads, tail=tails)
 
     def stitch(batches):
-        rows, held, tail, piece = [], None, None, 0
+        rows, parts, piece = [], None, 0
         for first, (d, k, _, last, text, head, chunk_tail) in _by_doc(batches):
             if first:
-                held, piece = None, 0
-            if held is None:
-                held, tail = text, chunk_tail
+                parts, piece = None, 0
+            if parts is None:
+                parts, n, tail, read = [text], len(text), chunk_tail, len(text)
             else:
-                # held ends with the overlap that text begins with
+                # what is held ends with the overlap that text begins with
                 seam = np.intersect1d(tail, head)
                 if len(seam):
-                    cut = int(seam[0])
-                    at = len(held) - min(overlap, len(text)) + cut
-                    rows.append((d, k, piece, held[:at]))
+                    cut, held = int(seam[0]), "".join(parts)
+                    rows.append((d, k, piece, held[: len(held) - min(overlap, len(text)) + cut]))
                     piece += 1
-                    held, tail = text[cut:], chunk_tail
+                    parts, tail = [text[cut:]], chunk_tail
+                    n = read = len(parts[0])
                 else:
-                    held += text[overlap:]
-                    seam_at = len(held) - (len(text) - chunk)
-                    tail = np.array([] if last else [x - seam_at for x in token_ends(held, pattern)[:-1] if x >= seam_at], "int32")
+                    parts.append(text[overlap:])
+                    n, tail = n + len(parts[-1]), np.array([], "int32")
+                    if not last and 2 * n >= 3 * read:
+                        held, read = "".join(parts), n
+                        parts, seam_at = [held], n - (len(text) - chunk)
+                        tail = np.array([x - seam_at for x in token_ends(held, pattern)[:-1] if x >= seam_at], "int32")
             if last:
-                rows.append((d, k, piece, held))
+                rows.append((d, k, piece, "".join(parts)))
             if len(rows) >= 64:
                 yield pd.DataFrame(rows, columns=["d", "k", "piece", "t"])
                 rows = []

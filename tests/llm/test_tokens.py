@@ -124,3 +124,23 @@ def test_bpe_decodes_pieces(spark, docs, texts):
         for r in bpe.decode(f).orderBy("doc_id", "piece").collect():
             got[r.doc_id] = got.get(r.doc_id, b"") + bytes(r.bytes)
     assert all(got[i] == (t or "").encode() for i, t in enumerate(texts))
+
+
+def test_a_long_text_without_boundaries_is_read_in_proportion(spark):
+    """Pieces join to the text, end at true boundaries, and a stretch of one letter is read about as often as it grows by half."""
+    import time
+
+    import public_tokenizers
+
+    letters = "x" * 2_000_000
+    text = "some words, then " + letters + " and others. " * 150_000
+    df = spark.createDataFrame([(0, "0", text)], "n int, k string, t string")
+    began = time.time()
+    got = [r.t for r in bpe.pieces(df.select("k", "t"), public_tokenizers.PATTERN, 32_768, 1_024).orderBy("piece").collect()]
+    assert "".join(got) == text and time.time() - began < 40
+    ends = set(bpe.token_ends(text, public_tokenizers.PATTERN))
+    at = 0
+    for piece in got:
+        at += len(piece)
+        assert at in ends
+    assert len(got) > 10 and max(map(len, got)) < 2 * len(letters)
