@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from talkweave.functions import text as T
-from talkweave.operators import annotate, export, lineage, messages, search, sequence, summary
+from talkweave.operators import annotate, export, lineage, messages, search, search_index, sequence, summary
+from talkweave.operators.durable import shared_folder
 from talkweave.plans import tables as P
 from talkweave.sources import logs
 from talkweave.streaming import live
@@ -344,14 +347,26 @@ def _hits(spark, sf_dir):
     return search.search(P.messages(spark, sf_dir).where("type in ('user', 'assistant')"), "EN ", "text")
 
 
-@query("""SELECT "S", ord, CASE WHEN p > 61 THEN '...' ELSE '' END || substring(text, greatest(p - 60, 1), p + 63 - greatest(p - 60, 1)) || CASE WHEN p + 63 <= length(text) THEN '...' ELSE '' END AS snippet
- FROM (SELECT "S", ord, text, length(regexp_extract(text, '(?is)^(.*?)en ', 1)) + 1 AS p FROM (SELECT * REPLACE (CASE WHEN ord % 2 = 1 THEN repeat(chr(304), 70) || text ELSE text END AS text) FROM hits))""", _HITS)
+_SNIPPETS = """SELECT "S", ord, CASE WHEN p > 61 THEN '...' ELSE '' END || substring(text, greatest(p - 60, 1), p + 63 - greatest(p - 60, 1)) || CASE WHEN p + 63 <= length(text) THEN '...' ELSE '' END AS snippet
+ FROM (SELECT "S", ord, text, length(regexp_extract(text, '(?is)^(.*?)en ', 1)) + 1 AS p FROM (SELECT * REPLACE (CASE WHEN ord % 2 = 1 THEN repeat(chr(304), 70) || text ELSE text END AS text) FROM hits))"""
+
+
+@query(_SNIPPETS, _HITS)
 def k2_search(spark, sf_dir):
     """Every second text begins with characters that are longer in lower case."""
     m = P.messages(spark, sf_dir).where("type in ('user', 'assistant')").withColumn("text", F.expr("if(ord % 2 = 1, concat(repeat('\u0130', 70), text), text)"))
     return search.search(m, "EN ", "text").select("S", "ord", "snippet")
 
 
+@query(_SNIPPETS, _HITS)
+def k2_indexed_search(spark, sf_dir):
+    """The same rows by way of an index, which is built first."""
+    m = P.messages(spark, sf_dir).where("type in ('user', 'assistant')").withColumn("text", F.expr("if(ord % 2 = 1, concat(repeat('\u0130', 70), text), text)"))
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    search_index.build_index(m, path, ("S", "ord"), "text")
+    return search_index.search_indexed(spark, path, "EN ", "text").select("S", "ord", "snippet")
+
+
 @query('SELECT "S", count(*) AS n_hits, arg_min(ts, ord) AS first_ts FROM (SELECT *, row_number() OVER (PARTITION BY "S" ORDER BY ord) AS nth FROM hits) WHERE nth <= 3 GROUP BY 1', _HITS)
 def k3_search_ranked(spark, sf_dir):
     return search.result_order(search.search_ranked(_hits(spark, sf_dir), "S", 3)[1], "S")
