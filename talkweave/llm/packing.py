@@ -8,6 +8,7 @@ import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
+from struct import pack
 
 import numpy as np
 import pandas as pd
@@ -30,6 +31,11 @@ def _byte_chars() -> dict[int, int]:
 _BYTE_CHARS = _byte_chars()
 
 
+def _ids_bytes(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    return pack(f"<{len(ids)}I", *ids)
+
+
 def _normal(word: str) -> str:
     word = unicodedata.normalize("NFC", word)
     # a capital sigma's lower case depends on its place in the word, but not here
@@ -50,7 +56,7 @@ class WordEncoder:
     becomes its id), and all texts of another kind of tokenizer, are encoded as a whole.
     """
 
-    def __init__(self, path: str, most_words: int = 600_000):
+    def __init__(self, path: str, most_words: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         from tokenizers import Tokenizer
 
@@ -78,7 +84,7 @@ class WordEncoder:
         for some, ids, k in ((letters, self._letters, 1), (rest, self._whole, 0)):
             for a in range(0, len(some), at_once):
                 part = some[a : a + at_once]
-                self.words.update((w[0], np.array(x, "<u4").tobytes()) for w, x in zip(part, ids([w[k] for w in part])))
+                self.words.update((w[0], _ids_bytes(x)) for w, x in zip(part, ids([w[k] for w in part])))
 
     def _as_they_are(self, texts: list[str]) -> list[bytes]:
         self.tokenizer.encode_special_tokens = False
