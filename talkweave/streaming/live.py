@@ -18,7 +18,6 @@ from talkweave.streaming.activity import IDLE, live_events
 from talkweave.streaming.store import Store
 
 
-
 def stream_logs(spark: SparkSession, root: str, files_per_batch: int = 1000) -> DataFrame:
     """L1: the columns of ``normalize_messages`` (ord is null), with block, the raw line and time, of lines in files that land under ``root``/<folder>/.
 
@@ -97,8 +96,7 @@ def live_summary(
             return
         log, table = _stores(spark, root, fanout)
         log.append(numbered(rows, number).drop("block", "time"), number)
-        touched = log.read().where(F.col("written") == number).select("S").distinct() if log.snapshot().batch > number else rows.select("S").distinct()
-        touched = stored(touched, "touched")
+        touched = stored(rows.select("S").distinct(), "touched")
         seen = enrich(log.read(touched).drop("slot", "written"))
         table.append(library_rows(seen), number)
         if after:

@@ -3,7 +3,6 @@
 import json
 
 import pytest
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from talkweave.operators import export, lineage, messages, search, sequence, summary
