@@ -299,9 +299,8 @@ def g2_ancestors(spark, sf_dir):
 
 @query("""SELECT CAST(p."S" AS VARCHAR) AS "S", CAST(start AS VARCHAR) AS start, count(*) AS message_count, least(count(*) FILTER (event_type IN ('click', 'view')), count(*) FILTER (event_type NOT IN ('click', 'view'))) AS turn_count FROM path p JOIN tree t ON p."S" = t."S" AND p.node = t.rn GROUP BY 1, 2""", P.TREE, True)
 def e12_path_turn_counts(spark, sf_dir):
-    m = P.tree(spark, sf_dir)
-    ends = lineage.leaves(lineage.edges(m)).select("S", F.col("node").alias("start"))
-    return lineage.path_turn_counts(lineage.plant(m), ends)
+    forest = lineage.plant(P.tree(spark, sf_dir))
+    return lineage.path_turn_counts(forest, forest.nodes.where("is_leaf"))
 
 
 _BRANCHES = P.TREE + """, facts AS (SELECT user_id AS "S", row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn, ts, event_type IN ('click', 'view') AS by_user, trim(event_type || props) AS text FROM events),
