@@ -50,8 +50,9 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     words = total(np.concatenate([~space[:1], ~space[1:] & space[:-1]]))
     letters = np.maximum(total(kind <= OTHER_LETTER), 1)
     marks = (kind == PUNCTUATION) | (kind == SYMBOL)
-    same = np.concatenate([[False], (codes[1:] == codes[:-1])])
-    changed = np.concatenate([[False], (kind[1:] != kind[:-1])])
+    # before every text stands a line feed, before the first one too: a text's features don't depend on those beside it
+    same = np.concatenate([codes[:1] == 10, codes[1:] == codes[:-1]])
+    changed = np.concatenate([kind[:1] != SPACE, kind[1:] != kind[:-1]])
     stop = (codes == 46) | (codes == 44)
     again = []
     for per in lines:
@@ -152,20 +153,24 @@ def _logit(p):
     return np.log(p / (1 - p))
 
 
-def fit(texts: list[str], labels: np.ndarray, bins: int = 12, steps: int = 150, rounds: int = 2, l2: float = 2.0, rate: float = 0.1) -> LineCRF:
-    """A CRF for documents labelled 1 (good) or 0.
+def fit(texts: list[str], labels: np.ndarray, **settings) -> LineCRF:
+    """A CRF for texts labelled 1 (good) or 0."""
+    return fit_lines(*line_features(texts), labels, **settings)
+
+
+def fit_lines(x: np.ndarray, counts: np.ndarray, size: np.ndarray, labels: np.ndarray, bins: int = 12, steps: int = 150, rounds: int = 2, l2: float = 2.0, rate: float = 0.1) -> LineCRF:
+    """A CRF for documents labelled 1 (good) or 0, given as ``line_features`` gives them.
 
     Lines start with their document's label. After a round of training, lines of bad
     documents which the field takes for good become good, except the least likely ones
     that make up half of the text. Likelihood gradients are forward-backward expectations,
     followed by Adam. Last, the documents' log-odds are calibrated on their labels.
     """
-    x, counts, size = line_features(texts)
     qs = np.linspace(0, 1, bins + 1)[1:-1]
     edges = [np.unique(np.quantile(x[:, k], qs)) for k in range(x.shape[1])]
     shape = (x.shape[1], bins + 1)
     m = LineCRF(edges, np.zeros(shape), np.zeros(shape), np.zeros(shape), np.zeros(2), np.zeros((2, 2)))
-    b, doc = m.bins(x), np.repeat(np.arange(len(texts)), counts)
+    b, doc = m.bins(x), np.repeat(np.arange(len(counts)), counts)
     has_before, has_after = _neighbours(counts)
     share = np.array([1 / max(1, (labels == k).sum()) for k in (0, 1)])[labels.astype(int)] * len(labels) / 2
     y = labels[doc].astype("f8")
@@ -222,6 +227,18 @@ def score_all(m: LineCRF, texts: list[str]) -> np.ndarray:
     return np.concatenate([np.zeros(0), *(score_texts(m, part) for part in text_batches(texts))])
 
 
+def _sample_lines(batches):
+    """(k, y, x, size): features and characters of the lines of each text, so that the driver gets no texts and makes no features."""
+    for b in batches:
+        at = 0
+        for part in text_batches(b["t"].tolist(), 64, 1 << 18):
+            x, counts, size = line_features(part)
+            ends = np.cumsum(counts)[:-1]
+            made = {"x": [v.tobytes() for v in np.split(x, ends)], "size": [v.astype("i8").tobytes() for v in np.split(size, ends)]}
+            yield pd.DataFrame({"k": b["k"].iloc[at : at + len(part)].array, "y": b["y"].iloc[at : at + len(part)].array, **made})
+            at += len(part)
+
+
 def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_per_class: int = 1500, longest: int = 1 << 17
 ) -> LineCRF:
@@ -237,10 +254,13 @@ def train(
     taught = [known.where(F.col("y") == y).orderBy(F.xxhash64(id_col), id_col).limit(most_per_class).select(id_col, "y") for y in (0, 1)]
     ids = taught[0].unionByName(taught[1])
     texts = docs.where(F.col(text_col).isNotNull() & (F.length(text_col) <= longest)).select(id_col, F.col(text_col).alias("t")).join(F.broadcast(ids), id_col)
-    rows = texts.groupBy(id_col, "y").agg(F.min("t").alias("t")).orderBy(id_col).select("t", "y").toPandas()
+    kind = docs.schema[id_col].dataType.simpleString()
+    lines = texts.groupBy(id_col, "y").agg(F.min("t").alias("t")).select(F.col(id_col).alias("k"), F.col("y").cast("int").alias("y"), "t").mapInPandas(_sample_lines, f"k {kind}, y int, x binary, size binary")
+    rows = lines.orderBy("k").select("y", "x", "size").toPandas()
     if rows["y"].nunique() < 2:
         return fit(["a", "a"], np.array([0, 1]))
-    m = fit(rows["t"].tolist(), rows["y"].to_numpy())
+    x, size = np.frombuffer(b"".join(rows.pop("x")), "f4").reshape(-1, len(FEATURES)), rows.pop("size")
+    m = fit_lines(x, size.str.len().to_numpy() // 8, np.frombuffer(b"".join(size), "i8"), rows["y"].to_numpy())
     n = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     m.offset += math.log(n[1] / n[0]) - math.log((rows["y"] == 1).sum() / (rows["y"] == 0).sum())
     return m
