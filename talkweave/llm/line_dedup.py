@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import random
 
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,8 @@ _DOC = ["id", "r1", "r2"]
 _LINE = ["k1", "k2"]
 #: 64-bit words of the bitmap of a line's shingles.
 _WORDS = 16
+#: A line's set and its bitmap.
+_SET = ["s", *(f"w{w}" for w in range(_WORDS))]
 
 
 def normalized(line: Column) -> Column:
@@ -114,34 +117,91 @@ def bitmaps(sets: DataFrame) -> DataFrame:
 
 
 def apart_lines(rest: DataFrame, sets: DataFrame) -> DataFrame:
-    """(k, s, bands, w0, ...), saved: the lines of ``rest`` with their sets, all their buckets there and their bitmaps."""
+    """(k, s, bands, items, w0, ...), saved: the lines of ``rest`` with their sets, all their buckets there, their sets' sizes and bitmaps."""
     every = rest.groupBy("k").agg(F.collect_set("band").alias("bands"))
-    own = saved(sets.join(every, "k"), "own")
+    own = saved(sets.join(every, "k").withColumn("items", F.size("s")), "own")
     mine = saved(own.join(bitmaps(own), "k"), "mine")
     discard(own)
     return mine
 
 
+def may_hold(similarity: float) -> Column:
+    """Whether the bitmaps of two sets leave it open that these are similar: a set has at least as many items that the other one lacks as bits."""
+    lacks = lambda a, b: sum((F.bit_count(F.col(f"w{w}{a}").bitwiseAND(F.bitwise_not(F.col(f"w{w}{b}")))) for w in range(_WORDS)), F.lit(0))
+    need = F.ceil((F.size("s") + F.size("s_2")) * (similarity / (1 + similarity)) - 1e-9)
+    return (F.size("s") - lacks("", "_2") >= need) & (F.size("s_2") - lacks("_2", "") >= need)
+
+
+def still_apart(apart: DataFrame) -> DataFrame:
+    """The rows of the buckets that hold several components; two members, of which one is the center, were compared before."""
+    mixed = apart.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("z"), F.count("*").alias("n")).where("a <> z and n > 2").select("band")
+    return apart.join(mixed, "band")
+
+
+def drawn_links(rest: DataFrame, mine: DataFrame, similarity: float, turn: int, least: int = 128, block_lines: int = 1024) -> DataFrame:
+    """(src, dst, pairs), saved: components that lines drawn from each bucket of more than ``least`` lines join; turn: which draw.
+
+    Two lines of a bucket are drawn and all others compared with them. ``pairs`` adds up to
+    the number of similar pairs of different components that such buckets are to be expected to hold.
+    """
+    n = F.count("*")
+    draw = lambda i: F.min(F.struct(F.xxhash64("band", "k", F.lit(2 * turn + i)).alias("h"), "k", "component"))
+    sizes = rest.groupBy("band").agg(n.alias("n"), F.ceil(n / block_lines).cast("int").alias("blocks"), draw(0).alias("p"), draw(1).alias("q"))
+    sizes = saved(sizes.where(F.col("n") > least), "drawn")
+    both = F.array_distinct(F.array(*(F.struct(F.col(f"{c}.k").alias("k"), F.col(f"{c}.component").alias("component")) for c in "pq")))
+    drawn = sizes.select("band", "blocks", F.explode(both).alias("d"))
+    drawn = drawn.select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"), "d.k", "d.component").join(mine, "k")
+    dealt = rest.join(sizes.select("band", "n", "blocks"), "band").withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")).join(mine, "k")
+    right = drawn.select("band", "own", *(F.col(c).alias(f"{c}_2") for c in ("component", *_SET)))
+    met = dealt.join(right, ["band", "own"]).where((F.col("component") != F.col("component_2")) & may_hold(similarity) & jaccard_holds(F.col("s"), F.col("s_2"), similarity))
+    met = met.select(F.greatest("component", "component_2").alias("src"), F.least("component", "component_2").alias("dst"), (F.col("n") / 4).alias("pairs"))
+    links = saved(met.groupBy("src", "dst").agg(F.sum("pairs").alias("pairs")), "links")
+    discard(sizes)
+    return links
+
+
+def draw_together(rest: DataFrame, mine: DataFrame, similarity: float, **how) -> tuple[DataFrame, list[DataFrame]]:
+    """``rest``, saved, with fewer components, and the links that joined them; deletes ``rest``.
+
+    Draws go on while more similar pairs across components are to be expected than there are
+    rows, so that what is left to compare all pairs for gives rows in proportion to the input.
+    Every such draw joins some components.
+    """
+    links = []
+    while True:
+        found = drawn_links(rest, mine, similarity, len(links), **how)
+        if (found.agg(F.sum("pairs")).first()[0] or 0) <= rest.count():
+            discard(found)
+            return rest, links
+        links.append(found)
+        joined = connected_components(found)
+        top = joined.select(F.col("id").alias("component"), F.col("component").alias("top"))
+        now = rest.join(top, "component", "left").select("band", "k", F.coalesce("top", "component").alias("component"))
+        now = saved(still_apart(now), "mixed")
+        for t in (rest, joined):
+            discard(t)
+        rest = now
+
+
 def links_across(rest: DataFrame, mine: DataFrame, similarity: float, block_lines: int = 1024, block_items: int = 1 << 19) -> DataFrame:
     """(src, dst), saved: components that similar lines of a bucket join; rest: (band, k, component), mine: ``apart_lines``.
 
     A bucket's lines are dealt into blocks of about ``block_lines`` lines or ``block_items``
     shingles. Blocks meet in pairs, each pair under a key of its own, and of the lines of
-    different components in them the similar ones are joined. Before whole sets are compared, their
-    bitmaps are: a set has at least as many items that the other one lacks as bits. Two lines that share
+    different components in them the similar ones are joined. Lines of a bucket's largest component
+    needn't meet each other, so only the others are sought for. Two lines that share
     several buckets are compared in the one of the smallest number.
     """
-    size = F.greatest(F.count("*") / block_lines, F.sum(F.size("s") + 1) / block_items)
-    blocks = saved(rest.join(mine.select("k", "s"), "k").groupBy("band").agg(F.ceil(size).cast("int").alias("blocks")), "blocks")
-    dealt = rest.join(blocks, "band").join(mine, "k").withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
-    held = ["component", "bands", "s", *(f"w{w}" for w in range(_WORDS))]
-    left = dealt.select("band", F.col("own").alias("lo"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("hi"), *held)
-    right = dealt.select("band", F.explode(F.sequence(F.lit(0), "own")).alias("lo"), F.col("own").alias("hi"), *(F.col(c).alias(f"{c}_2") for c in held))
-    lacks = lambda a, b: sum((F.bit_count(F.col(f"w{w}{a}").bitwiseAND(F.bitwise_not(F.col(f"w{w}{b}")))) for w in range(_WORDS)), F.lit(0))
-    need = F.ceil((F.size("s") + F.size("s_2")) * (similarity / (1 + similarity)) - 1e-9)
+    size = F.greatest(F.sum("n") / block_lines, F.sum("items") / block_items)
+    parts = rest.join(mine.select("k", "items"), "k").groupBy("band", "component").agg(F.count("*").alias("n"), F.sum(F.col("items") + 1).alias("items"))
+    blocks = saved(parts.groupBy("band").agg(F.ceil(size).cast("int").alias("blocks"), F.max(F.struct("n", "component")).alias("most")), "blocks")
+    dealt = rest.join(blocks, "band").withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")).withColumn("other", F.col("component") != F.col("most.component"))
+    every, held = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), ["component", "bands", *_SET]
+    left = dealt.where("other").join(mine, "k").select("band", F.col("own").alias("lo"), every.alias("hi"), *held)
+    right = dealt.join(mine, "k").select("band", every.alias("lo"), F.col("own").alias("hi"), "other", *(F.col(c).alias(f"{c}_2") for c in held))
     near = (
-        F.when(F.col("lo") == F.col("hi"), F.col("component") < F.col("component_2")).otherwise(F.col("component") != F.col("component_2"))
-        & (F.size("s") - lacks("", "_2") >= need) & (F.size("s_2") - lacks("_2", "") >= need)
+        (~F.col("other") | (F.col("component") < F.col("component_2")))
+        & may_hold(similarity)
         & (F.array_min(F.array_intersect("bands", "bands_2")) == F.col("band"))
         & jaccard_holds(F.col("s"), F.col("s_2"), similarity)
     )
@@ -165,7 +225,8 @@ def similar_lines(members: DataFrame, sets: DataFrame, similarity: float) -> Dat
 
     Lines in a common bucket are candidates. A bucket's members are first compared with
     its smallest one. Components of the pairs that hold leave few buckets in which
-    members are still apart; there all members of different components are compared, in
+    members are still apart. Large ones of these are compared with lines drawn from them,
+    until few similar pairs are apart; then all members of different components are compared, in
     pairs of blocks. No bucket is capped, and no pair of a bucket is left out.
     """
     centers = members.groupBy("band").agg(F.min("k").alias("center"))
@@ -173,18 +234,17 @@ def similar_lines(members: DataFrame, sets: DataFrame, similarity: float) -> Dat
     first = saved(similar_pairs(stars, sets, similarity), "links")
     found = connected_components(first)
     apart = members.join(found.withColumnRenamed("id", "k"), "k", "left").select("band", "k", F.coalesce("component", "k").alias("component"))
-    # two members of which one is the center were compared before
-    mixed = apart.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("z"), F.count("*").alias("n")).where("a <> z and n > 2").select("band")
-    rest = saved(apart.join(mixed, "band"), "mixed")
+    rest = saved(still_apart(apart), "mixed")
     mine = apart_lines(rest, sets)
     discard(sets)
+    rest, drawn = draw_together(rest, mine, similarity)
     across = links_across(rest, mine, similarity)
     discard(mine)
-    joined = connected_components(across)
+    joined = connected_components(functools.reduce(DataFrame.unionByName, [t.select("src", "dst") for t in drawn], across))
     alone = joined.join(found, "id", "left_anti").select("id", F.col("id").alias("component"))
     top = joined.select(F.col("id").alias("component"), F.col("component").alias("top"))
     out = saved(found.unionByName(alone).join(top, "component", "left").select("id", F.coalesce("top", "component").alias("component")), "components")
-    for t in (first, found, rest, across, joined):
+    for t in (first, found, rest, *drawn, across, joined):
         discard(t)
     return out
 

@@ -120,3 +120,30 @@ def test_blocks_of_a_bucket_meet(spark):
     got = {(x.src.k1, x.dst.k1) for x in line_dedup.links_across(df, line_dedup.apart_lines(df, own), 0.8, block_lines=7).collect()}
     sets = [grams(t) for t in texts]
     assert got == {(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+
+
+def test_a_group_of_near_copies_leaves_few_pairs_apart(spark):
+    """Many near copies in a bucket, most pairs of them similar: draws leave no more pairs to join than rows, and lose no link."""
+    r = random.Random(6)
+    base = [r.choice("abcdefghijkl") for _ in range(400)]
+    texts = []
+    for i in range(160):
+        x = list(base)
+        for _ in range(r.randrange(1, 9)):
+            x[r.randrange(400)] = "Z"
+        texts.append("".join(x))
+    texts += ["".join(r.choice("mnop") for _ in range(80)) for _ in range(20)]
+    lines = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "k1 long, k2 long, line string")
+    own = line_dedup.shingle_sets(lines, 10)
+    df = own.select(F.explode(F.array(F.lit(1), F.lit(2))).alias("band"), "k", F.col("k").alias("component"))
+    rest = line_dedup.saved(df, "mixed")
+    mine = line_dedup.apart_lines(rest, own)
+    rest, drawn = line_dedup.draw_together(rest, mine, 0.8, least=20, block_lines=50)
+    sets = [grams(t) for t in texts]
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(pairs) > 2 * len(texts) * 2
+    label = {x.k.k1: x.component.k1 for x in rest.collect()}
+    assert len(label) == len(texts)
+    assert sum(label[a] != label[b] for a, b in pairs) <= rest.count()
+    found = [(x.src.k1, x.dst.k1) for t in [*drawn, line_dedup.links_across(rest, mine, 0.8, block_lines=50)] for x in t.collect()]
+    assert closure(range(len(texts)), found) == closure(range(len(texts)), pairs)
