@@ -49,16 +49,16 @@ def band_bins(bins: int, bands: int, seed: int = 17) -> list[tuple[int, ...]]:
     return out
 
 
-def hashed_chunks(rows: DataFrame, width: int) -> DataFrame:
-    """(k1, k2, c, h0, ..., h7): the hashes of eight shingles a row; rows: (k1, k2, line).
+def hashed_chunks(rows: DataFrame, width: int, chunk: int = _CHUNK) -> DataFrame:
+    """(k1, k2, c, h0, h1, ...): the hashes of ``chunk`` shingles a row; rows: (k1, k2, line).
 
     A shingle is ``width`` UTF-16 units from any place, or the whole of a shorter line. Past the last one, the hash is the largest.
     """
     u = rows.select(*_LINE, F.encode("line", "UTF-16BE").alias("u"))
     u = u.withColumn("n", F.expr(f"greatest(1, octet_length(u) div 2 - {width - 1})"))
-    c = u.withColumn("c", F.explode(F.expr(f"sequence(0, (n - 1) div {_CHUNK})")))
-    c = c.select(*_LINE, "c", F.expr(f"substring(u, {2 * _CHUNK} * c + 1, {2 * (_CHUNK + width - 1)})").alias("s"), F.expr(f"n - {_CHUNK} * c").alias("left"))
-    h = [F.expr(f"if({q} < left, xxhash64(substring(s, {2 * q + 1}, {2 * width})), {_NONE}L)").alias(f"h{q}") for q in range(_CHUNK)]
+    c = u.withColumn("c", F.explode(F.expr(f"sequence(0, (n - 1) div {chunk})")))
+    c = c.select(*_LINE, "c", F.expr(f"substring(u, {2 * chunk} * c + 1, {2 * (chunk + width - 1)})").alias("s"), F.expr(f"n - {chunk} * c").alias("left"))
+    h = [F.expr(f"if({q} < left, xxhash64(substring(s, {2 * q + 1}, {2 * width})), {_NONE}L)").alias(f"h{q}") for q in range(chunk)]
     return c.select(*_LINE, "c", *h)
 
 
@@ -86,13 +86,13 @@ def signatures(rows: DataFrame, width: int, bins: int, bands: int, seed: int = 1
     return found.select(*_LINE, "n", *(F.xxhash64(F.lit(i), *(f"m{j}" for j in b)).alias(f"b{i}") for i, b in enumerate(band_bins(bins, bands, seed))))
 
 
-def shingle_sets(rows: DataFrame, width: int) -> DataFrame:
+def shingle_sets(rows: DataFrame, width: int, chunk: int = 2 * _CHUNK) -> DataFrame:
     """(k, s): the set of a line's shingles, as 32-bit hashes, of different lines (k1, k2, line)."""
     none = _NONE >> 32
-    part = F.filter(F.array(*(F.expr(f"cast(shiftright(h{q}, 32) as int)") for q in range(_CHUNK))), lambda h: h != none)
-    every = F.array(*(F.expr(f"cast(shiftright(h{q}, 32) as int)") for q in range(_CHUNK)))
-    part = F.when(F.col(f"h{_CHUNK - 1}") == _NONE, part).otherwise(every)
-    return hashed_chunks(rows, width).groupBy(*_LINE).agg(F.array_distinct(F.flatten(F.collect_list(part))).alias("s")).select(F.struct(*_LINE).alias("k"), "s")
+    part = F.filter(F.array(*(F.expr(f"cast(shiftright(h{q}, 32) as int)") for q in range(chunk))), lambda h: h != none)
+    every = F.array(*(F.expr(f"cast(shiftright(h{q}, 32) as int)") for q in range(chunk)))
+    part = F.when(F.col(f"h{chunk - 1}") == _NONE, part).otherwise(every)
+    return hashed_chunks(rows, width, chunk).groupBy(*_LINE).agg(F.array_distinct(F.flatten(F.collect_list(part))).alias("s")).select(F.struct(*_LINE).alias("k"), "s")
 
 
 def jaccard_holds(a: Column, b: Column, similarity: float) -> Column:
@@ -129,7 +129,8 @@ def may_hold(similarity: float) -> Column:
     """Whether the bitmaps of two sets leave it open that these are similar: a set has at least as many items that the other one lacks as bits."""
     lacks = lambda a, b: sum((F.bit_count(F.col(f"w{w}{a}").bitwiseAND(F.bitwise_not(F.col(f"w{w}{b}")))) for w in range(_WORDS)), F.lit(0))
     need = F.ceil((F.size("s") + F.size("s_2")) * (similarity / (1 + similarity)) - 1e-9)
-    return (F.size("s") - lacks("", "_2") >= need) & (F.size("s_2") - lacks("_2", "") >= need)
+    # of sets of unlike sizes no bits are counted
+    return (F.least(F.size("s"), F.size("s_2")) >= need) & (F.size("s") - lacks("", "_2") >= need) & (F.size("s_2") - lacks("_2", "") >= need)
 
 
 def still_apart(apart: DataFrame) -> DataFrame:
@@ -138,49 +139,68 @@ def still_apart(apart: DataFrame) -> DataFrame:
     return apart.join(mixed, "band")
 
 
-def drawn_links(rest: DataFrame, mine: DataFrame, similarity: float, turn: int, least: int = 128, block_lines: int = 1024) -> DataFrame:
-    """(src, dst, pairs), saved: components that lines drawn from each bucket of more than ``least`` lines join; turn: which draw.
+def large_buckets(rest: DataFrame, least: int) -> DataFrame:
+    """(band, k, component, n), saved: the rows of the buckets of more than ``least`` lines, with how many."""
+    sizes = rest.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > least)
+    return saved(rest.join(sizes, "band").select("band", "k", "component", "n"), "large")
+
+
+def drawn_links(large: DataFrame, label: DataFrame, mine: DataFrame, similarity: float, turn: int, block_lines: int = 1024) -> DataFrame:
+    """(src, dst, pairs), saved: components that lines drawn from each bucket join; large: (band, k, n), label: (k, component), turn: which draw.
 
     Two lines of a bucket are drawn and all others compared with them. ``pairs`` adds up to
-    the number of similar pairs of different components that such buckets are to be expected to hold.
+    the number of similar pairs of different components that the buckets are to be expected to hold.
     """
-    n = F.count("*")
-    draw = lambda i: F.min(F.struct(F.xxhash64("band", "k", F.lit(2 * turn + i)).alias("h"), "k", "component"))
-    sizes = rest.groupBy("band").agg(n.alias("n"), F.ceil(n / block_lines).cast("int").alias("blocks"), draw(0).alias("p"), draw(1).alias("q"))
-    sizes = saved(sizes.where(F.col("n") > least), "drawn")
-    both = F.array_distinct(F.array(*(F.struct(F.col(f"{c}.k").alias("k"), F.col(f"{c}.component").alias("component")) for c in "pq")))
-    drawn = sizes.select("band", "blocks", F.explode(both).alias("d"))
-    drawn = drawn.select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"), "d.k", "d.component").join(mine, "k")
-    dealt = rest.join(sizes.select("band", "n", "blocks"), "band").withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")).join(mine, "k")
+    blocks = F.ceil(F.col("n") / block_lines).cast("int")
+    draw = lambda i: F.min(F.struct(F.xxhash64("band", "k", F.lit(2 * turn + i)).alias("h"), "k"))
+    both = large.groupBy("band", blocks.alias("blocks")).agg(draw(0).alias("p"), draw(1).alias("q"))
+    drawn = both.select("band", "blocks", F.explode(F.array_distinct(F.array("p.k", "q.k"))).alias("k"))
+    drawn = drawn.select("band", "k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own")).join(label, "k").join(mine, "k")
+    dealt = large.select("band", "n", "k", F.pmod(F.xxhash64("k"), blocks).cast("int").alias("own")).join(label, "k").join(mine, "k")
     right = drawn.select("band", "own", *(F.col(c).alias(f"{c}_2") for c in ("component", *_SET)))
     met = dealt.join(right, ["band", "own"]).where((F.col("component") != F.col("component_2")) & may_hold(similarity) & jaccard_holds(F.col("s"), F.col("s_2"), similarity))
     met = met.select(F.greatest("component", "component_2").alias("src"), F.least("component", "component_2").alias("dst"), (F.col("n") / 4).alias("pairs"))
-    links = saved(met.groupBy("src", "dst").agg(F.sum("pairs").alias("pairs")), "links")
-    discard(sizes)
-    return links
+    return saved(met.groupBy("src", "dst").agg(F.sum("pairs").alias("pairs")), "links")
+
+
+def relabelled(rows: DataFrame, joined: DataFrame, name: str) -> DataFrame:
+    """``rows``, saved, with the component that theirs is in now; joined: ``connected_components`` of components."""
+    top = joined.select(F.col("id").alias("component"), F.col("component").alias("top"))
+    now = F.coalesce("top", "component").alias("component")
+    return saved(rows.join(top, "component", "left").select(*(now if c == "component" else c for c in rows.columns)), name)
 
 
-def draw_together(rest: DataFrame, mine: DataFrame, similarity: float, **how) -> tuple[DataFrame, list[DataFrame]]:
+def draw_together(rest: DataFrame, mine: DataFrame, similarity: float, least: int = 128, block_lines: int = 1024) -> tuple[DataFrame, list[DataFrame]]:
     """``rest``, saved, with fewer components, and the links that joined them; deletes ``rest``.
 
     Draws go on while more similar pairs across components are to be expected than there are
     rows, so that what is left to compare all pairs for gives rows in proportion to the input.
-    Every such draw joins some components.
+    Every such draw joins some components. A draw relabels the lines of large buckets, one row
+    each; the rows of all buckets are relabelled once, at the end.
     """
-    links = []
-    while True:
-        found = drawn_links(rest, mine, similarity, len(links), **how)
-        if (found.agg(F.sum("pairs")).first()[0] or 0) <= rest.count():
+    large = large_buckets(rest, least)
+    first = saved(large.select("k", "component").distinct(), "labels")
+    label, rows, links, joined = first, rest.count(), [], None
+    while not large.isEmpty():
+        found = drawn_links(large, label, mine, similarity, len(links), block_lines)
+        if (found.agg(F.sum("pairs")).first()[0] or 0) <= rows:
             discard(found)
-            return rest, links
+            break
         links.append(found)
-        joined = connected_components(found)
-        top = joined.select(F.col("id").alias("component"), F.col("component").alias("top"))
-        now = rest.join(top, "component", "left").select("band", "k", F.coalesce("top", "component").alias("component"))
-        now = saved(still_apart(now), "mixed")
-        for t in (rest, joined):
+        for t in (joined, label if label is not first else None):
+            if t is not None:
+                discard(t)
+        joined = connected_components(functools.reduce(DataFrame.unionByName, links))
+        label = relabelled(first, joined, "labels")
+    if joined is not None:
+        now = relabelled(rest, joined, "relabelled")
+        for t in (rest, joined, label):
             discard(t)
-        rest = now
+        rest = saved(still_apart(now), "mixed")
+        discard(now)
+    for t in (large, first):
+        discard(t)
+    return rest, links
 
 
 def links_across(rest: DataFrame, mine: DataFrame, similarity: float, block_lines: int = 1024, block_items: int = 1 << 19) -> DataFrame:
@@ -233,8 +253,9 @@ def similar_lines(members: DataFrame, sets: DataFrame, similarity: float) -> Dat
     stars = members.join(centers, "band").where("k <> center").select(F.col("k").alias("src"), F.col("center").alias("dst")).distinct()
     first = saved(similar_pairs(stars, sets, similarity), "links")
     found = connected_components(first)
-    apart = members.join(found.withColumnRenamed("id", "k"), "k", "left").select("band", "k", F.coalesce("component", "k").alias("component"))
-    rest = saved(still_apart(apart), "mixed")
+    apart = saved(members.join(found.withColumnRenamed("id", "k"), "k", "left").select("band", "k", F.coalesce("component", "k").alias("component")), "apart")
+    rest = saved(still_apart(apart), "mixed")  # reads them twice
+    discard(apart)
     mine = apart_lines(rest, sets)
     discard(sets)
     rest, drawn = draw_together(rest, mine, similarity)
@@ -242,8 +263,7 @@ def similar_lines(members: DataFrame, sets: DataFrame, similarity: float) -> Dat
     discard(mine)
     joined = connected_components(functools.reduce(DataFrame.unionByName, [t.select("src", "dst") for t in drawn], across))
     alone = joined.join(found, "id", "left_anti").select("id", F.col("id").alias("component"))
-    top = joined.select(F.col("id").alias("component"), F.col("component").alias("top"))
-    out = saved(found.unionByName(alone).join(top, "component", "left").select("id", F.coalesce("top", "component").alias("component")), "components")
+    out = relabelled(found.unionByName(alone), joined, "components")
     for t in (first, found, rest, *drawn, across, joined):
         discard(t)
     return out

@@ -147,3 +147,34 @@ def test_a_group_of_near_copies_leaves_few_pairs_apart(spark):
     assert sum(label[a] != label[b] for a, b in pairs) <= rest.count()
     found = [(x.src.k1, x.dst.k1) for t in [*drawn, line_dedup.links_across(rest, mine, 0.8, block_lines=50)] for x in t.collect()]
     assert closure(range(len(texts)), found) == closure(range(len(texts)), pairs)
+
+
+def test_a_draw_relabels_lines_not_rows_of_buckets(spark, monkeypatch):
+    """A group of near copies in ten buckets takes several draws: each gives its lines new components, and the rows of all buckets get theirs once."""
+    r = random.Random(8)
+    base = [r.choice("abcdefghijkl") for _ in range(400)]
+    texts = []
+    for i in range(120):
+        x = list(base)
+        for _ in range(r.randrange(1, 6)):
+            x[r.randrange(400)] = "Z"
+        texts.append("".join(x))
+    lines = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "k1 long, k2 long, line string")
+    own = line_dedup.shingle_sets(lines, 10)
+    df = own.select(F.explode(F.sequence(F.lit(1), F.lit(10))).alias("band"), "k", F.col("k").alias("component"))
+    rest = line_dedup.saved(df, "mixed")
+    mine = line_dedup.apart_lines(rest, own)
+    wrote, save = [], line_dedup.saved
+
+    def seen(table, name):
+        out = save(table, name)
+        if {"k", "component"} <= set(out.columns):
+            wrote.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "saved", seen)
+    rest, drawn = line_dedup.draw_together(rest, mine, 0.8, least=20)
+    assert drawn
+    large, *labels, once, _ = wrote
+    assert (large, once) == (1200, 1200)
+    assert labels == [120] * (1 + len(drawn))
